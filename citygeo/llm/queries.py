@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from citygeo.llm.op01_substring import op1_substring_dedup
+from citygeo.llm.op02_simhash import op2_simhash
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_simhash": op2_simhash}
 ORACLES: dict[str, str] = {}
