@@ -5,12 +5,16 @@ from __future__ import annotations
 from citygeo.llm import op05_mixing
 from citygeo.llm.op01_substring import op1_substring_dedup
 from citygeo.llm.op02_simhash import op2_simhash
+from citygeo.llm.op03_language import op3_language_id
+from citygeo.llm.op06_quality import op6_quality_trees
 from citygeo.llm.op07_sharding import op7_ring_sharding
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
+    "op3_language_id": op3_language_id,
     "op5_poisson_mixing": op05_mixing.op5_poisson_mixing,
+    "op6_quality_trees": op6_quality_trees,
     "op7_ring_sharding": op7_ring_sharding,
 }
 ORACLES: dict[str, str] = {"op5_poisson_mixing": op05_mixing.ORACLE}
