@@ -6,19 +6,23 @@ from citygeo.llm import op05_mixing
 from citygeo.llm.op01_substring import op1_substring_dedup
 from citygeo.llm.op02_simhash import op2_simhash
 from citygeo.llm.op03_language import op3_language_id
+from citygeo.llm.op04_pii import op4_personal_data
 from citygeo.llm.op06_quality import op6_quality_trees
 from citygeo.llm.op07_sharding import op7_ring_sharding
 from citygeo.llm.op08_decontaminate import op8_string_tiling
 from citygeo.llm.op09_license import op9_license_rules
+from citygeo.llm.op10_tokens import op10_token_counts
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
     "op3_language_id": op3_language_id,
+    "op4_personal_data": op4_personal_data,
     "op5_poisson_mixing": op05_mixing.op5_poisson_mixing,
     "op6_quality_trees": op6_quality_trees,
     "op7_ring_sharding": op7_ring_sharding,
     "op8_string_tiling": op8_string_tiling,
     "op9_license_rules": op9_license_rules,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {"op5_poisson_mixing": op05_mixing.ORACLE}
