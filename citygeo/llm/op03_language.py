@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from citygeo.llm.common import documents, out_schema, pieces, raw_text
+from citygeo.llm.common import documents, pieces, raw_text
 
 BITS = 15
 SIZES = (2, 3, 4)
@@ -179,19 +180,23 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per
     return Hierarchy(languages, families, np.array([w for w, _ in models], np.float32), np.array([b for _, b in models]), pairs)
 
 
-def identify(docs: DataFrame, model: Hierarchy, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, lang_pred, score (0 to 1).
+def identify(docs: DataFrame, model: Hierarchy, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Per row of docs: id, lang_pred, score (0 to 1); with carry all columns of docs, and these two (replacing any so called).
 
     Null, empty and letterless texts get ``und`` with score 0, and so do all texts if the model learned no language. Ids may be
-    null or repeat. Whole texts count, however long. Other columns of docs are not read.
+    null or repeat. Whole texts count, however long. Without carry other columns of docs are not read.
     """
+    rest = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")] if carry else [id_col]
+    rows = docs.select(rest[0], text_col, *rest[1:]) if carry else docs.select(id_col, F.col(text_col).alias("_text"))
+    kept = rows.columns if carry else [id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             names, score = model.predict(piece.column(1))
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(names, pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(piece.columns if carry else piece.columns[:1]), pa.array(names, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
 
-    return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, out_schema(docs, id_col, "lang_pred string, score double"))
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citygeo.llm.common import Words, documents, out_schema, pieces, raw_text, span_hashes, word_hashes
+from citygeo.llm.common import Words, checkpoint, documents, out_schema, pieces, raw_text, span_hashes, word_hashes
 
 BLOCK_WORDS = 2_000_000
 SEED_WORDS, COVERAGE = 4, 0.5
@@ -149,9 +149,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_WORDS,
     return out
 
 
-def drop_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is not in found. Null ids are never dropped."""
-    return docs.join(found.select(id_col).distinct(), id_col, "left_anti")
+def drop_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", most: int = 1_000_000) -> DataFrame:
+    """Rows of docs whose id is not in found. Null ids are never dropped. Up to ``most`` ids (counted) are broadcast, so that
+    documents are not shuffled; beyond that the join shuffles."""
+    gone = checkpoint(found.select(id_col).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, id_col, "left_anti").select(docs.columns)
 
 
 def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,61 @@
-"""Documents to training shards in five stages."""
+"""Documents to training shards in five stages, each written and read again before the next.
 
-STAGES: list = []
-ORACLE_SQL = None
+Every stage takes (spark, docs, sf_dir) and works on all rows of docs. All but the last return the columns of docs.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from citygeo.llm.common import checkpoint_dir, documents
+from citygeo.llm.op02_simhash import keep_one, near_groups
+from citygeo.llm.op03_language import NONE, fit, held_out, identify
+from citygeo.llm.op05_mixing import GROWTH, MIX_SEED, POWER, flattened_weights, mix_sources, repetition_rates
+from citygeo.llm.op07_sharding import shard_bounded
+from citygeo.llm.op08_decontaminate import contamination, drop_contaminated
+
+LEAST_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: no letters, or a prediction scored below LEAST_SCORE."""
+    model = fit(docs.filter(~held_out()))
+    named = identify(docs, model, carry=True).filter((F.col("lang_pred") != NONE) & (F.col("score") >= LEAST_SCORE))
+    return named.select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least id of each group of documents whose fingerprints of 5-word shingles are as near as those of
+    texts with a similarity of 0.8 or more (14 bits of 64 at most)."""
+    return keep_one(docs, near_groups(docs)).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold half the words, or more, of a benchmark item."""
+    return drop_contaminated(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents so that sources meet flattened weights, shuffled."""
+    return mix_sources(docs, repetition_rates(docs, flattened_weights(docs, POWER), GROWTH), MIX_SEED).select(docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot and home_shard of every row."""
+    return shard_bounded(docs)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
+ORACLE_SQL = None  # hashes, a trained model and tilings: tests compare with a brute-force version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What each keeps is a Parquet table in the shared checkpoint folder."""
+    docs, folder = documents(spark, sf_dir), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
