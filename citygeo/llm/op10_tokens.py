@@ -49,8 +49,9 @@ class Counter:
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        for part in {*parts} - known.keys():
-            known[part] = len(self.encode(part))
+        for part in parts:
+            if part not in known:
+                known[part] = len(self.encode(part))
         return list(map(known.__getitem__, parts))
 
 
