@@ -3,7 +3,8 @@
 The target weight of a source, over its share of all characters, is its mean repetition rate. A uniform number from a hash of
 seed and document id is put through the inverse of the Poisson distribution of that mean; the document is exploded into
 that many replicas. Replicas go to partitions by a hash of (seed, id, replica) and are ordered by it there: a global
-shuffle in one exchange. The table of sources is joined as Spark's own size check decides; skewed sources are split by AQE.
+shuffle in one exchange. The distribution tables of all sources are measured; up to MOST_TERMS terms they are broadcast, so
+documents are not shuffled to meet them. Beyond that the join shuffles, and AQE splits skewed sources.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citygeo.llm.common import documents
+from citygeo.llm.common import checkpoint, documents
 
+MOST_TERMS = 2_000_000  # 16 MB
 DIGITS = 12  # hex digits of a uniform number: 48 bits
 
 
@@ -25,10 +27,14 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(_hash_hex(*parts), 1, DIGITS), 16, 10).cast("long") / F.lit(float(16**DIGITS))
 
 
+def _last_term(rate: Column) -> Column:
+    return F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
+
+
 def poisson_table(rate: Column) -> Column:
     """P(X <= 0), P(X <= 1), ... of a Poisson mean, as far as 12 deviations beyond it. The first terms are summed from
     logarithms, so large means do not underflow."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
+    last = _last_term(rate)
     log_p = lambda k, log_factorial: k * F.log(rate) - rate - log_factorial
     start = F.struct(F.lit(0.0).alias("lf"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("table"))
 
@@ -68,7 +74,10 @@ def mix_sources(docs: DataFrame, rates: DataFrame, seed: int = 17, id_col: str =
     only carried. Columns of docs called replica or shuffle_key are replaced.
     """
     docs = docs.drop("replica", "shuffle_key")
+    rates = checkpoint(rates)
+    terms = rates.agg(F.sum(_last_term(F.col("rate")) + 9)).first()[0] or 0  # 9: the source's name, generously
     table = rates.select(F.col("source").alias("_source"), poisson_table(F.col("rate")).alias("_table"))
+    table = F.broadcast(table) if terms <= MOST_TERMS else table
     drawn = docs.join(table, F.col(source_col).eqNullSafe(F.col("_source")))
     count = F.size(F.filter("_table", lambda c: c <= uniform(F.lit(seed), F.col(id_col))))
     drawn = drawn.withColumn("_count", count).filter("_count > 0")
