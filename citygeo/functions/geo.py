@@ -172,7 +172,7 @@ def point_in_ring(lat: Column, lon: Column, points: Column) -> Column:
 
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
-        where = (b["lat"] - a["lat"]) * F.try_divide(lon - a["lon"], b["lon"] - a["lon"]) + a["lat"]
+        where = F.try_divide((a["lat"] - b["lat"]) * (lon - b["lon"]), a["lon"] - b["lon"]) + b["lat"]
         return ((a["lon"] > lon) != (b["lon"] > lon)) & F.coalesce(lat < where, F.lit(False))
 
     return F.when(F.size(points) >= 3, F.aggregate(_edges(points, True), F.lit(False), lambda acc, e: acc != crosses(e))).otherwise(False)

@@ -52,24 +52,21 @@ def build_features(way_nodes: DataFrame, nodes: DataFrame, tags: DataFrame) -> D
     Ways that no rule fits and unusable ways give no feature. A partial way gains a tag. Ways are dropped by their tags before
     their nodes are looked up.
     """
-    typed = tags.withColumn("kind", classify(F.col("tags"))).filter("kind is not null")
+    typed = tags.withColumn("kind", classify(F.col("tags"))).filter("kind is not null").select("way_id", "tags", "kind.feature_type", "kind.subtype")
     wanted = way_nodes.join(typed.select("way_id"), "way_id", "left_semi")
     ways = usable_ways(resolve_ways(wanted, nodes)).filter("usable").join(typed, "way_id")
     all_tags = F.when(F.col("partial"), F.map_concat(F.map_filter("tags", lambda k, _: k != PARTIAL), F.create_map(F.lit(PARTIAL), F.lit("true")))).otherwise(F.col("tags"))
-    kind, sub = F.col("kind.feature_type"), F.col("kind.subtype")
-    height, road = building_height(F.col("tags"), sub), road_props(F.col("tags"), sub)
-    is_building, is_road = kind == "Building", kind == "Highway"
+    sub = F.col("subtype")
+    house = F.when(F.col("feature_type") == "Building", building_height(F.col("tags"), sub))
+    road = F.when(F.col("feature_type") == "Highway", road_props(F.col("tags"), sub))
+    own = ways.withColumns({"_house": house, "_road": road})
+    or_else = lambda c, v: F.coalesce(c, F.lit(v))
     computed = F.struct(
-        F.when(is_building, height["height_m"]).otherwise(0.0).alias("height_m"),
-        F.when(is_building, height["levels"]).otherwise(0).alias("levels"),
-        F.when(is_building, height["from_tags"]).otherwise(False).alias("height_from_tags"),
-        F.when(is_road, road["width_m"]).otherwise(0.0).alias("width_m"),
-        F.when(is_road, road["lanes"]).otherwise(0).alias("lanes"),
-        F.when(is_road, road["oneway"]).otherwise(False).alias("oneway"),
+        or_else(F.col("_house.height_m"), 0.0).alias("height_m"), or_else(F.col("_house.levels"), 0).alias("levels"), or_else(F.col("_house.from_tags"), False).alias("height_from_tags"),
+        or_else(F.col("_road.width_m"), 0.0).alias("width_m"), or_else(F.col("_road.lanes"), 0).alias("lanes"), or_else(F.col("_road.oneway"), False).alias("oneway"),
         feature_name(F.col("tags")).alias("name"),
-    )
-    area = F.col("closed") & ~kind.isin("Highway", "Railway", "Waterway", "Barrier", "Power")
-    return ways.select(F.col("way_id").alias("osm_id"), kind.alias("feature_type"), sub.alias("subtype"), area.alias("is_area"), "points", all_tags.alias("tags"), computed.alias("computed"), "partial")
+    )
+    return own.select(F.col("way_id").alias("osm_id"), "feature_type", "subtype", F.col("closed").alias("is_area"), "points", all_tags.alias("tags"), computed.alias("computed"), "partial")
 
 
 def clip_features(features: DataFrame, regions: DataFrame, margin: float = CLIP_MARGIN) -> DataFrame:

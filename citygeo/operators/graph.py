@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from citygeo.functions.geo import CLIP_MARGIN, M_PER_DEGREE, point_in_ring, point_segment_m, ring_area_m2, ring_centroid, ring_length_m, vertex_mean
 from citygeo.functions.numbers import case_of
 from citygeo.functions.tags import PARTIAL, has_tag
+from citygeo.operators.cut import cut
 from citygeo.operators.quality import issue, issues_of
 from citygeo.operators.region import tile_bounds
 from citygeo.operators.spatial import around, box_cells, segment_cells
@@ -249,14 +250,17 @@ def graph_fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def build_city_graph(features: DataFrame, regions: DataFrame, mid_lat: float, options: GraphOptions | None = None) -> dict[str, DataFrame]:
     """nodes, edges, members (groups in long form), rejections and issues of clipped features."""
     options = options or GraphOptions()
+    features = cut(features)
     nodes, rejected = graph_nodes(features, mid_lat)
-    members = junction_members(road_points(nodes))
+    nodes = cut(nodes)  # read by every stage below
+    members = cut(junction_members(road_points(nodes)))
     edges = shares_node_edges(members).unionByName(connects_to_edges(members))
     if options.contains:
         edges = edges.unionByName(contains_edges(nodes))
     if options.fronts_onto:
         edges = edges.unionByName(fronts_onto_edges(nodes, mid_lat, options.cutoff_m))
-    flagged = validate_nodes(nodes.unionByName(junctions(members)), edges, regions)
+    edges = cut(edges)
+    flagged = cut(validate_nodes(nodes.unionByName(junctions(members)), edges, regions))
     count = lambda df: df.groupBy("region_key").agg(F.count("*").alias("n"))
     return {"nodes": flagged, "edges": edges, "members": group_members(flagged, options.corridors), "rejections": rejected, "issues": graph_report(flagged, count(features), count(rejected))}
 

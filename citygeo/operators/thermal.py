@@ -103,8 +103,9 @@ def zones_near(zones: DataFrame, sensors: DataFrame, range_m: float) -> DataFram
     near = F.sequence(F.lit(-1), F.lit(1))
     own = zones.withColumns({f"_{k}": F.floor(F.col(k) / size).cast("long") for k in "xyz"})
     far = sensors.select("sensor_id", *[F.col(k).alias(f"s{k}") for k in "xyz"])
+    about = lambda k: F.transform(near, lambda d: F.floor(F.col(f"s{k}") / size).cast("long") + d)
     for k in "xyz":
-        far = far.withColumn(f"_{k}", F.explode(F.transform(near, lambda d, k=k: F.floor(F.col(f"s{k}") / size).cast("long") + d)))
+        far = far.withColumn(f"_{k}", F.explode(about(k)))
     d2 = sum(((F.col(k) - F.col(f"s{k}")) * (F.col(k) - F.col(f"s{k}")) for k in "xyz"), F.lit(0.0))
     return own.join(far, ["_x", "_y", "_z"]).filter(d2 <= range_m * range_m).select("zone_id", "sensor_id")
 

@@ -1,4 +1,8 @@
 """Registered queries and the SQL that states the same result."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from citygeo.plans import map_queries, world_queries
+
+QUERIES: dict = map_queries.QUERIES | world_queries.QUERIES
+ORACLES: dict = map_queries.ORACLES | world_queries.ORACLES

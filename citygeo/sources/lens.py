@@ -82,10 +82,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tag_map(table: DataFrame) -> DataFrame:
-    """way_id and tags of lens_tags."""
+    """way_id and tags of lens_tags. The map is exploded from an array of one, so that it is made once a row: left inline, the
+    optimizer would repeat its making in each expression that reads a tag."""
     key = F.element_at(F.array(*[F.lit(k) for k, _, _ in RULES]), F.col("kind").cast("int") + 1)
     rest = F.create_map(*[x for c, k in _KEYS.items() for x in (F.lit(k), F.col(c))])
-    return table.select("way_id", F.map_filter(F.map_concat(F.create_map(key, F.col("value")), rest), lambda _, v: v.isNotNull()).alias("tags"))
+    tags = F.map_filter(F.map_concat(F.create_map(key, F.col("value")), rest), lambda _, v: v.isNotNull())
+    return table.select("way_id", F.explode(F.array(tags)).alias("tags"))
 
 
 def osm_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
