@@ -44,7 +44,7 @@ def upsert_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
 
 def roll(seed: Column, key: Column) -> Column:
     """A number in [0, 1) from two integers, by portable integer arithmetic; high bits are used."""
-    mixed = F.pmod(F.pmod(seed * FACTOR + key * STEP, F.lit(MODULUS)) * FACTOR + STEP, F.lit(MODULUS))
+    mixed = F.pmod(F.pmod(seed.cast("long") * FACTOR + key.cast("long") * STEP, F.lit(MODULUS)) * FACTOR + STEP, F.lit(MODULUS))
     return mixed / float(MODULUS)
 
 
