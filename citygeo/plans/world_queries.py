@@ -222,16 +222,13 @@ def road_ribbons(spark, d):
 
 # --- footprints and walls
 
-_FOOT = BASE + """, foot as (select e.way_id, e.i, ax * 1 as ax, ay, bx, by2, e.n from ed e join typed t on t.way_id = e.way_id where t.kind < 2)"""
-
-
-@query(BASE + f""", area as (select way_id, area_m2 / cos(radians({MID})) * cos(radians(12.97)) as a from node where kind < 2) select way_id as node_id, cast(floor(a * 100 + 0.5) as bigint) as area_dm2 from area where a >= 0.5""")
+@query(BASE + f""", area as (select way_id, area_m2 * cos(radians(12.97)) / cos(radians({MID})) as a from node where kind < 2) select way_id as node_id, cast(floor(a * 100 + 0.5) as bigint) as area_dm2 from area where a >= 0.5""")
 def footprints(spark, d):
     good, _ = M.normalise_footprint(flat_rings(spark, d, "Building").select("node_id", "points"))
     return good.select("node_id", scaled(F.col("area_m2"), 100).alias("area_dm2"))
 
 
-@query(BASE + f""", side as (select e.way_id, e.i, sqrt(power((bx - ax) * 111320, 2) + power((by2 - ay) * 111320.0 * cos(radians(12.97)), 2)) as len from ed e join node using (way_id) where node.kind < 2)
+@query(BASE + f""", side as (select e.way_id, e.i, sqrt(power((bx - ax) * 111320, 2) + power((by2 - ay) * 111320.0 * cos(radians(12.97)), 2)) as len from ed e join node using (way_id) where node.kind < 2 and area_m2 * cos(radians(12.97)) / cos(radians({MID})) >= 0.5)
 select way_id as node_id, sum(greatest(floor(len / 3 + 0.5), 1))::bigint as bays, sum({MM('len')})::bigint as wall_mm from side where len >= 0.05 group by way_id""")
 def facades(spark, d):
     good, _ = M.normalise_footprint(flat_rings(spark, d, "Building").select("node_id", "points"))
