@@ -367,10 +367,10 @@ def contains(spark, d):
     return G.contains_edges(own).join(ids.toDF("src", "zone"), "src").join(ids.toDF("dst", "building"), "dst").select("zone", "building")
 
 
-_NEAREST = f""", seg as (select way_id, ax, ay, bx, by2 from ed join node using (way_id) where node.kind = 2 and ed.i < ed.n),
+_NEAREST = f""", house as materialized (select way_id, lat, lon from node where kind < 2), seg as materialized (select way_id, ax, ay, bx, by2 from ed join node using (way_id) where node.kind = 2 and ed.i < ed.n),
 near as (select h.way_id, min(sqrt(power((h.lat - ax) * 111320 - t * (bx - ax) * 111320, 2) + power((h.lon - ay) * {_K} - t * (by2 - ay) * {_K}, 2))) as m from (
  select h.way_id, h.lat, h.lon, ax, ay, bx, by2, least(greatest(coalesce(((h.lat - ax) * 111320 * (bx - ax) * 111320 + (h.lon - ay) * {_K} * (by2 - ay) * {_K}) / nullif(power((bx - ax) * 111320, 2) + power((by2 - ay) * {_K}, 2), 0), 0), 0), 1) as t
- from node h join seg on abs(h.lat - ax) < 0.002 and abs(h.lon - ay) < 0.002 where h.kind < 2) h group by h.way_id)"""
+ from house h join seg on abs(h.lat - ax) < 0.002 and abs(h.lon - ay) < 0.002) h group by h.way_id)"""
 
 
 @query(BASE + _NEAREST + f" select way_id as osm_id, {MM('m')} as distance_mm from near where m <= 50")
@@ -380,7 +380,7 @@ def fronts_onto(spark, d):
     return edges.join(own.select(F.col("node_id").alias("src"), "osm_id"), "src").select("osm_id", scaled(F.col("value")).alias("distance_mm"))
 
 
-@query(BASE + _NEAREST + " select h.way_id as osm_id from node h left join near on near.way_id = h.way_id and m <= 6 where h.kind < 2 and near.way_id is null")
+@query(BASE + _NEAREST + " select h.way_id as osm_id from house h left join near on near.way_id = h.way_id and m <= 6 where near.way_id is null")
 def no_street(spark, d):
     own = nodes(spark, d)
     return G.no_street(own, G.fronts_onto_edges(own, MID, cutoff_m=6.0)).join(own.select("node_id", "osm_id"), "node_id").select("osm_id")

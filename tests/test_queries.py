@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from citygeo.plans import map_queries, world_queries
 from citygeo.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -19,6 +20,16 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nodes_once(spark):
+    """Graph nodes are made once here; each query makes its own elsewhere."""
+    made = map_queries.nodes(spark, FOLDER)
+    with pytest.MonkeyPatch.context() as patch:
+        for module in (map_queries, world_queries):
+            patch.setattr(module, "nodes", lambda *_: made)
+        yield
+
+
 def plain(v):
     if v is None or v != v:
         return None
