@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ _PLAIN[ord("a") : ord("z") + 1] = _PLAIN[ord("A") : ord("Z") + 1] = np.arange(or
 
 def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lowered words of some texts, and the word at which each text begins."""
-    data, offsets = raw_text(column)
+    data, offsets = raw_text(pc.utf8_lower(column.cast(pa.large_string())))
     words = Words(_PLAIN[data], offsets)
     return word_hashes(words), words.doc
 
