@@ -5,20 +5,24 @@ fingerprints are one node from then on, so copies are never compared.
 
 Blocks: with ``blocks="parts"`` the 64 bits are cut into radius + 1 + extra parts, and nodes that agree in extra + 1 of them
 meet (by the pigeonhole rule all links within the radius do; extra grows with the number of nodes, so blocks stay small).
-With ``blocks="shingles"``, for radii that parts cannot serve, documents meet that share two least shingle hashes in one of
-several bands. A block of over TILE nodes is dealt into tiles, and each pair of tiles becomes a block of its own.
+With ``blocks="shingles"``, for radii that parts cannot serve, nodes are sets of shingles, and those meet that share two least
+shingle hashes in one of several bands; blocks with equal members are one. A block of over TILE nodes is dealt into tiles, and
+each pair of tiles becomes a block of its own.
 
 Comparison: bit planes of the nodes of all blocks of a task stand vertically, one lane a node. For shift s, lane i is
 compared with lane i + s by XOR of planes; a carry-save adder takes three planes at a time into bitwise counters that
 overflow beyond the radius, and the shift is given up once every lane has overflowed.
 
+With ``blocks="shingles"`` the fingerprints (of distinct shingles) only find candidates. The text of one document a node comes
+along with the block, and a candidate pair that is not joined yet is a link if the similarity of its shingle sets is high enough.
+
 Only links that join two parts of a block are returned, so a task returns fewer links than it has nodes. Components follow
 from large-star and small-star rounds over tables; nothing but a count and a checksum reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -32,7 +36,7 @@ from citygeo.llm.common import checkpoint, chosen, documents, mix, out_schema, p
 SEED = 42
 TILE = 4096
 LANES = 1 << 19
-BANDS = 6
+BANDS = 10
 
 
 def _hashes(text: bytes, width: int) -> np.ndarray:
@@ -63,24 +67,53 @@ def _band_keys(hashes: np.ndarray, bands: int) -> list[int]:
     return mix(least[::2] ^ mix(least[1::2] + orders[::2])).view(np.int64).tolist()
 
 
-def _fingerprint_rows(width: int, bands: int):
+def _fingerprint_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            found, keys = [], []
-            for text in piece.column(1).to_pylist():
-                hashes = _hashes((text or "").encode(), width)
-                found.append(fingerprint(hashes))
-                keys.append(_band_keys(hashes, bands))
-            columns = [piece.column(0), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "bands"])
+            found = [fingerprint(_hashes((text or "").encode(), width)) for text in piece.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int, bands: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (long) and bands (array of long; empty for bands=0) of each row of docs."""
+def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and fp (long) of each row of docs."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprint_rows(shingle, bands), out_schema(rows, "id", "fp long, bands array<long>"))
+    return rows.mapInArrow(_fingerprint_rows(shingle), out_schema(rows, "id", "fp long"))
+
+
+def _shingle_set(text: str | None, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of all shingles, those of distinct ones in order, and a hash of the set."""
+    every = _hashes((text or "").encode(), width)
+    distinct = np.unique(every)
+    return every, distinct, xxh64_intdigest(distinct.tobytes(), SEED)
+
+
+def _set_rows(width: int, bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            whole, nodes, keys = [], [], []
+            for text in piece.column(1).to_pylist():
+                every, distinct, node = _shingle_set(text, width)
+                fp = fingerprint(every)
+                whole.append((fp, fp if len(every) == len(distinct) else fingerprint(distinct)))
+                nodes.append(node)
+                keys.append(_band_keys(distinct, bands))
+            fps = np.array(whole, np.uint64).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(c)) for c in (fps[:, 0], np.array(nodes, np.uint64).view(np.int64), fps[:, 1])]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), *columns, pa.array(keys, pa.list_(pa.int64()))], ["id", "key", "fp", "node", "sketch", "bands"])
+
+    return run
+
+
+def _keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+
+
+def shingle_sets(docs: DataFrame, shingle: int, bands: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, key (hash of the text), fp, node (hash of the set of shingles), sketch (fp of distinct shingles) and bands of each row."""
+    rows = _keyed_texts(docs, id_col, text_col)
+    return rows.mapInArrow(_set_rows(shingle, bands), out_schema(rows, "id", "key long, fp long, node long, sketch long, bands array<long>"))
 
 
 def _part_blocks(fp: Column, radius: int, extra: int) -> Column:
@@ -145,8 +178,9 @@ def _within(planes: np.ndarray, shift: int, active: np.ndarray, radius: int) ->
     return active & ~over
 
 
-def block_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the radius between fingerprints of one group (sorted by group) that span all of them."""
+def spanning(fps: np.ndarray, group: np.ndarray, radius: int, confirm: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links within the radius between fingerprints of one group (sorted by group) that span all of them. With
+    confirm, only pairs that it takes are links; each pair within the radius is put to it unless links join it already."""
     a, b = [], []
     label = np.arange(len(fps))
 
@@ -174,14 +208,34 @@ def block_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nda
             apart = label[left] != label[right]
             for x, y in zip(left[apart].tolist(), right[apart].tolist()):
                 p, q = root(x), root(y)
-                if p != q:
+                if p != q and (confirm is None or confirm(x, y)):
                     label[max(p, q)] = min(p, q)
                     a.append(x)
                     b.append(y)
             while apart.any() and (label[label] != label).any():
                 label[:] = label[label]
         shift += 1
-    return fps[np.array(a, np.int64)], fps[np.array(b, np.int64)]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def block_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints at both ends of the links that ``spanning`` finds."""
+    a, b = spanning(fps, group, radius)
+    return fps[a], fps[b]
+
+
+def _spans(block: np.ndarray, tiles: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Spans of whole blocks (rows are sorted by block and tiles), and the group of each row in them."""
+    change = np.r_[True, (np.diff(block) != 0) | (np.diff(tiles) != 0)]
+    first = np.flatnonzero(change)
+    at = 0
+    while at < len(block):
+        to = len(block)
+        if to - at > LANES:
+            k = int(np.searchsorted(first, at + LANES, "right")) - 1
+            to = int(first[k]) if first[k] > at else int(first[k + 1]) if k + 1 < len(first) else to
+        yield at, to, np.cumsum(change[at:to]) - 1
+        at = to
 
 
 def _link_rows(radius: int):
@@ -193,18 +247,43 @@ def _link_rows(radius: int):
         block, tiles, fp = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy()
         order = np.lexsort((fp, tiles, block))
         block, tiles, fp = block[order], tiles[order], np.ascontiguousarray(fp[order])
-        change = np.r_[True, (np.diff(block) != 0) | (np.diff(tiles) != 0)]
-        first = np.flatnonzero(change)
-        at = 0
-        while at < len(fp):
-            to = len(fp)
-            if to - at > LANES:
-                k = int(np.searchsorted(first, at + LANES, "right")) - 1
-                to = int(first[k]) if first[k] > at else int(first[k + 1]) if k + 1 < len(first) else to
-            group = np.cumsum(change[at:to]) - 1
+        for at, to, group in _spans(block, tiles):
             a, b = block_links(fp[at:to].view(np.uint64), group, radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-            at = to
+
+    return run
+
+
+def _exact_link_rows(width: int, radius: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, read = {}, []
+        for piece in pieces(batches, text_at=4):
+            ids = piece.column(2).to_pylist()
+            for node, text in zip(ids, piece.column(4)):
+                if node not in sets:
+                    _, distinct, own = _shingle_set(text.as_py(), width)
+                    if own == node % (1 << 64):  # else another text with the id and the hash
+                        sets[node] = distinct
+            read.append(np.array([piece.column(k).to_numpy() for k in range(4)]).T[[node in sets for node in ids]])
+        if not read:
+            return
+        rows = np.unique(np.concatenate(read), axis=0)
+        rows = rows[np.lexsort((rows[:, 3], rows[:, 1], rows[:, 0]))]
+        block, tiles, node, sketch = (np.ascontiguousarray(rows[:, k]) for k in range(4))
+        names = node.tolist()
+
+        def alike(x: int, y: int) -> bool:
+            a, b = sets[names[x]], sets[names[y]]
+            if len(a) > len(b):
+                a, b = b, a
+            if len(a) < least * len(b):
+                return False
+            shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+            return shared >= least * (len(a) + len(b) - shared)
+
+        for at, to, group in _spans(block, tiles):
+            a, b = spanning(sketch[at:to].view(np.uint64), group, radius, lambda x, y, at=at: alike(at + x, at + y))
+            yield pa.RecordBatch.from_arrays([pa.array(node[at + a]), pa.array(node[at + b])], ["a", "b"])
 
     return run
 
@@ -220,6 +299,22 @@ def links(keyed: DataFrame, radius: int) -> DataFrame:
     return dealt.select("block", pair.alias("tiles"), "fp").repartition("block", "tiles").mapInArrow(_link_rows(radius), "a long, b long")
 
 
+def exact_links(docs: DataFrame, base: DataFrame, shingle: int, radius: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) between nodes of base (shingle_sets of docs) that share a block, have sketches within the radius, and have
+    a similarity of ``least`` or more; they join all nodes that such pairs join."""
+    keyed = base.select(F.explode("bands").alias("block"), "node", "sketch").distinct()
+    members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    blocks = keyed.groupBy("block").agg(F.count("*").alias("size"), *members).filter("size > 1")
+    blocks = blocks.groupBy("size", "x1", "x2").agg(F.min("block").alias("block")).select("block", F.ceil(F.col("size") / TILE).cast("int").alias("n"))
+    dealt = keyed.join(blocks, "block").withColumn("mine", F.pmod(F.xxhash64("node"), "n").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
+    pair = F.least("mine", "other").cast("long") * F.col("n") + F.greatest("mine", "other")
+    one = base.groupBy("node").agg(F.min(F.struct("id", "key")).alias("one"))
+    wanted = dealt.select("block", pair.alias("tiles"), "node", "sketch").join(one, "node").select("*", F.col("one.id").alias("one_id"), F.col("one.key").alias("one_key"))
+    met = _keyed_texts(docs, id_col, text_col).join(wanted, (F.col("key") == F.col("one_key")) & F.col("id").eqNullSafe(F.col("one_id")))
+    return met.select("block", "tiles", "node", "sketch", "text").repartition("block", "tiles").mapInArrow(_exact_link_rows(shingle, radius, least), "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the edges (a, b): root is the least node reachable. Large-star and small-star rounds."""
     edges = checkpoint(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -239,28 +334,33 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(edges.select("b", "b").distinct())
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, radius: int = 14, blocks: str = "shingles", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, radius: int = 28, blocks: str = "shingles", id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """Per row of docs: id, fingerprint (16 hex digits), component_id (least id reachable over links, its own included).
 
-    Two documents are linked if their fingerprints differ in at most ``radius`` bits and they meet in a block; see the module
-    text for blocks. The default is meant for a similarity of shingle sets of 0.8 or more: such fingerprints differ in 10 bits of
-    64 on average, and in 14 or fewer for about 19 of 20 pairs. Letters A-Z are lowered. A text
-    with fewer words than a shingle counts as one shingle; null, empty and wordless texts have fingerprint zero and are one
-    group. Rows with null ids are grouped too; component_id is null only if all ids of a component are. Repeated rows stay.
-    Other columns of docs are not read.
+    With ``blocks="parts"`` two documents are linked if their fingerprints differ in at most ``radius`` bits. With
+    ``blocks="shingles"`` they are linked if the similarity of their shingle sets is ``least`` or more, exactly; a pair is looked at
+    if it shares a band and its sketches differ in at most ``radius`` bits. At a similarity of 0.8 a pair shares no band with
+    a chance of 0.36 ** BANDS, and sketches differ in 10 bits of 64 on average (12 for the shortest texts), so 28 is out of reach.
+
+    Letters A-Z are lowered. A text with fewer words than a shingle counts as one shingle; null, empty and wordless texts have
+    fingerprint zero and are one group. Rows with null ids are grouped too; component_id is null only if all ids of a component
+    are. Repeated rows stay. Other columns of docs are not read.
     """
-    base = checkpoint(fingerprints(docs, shingle, BANDS if blocks == "shingles" else 0, id_col, text_col))
     if blocks == "shingles":
-        keyed = base.select(F.explode("bands").alias("block"), "fp").distinct()
+        base = checkpoint(shingle_sets(docs, shingle, BANDS, id_col, text_col))
+        nodes = components(exact_links(docs, base, shingle, radius, least, id_col, text_col)).withColumnRenamed("node", "linked")
+        base = base.select("id", "fp", "node")
     else:
+        base = checkpoint(fingerprints(docs, shingle, id_col, text_col))
         n = base.agg(F.approx_count_distinct("fp")).first()[0]
         extra = sum(n > 1 << k for k in (24, 34))
         keyed = base.select("fp").distinct().select(F.explode(_part_blocks(F.col("fp"), radius, extra)).alias("block"), "fp")
-    nodes = components(links(keyed, radius))
-    named = base.groupBy("fp").agg(F.min("id").alias("least")).join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        nodes = components(links(keyed, radius)).withColumnRenamed("node", "linked")
+        base = base.select("id", "fp", F.col("fp").alias("node"))
+    named = base.groupBy("node").agg(F.min("id").alias("least")).join(nodes, F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(roots, "root").select("fp", "component_id")
-    out = base.select("id", "fp").join(named, "fp")
+    named = named.join(roots, "root").select("node", "component_id")
+    out = base.join(named, "node")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

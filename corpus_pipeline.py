@@ -28,8 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of documents whose fingerprints of 5-word shingles are as near as those of
-    texts with a similarity of 0.8 or more (14 bits of 64 at most)."""
+    """Keeps the least id of each group of documents joined by similarities of 0.8 or more of their sets of 5-word shingles."""
     return keep_one(docs, near_groups(docs)).select(docs.columns)
 
 

@@ -94,6 +94,34 @@ def test_simhash_matches_brute_force(docs, none):
     assert op2.near_groups(none, 3, 2, "parts").count() == 0 and op2.near_groups(none).count() == 0
 
 
+def test_near_groups_join_similarities_of_080_and_no_others(spark, monkeypatch):
+    rows = []
+    for base in range(12):
+        a = words(150, 100 + base, 10**6)
+        rows.append(a)
+        for k in range(1, 10):  # k words changed, five shingles each: similarities from 0.93 down to 0.53
+            rows.append([f"o{base}_{k}_{i}" if i in {7 + k + 15 * j for j in range(k)} else w for i, w in enumerate(a)])
+        rows.append(a + ["again", "and"] * 200)  # repeats outweigh the rest: equal fingerprints, other shingles
+        rows.append(a + a[:60] * 4)
+    texts = [" ".join(r) for r in rows] + [" ".join(rows[0]).upper(), None, "", "one", "ONE"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset())
+    group = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    while any(group[i] != group[j] for i, j in near):
+        for i, j in near:
+            group[i] = group[j] = min(group[i], group[j])
+    assert 60 < len(set(group)) < len(texts) - 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for tile in (op2.TILE, 4):
+        monkeypatch.setattr(op2, "TILE", tile)
+        assert {r.doc_id: r.component_id for r in op2.near_groups(docs).collect()} == dict(enumerate(group))
+    repeated = docs.selectExpr("case when doc_id % 2 = 0 then 0 end as doc_id", "text")
+    assert op2.near_groups(repeated).count() == len(texts)
+
+
 def test_bit_planes_agree_with_popcount():
     import numpy as np
 
