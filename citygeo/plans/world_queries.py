@@ -138,29 +138,53 @@ def zones_near(spark, d):
     return H.zones_near(own, far, 50.0)
 
 
-# --- terrain: one tile over the region, a pixel a second of arc, derived from part keys
+# --- terrain: tiles of 50 by 50 pixels, a pixel a second of arc, derived from part keys; the first lies over the region
 
 _DEM = "dem as (select (p_partkey - 1) // 50 as r, (p_partkey - 1) % 50 as c, case when (((p_partkey - 1) // 50) * 31 + (p_partkey - 1) % 50) % 97 = 0 then -9999.0::double else 900.0::double + (((p_partkey - 1) // 50) * 7 + ((p_partkey - 1) % 50) * 13) % 40 end as elev from part where p_partkey between 1 and 2500)"
 _STEP = 0.0003
 _LON0, _LAT0 = 77.601, 12.983
 
 
+_SIDE, _ACROSS = 50, 1000  # pixels a side; tiles from west to east, then further south
+
+
+def _south(tile):
+    return F.floor(tile / _ACROSS) * (_SIDE * _STEP)
+
+
+def _east(tile):
+    return F.pmod(tile, F.lit(_ACROSS)) * (_SIDE * _STEP)
+
+
+def _tile_id(tile):
+    return F.concat(F.lit("t"), tile.cast("string"))
+
+
 def dem(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Pixels of a tile 50 wide, in key order, as many as there are parts (2,500 at most)."""
-    k = F.col("p_partkey").cast("int") - 1
-    keys = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey between 1 and 2500").select(F.floor(k / 50).cast("int").alias("row"), (k % 50).alias("col"))
-    value = F.when((F.col("row") * 31 + F.col("col")) % 97 == 0, -9999.0).otherwise(900.0 + (F.col("row") * 7 + F.col("col") * 13) % 40)
-    pixels = keys.select(F.lit("t").alias("tile_id"), "row", "col", value.cast("float").alias("elev"))
-    n = keys.agg(F.max("row").alias("h"))
-    gt = F.array(*[F.lit(v) for v in (_LON0, _STEP, 0.0, _LAT0, 0.0, -_STEP)])
-    tiles = n.select(F.lit("t").alias("tile_id"), F.lit(50).alias("width"), (F.col("h") + 1).alias("height"), gt.alias("gt"), F.lit(-9999.0).alias("nodata"), F.lit(True).alias("has_nodata"))
+    """Pixels of all tiles, one for each part key from 1 on, 2,500 a tile. The SQL beside these queries states the first
+    tile only; it has no pixel for a key of 0 either."""
+    k = F.col("p_partkey").cast("long") - 1
+    keys = spark.read.parquet(f"{d}/part.parquet").filter(k >= 0).select(F.floor(k / _SIDE**2).alias("tile"), F.floor(k / _SIDE).alias("line"), F.pmod(k, F.lit(_SIDE)).cast("int").alias("col"))
+    keys = keys.withColumn("row", F.pmod("line", F.lit(_SIDE)).cast("int"))
+    value = F.when((F.col("line") * 31 + F.col("col")) % 97 == 0, -9999.0).otherwise(900.0 + (F.col("line") * 7 + F.col("col") * 13) % 40)
+    pixels = keys.select(_tile_id(F.col("tile")).alias("tile_id"), "row", "col", value.cast("float").alias("elev"))
+    n = keys.groupBy("tile").agg(F.max("row").alias("h"))
+    gt = F.array(F.lit(_LON0) + _east(F.col("tile")), F.lit(_STEP), F.lit(0.0), F.lit(_LAT0) - _south(F.col("tile")), F.lit(0.0), F.lit(-_STEP))
+    tiles = n.select("tile", _tile_id(F.col("tile")).alias("tile_id"), F.lit(_SIDE).alias("width"), (F.col("h") + 1).alias("height"), gt.alias("gt"), F.lit(-9999.0).alias("nodata"), F.lit(True).alias("has_nodata"))
     return cut(pixels), cut(tiles)
 
 
+def on_tiles(rows: DataFrame, tiles: DataFrame, key: str) -> DataFrame:
+    """Adds tile: runs of 101 keys go to the tiles in turn."""
+    n = tiles.agg(F.coalesce(F.max("tile") + 1, F.lit(1)).alias("_n"))
+    return rows.crossJoin(F.broadcast(n)).withColumn("tile", F.pmod(F.floor(F.col(key) / 101), F.col("_n"))).drop("_n")
+
+
 @query(f"with {_DEM} select count(*) as n_pixels, cast(min(elev) filter (where elev > -9000) as bigint) as min_elev, cast(max(elev) as bigint) as max_elev, count(*) filter (where elev < -9000) as n_void from dem")
 def dem_statistics(spark, d):
     pixels, tiles = dem(spark, d)
-    return dem_stats(pixels, tiles).select("n_pixels", F.col("min_elev").cast("long").alias("min_elev"), F.col("max_elev").cast("long").alias("max_elev"), "n_void")
+    total = dem_stats(pixels, tiles).agg(F.sum("n_pixels").alias("n_pixels"), F.min("min_elev").alias("min_elev"), F.max("max_elev").alias("max_elev"), F.sum("n_void").alias("n_void"))
+    return total.select("n_pixels", F.col("min_elev").cast("long").alias("min_elev"), F.col("max_elev").cast("long").alias("max_elev"), "n_void")
 
 
 _SAMPLE = f"""with {_DEM}, h as (select max(r) as h from dem), pt as (select o_orderkey as id, (({_LAT0}::double - (o_orderkey * 37 % 1600) / 100000.0::double) - {_LAT0}::double) / -{_STEP}::double - 0.5 as row, (({_LON0}::double + (o_orderkey * 53 % 1600) / 100000.0::double) - {_LON0}::double) / {_STEP}::double - 0.5 as col from orders),
@@ -175,27 +199,35 @@ select pt.id as point_id, cast(floor(coalesce(elev, -1) * 1000 + 0.5) as bigint)
 def sample_elevation(spark, d):
     pixels, tiles = dem(spark, d)
     k = F.col("o_orderkey")
-    points = spark.read.parquet(f"{d}/orders.parquet").select(k.alias("point_id"), F.lit("t").alias("tile_id"), (F.lit(_LAT0) - (k * 37 % 1600) / 100000.0).alias("lat"), (F.lit(_LON0) + (k * 53 % 1600) / 100000.0).alias("lon"))
+    own = on_tiles(spark.read.parquet(f"{d}/orders.parquet"), tiles, "o_orderkey")
+    points = own.select(k.alias("point_id"), _tile_id(F.col("tile")).alias("tile_id"), (F.lit(_LAT0) - _south(F.col("tile")) - (k * 37 % 1600) / 100000.0).alias("lat"), (F.lit(_LON0) + _east(F.col("tile")) + (k * 53 % 1600) / 100000.0).alias("lon"))
     return E.sample_elevation(points, pixels, tiles, default=-1.0).select("point_id", scaled(F.col("elev")).alias("elev_mm"))
 
 
-def frame(spark: SparkSession) -> DataFrame:
+def frame(tiles: DataFrame) -> DataFrame:
+    """A terrain of the region's size on each tile."""
     a, b, c, e = lens.REGION
     north, east = (c - a) * geo.M_PER_DEGREE, (e - b) * geo.M_PER_DEGREE * math.cos(math.radians(a))
-    return E.terrain_frame(spark.createDataFrame([("all", "t", a, b, 0.0, 0.0, north, east)], "region_key string, tile_id string, lat0 double, lon0 double, min_x double, min_y double, max_x double, max_y double"), 50.0)
+    corner = [(F.lit(a) - _south(F.col("tile"))).alias("lat0"), (F.lit(b) + _east(F.col("tile"))).alias("lon0")]
+    box = [F.lit(v).alias(k) for k, v in (("min_x", 0.0), ("min_y", 0.0), ("max_x", north), ("max_y", east))]
+    return E.terrain_frame(tiles.select(F.col("tile_id").alias("region_key"), "tile_id", *corner, *box), 50.0)
 
 
-def flat_points(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes as points in metres about the region's corner."""
+def flat_points(spark: SparkSession, d: str, tiles: DataFrame) -> DataFrame:
+    """Nodes of the ways on each tile as points in metres about its terrain's corner. A node is a point on each tile that has one
+    of its ways: point_id is the node's id, and a million more for each tile."""
     p = geo.to_local_m(F.col("lat"), F.col("lon"), F.lit(lens.REGION[0]), F.lit(lens.REGION[1]))
-    return lens.osm_nodes(spark, d).select(F.col("id").alias("point_id"), F.lit("all").alias("region_key"), p["x_north"].alias("x_m"), p["y_east"].alias("y_m"))
+    used = on_tiles(lens.way_nodes(spark, d), tiles, "way_id").select("tile", F.col("node_id").alias("id")).distinct()
+    own = used.join(lens.osm_nodes(spark, d), "id")
+    return own.select((F.col("tile") * 1_000_000 + F.col("id")).alias("point_id"), _tile_id(F.col("tile")).alias("region_key"), p["x_north"].alias("x_m"), p["y_east"].alias("y_m"))
 
 
 @query()
 def terrain_heights(spark, d):
-    own = frame(spark)
-    grid = cut(E.terrain_grid(own, *dem(spark, d)))
-    return E.terrain_height(flat_points(spark, d), own, grid).select("point_id", scaled(F.col("height_cm")).alias("height_um"))
+    pixels, tiles = dem(spark, d)
+    own = frame(tiles)
+    grid = cut(E.terrain_grid(own, pixels, tiles))
+    return E.terrain_height(flat_points(spark, d, tiles), own, grid).select("point_id", scaled(F.col("height_cm")).alias("height_um"))
 
 
 def flat_rings(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -205,18 +237,24 @@ def flat_rings(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return own.select(F.col("osm_id").alias("line_id"), F.col("osm_id").alias("node_id"), "region_key", "node_type", "subtype", F.col("metrics.width_m").alias("width_m"), F.col("metrics.height_m").alias("height_m"), "tags", flat.alias("points"))
 
 
+def tile_rings(spark: SparkSession, d: str, kind: str, tiles: DataFrame) -> DataFrame:
+    return on_tiles(flat_rings(spark, d, kind), tiles, "line_id").withColumn("region_key", _tile_id(F.col("tile"))).drop("tile")
+
+
 @query()
 def ground_ranges(spark, d):
-    own = frame(spark)
-    grid = cut(E.terrain_grid(own, *dem(spark, d)))
-    return E.ground_range(cut(flat_rings(spark, d, "Building").select("line_id", "region_key", "points")), own, grid).select("line_id", scaled(F.col("min_cm")).alias("min_um"), scaled(F.col("max_cm")).alias("max_um"))
+    pixels, tiles = dem(spark, d)
+    own = frame(tiles)
+    grid = cut(E.terrain_grid(own, pixels, tiles))
+    return E.ground_range(cut(tile_rings(spark, d, "Building", tiles).select("line_id", "region_key", "points")), own, grid).select("line_id", scaled(F.col("min_cm")).alias("min_um"), scaled(F.col("max_cm")).alias("max_um"))
 
 
 @query()
 def road_ribbons(spark, d):
-    own = frame(spark)
-    grid = cut(E.terrain_grid(own, *dem(spark, d)))
-    out = M.linear_ribbons(cut(flat_rings(spark, d, "RoadSegment")), own, grid)
+    pixels, tiles = dem(spark, d)
+    own = frame(tiles)
+    grid = cut(E.terrain_grid(own, pixels, tiles))
+    out = M.linear_ribbons(cut(tile_rings(spark, d, "RoadSegment", tiles)), own, grid)
     return out.select("line_id", "n", "side", scaled(F.col("x_m")).alias("x_mm"), scaled(F.col("y_m")).alias("y_mm"), scaled(F.col("z_cm")).alias("z_um"))
 
 
