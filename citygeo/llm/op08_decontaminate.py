@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,8 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
 
 def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(start in doc, start in item, length) of a greedy tiling by Running Karp-Rabin: in each round hashes of the search
-    length find candidates among unmarked words, each is extended as far as it goes, and the longest are marked first."""
+    length find candidates among unmarked words, each is extended as far as it goes, and the longest are marked first, ties by
+    place in doc, then in item."""
     free_d, free_i, tiles = np.ones(len(doc), bool), np.ones(len(item), bool), []
     length = 1 << max(least, len(item)).bit_length() - 1
     while True:
@@ -66,17 +68,21 @@ def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[in
                         n += 1
                     if n >= length:
                         found.append((-n, i, j))
-        cut = False
-        for n, i, j in sorted(found):
-            if free_d[i : i - n].all() and free_i[j : j - n].all():
+        heapify(found)
+        while found:
+            n, i, j = heappop(found)
+            both = free_d[i : i - n] & free_i[j : j - n]
+            if both.all():
                 free_d[i : i - n] = free_i[j : j - n] = False
                 tiles.append((i, j, -n))
-            else:
-                cut = True  # what is left of it may still hold a match of this length
-        if not cut:
-            if length == least:
-                return tiles
-            length //= 2
+                continue
+            edge = np.flatnonzero(np.diff(np.r_[False, both, False]))  # what longer tiles left of it takes its turn by its length
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if b - a >= length:
+                    heappush(found, (a - b, i + a, j + a))
+        if length == least:
+            return tiles
+        length //= 2
 
 
 def _tile_rows(items: list, words: np.ndarray, doc: np.ndarray, seed: int, coverage: float, id_col: str):
@@ -123,7 +129,8 @@ def _tile_rows(items: list, words: np.ndarray, doc: np.ndarray, seed: int, cover
                     rows.append((t, items[k], len(tiles), got, len(item), got / len(item), [{"start": a, "end": a + n} for a, _, n in sorted(tiles)]))
             columns = list(zip(*rows)) if rows else [[]] * 7
             spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.int64()) for c in columns[2:5]], pa.array(columns[5], pa.float64()), pa.array(columns[6], spans)], [id_col, "item_id", "n_tiles", "tiled_words", "item_words", "coverage", "spans"])
+            at = pa.array(columns[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(at), piece.column(2).take(at), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.int64()) for c in columns[2:5]], pa.array(columns[5], pa.float64()), pa.array(columns[6], spans)], [id_col, "text_key", "item_id", "n_tiles", "tiled_words", "item_words", "coverage", "spans"])
 
     return run
 
@@ -131,13 +138,13 @@ def _tile_rows(items: list, words: np.ndarray, doc: np.ndarray, seed: int, cover
 def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_WORDS, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Pairs of a document and a benchmark item (item_id, text) whose words are tiled to ``coverage`` or more.
 
-    Returns id, item_id, n_tiles, tiled_words, item_words, coverage and spans (word ranges in the document). Items without words
+    Returns id, text_key (64-bit hash of the text), item_id, n_tiles, tiled_words, item_words, coverage and spans (word ranges in the document). Items without words
     (or null) and documents without words match nothing; an item shorter than ``seed`` must occur whole. Equal items and equal
     documents each count. Ids may be null or repeat. Other columns are not read. No benchmark: no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    schema = out_schema(docs, id_col, "item_id long, n_tiles long, tiled_words long, item_words long, coverage double, spans array<struct<start: long, end: long>>")
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key"))
+    schema = out_schema(docs, id_col, "text_key long, item_id long, n_tiles long, tiled_words long, item_words long, coverage double, spans array<struct<start: long, end: long>>")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sizes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-sizes // (2 * block_words)))  # a word and its gap take two bytes at least
@@ -150,11 +157,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_WORDS,
     return out
 
 
-def drop_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", most: int = 1_000_000) -> DataFrame:
-    """Rows of docs whose id is not in found. Null ids are never dropped. Up to ``most`` ids (counted) are broadcast, so that
-    documents are not shuffled; beyond that the join shuffles."""
-    gone = checkpoint(found.select(id_col).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, id_col, "left_anti").select(docs.columns)
+def drop_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1_000_000) -> DataFrame:
+    """Rows of docs that are not in found (contamination of docs). Rows are told apart by id and text, so of rows with equal or
+    null ids only those with a contaminated text go, and all of them. Up to ``most`` rows of found (counted) are broadcast, so
+    that documents are not shuffled; beyond that the join shuffles. Columns of docs may have any names."""
+    gone = checkpoint(found.select(F.col(id_col).alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"))
+    same = (F.col("key") == F.col("gone_key")) & F.col("id").eqNullSafe(F.col("gone_id"))
+    return rows.join(F.broadcast(gone) if gone.count() <= most else gone, same, "left_anti").select("row.*")
 
 
 def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
