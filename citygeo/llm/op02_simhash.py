@@ -38,6 +38,7 @@ from citygeo.llm.common import PIECE_BYTES, Words, checkpoint, chosen, documents
 SEED = 42
 TILE, TILE_SHINGLES = 2048, 1 << 18  # members of a tile, and their shingles; a longer text is a tile with few others
 FEW = 8
+MOST = 1_000_000  # rows of two numbers that may be broadcast
 LANES, WORDS = 1 << 19, 1 << 14
 BANDS, ROWS = 16, 3
 EXTRA = (24, 34)  # powers of two of nodes beyond which parts grow by one each
@@ -374,22 +375,26 @@ def links(keyed: DataFrame, radius: int) -> DataFrame:
     return dealt.sortWithinPartitions("block", "tiles").mapInArrow(_link_rows(radius), "a long, b long")
 
 
-def exact_links(docs: DataFrame, base: DataFrame, shingle: int, radius: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_links(docs: DataFrame, base: DataFrame, shingle: int, radius: int, least: float, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """Links (a, b) between nodes of base (shingle_sets of docs) that share a block, have sketches within the radius, and have
-    a similarity of ``least`` or more; they join all nodes that such pairs join. Texts are shuffled once to meet their blocks,
-    as rows of distinct id and text, and those that share a block once more for each such block and tile."""
-    keyed = base.select(F.explode("bands").alias("block"), "node", "s0", "s1", "n_shingles").distinct()
+    a similarity of ``least`` or more; they join all nodes that such pairs join. One text of each node is shuffled to its
+    blocks and tiles. Up to ``most`` such texts (counted) are picked by a broadcast of their ids; beyond that docs are shuffled."""
+    keyed = base.select("node", "bands").dropDuplicates(["node"]).select(F.explode("bands").alias("block"), "node")
+    keyed = checkpoint(keyed.join(keyed.groupBy("block").agg(F.count("*").alias("size")).filter("size > 1"), "block"))
+    one = base.join(keyed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("size", "id", "key", "s0", "s1", "n_shingles")).alias("one"))
+    one = checkpoint(one.select("node", *[F.col(f"one.{c}").alias(c) for c in ("s0", "s1", "n_shingles")], F.col("one.id").alias("one_id"), F.col("one.key").alias("one_key")))
+    met = keyed.drop("size").join(one, "node")
     members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
     tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).cast("int")
-    blocks = keyed.groupBy("block").agg(F.count("*").alias("size"), tiles.alias("n"), *members).filter("size > 1")
+    blocks = met.groupBy("block").agg(F.count("*").alias("size"), tiles.alias("n"), *members)
     blocks = blocks.groupBy("size", "x1", "x2").agg(F.min(F.struct("block", "n")).alias("b")).select("b.*")
-    dealt = _tiled(keyed.join(blocks, "block"), "node")
-    one = base.groupBy("node").agg(F.min(F.struct("size", "id", "key")).alias("one"))
-    wanted = dealt.join(one, "node").select("block", "tiles", "node", "s0", "s1", F.col("one.id").alias("one_id"), F.col("one.key").alias("one_key"))
-    texts = _keyed_texts(docs, id_col, text_col).dropDuplicates(["key", "id"])
-    met = texts.join(wanted, (F.col("key") == F.col("one_key")) & F.col("id").eqNullSafe(F.col("one_id")))
-    rows = met.select("block", "tiles", "node", "s0", "s1", "text").repartition("block", "tiles").sortWithinPartitions("block", "tiles")
-    return rows.mapInArrow(_exact_link_rows(shingle, radius, least), "a long, b long")
+    wanted = _tiled(met.join(blocks, "block"), "node").select("block", "tiles", "node", "s0", "s1", "one_id", "one_key")
+    same = (F.col("key") == F.col("one_key")) & F.col("id").eqNullSafe(F.col("one_id"))
+    texts = _keyed_texts(docs, id_col, text_col)
+    if one.count() <= most:
+        texts = texts.join(F.broadcast(one.select("one_id", "one_key")), same, "left_semi")
+    rows = texts.dropDuplicates(["key", "id"]).join(wanted, same).select("block", "tiles", "node", "s0", "s1", "text").repartition("block", "tiles")
+    return rows.sortWithinPartitions("block", "tiles").mapInArrow(_exact_link_rows(shingle, radius, least), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -442,15 +447,22 @@ def near_groups(docs: DataFrame, shingle: int = 5, radius: int = 44, blocks: str
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("key").alias("text_key"), "root")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """One row of docs for each component of groups (near_groups of docs): that with the least id, null ids last, then the least
     hash of its text. Rows are told apart by id and text, so rows with equal ids and other texts are not lost; of rows equal in
-    both, one stays. Columns of docs may have any names."""
-    first = F.min(F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col("text_key").alias("key"))).alias("first")
-    stay = groups.groupBy("root").agg(first).select(F.col("first.id").alias("stay_id"), F.col("first.key").alias("stay_key"))
+    both, one stays. Up to ``most`` rows that go or repeat (counted) are broadcast, so that documents are not shuffled; beyond
+    that the join shuffles. Columns of docs may have any names."""
+    rank = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col("text_key").alias("key")).alias("rank")
+    own = groups.groupBy("root", rank).agg(F.count("*").alias("n"))
+    first = own.groupBy("root").agg(F.min("rank").alias("first"))
+    own = own.join(first, "root").select(F.col("rank.id").alias("own_id"), F.col("rank.key").alias("own_key"), (F.col("rank") == F.col("first")).alias("stays"), "n")
+    own = checkpoint(own.filter("not stays or n > 1").drop("n"))
+    few = own.count() <= most
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"))
-    kept = rows.join(stay, (F.col("key") == F.col("stay_key")) & F.col("id").eqNullSafe(F.col("stay_id")), "left_semi")
-    return kept.dropDuplicates(["key", "id"]).select("row.*")
+    same = (F.col("key") == F.col("own_key")) & F.col("id").eqNullSafe(F.col("own_id"))
+    meet = lambda part, how: rows.join(F.broadcast(part) if few else part, same, how)
+    kept, repeated = meet(own, "left_anti"), meet(own.filter("stays"), "left_semi").dropDuplicates(["key", "id"])
+    return kept.unionByName(repeated).select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,9 @@ def test_near_groups_join_similarities_of_080_and_no_others(spark, monkeypatch):
     for tile in (op2.TILE, 4):
         monkeypatch.setattr(op2, "TILE", tile)
         assert {r.doc_id: r.component_id for r in op2.near_groups(docs).collect()} == dict(enumerate(group))
+    base = op2.shingle_sets(docs, 5)
+    joined = [len({r.root for r in op2.components(op2.exact_links(docs, base, 5, 44, 0.8, most=most)).collect()}) for most in (0, 10**6)]
+    assert joined[0] == joined[1] > 10
     repeated = docs.selectExpr("case when doc_id % 2 = 0 then 0 end as doc_id", "text")
     assert op2.near_groups(repeated).count() == len(texts)
 
@@ -165,9 +168,10 @@ def test_keep_one_goes_by_rows(spark):
     a, b, c = (" ".join(words(80, s)) for s in (301, 302, 303))
     rows = [(1, a, 1), (1, b, 2), (2, c, 3), (None, a, 4), (None, a, 5), (3, a + " more", 6), (None, "null ids only", 7), (None, "null ids only", 8), (2, c, 9), (7, None, 10), (8, "", 11)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row int").withColumns({"root": F.lit(0), "key": F.lit(0), "late": F.lit(0)})
-    kept = op2.keep_one(docs, op2.near_groups(docs))
-    found = {r.row for r in kept.collect()}
-    assert kept.columns == docs.columns and len(found) == kept.count() == 5 and {1, 2, 10} < found and len(found & {3, 9}) == 1 and len(found & {7, 8}) == 1
+    for most in (0, 100):
+        kept = op2.keep_one(docs, op2.near_groups(docs), most=most)
+        found = [r.row for r in kept.collect()]
+        assert kept.columns == docs.columns and len(found) == 5 and {1, 2, 10} < {*found} and len({*found} & {3, 9}) == 1 and len({*found} & {7, 8}) == 1
 
 
 @pytest.mark.parametrize("extra", [0, 1, 2])
