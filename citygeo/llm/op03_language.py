@@ -2,19 +2,19 @@
 
 Features are hashed n-grams of 2, 3 and 4 bytes of the text with letters lowered and runs of anything else as one space; a
 text's value for a model is its mean weight over all its n-grams. Models are trained with a squared hinge loss on the driver
-from sparse counts of at most about ``per_language`` labelled texts of each language, chosen by a hash of the text.
+from sparse counts of at most ``per_language`` different labelled texts of each language, those with the least hashes.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -40,7 +40,7 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 _SIMPLE = np.full(256, 0x20, np.uint8)
 _SIMPLE[0x80:] = np.arange(0x80, 0x100)
 _SIMPLE[ord("a") : ord("z") + 1] = _SIMPLE[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def simple_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +148,7 @@ def _train(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, rounds:
     bias = u = 0.0
     largest = float(np.bincount(owner, share**2, len(rows)).max(initial=1e-9))
     step = 1 / (2 * (largest + 1e-3) + ridge)
+    before = np.inf
     for k in range(rounds):
         slack = np.maximum(0, 1 - sign * (np.bincount(owner, share * v[bucket], len(rows)) + u))
         pull = -2 * importance * slack * sign
@@ -155,16 +156,28 @@ def _train(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, rounds:
         new_b = u - 0.2 * pull.sum()
         v, u = new_w + k / (k + 3) * (new_w - w), new_b + k / (k + 3) * (new_b - bias)
         w, bias = new_w, new_b
+        if k % 10 == 9:
+            loss = float((importance * slack**2).sum())
+            if k >= 49 and loss > 0.995 * before:
+                break
+            before = loss
     return w, bias
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Hierarchy:
-    """A model of all non-null languages of labelled. Texts are chosen by a hash of theirs, about per_language for each."""
+    """A model of all non-null languages of labelled. Repeated texts count once; of a language's different texts the per_language
+    with the least hashes are learned from, all of them where there are fewer, so each language has one at least. The driver
+    gets per_language sparse rows for each language."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(per_language / n)) for lang, n in counts.items()], F.lit(0.0))
-    picked = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    found = picked.mapInArrow(_sparse_rows, "lang string, bucket array<int>, share array<float>").toArrow()
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    kinds = rows.select("lang", "key").distinct()
+    # a first cut by hash leaves twice the texts wanted, on average, to be ranked
+    share = F.broadcast(kinds.groupBy("lang").agg((2.0 * per_language / F.count("*")).alias("share")))  # one row for each language
+    near = kinds.join(share, "lang").filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")))
+    picked = F.broadcast(ranked.filter(F.col("rank") <= per_language).select("lang", "key"))  # per_language rows for each language
+    chosen = rows.join(picked, ["lang", "key"]).dropDuplicates(["lang", "key"]).select("lang", "text")
+    found = chosen.mapInArrow(_sparse_rows, "lang string, bucket array<int>, share array<float>").toArrow().sort_by("lang")
     lang = found.column("lang").to_pylist()
     vectors = [(np.asarray(b.values, np.int64), np.asarray(s.values)) for b, s in zip(found.column("bucket"), found.column("share"))]
     languages = sorted(set(lang))

@@ -92,8 +92,9 @@ _SPELLED_GATE = re.compile(rf"(?<!\w)(?:{_NAME}){_BETWEEN}(?:{_NAME}|[0-9])")
 _PLUS = re.compile(r"(?<!\w)plus[ \t]+(?=[0-9])")
 _POINT = re.compile(rf"(?<=[0-9])(?:[ \t]*[(\[{{<][ \t]*(?:{_POINT_WORD}|\.)[ \t]*[)\]}}>][ \t]*|[ \t]+{_POINT_WORD}[ \t]+)(?=[0-9])")
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|ät)", _POINT_WORD
-_AT = re.compile(rf"[ \t]*[(\[{{<][ \t]*(?:{_AT_WORD}|@)[ \t]*[)\]}}>][ \t]*|[ \t]+{_AT_WORD}[ \t]+|[ \t]*@[ \t]*")
-_DOT = re.compile(rf"[ \t]*[(\[{{<][ \t]*(?:{_DOT_WORD}|\.)[ \t]*[)\]}}>][ \t]*|[ \t]+{_DOT_WORD}[ \t]+|\.")
+# Blanks are entered at their start alone, so a run of them is read once.
+_AT = re.compile(rf"(?<![ \t])(?:[ \t]*+[(\[{{<][ \t]*(?:{_AT_WORD}|@)[ \t]*[)\]}}>][ \t]*+|[ \t]++{_AT_WORD}[ \t]++|[ \t]*+@[ \t]*+)")
+_DOT = re.compile(rf"(?<![ \t])(?:[ \t]*+[(\[{{<][ \t]*(?:{_DOT_WORD}|\.)[ \t]*[)\]}}>][ \t]*+|[ \t]++{_DOT_WORD}[ \t]++)|\.")
 _LABEL, _PART = re.compile(r"[A-Za-z0-9-]+"), re.compile(r"[A-Za-z0-9_%+-]+")
 _DOT_GATE = re.compile(rf"[(\[{{<][ \t]*(?:{_AT_WORD}|{_DOT_WORD}|@|\.)[ \t]*[)\]}}>]|[ \t]{_DOT_WORD}[ \t]|[ \t]@|@[ \t]")
 

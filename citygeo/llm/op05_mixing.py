@@ -66,24 +66,26 @@ def repetition_rates(docs: DataFrame, weights: DataFrame, growth: float = 1.0, s
     return have.crossJoin(F.broadcast(total)).select("source", F.when(F.col("weight") > 0, rate).otherwise(0.0).alias("rate"))  # total is one row
 
 
-def mix_sources(docs: DataFrame, rates: DataFrame, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, rates: DataFrame, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The columns of docs, and replica (from 0) and shuffle_key, one row for each replica, shuffled.
 
-    A document is drawn by its id, so rows with equal ids are repeated alike; null ids are drawn as one id. Null sources are
-    matched with a null source in rates (source, rate). Sources that rates does not have are left out. Texts are not read,
-    only carried. Columns of docs called replica or shuffle_key are replaced.
+    A document is drawn by its id, so rows with equal ids are repeated alike; one without an id is drawn by its text. Null sources
+    are matched with a null source in rates (source, rate). Sources that rates does not have are left out. Null and empty texts
+    are repeated as others are. Columns of docs called replica or shuffle_key are replaced; others may have any names.
     """
     docs = docs.drop("replica", "shuffle_key")
-    rates = checkpoint(rates)
+    rates = checkpoint(rates.select("source", "rate"))
     terms = rates.agg(F.sum(_last_term(F.col("rate")) + 9)).first()[0] or 0  # 9: the source's name, generously
-    table = rates.select(F.col("source").alias("_source"), poisson_table(F.col("rate")).alias("_table"))
+    table = rates.select("source", poisson_table(F.col("rate")).alias("table"))
     table = F.broadcast(table) if terms <= MOST_TERMS else table
-    drawn = docs.join(table, F.col(source_col).eqNullSafe(F.col("_source")))
-    count = F.size(F.filter("_table", lambda c: c <= uniform(F.lit(seed), F.col(id_col))))
-    drawn = drawn.withColumn("_count", count).filter("_count > 0")
-    drawn = drawn.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("_count") - 1))).drop("_source", "_table", "_count")
-    keyed = drawn.withColumn("shuffle_key", F.substring(_hash_hex(F.lit(seed), F.col(id_col), F.col("replica")), 1, 16))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col)
+    name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("row_source"), name.alias("name"))
+    drawn = rows.join(table, F.col("row_source").eqNullSafe(F.col("source")))
+    drawn = drawn.withColumn("count", F.size(F.filter("table", lambda c: c <= uniform(F.lit(seed), F.col("name"))))).filter("count > 0")
+    drawn = drawn.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    keyed = drawn.select("row", "replica", F.substring(_hash_hex(F.lit(seed), F.col("name"), F.col("replica")), 1, 16).alias("shuffle_key"), F.spark_partition_id().alias("part"))
+    dealt = keyed.repartition("shuffle_key", "part").sortWithinPartitions("shuffle_key")  # part: equal rows come from many tasks
+    return dealt.select("row.*", "replica", "shuffle_key")
 
 
 POWER, GROWTH, MIX_SEED = 0.7, 1.0, 17
@@ -101,9 +103,10 @@ rates as (select source, case when weight > 0 then {GROWTH} * (select sum(chars)
 terms as (select source, rate, k, exp(k * ln(rate) - rate - case when k < 2 then 0 else lgamma(k + 1) end) as p
   from rates, range(0, 400) t(k) where rate > 0 and k <= ceil(rate + 12 * sqrt(rate) + 24)),
 cdf as (select source, k, sum(p) over (partition by source order by k) as c from terms),
-drawn as (select doc_id, source, text, cast(('0x' || substr(md5('{MIX_SEED}|' || coalesce(cast(doc_id as varchar), '')), 1, {DIGITS})) as bigint) / {float(16**DIGITS)!r} as u from documents),
-counted as (select d.doc_id, d.source, d.text, (select count(*) from cdf where cdf.source is not distinct from d.source and cdf.c <= d.u) as n from drawn d),
-replicas as (select doc_id, source, text, unnest(range(0, n)) as replica from counted where n > 0)
+named as (select *, coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))) as name from documents),
+drawn as (select doc_id, source, text, name, cast(('0x' || substr(md5('{MIX_SEED}|' || name), 1, {DIGITS})) as bigint) / {float(16**DIGITS)!r} as u from named),
+counted as (select d.doc_id, d.source, d.text, d.name, (select count(*) from cdf where cdf.source is not distinct from d.source and cdf.c <= d.u) as n from drawn d),
+replicas as (select doc_id, source, text, name, unnest(range(0, n)) as replica from counted where n > 0)
 select doc_id, source, cast(replica as integer) as replica,
-  substr(md5('{MIX_SEED}|' || coalesce(cast(doc_id as varchar), '') || '|' || replica), 1, 16) as shuffle_key, text from replicas
+  substr(md5('{MIX_SEED}|' || name || '|' || replica), 1, 16) as shuffle_key, text from replicas
 """

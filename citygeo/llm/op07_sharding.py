@@ -1,6 +1,6 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
-A key's place on the ring is a hash of its id; the ring has CELLS cells, and each shard owns the cells up to its virtual
+A key's place on the ring is a hash of it; the ring has CELLS cells, and each shard owns the cells up to its virtual
 nodes. Keys arrive clockwise. A key goes to its own shard, or, where that is full, to the next virtual node clockwise whose
 shard has room. The capacities are the total dealt evenly (the first shards one more), so counts end at most one apart and
 only the surplus of a shard moves.
@@ -58,17 +58,19 @@ def shard_bounded(docs: DataFrame, shards: int = 8, vnodes: int = 256, id_col: s
     """Per row of docs: id, size (UTF-8 bytes of the text + 1; null: 1), text_crc32 (null text: that of no bytes), shard,
     slot (gapless from 0 in each shard) and home_shard (where the ring alone would put it).
 
-    Shard counts differ by one at most. Rows with equal ids share a place and are told apart by checksum, then size; rows equal
-    in all three are interchangeable. A null id is an id. Other columns of docs are not read. An empty table gives no rows.
+    A row's key is its id with checksum and size, so that rows with equal or null ids do not share a place; rows equal in all
+    three are interchangeable. Shard counts differ by one at most. Other columns of docs are not read. An empty table gives no
+    rows.
     """
     spark = docs.sparkSession
-    place = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 40))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    place = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), size, crc), F.lit(1 << 40))
     cell = F.shiftright(place, 24).cast("int")
     counts = {r.cell: r["count"] for r in docs.groupBy(cell.alias("cell")).count().collect()}  # CELLS rows at most
     fields = [StructField("cell", IntegerType()), *[StructField(n, LongType()) for n in ("first", "beyond")], StructField("shard", IntegerType()), StructField("first_slot", LongType()), StructField("home_shard", IntegerType())]
     runs = spark.createDataFrame(walk(counts, shards, vnodes), StructType(fields))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), place.alias("place"), cell.alias("own_cell"))
+    rows = docs.select(F.col(id_col), size.alias("size"), crc.alias("text_crc32"), place.alias("place"), cell.alias("own_cell"))
     by_place = Window.partitionBy("own_cell").orderBy("place", F.col(id_col), "text_crc32", "size")
     ranked = rows.withColumn("rank", F.row_number().over(by_place) - 1)
     runs = F.broadcast(runs)  # CELLS + shards * shards * vnodes rows at most

@@ -11,6 +11,7 @@ The base detections (word phrases with a fixed label) are always kept, whatever
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -40,9 +41,26 @@ def detections(text: str, gate: ahocorasick.Automaton, rules: list[tuple[str, in
     """(start, end, label, priority) over plain text, overlaps resolved, in order of place."""
     tried = {i for _, own in gate.iter(text) for i in own}
     found = [(m.start(), m.end(), rules[i][0], rules[i][1]) for i in sorted(tried) for m in rules[i][2].finditer(text)]
+    return resolve(found)
+
+
+def resolve(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """Detections that stay, in order of place. Priorities take turns from the highest: a detection that overlaps one taken in an
+    earlier turn goes; of the others, from left to right and longest first, one that ends by the furthest end so far goes."""
     taken: list[tuple[int, int, str, int]] = []
-    for hit in sorted(found, key=lambda x: (-x[3], x[0] - x[1], x[0], x[2])):
-        if not any((s <= hit[0] and hit[1] <= e) or (s < hit[1] and hit[0] < e and p > hit[3]) for s, e, _, p in taken):
+    for priority in sorted({hit[3] for hit in found}, reverse=True):
+        starts, ends, reach = [], [], -1  # stretches that earlier turns cover
+        for s, e, _, _ in sorted(taken):
+            if s >= reach:
+                starts.append(s)
+                ends.append(e)
+            reach = ends[-1] = max(reach, e)
+        reach = -1
+        for hit in sorted((h for h in found if h[3] == priority), key=lambda h: (h[0], -h[1], h[2])):
+            k = bisect_left(starts, hit[1])  # the last stretch that begins before the end
+            if hit[1] <= reach or (k and ends[k - 1] > hit[0]):
+                continue
+            reach = hit[1]
             taken.append(hit)
     return sorted(taken)
 
@@ -85,7 +103,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 hits = detections(plain, gate, compiled)
                 base = sorted({label for _, label in places})
                 labels = sorted({*base, *(h[2] for h in hits)})
-                found = [{"label": x, "start_word": (first := plain.count(" ", 0, s)), "end_word": first + plain.count(" ", s, e) + 1, "priority": p} for s, e, x, p in hits]
+                blanks = [m.start() for m in re.finditer(" ", plain)] if hits else []
+                found = [{"label": x, "start_word": bisect_left(blanks, s), "end_word": bisect_left(blanks, e) + 1, "priority": p} for s, e, x, p in hits]
                 score = 1.0 if base else max((h[3] for h in hits), default=0) / 100
                 rows.append((len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(base), ",".join(labels), score, found))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("priority", pa.int32())]))]

@@ -3,14 +3,15 @@
 Counting cuts a text into pre-tokens, looks up each one's tokens (encoded once for each distinct pre-token of a task), and sums
 them in a tree whose leaves are the pre-tokens. An edit is cut again from CONTEXT pre-tokens before it up to the first old
 boundary behind it at which old and new text agree; as the pre-token pattern looks ahead only, all that follows is as it was.
-The new count goes to the first leaf of the region, the others of it become zero, and the sums above are updated.
+The new count goes to the first leaf of the region, the others of it become zero, and the sums above are updated. A leaf's start
+is always the start of a pre-token of the text as it is, so a tree takes one round of edits after the other.
 """
 
 from __future__ import annotations
 
 import base64
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -60,8 +61,10 @@ class Tree:
 
     def __init__(self, text: str, count: Counter):
         parts = _PIECE.findall(text)
-        self.text, self.count, self.touched = text, count, 0
+        self.text, self.count, self.touched, self.n_parts = text, count, 0, len(parts)
         self.starts = np.r_[0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))].tolist()
+        if not parts:
+            self.starts.append(0)  # one empty leaf
         self.width = max(1, 1 << (max(1, len(parts)) - 1).bit_length())
         levels = [np.zeros(self.width, np.int64)]
         levels[0][: len(parts)] = count(parts)
@@ -80,11 +83,18 @@ class Tree:
             self.sums[i] += change
             i //= 2
 
+    def _before(self, place: int) -> int:
+        """The leaf that begins CONTEXT leaves before a place, empty ones not counted."""
+        leaf = bisect_left(self.starts, place)
+        for _ in range(CONTEXT):
+            leaf = bisect_left(self.starts, self.starts[leaf - 1]) if leaf else 0
+        return leaf
+
     def apply(self, edits: list[Edit]) -> str:
         """Replace text[start:end] by the replacement for each edit, count again around them, and return the new text.
 
         Edits are code point ranges of the text; those out of order are sorted. Where edits overlap, the later one loses what
-        an earlier one took. Ranges beyond the text are cut to it. One call for each tree.
+        an earlier one took. Ranges beyond the text are cut to it. Text and starts follow, so further calls may be made.
         """
         clean, before = [], 0
         for start, end, new in sorted(edits):
@@ -97,9 +107,10 @@ class Tree:
             out += [self.text[at:start], new]
             at = end
         changed = "".join([*out, self.text[at:]])
+        regions = []  # first leaf, leaf behind, and new place less old place of what lies behind
         shift, done, k = 0, 0, 0  # shift: new place less old place, of what lies between edits
         while k < len(clean):
-            first = max(done, bisect_left(self.starts, clean[k][0]) - CONTEXT, 0)
+            first = max(done, self._before(clean[k][0]))
             first = min(first, max(len(self.starts) - 2, 0))
             at, parts = self.starts[first] + shift, []
             end, moved = clean[k][1], shift + len(clean[k][2]) - (clean[k][1] - clean[k][0])
@@ -111,7 +122,7 @@ class Tree:
                 old = at - moved
                 if old >= end:
                     leaf = bisect_left(self.starts, old)
-                    if leaf < len(self.starts) and self.starts[leaf] == old and (k == len(clean) or bisect_left(self.starts, clean[k][0]) - CONTEXT > leaf):
+                    if leaf < len(self.starts) and self.starts[leaf] == old and (k == len(clean) or self._before(clean[k][0]) > leaf):
                         break
                 if at >= len(changed):
                     leaf = len(self.starts) - 1
@@ -132,7 +143,16 @@ class Tree:
                 self.set(first, counts + (int(self.sums[first + self.width]) if leaf <= first else 0))
             for i in range(first + 1, leaf):
                 self.set(i, 0)
+            regions.append((first, leaf, moved))
             shift, done = moved, leaf
+        if regions:
+            starts, firsts, leaves, moves = np.array(self.starts), *map(np.array, zip(*regions))
+            last = np.searchsorted(firsts, np.arange(len(starts)), "left") - 1  # the last region that begins before a leaf
+            new = starts + np.where(last >= 0, moves[last], 0)
+            for first, leaf, moved in regions:  # leaves inside begin where the region ends
+                new[first + 1 : leaf] = starts[leaf] + moved
+            self.starts = new.tolist()
+        self.text = changed
         return changed
 
 
@@ -151,15 +171,18 @@ def repeated_lines(text: str) -> list[Edit]:
 _NUMBER = regex.compile(r"[0-9]{5,}")
 
 
-def clean_edits(text: str) -> list[Edit]:
-    """Repeated lines deleted, and numbers of five digits or more replaced by one 0."""
-    return repeated_lines(text) + [(m.start(), m.end(), "0") for m in _NUMBER.finditer(text)]
+def long_numbers(text: str) -> list[Edit]:
+    """Replaces each run of five digits or more by one 0."""
+    return [(m.start(), m.end(), "0") for m in _NUMBER.finditer(text)]
+
+
+CLEANING = (repeated_lines, long_numbers)
 
 
-def count_tokens(docs: DataFrame, edits: str | Callable[[str], list[Edit]] = clean_edits, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, edits: str | Sequence[Callable[[str], list[Edit]]] = CLEANING, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_chars, n_pretokens, n_tokens, n_edits, n_reencoded (pre-tokens cut again), n_tokens_after, text_after.
 
-    edits is a function of the text, or the name of a column of docs, array<struct<start: int, end: int, replacement: string>>
+    edits are functions of the text, applied one after the other to what the last left, or the name of a column of docs, array<struct<start: int, end: int, replacement: string>>
     in code points. Null counts as no edits, and in an edit as 0 or the empty string. Null and empty texts have no tokens, and
     edits may still insert into them. Ids may be null or repeat; other columns are not read.
     """
@@ -172,11 +195,13 @@ def count_tokens(docs: DataFrame, edits: str | Callable[[str], list[Edit]] = cle
             rows = []
             for i, text in enumerate(piece.column(1).to_pylist()):
                 text = text or ""
-                own = edits(text) if given is None else [(e["start"] or 0, e["end"] or 0, e["replacement"] or "") for e in given[i] or [] if e]
                 tree = Tree(text, count)
-                before = tree.total
-                after = tree.apply(own) if own else text
-                rows.append((len(text), len(tree.starts) - 1, before, len(own), tree.touched, tree.total, after))
+                before, n_edits = tree.total, 0
+                for find in edits if given is None else [lambda _, own=given[i]: [(e["start"] or 0, e["end"] or 0, e["replacement"] or "") for e in own or [] if e]]:
+                    if own := find(tree.text):
+                        tree.apply(own)
+                        n_edits += len(own)
+                rows.append((len(text), tree.n_parts, before, n_edits, tree.touched, tree.total, tree.text))
             yield pa.RecordBatch.from_arrays([piece.column(0), *[pa.array(c, pa.int64()) for c in list(zip(*rows))[:6]], pa.array([r[6] for r in rows], pa.string())], [id_col, "n_chars", "n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_tokens_after", "text_after"])
 
     fields = "n_chars long, n_pretokens long, n_tokens long, n_edits long, n_reencoded long, n_tokens_after long, text_after string"
