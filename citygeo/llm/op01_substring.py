@@ -1,15 +1,17 @@
-"""Substring dedup: repeated passages, found by recurring phrases and marked by sharded Aho-Corasick automata.
+"""Substring dedup: recurring phrases are confirmed by counts, and sharded Aho-Corasick automata locate them in all documents.
 
 1. *Seeds.* Of the 8-word phrases in each window of ``window`` words the one with the least hash is the window's seed, so
    equal windows have equal seeds. Neighbouring windows with one seed form a stretch; its hash is kept with the seed
    (about 7 rows per 100 words are shuffled, and only hashes).
 2. *Confirmation.* A seed that occurs once cannot belong to a recurring window. If all stretches of a seed are equal and
    there are two or more, all their windows recur. Else the windows themselves are counted by their hash, across shards.
-3. *Automata.* Documents are dealt into shards by a hash. In each, confirmed passages are cut into tiles of one window
-   each, the distinct tiles are compiled into an automaton, and all documents of the shard are streamed through it. What
-   it hits is removed. Tiles have one length, so no place has more than one hit.
+3. *Automata.* Documents are dealt into shards by a hash. The words of each confirmed phrase of a shard are read once, at its
+   first place there; the different phrases are compiled into one automaton, and all documents of the shard are streamed
+   through it. Where it hits, the windows that have the phrase as their seed are removed: all of them if the phrase's
+   stretches are equal, else those whose own count is confirmed.
 
-No group is collected: seeds are counted with map-side sums, and a window has at most one row for each shard.
+No group is collected: seeds are counted with map-side sums, after the texts at hand (about 4 MB) have been summed up, and a
+window has at most one row for each shard. Recurrence is told by 64-bit hashes, places by the automata's words.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from citygeo.llm.common import PIECE_BYTES, Words, documents, mix, out_schema, pieces, raw_text, span_hashes, text_bytes, word_hashes
 
 PHRASE = 8
-SHARD_BYTES = 8 << 20
+SHARD_BYTES, SHARDS_PER_TASK = 8 << 20, 16
+ALIKE, DIFFERING, WINDOW = range(3)  # seeds whose stretches are equal, others, and confirmed windows
 _SECOND = 0xD6E8FEB86659FD93
 
 
@@ -85,7 +88,12 @@ def _seed_rows(window: int):
             w = _Windows(piece.column(1), window)
             seed, whole, start = w.stretches()
             shard = piece.column(0).to_numpy(zero_copy_only=False)[_doc_of(w.words, start)]
-            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(shard, pa.int32())], ["seed", "whole", "shard"])
+            whole, order = whole.view(np.int64), np.lexsort((shard, seed))
+            seed, whole, shard = seed[order].view(np.int64), whole[order], shard[order]
+            first = np.flatnonzero(np.r_[True, (np.diff(seed) != 0) | (np.diff(shard) != 0)]) if len(seed) else order
+            sides = [f.reduceat(whole, first) if len(seed) else whole for f in (np.minimum, np.maximum)]
+            columns = [seed[first], shard[first].astype(np.int32), np.diff(np.r_[first, len(seed)]), *sides]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["seed", "shard", "n", "low", "high"])
 
     return run
 
@@ -133,65 +141,79 @@ class _Coder:
         self.length = np.array([len(c) for c in self.codes], np.int64)
 
 
-def _tiles(starts: np.ndarray, window: int) -> np.ndarray:
-    """Of windows (sorted), some that cover the same words: every run is tiled, and its last window is kept."""
-    if not len(starts):
-        return starts
-    cut = np.flatnonzero(np.r_[True, np.diff(starts) != 1])
-    first, last = starts[cut], starts[np.r_[cut[1:], len(starts)] - 1]
-    counts = (last - first + window - 1) // window + 1
-    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return np.minimum(np.repeat(first, counts) + within * window, np.repeat(last, counts))
-
-
-def _automaton_hits(hashes: np.ndarray, doc: np.ndarray, tiles: np.ndarray, window: int) -> np.ndarray:
-    """Compile the distinct tiles, stream every document, and return the first word of each hit."""
-    inside = np.zeros(len(hashes) + 1, np.int64)
-    np.add.at(inside, tiles, 1)
-    np.add.at(inside, tiles + window, -1)
-    used = np.cumsum(inside[:-1]) > 0
-    kinds, back, counts = np.unique(hashes[used], return_inverse=True, return_counts=True)
-    rank = np.empty(len(kinds), np.int64)
-    rank[np.argsort(-counts, kind="stable")] = np.arange(1, len(kinds) + 1)
-    coder = _Coder(len(kinds))
-    at = np.minimum(np.searchsorted(kinds, hashes), len(kinds) - 1)
-    ids = np.where(kinds[at] == hashes, rank[at], 0)
-    length = coder.length[ids]
-    code_end = np.cumsum(length)
-    signs = np.array(coder.codes, object)[ids].tolist()
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for t in tiles.tolist():
-        automaton.add_word("".join(signs[t : t + window]), window)
-    automaton.make_automaton()
-    hits: list[int] = []
-    for a, b in zip(doc[:-1].tolist(), doc[1:].tolist()):
-        if b - a >= window:
-            base = int(code_end[a - 1]) if a else 0
-            hits.extend(base + end for end, _ in automaton.iter("".join(signs[a:b])))
-    return np.searchsorted(code_end, np.array(hits, np.int64), "right") - window + 1
+class PhraseAutomaton:
+    """Finds all places of some phrases (rows of word hashes, all of one length), and tells which phrase stands there."""
+
+    def __init__(self, phrases: np.ndarray):
+        self.width, self.kinds = phrases.shape[1], np.zeros(0, np.uint64)
+        if not len(phrases):
+            return
+        self.kinds, back, counts = np.unique(phrases, return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(self.kinds), np.int64)
+        self.rank[np.argsort(-counts, kind="stable")] = np.arange(1, len(self.kinds) + 1)
+        coder = _Coder(len(self.kinds))
+        self.codes, self.length = np.array(coder.codes, object), coder.length
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, signs in enumerate(self.codes[self.rank[back.reshape(phrases.shape)]].tolist()):
+            self.automaton.add_word("".join(signs), k)
+        self.automaton.make_automaton()
+
+    def places(self, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First word of each place in documents (bounds in doc), and the number of the phrase there."""
+        if not len(self.kinds) or not len(hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.kinds, hashes), len(self.kinds) - 1)
+        ids = np.where(self.kinds[at] == hashes, self.rank[at], 0)
+        code_end = np.cumsum(self.length[ids])
+        signs = self.codes[ids].tolist()
+        ends: list[int] = []
+        which: list[int] = []
+        for a, b in zip(doc[:-1].tolist(), doc[1:].tolist()):
+            if b - a >= self.width:
+                base = int(code_end[a - 1]) if a else 0
+                for end, k in self.automaton.iter("".join(signs[a:b])):
+                    ends.append(base + end)
+                    which.append(k)
+        return np.searchsorted(code_end, np.array(ends, np.int64), "right") - self.width + 1, np.array(which, np.int64)
+
+
+def _phrases(parts: Iterator[_Windows], wanted: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each wanted seed at its first place, as hashes, and the seeds in the same order."""
+    rows, seeds, left = [np.zeros((0, width), np.uint64)], [np.zeros(0, np.uint64)], wanted
+    for w in parts:
+        if len(w.first) and len(left):
+            new, at = np.unique(w.seed, return_index=True)
+            own = np.isin(new, left)
+            rows.append(w.hashes[w.seed_at[at[own]][:, None] + np.arange(width)])
+            seeds.append(new[own])
+            left = np.setdiff1d(left, new[own])
+    return np.concatenate(rows), np.concatenate(seeds)
 
 
 def _mark(window: int):
     """Spans of removed words and the kept text of each document of a shard."""
+    width = min(PHRASE, window)
 
     def run(docs: pa.Table, keys: pa.Table) -> pa.Table:
         kind, key = keys.column("kind").to_numpy(), keys.column("key").to_numpy().view(np.uint64)
-        seeds, windows = np.unique(key[kind == 0]), np.unique(key[kind == 1])
+        alike, differing, windows = (np.unique(key[kind == k]) for k in (ALIKE, DIFFERING, WINDOW))
+        batches, held = docs.select(["shard", "text", "id"]), docs.nbytes <= 4 * PIECE_BYTES
+        known = [_Windows(piece.column(1), window) for piece in pieces(iter(batches.to_batches()))] if held else None
+        again = lambda: known or (_Windows(piece.column(1), window) for piece in pieces(iter(batches.to_batches())))
+        rows, seeds = _phrases(iter(again()), np.union1d(alike, differing), width)
+        automaton, whole = PhraseAutomaton(rows), np.isin(seeds, alike)
         ids, n_words, n_removed, kept, spans = [], [], [], [], []
-        for piece in pieces(iter(docs.select(["shard", "text", "id"]).to_batches())):
-            w = _Windows(piece.column(1), window)
+        for piece, w in zip(pieces(iter(batches.to_batches())), again()):
             hit = np.zeros(len(w.words) + 1, np.int64)
-            if len(w.first):
-                recurs = np.isin(w.seed, seeds)
-                rest = np.flatnonzero(~recurs)
-                if len(windows) and len(rest):
-                    recurs[rest] = np.isin(w.window_hashes(rest), windows)
-                tiles = _tiles(w.first[recurs], window)
-                if len(tiles):
-                    _, distinct = np.unique(span_hashes(w.hashes, tiles, tiles + window, _SECOND), return_index=True)
-                    starts = _automaton_hits(w.hashes, w.words.doc, tiles[distinct], window)
-                    np.add.at(hit, starts, 1)
-                    np.add.at(hit, starts + window, -1)
+            at, which = automaton.places(w.hashes, w.words.doc)
+            if len(at) and len(w.first):
+                state = np.zeros(len(w.words), np.int8)
+                state[at] = np.where(whole[which], 1, 2)
+                of_window = state[w.seed_at]
+                open_ = np.flatnonzero(of_window == 2)
+                starts = np.r_[w.first[of_window == 1], w.first[open_[np.isin(w.window_hashes(open_), windows)]]]
+                np.add.at(hit, starts, 1)
+                np.add.at(hit, starts + window, -1)
             gone = np.cumsum(hit[:-1]) > 0
             total = np.r_[0, np.cumsum(gone)]
             texts = piece.column(1).to_pylist()
@@ -223,15 +245,18 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     spark = docs.sparkSession
     shards = shards or max(1, -(-text_bytes(docs, text_col) // SHARD_BYTES))
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards)).cast("int").alias("shard"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    stretches = rows.select("shard", "text").mapInArrow(_seed_rows(window), "seed long, whole long, shard int")
-    seeds = stretches.groupBy("seed").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
+    stretches = rows.select("shard", "text").mapInArrow(_seed_rows(window), "seed long, shard int, n long, low long, high long")
+    seeds = stretches.groupBy("seed").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     seeds = seeds.filter("n > 1").select("seed", (F.col("low") != F.col("high")).alias("differs"))
     known = stretches.select("seed", "shard").join(seeds, "seed")
+    tasks = shards // SHARDS_PER_TASK  # more than the session's only for large inputs
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(tasks, "shard")
     dealt = rows.groupBy("shard")
     counted = dealt.cogroup(known.filter("differs").select("shard", "seed").groupBy("shard")).applyInArrow(_open_windows(window), "shard int, key long, n long")
     total = F.sum("n").over(Window.partitionBy("key"))
-    windows = counted.withColumn("total", total).filter("total > 1").select("shard", F.lit(1).alias("kind"), "key")
-    keys = known.filter("not differs").select("shard", F.lit(0).alias("kind"), F.col("seed").alias("key")).unionByName(windows)
+    windows = counted.withColumn("total", total).filter("total > 1").select("shard", F.lit(WINDOW).alias("kind"), "key")
+    keys = known.select("shard", F.when(F.col("differs"), DIFFERING).otherwise(ALIKE).alias("kind"), F.col("seed").alias("key")).unionByName(windows)
     schema = out_schema(rows, "id", "n_words long, n_removed long, kept_text string, removed array<struct<start: long, end: long>>")
     return dealt.cogroup(keys.groupBy("shard")).applyInArrow(_mark(window), schema).withColumnRenamed("id", id_col)
 

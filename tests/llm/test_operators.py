@@ -71,6 +71,53 @@ def test_substring_matches_brute_force(docs, none):
     assert op1.remove_repeats(none).count() == 0
 
 
+def test_substring_results_come_from_the_automata(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    # two documents with one passage of three windows; the shard is run as a task runs it, with and without its automaton
+    shared = words(37, 50)
+    given = [" ".join(words(20, 51) + shared), " ".join(shared + words(20, 52)), " ".join(words(80, 53))]
+    table = pa.table({"shard": pa.array([0] * 3, pa.int32()), "text": given, "id": [1, 2, 3]})
+    (rows,) = op1._seed_rows(35)(iter(table.select(["shard", "text"]).to_batches()))
+    seen = [(s, n, low == high) for s, n, low, high in zip(*(rows.column(k).to_pylist() for k in (0, 2, 3, 4))) if n > 1]
+    assert seen
+    keys = pa.table({"shard": pa.array([0] * len(seen), pa.int32()), "kind": [op1.ALIKE if same else op1.DIFFERING for *_, same in seen], "key": [s for s, *_ in seen]})
+    w = op1._Windows(table.column("text").combine_chunks(), 35)
+    every = pa.table({"shard": pa.array([0] * len(w.first), pa.int32()), "kind": [op1.WINDOW] * len(w.first), "key": w.window_hashes(np.arange(len(w.first))).view(np.int64)})
+    counts = Counter(every.column("key").to_pylist())
+    keys = pa.concat_tables([keys, every.filter(pa.array([counts[k] > 1 for k in every.column("key").to_pylist()]))])
+    assert op1._mark(35)(table, keys).column("n_removed").to_pylist() == [37, 37, 0]
+    places = op1.PhraseAutomaton.places
+    try:
+        op1.PhraseAutomaton.places = lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        assert op1._mark(35)(table, keys).column("n_removed").to_pylist() == [0, 0, 0]
+    finally:
+        op1.PhraseAutomaton.places = places
+
+
+def test_substring_beyond_one_piece(spark, monkeypatch):
+    shared = words(60, 60, 10**6)
+    rows = [(i, " ".join(words(400, 600 + i, 10**6) + (shared if i % 3 == 0 else []) + words(30, 900 + i, 10**6))) for i in range(60)] + [(90, " ".join(words(9000, 61, 10**6) + shared * 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.n_removed for r in op1.remove_repeats(docs).collect()}
+    assert want == {i: 60 if i % 3 == 0 and i < 60 else 0 for i in range(60)} | {90: 120}
+    plain = op1._mark
+    monkeypatch.setattr(op1, "SHARDS_PER_TASK", 1)
+
+    def small(window):
+        run = plain(window)
+
+        def cut(docs, keys):
+            op1.pieces.__defaults__, op1.PIECE_BYTES = (1, 3000), 1
+            return run(docs, keys)
+
+        return cut
+
+    monkeypatch.setattr(op1, "_mark", small)
+    assert {r.doc_id: r.n_removed for r in op1.remove_repeats(docs, shards=9).collect()} == want
+
+
 def brute_fingerprint(text, width=3):
     w = GAP.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:
