@@ -19,7 +19,7 @@ from pyspark.sql.types import StructField, StructType
 
 GAP = np.zeros(256, bool)
 GAP[[0x20, *range(0x09, 0x0E)]] = True
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20  # numbers of 64 bits that stand for each byte for a while make this about 100 MB of a worker
 _ODD = 0x9E3779B97F4A7C15
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -10,7 +10,7 @@
    through it. Where it hits, the windows that have the phrase as their seed are removed: all of them if the phrase's
    stretches are equal, else those whose own count is confirmed.
 
-No group is collected: seeds are counted with map-side sums, after the texts at hand (about 4 MB) have been summed up, and a
+No group is collected: seeds are counted with map-side sums, after the texts at hand (about 1 MB) have been summed up, and a
 window has at most one row for each shard. Recurrence is told by 64-bit hashes, places by the automata's words.
 """
 
@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citygeo.llm.common import PIECE_BYTES, Words, documents, mix, out_schema, pieces, raw_text, span_hashes, text_bytes, word_hashes
+from citygeo.llm.common import Words, documents, mix, out_schema, pieces, raw_text, span_hashes, text_bytes, word_hashes
 
 PHRASE = 8
-SHARD_BYTES, SHARDS_PER_TASK = 8 << 20, 16
+SHARD_BYTES, SHARDS_PER_TASK, HELD_BYTES = 8 << 20, 16, 16 << 20
 ALIKE, DIFFERING, WINDOW = range(3)  # seeds whose stretches are equal, others, and confirmed windows
 _SECOND = 0xD6E8FEB86659FD93
 
@@ -197,7 +197,7 @@ def _mark(window: int):
     def run(docs: pa.Table, keys: pa.Table) -> pa.Table:
         kind, key = keys.column("kind").to_numpy(), keys.column("key").to_numpy().view(np.uint64)
         alike, differing, windows = (np.unique(key[kind == k]) for k in (ALIKE, DIFFERING, WINDOW))
-        batches, held = docs.select(["shard", "text", "id"]), docs.nbytes <= 4 * PIECE_BYTES
+        batches, held = docs.select(["shard", "text", "id"]), docs.nbytes <= HELD_BYTES
         known = [_Windows(piece.column(1), window) for piece in pieces(iter(batches.to_batches()))] if held else None
         again = lambda: known or (_Windows(piece.column(1), window) for piece in pieces(iter(batches.to_batches())))
         rows, seeds = _phrases(iter(again()), np.union1d(alike, differing), width)

@@ -33,13 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from citygeo.llm.common import PIECE_BYTES, Words, checkpoint, chosen, documents, mix, out_schema, pieces, raw_text, span_hashes, word_hashes
+from citygeo.llm.common import Words, checkpoint, chosen, documents, mix, out_schema, pieces, raw_text, span_hashes, word_hashes
 
 SEED = 42
 TILE, TILE_SHINGLES = 2048, 1 << 18  # members of a tile, and their shingles; a longer text is a tile with few others
 FEW = 8
 MOST = 1_000_000  # rows of two numbers that may be broadcast
-LANES, WORDS = 1 << 19, 1 << 14
+LANES, WORDS, BLOCK_BYTES = 1 << 19, 1 << 14, 4 << 20
 BANDS, ROWS = 16, 3
 EXTRA = (24, 34)  # powers of two of nodes beyond which parts grow by one each
 STEP = 1 << 18
@@ -263,7 +263,7 @@ def block_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nda
     return fps[a], fps[b]
 
 
-def _whole_blocks(batches: Iterator[pa.RecordBatch], text_at: int | None = None, rows: int = LANES, most: int = PIECE_BYTES) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def _whole_blocks(batches: Iterator[pa.RecordBatch], text_at: int | None = None, rows: int = LANES, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows sorted by block and tiles (the first columns), some whole blocks at a time, and the number of each row's block."""
     held: list[pa.RecordBatch] = []
     count = size = 0
@@ -340,7 +340,8 @@ def _exact_link_rows(width: int, radius: int, least: float):
         for table, group in _whole_blocks(batches, text_at=5):
             node = table.column(2).to_numpy()
             sketch = np.stack([table.column(k).to_numpy() for k in (3, 4)], axis=1).view(np.uint64)
-            distinct, bounds = shingle_table(table.column(5).combine_chunks(), width)
+            sets = [shingle_table(piece.column(0), width) for piece in pieces(iter(table.select([5]).to_batches()), 0)]
+            distinct, bounds = np.concatenate([d for d, _ in sets]), np.r_[0, np.cumsum(np.concatenate([np.diff(b) for _, b in sets]))]
             edge = np.r_[np.flatnonzero(np.r_[True, np.diff(group) != 0]), len(group)]
             few = _one_by_one(distinct, bounds, least)
             many: dict[int, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {}

@@ -109,7 +109,7 @@ def test_substring_beyond_one_piece(spark, monkeypatch):
         run = plain(window)
 
         def cut(docs, keys):
-            op1.pieces.__defaults__, op1.PIECE_BYTES = (1, 3000), 1
+            op1.pieces.__defaults__, op1.HELD_BYTES = (1, 3000), 1
             return run(docs, keys)
 
         return cut
