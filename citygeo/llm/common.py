@@ -6,6 +6,7 @@ without decoding, and ``bytes.split()`` cuts at the same places. A null text has
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 from itertools import combinations
@@ -21,6 +22,7 @@ GAP = np.zeros(256, bool)
 GAP[[0x20, *range(0x09, 0x0E)]] = True
 PIECE_BYTES = 1 << 20  # numbers of 64 bits that stand for each byte for a while make this about 100 MB of a worker
 _ODD = 0x9E3779B97F4A7C15
+_LIBC = ctypes.CDLL(None)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -29,10 +31,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; one is set here only where none is."""
+    """The shared checkpoint folder of the session. Where none is set, a local session gets a temporary one; others are told."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -60,6 +65,14 @@ def pieces(batches: Iterator[pa.RecordBatch], text_at: int = 1, most: int = PIEC
             to = max(at + 1, int(np.searchsorted(total, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    tidy()
+
+
+def tidy() -> None:
+    """Gives memory that a task no longer uses back to the system; workers live on, and else keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
 
 
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
