@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citygeo.functions.numbers import case_of, leading_integer, leading_number
 
-PARTIAL = "osmworldgen:partial_geometry"
+PARTIAL = "citygeo:partial_geometry"
 # Key, required value (None: any), feature type; the first rule that fits wins.
 RULES = [
     ("building", None, "Building"),

@@ -84,9 +84,9 @@ def select_assets(nodes: DataFrame, rules: DataFrame, choices: DataFrame, member
     own = own.withColumn("corridor", F.when(shared, F.col("corridor"))).withColumn("key", F.when(shared, text_key(F.col("corridor"))).otherwise(single))
     own = own.withColumn("pick_id", F.concat_ws("|", "rule_id", "seed", "key"))
     picks = pick_choice(own.filter("rule_id is not null").select("pick_id", "rule_id", "seed", "key").distinct(), choices).select("pick_id", "idx", "asset", "label")
-    first = F.row_number().over(Window.partitionBy("region_key", "node_type", "corridor").orderBy("node_id")) == 1
-    outcome = F.when(F.col("rule_id").isNull(), F.lit("FallbackNoRule")).when(F.col("idx").isNull(), F.lit("FallbackNoAsset")).when(F.col("corridor").isNotNull() & ~first, F.lit("InheritedFromCorridor")).otherwise("Selected")
-    return own.join(picks, "pick_id", "left").withColumn("outcome", outcome).select("region_key", "node_id", "node_type", "subtype", "corridor", "idx", "asset", "label", "outcome", "flags")
+    first = own.filter("corridor is not null").groupBy("region_key", "node_type", "corridor").agg(F.min("node_id").alias("node_id")).select("region_key", "node_id", F.lit(True).alias("_first"))
+    outcome = F.when(F.col("rule_id").isNull(), F.lit("FallbackNoRule")).when(F.col("idx").isNull(), F.lit("FallbackNoAsset")).when(F.col("corridor").isNotNull() & F.col("_first").isNull(), F.lit("InheritedFromCorridor")).otherwise("Selected")
+    return own.join(picks, "pick_id", "left").join(first, ["region_key", "node_id"], "left").withColumn("outcome", outcome).select("region_key", "node_id", "node_type", "subtype", "corridor", "idx", "asset", "label", "outcome", "flags")
 
 
 def dry_run(selections: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citygeo.functions.geo import CLIP_MARGIN, M_PER_DEGREE, point_in_ring, point_segment_m, ring_area_m2, ring_centroid, ring_length_m, vertex_mean
@@ -74,7 +74,7 @@ def terrain_nodes(tiles: DataFrame, stats: DataFrame, region_key: str, mid_lat:
     corner = lambda a, b: F.struct(F.col(a).alias("lat"), F.col(b).alias("lon"))
     ring = F.array(corner("min_lat", "min_lon"), corner("max_lat", "min_lon"), corner("max_lat", "max_lon"), corner("min_lat", "max_lon"))
     metrics = F.struct(ring_area_m2(F.col("points"), F.lit(mid_lat)).alias("area_m2"), ring_length_m(F.col("points"), F.lit(mid_lat), True).alias("length_m"), ring_centroid(F.col("points")).alias("centroid"), F.lit(0.0).alias("height_m"), F.lit(0.0).alias("width_m"), "min_elev", "max_elev")
-    tags = F.create_map(F.lit("osmworldgen:dem_width"), F.col("width").cast("string"), F.lit("osmworldgen:dem_height"), F.col("height").cast("string"), F.lit("osmworldgen:dem_arcseconds"), F.round("arc_seconds", 6).cast("string"), F.lit("osmworldgen:dem_path"), F.col("tile_id"))
+    tags = F.create_map(F.lit("citygeo:dem_width"), F.col("width").cast("string"), F.lit("citygeo:dem_height"), F.col("height").cast("string"), F.lit("citygeo:dem_arcseconds"), F.round("arc_seconds", 6).cast("string"), F.lit("citygeo:dem_path"), F.col("tile_id"))
     flags = F.when(F.coalesce(F.col("max_elev") - F.col("min_elev"), F.lit(0.0)) <= 0, F.array(F.lit("node.terrain.norelief"))).otherwise(F.array().cast("array<string>"))
     own = own.withColumn("points", ring)
     kind = F.lit("TerrainTile")
@@ -120,14 +120,14 @@ def connects_to_edges(members: DataFrame) -> DataFrame:
 
 
 def contains_edges(nodes: DataFrame, cell_deg: float = 0.002) -> DataFrame:
-    """Zone → building whose centroid lies in the zone: equi-join on cells of the zone's box, then the even-odd test."""
+    """Zone → building whose centroid lies in the zone: equi-join on cells of the zone's box, then the box, then the even-odd test."""
     low = lambda k: F.array_min(F.transform("points", lambda p: p[k]))
     high = lambda k: F.array_max(F.transform("points", lambda p: p[k]))
-    zones = nodes.filter(F.col("node_type").isin(ZONES) & F.col("is_area")).select("region_key", F.col("node_id").alias("zone"), "points")
-    zones = box_cells(zones, low("lat"), low("lon"), high("lat"), high("lon"), cell_deg, cell_deg)
+    zones = nodes.filter(F.col("node_type").isin(ZONES) & F.col("is_area")).select("region_key", F.col("node_id").alias("zone"), "points", *[f(k).alias(f"_{n}_{k}") for n, f in (("low", low), ("high", high)) for k in ("lat", "lon")])
+    zones = box_cells(zones, *[F.col(c) for c in ("_low_lat", "_low_lon", "_high_lat", "_high_lon")], cell_deg, cell_deg)
     own = nodes.filter("node_type = 'Building'").select("region_key", F.col("node_id").alias("building"), F.col("metrics.centroid.lat").alias("lat"), F.col("metrics.centroid.lon").alias("lon"))
     own = own.withColumns({"_row": F.floor(F.col("lat") / cell_deg).cast("long"), "_col": F.floor(F.col("lon") / cell_deg).cast("long")})
-    met = own.join(zones, ["region_key", "_row", "_col"]).filter(point_in_ring(F.col("lat"), F.col("lon"), F.col("points")))
+    met = own.join(zones, ["region_key", "_row", "_col"]).filter("lat between _low_lat and _high_lat and lon between _low_lon and _high_lon").filter(point_in_ring(F.col("lat"), F.col("lon"), F.col("points")))
     return met.select(*_edge("Contains", F.col("zone"), F.col("building")))
 
 
@@ -190,18 +190,18 @@ def corridors(nodes: DataFrame) -> DataFrame:
 def validate_nodes(nodes: DataFrame, edges: DataFrame, regions: DataFrame, margin: float = CLIP_MARGIN) -> DataFrame:
     """Nodes with their flags: duplicate source id (all but the least node id), degenerate or empty geometry, outside the region
     (terrain apart), road without junction, building without street."""
-    order = Window.partitionBy("region_key", "osm_id").orderBy("node_id")
-    later = (F.col("osm_id") != 0) & (F.row_number().over(order) > 1)
+    # the first of each source id is met by its own id: junctions share the source id 0, which is then no key at all
+    first = nodes.filter("osm_id <> 0").groupBy("region_key", "osm_id").agg(F.min("node_id").alias("node_id")).select("region_key", "node_id", F.lit(True).alias("_first"))
     joined = edges.filter("edge_type = 'SharesNode'").select("region_key", F.col("src").alias("node_id")).distinct().withColumn("_joined", F.lit(True))
     fronted = edges.filter("edge_type = 'FrontsOnto'").select("region_key", F.col("src").alias("node_id")).distinct().withColumn("_fronted", F.lit(True))
     box = regions.select("region_key", *[(F.col(c) + s * margin).alias(f"_{c}") for c, s in (("min_lat", -1), ("min_lon", -1), ("max_lat", 1), ("max_lon", 1))])
-    own = nodes.withColumn("_later", later).join(joined, ["region_key", "node_id"], "left").join(fronted, ["region_key", "node_id"], "left").join(box, "region_key", "left")
+    own = nodes.join(first, ["region_key", "node_id"], "left").join(joined, ["region_key", "node_id"], "left").join(fronted, ["region_key", "node_id"], "left").join(box, "region_key", "left")
     n, area, length = F.size("points"), F.col("metrics.area_m2"), F.col("metrics.length_m")
     off = F.exists("points", lambda p: (p["lat"] < F.col("_min_lat")) | (p["lat"] > F.col("_max_lat")) | (p["lon"] < F.col("_min_lon")) | (p["lon"] > F.col("_max_lon")))
     shape = ~F.col("node_type").isin("Junction")
     few = shape & (n > 0) & (n < F.when(F.col("is_area"), 3).otherwise(2))
     checks = [
-        (F.col("_later"), "node.osmid.duplicate"),
+        ((F.col("osm_id") != 0) & F.col("_first").isNull(), "node.osmid.duplicate"),
         (shape & (n == 0), "node.geometry.missing"),
         (few, "node.geometry.degenerate"),
         (shape & ~few & (n > 0) & F.col("is_area") & (area <= 0), "node.geometry.zeroarea"),

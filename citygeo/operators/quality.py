@@ -146,7 +146,8 @@ def fatal_first(issues: DataFrame) -> DataFrame:
 
 
 def import_report(nodes: DataFrame, way_nodes: DataFrame, features: DataFrame, regions: DataFrame, tiles: DataFrame | None = None, pixels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Issues of all gates up to the first stage that has a fatal one (with stage), and features by type.
+    """Issues of all gates (with stage), and features by type. A scope's issues end with its first stage that has a fatal one; a
+    fatal one of scope ``all`` ends those of every scope.
 
     Stages: 1 map data, 2 raster, 3 both, 4 features.
     """
@@ -160,8 +161,11 @@ def import_report(nodes: DataFrame, way_nodes: DataFrame, features: DataFrame, r
     none = features.agg(F.count("*").alias("n"))
     staged.append((4, issues_of(none, issue(F.col("n") == 0, "all", "Fatal", "import.features.none", "no features"))))
     issues = reduce(DataFrame.unionByName, [f.withColumn("stage", F.lit(k)) for k, f in staged])
-    stop = issues.filter("severity = 'Fatal'").agg(F.coalesce(F.min("stage"), F.lit(99)).alias("stop"))
-    return issues.join(F.broadcast(stop)).filter("stage <= stop").drop("stop"), count_by_type(features)  # stop is one row
+    fatal = issues.filter("severity = 'Fatal'")
+    own = fatal.groupBy("scope").agg(F.min("stage").alias("stop"))
+    every = fatal.filter("scope = 'all'").agg(F.min("stage").alias("stop_all"))  # one row
+    stopped = issues.join(own, "scope", "left").crossJoin(F.broadcast(every))
+    return stopped.filter("stage <= least(coalesce(stop, 99), coalesce(stop_all, 99))").select(issues.columns), count_by_type(features)
 
 
 def _without_rows(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:

@@ -13,7 +13,7 @@ from citygeo.functions.geo import from_local_m, latlon_to_pixel, pixel_to_latlon
 from citygeo.functions.numbers import clamp, nearest
 from citygeo.operators.region import tile_bounds
 
-MIN_DIV, MAX_DIV, MOST_CROSSINGS, LEAST_GAP_M = 16, 512, 4096, 0.001
+MIN_DIV, MAX_DIV, LEAST_GAP_M = 16, 512, 0.001
 HEADER = ["lat0", "lon0", "min_x", "min_y", "step_x", "step_y", "div_x", "div_y"]
 
 
@@ -82,10 +82,11 @@ def terrain_height(points: DataFrame, frame: DataFrame, grid: DataFrame, key: st
     return points.join(found, key, "left").withColumn("height_cm", F.coalesce("height_cm", F.lit(0.0)))
 
 
-def _crossings(start: Column, end: Column) -> Column:
-    """Shares of the way from start to end, within 0 and 1, at which it passes a whole number; none for spans over 4096 cells."""
-    first, last = F.floor(F.least(start, end)) + 1, F.ceil(F.greatest(start, end)) - 1
-    whole = F.when((first <= last) & (last - first <= MOST_CROSSINGS), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+def _crossings(start: Column, end: Column, low: Column, high: Column) -> Column:
+    """Shares of the way from start to end, within 0 and 1, at which it passes a whole number from low to high: the lines of the
+    grid, so there are no more than it has, however long the way."""
+    first, last = F.greatest(F.floor(F.least(start, end)) + 1, low), F.least(F.ceil(F.greatest(start, end)) - 1, high)
+    whole = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     shares = F.transform(whole, lambda k: F.try_divide(k - start, end - start))
     return F.filter(shares, lambda t: t.isNotNull() & (t > 0) & (t < 1))
 
@@ -101,7 +102,9 @@ def _with_crossings(parts: DataFrame, frame: DataFrame) -> DataFrame:
     own = parts.join(frame.select("region_key", *HEADER[2:]), "region_key")
     u = lambda p: (F.col(f"{p}.x") - F.col("min_x")) / F.col("step_x")
     v = lambda p: (F.col(f"{p}.y") - F.col("min_y")) / F.col("step_y")
-    shares = F.concat(_crossings(u("a"), u("b")), _crossings(v("a"), v("b")), _crossings(v("a") - u("a"), v("b") - u("b")))
+    wide, high, none = F.col("div_x").cast("long"), F.col("div_y").cast("long"), F.lit(0).cast("long")
+    diagonals = _crossings(v("a") - u("a"), v("b") - u("b"), -wide, high)
+    shares = F.concat(_crossings(u("a"), u("b"), none, wide), _crossings(v("a"), v("b"), none, high), diagonals)
     return own.withColumn("_t", F.array_sort(shares))
 
 

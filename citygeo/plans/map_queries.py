@@ -435,7 +435,7 @@ def explorer(spark, d):
     return N.explorer_rollup(nodes(spark, d), "re").select(F.coalesce("node_type", F.lit("")).alias("node_type"), F.coalesce("subtype", F.lit("")).alias("subtype"), F.col("level").cast("long").alias("level"), "nodes", F.col("flagged").cast("long").alias("flagged"))
 
 
-@query(BASE + """, hub as (select way_id from node where kind = 2 and way_id % 10 = 5)
+@query(BASE + """, hub as (select way_id from node where kind = 2)
 select h.way_id as osm_id, 'out' as direction, 'SharesNode' as edge_type, count(*) as edges from hub h join mem on mem.road = h.way_id join jun using (place) group by h.way_id
 union all select h.way_id, case when r.road > h.way_id then 'later' else 'earlier' end, 'ConnectsTo', count(*) from hub h join mem m on m.road = h.way_id join mem r on r.place = m.place and r.road <> h.way_id group by 1, 2""")
 def neighbours(spark, d):
@@ -443,7 +443,7 @@ def neighbours(spark, d):
     members = G.junction_members(G.road_points(own))
     every = own.unionByName(G.junctions(members))
     edges = G.shares_node_edges(members).unionByName(G.connects_to_edges(members))
-    wanted = own.filter("node_type = 'RoadSegment' and osm_id % 10 = 5").select("node_id")
+    wanted = own.filter("node_type = 'RoadSegment'").select("node_id")
     found = N.neighbours(every, edges, wanted).join(every.select("node_id", "osm_id"), "node_id").join(every.select(F.col("node_id").alias("other"), F.col("osm_id").alias("other_osm")), "other")
     way = F.when(F.col("edge_type") == "SharesNode", F.col("direction")).when(F.col("other_osm") > F.col("osm_id"), "later").otherwise("earlier")
     return found.groupBy("osm_id", way.alias("direction"), "edge_type").agg(F.count("*").alias("edges"))

@@ -121,7 +121,7 @@ t(zone_id, k, temp) as (select u.zone_id, 0::bigint, base_temp_k from (select di
  - (5.7::double + 3.8::double * (event_id % 5)) * (temp - ambient_k)) / (density * specific_heat * thickness_m) * 600, -50), 50), 220), 420) from t join r on r.zone_id = t.zone_id and r.k = t.k + 1 join props p on p.code = t.zone_id % 15 + 1)
 select zone_id, cast(floor(arg_max(temp, k) * 100 + 0.5) as bigint) as temp_ck from t group by zone_id""")
 def zone_temperatures(spark, d):
-    own = readings(spark, d).dropDuplicates(["event_id"])
+    own = readings(spark, d)
     return H.zone_temperatures(zones(spark, d), own).select("zone_id", scaled(F.col("temp_k"), 100).alias("temp_ck"))
 
 
@@ -140,7 +140,8 @@ def zones_near(spark, d):
 
 # --- terrain: tiles of 50 by 50 pixels, a pixel a second of arc, derived from part keys; the first lies over the region
 
-_DEM = "dem as (select (p_partkey - 1) // 50 as r, (p_partkey - 1) % 50 as c, case when (((p_partkey - 1) // 50) * 31 + (p_partkey - 1) % 50) % 97 = 0 then -9999.0::double else 900.0::double + (((p_partkey - 1) // 50) * 7 + ((p_partkey - 1) % 50) * 13) % 40 end as elev from part where p_partkey between 1 and 2500)"
+_DEM = """dem as (select k // 2500 as tile, k // 50 % 50 as r, k % 50 as c, case when (k // 50 * 31 + k % 50) % 97 = 0 then -9999.0::double else 900.0::double + (k // 50 * 7 + k % 50 * 13) % 40 end as elev
+  from (select p_partkey::bigint - 1 as k from part where p_partkey >= 1) p)"""
 _STEP = 0.0003
 _LON0, _LAT0 = 77.601, 12.983
 
@@ -161,8 +162,7 @@ def _tile_id(tile):
 
 
 def dem(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Pixels of all tiles, one for each part key from 1 on, 2,500 a tile. The SQL beside these queries states the first
-    tile only; it has no pixel for a key of 0 either."""
+    """Pixels of all tiles, one for each part key from 1 on, 2,500 a tile."""
     k = F.col("p_partkey").cast("long") - 1
     keys = spark.read.parquet(f"{d}/part.parquet").filter(k >= 0).select(F.floor(k / _SIDE**2).alias("tile"), F.floor(k / _SIDE).alias("line"), F.pmod(k, F.lit(_SIDE)).cast("int").alias("col"))
     keys = keys.withColumn("row", F.pmod("line", F.lit(_SIDE)).cast("int"))
@@ -187,10 +187,12 @@ def dem_statistics(spark, d):
     return total.select("n_pixels", F.col("min_elev").cast("long").alias("min_elev"), F.col("max_elev").cast("long").alias("max_elev"), "n_void")
 
 
-_SAMPLE = f"""with {_DEM}, h as (select max(r) as h from dem), pt as (select o_orderkey as id, (({_LAT0}::double - (o_orderkey * 37 % 1600) / 100000.0::double) - {_LAT0}::double) / -{_STEP}::double - 0.5 as row, (({_LON0}::double + (o_orderkey * 53 % 1600) / 100000.0::double) - {_LON0}::double) / {_STEP}::double - 0.5 as col from orders),
-q as (select id, floor(row)::int as r0, floor(col)::int as c0, row - floor(row) as tr, col - floor(col) as tc from pt, h where row between 0 and h.h and col between 0 and 49),
-cor as (select id, least(r0 + dr, (select h from h)) as r, least(c0 + dc, 49) as c, case when dr = 1 then tr else 1 - tr end * case when dc = 1 then tc else 1 - tc end as w from q, (values (0, 0), (0, 1), (1, 0), (1, 1)) v(dr, dc)),
-val as (select id, w, case when elev > -9000 then elev end as v from cor left join dem on dem.r = cor.r and dem.c = cor.c),
+_SOUTH, _EASTWARD = f"(tile // {_ACROSS} * {_SIDE * _STEP!r}::double)", f"(tile % {_ACROSS} * {_SIDE * _STEP!r}::double)"
+_SAMPLE = f"""with {_DEM}, h as (select tile, max(r) as h from dem group by tile), o as (select o_orderkey as id, o_orderkey // 101 % (select coalesce(max(tile) + 1, 1) from dem) as tile from orders),
+pt as (select id, tile, (({_LAT0}::double - {_SOUTH} - (id * 37 % 1600) / 100000.0::double) - ({_LAT0}::double - {_SOUTH})) / -{_STEP}::double - 0.5 as row, (({_LON0}::double + {_EASTWARD} + (id * 53 % 1600) / 100000.0::double) - ({_LON0}::double + {_EASTWARD})) / {_STEP}::double - 0.5 as col from o),
+q as (select id, tile, h, floor(row)::int as r0, floor(col)::int as c0, row - floor(row) as tr, col - floor(col) as tc from pt join h using (tile) where row between 0 and h and col between 0 and 49),
+cor as (select id, tile, least(r0 + dr, h) as r, least(c0 + dc, 49) as c, case when dr = 1 then tr else 1 - tr end * case when dc = 1 then tc else 1 - tc end as w from q, (values (0, 0), (0, 1), (1, 0), (1, 1)) v(dr, dc)),
+val as (select id, w, case when elev > -9000 then elev end as v from cor left join dem using (tile, r, c)),
 s as (select id, coalesce(sum(w * v), 0) + coalesce(sum(case when v is null then w end), 0) * avg(v) as elev from val group by id)
 select pt.id as point_id, cast(floor(coalesce(elev, -1) * 1000 + 0.5) as bigint) as elev_mm from pt left join s on s.id = pt.id"""
 

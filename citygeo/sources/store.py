@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fields of a mesh in a dump file.
 DUMP = "kind string, label string, loc array<double>, v array<double>, t array<int>"
-MANIFEST = "version int, dem_type string, padding_deg double, osm_bytes long, dem_bytes long, fetched_at_utc string, min_lat double, min_lon double, max_lat double, max_lon double"
+# Fields of a manifest file, and what they are called here.
+MANIFEST = {
+    "version": "version int", "demType": "dem_type string", "demPaddingDegrees": "padding_deg double", "osmFileSize": "osm_bytes long", "demFileSize": "dem_bytes long",
+    "fetchedAtUtc": "fetched_at_utc string", "minLat": "min_lat double", "minLon": "min_lon double", "maxLat": "max_lat double", "maxLon": "max_lon double",
+}
 VERSION, PADDING_TOLERANCE = 1, 1e-9
 
 
@@ -48,4 +53,7 @@ def cache_reusable(requests: DataFrame, manifests: DataFrame, files: DataFrame)
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    """A row for each manifest file. Its numbers may be written as decimals; fields that it lacks are null."""
+    numbers = {name: "string" if kind.endswith("string") else "double" for name, kind in MANIFEST.items()}
+    rows = spark.read.schema(", ".join(f"{name} {kind}" for name, kind in numbers.items())).option("multiLine", True).json(path)
+    return rows.select(*[F.col(name).cast(own.split()[1]).alias(own.split()[0]) for name, own in MANIFEST.items()])

@@ -3,6 +3,7 @@
 import math
 import os
 
+import duckdb
 import pytest
 
 from citygeo.plans import world_queries as W
@@ -20,6 +21,18 @@ def folder(spark, tmp_path_factory):
     return out
 
 
+@pytest.mark.parametrize("name", ["dem_statistics", "sample_elevation"])
+def test_sql_states_all_tiles(spark, folder, name):
+    con = duckdb.connect()
+    for table in ("orders", "part"):
+        path = f"{folder}/{table}.parquet"
+        con.sql(f"create view {table} as select * from '{path + '/*.parquet' if os.path.isdir(path) else path}'")
+    own = W.QUERIES[name](spark, folder)
+    there = con.sql(W.ORACLES[name])
+    at = [there.columns.index(c) for c in own.columns]
+    assert sorted(map(tuple, own.collect())) == sorted(tuple(r[i] for i in at) for r in there.fetchall())
+
+
 def elevation(line, col):
     return None if (line * 31 + col) % 97 == 0 else 900.0 + (line * 7 + col * 13) % 40
 
