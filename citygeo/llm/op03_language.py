@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from citygeo.llm.common import documents, pieces, raw_text
+from citygeo.llm.common import documents, pieces, raw_text, tidy
 
 BITS = 15
 SIZES = (2, 3, 4)
@@ -138,21 +138,21 @@ def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(rows, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["lang", "bucket", "share"])
 
 
-def _train(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, rounds: int = 150, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear SVM (squared hinge, balanced classes) by accelerated gradient steps."""
-    size = np.array([len(r[0]) for r in rows])
-    bucket, share = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float64)
-    owner = np.repeat(np.arange(len(rows)), size)
+def _train(bucket: np.ndarray, share: np.ndarray, size: np.ndarray, sign: np.ndarray, rounds: int = 150, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear SVM (squared hinge, balanced classes) by accelerated gradient steps. Rows are sparse: size
+    tells how many of the buckets and shares are each row's."""
+    rows = len(size)
+    owner = np.repeat(np.arange(rows, dtype=np.int32), size)
     importance = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
     w = v = np.zeros(1 << BITS)
     bias = u = 0.0
-    largest = float(np.bincount(owner, share**2, len(rows)).max(initial=1e-9))
+    largest = float(np.bincount(owner, share**2, rows).max(initial=1e-9))
     step = 1 / (2 * (largest + 1e-3) + ridge)
     before = np.inf
     for k in range(rounds):
-        slack = np.maximum(0, 1 - sign * (np.bincount(owner, share * v[bucket], len(rows)) + u))
+        slack = np.maximum(0, 1 - sign * (np.bincount(owner, share * v.astype(np.float32)[bucket], rows) + u))
         pull = -2 * importance * slack * sign
-        new_w = v - step * (np.bincount(bucket, pull[owner] * share, 1 << BITS) + ridge * v)
+        new_w = v - step * (np.bincount(bucket, pull.astype(np.float32)[owner] * share, 1 << BITS) + ridge * v)
         new_b = u - 0.2 * pull.sum()
         v, u = new_w + k / (k + 3) * (new_w - w), new_b + k / (k + 3) * (new_b - bias)
         w, bias = new_w, new_b
@@ -177,19 +177,26 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")))
     picked = F.broadcast(ranked.filter(F.col("rank") <= per_language).select("lang", "key"))  # per_language rows for each language
     chosen = rows.join(picked, ["lang", "key"]).dropDuplicates(["lang", "key"]).select("lang", "text")
-    found = chosen.mapInArrow(_sparse_rows, "lang string, bucket array<int>, share array<float>").toArrow().sort_by("lang")
+    found = chosen.mapInArrow(_sparse_rows, "lang string, bucket array<int>, share array<float>").toArrow()
     lang = found.column("lang").to_pylist()
-    vectors = [(np.asarray(b.values, np.int64), np.asarray(s.values)) for b, s in zip(found.column("bucket"), found.column("share"))]
+    lists = found.column("bucket").combine_chunks()
+    size, bucket = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy()
+    share = found.column("share").combine_chunks().flatten().to_numpy()
+    del found, lists
     languages = sorted(set(lang))
     families = sorted({family_of(x) for x in languages})
     models = []
     for family in families:
         sign = np.array([1.0 if family_of(x) == family else -1.0 for x in lang])
-        models.append(_train(vectors, sign) if len(families) > 1 else (np.zeros(1 << BITS), 1.0))
+        models.append(_train(bucket, share, size, sign) if len(families) > 1 else (np.zeros(1 << BITS), 1.0))
     pairs = [(a, b) for a, b in combinations(range(len(languages)), 2) if family_of(languages[a]) == family_of(languages[b])]
     for a, b in pairs:
-        own = [i for i, x in enumerate(lang) if x in (languages[a], languages[b])]
-        models.append(_train([vectors[i] for i in own], np.array([1.0 if lang[i] == languages[a] else -1.0 for i in own])))
+        own = np.array([x in (languages[a], languages[b]) for x in lang])
+        sign = np.array([1.0 if x == languages[a] else -1.0 for x in lang])[own]
+        part = np.repeat(own, size)
+        models.append(_train(bucket[part], share[part], size[own], sign))
+    del bucket, share
+    tidy()
     return Hierarchy(languages, families, np.array([w for w, _ in models], np.float32), np.array([b for _, b in models]), pairs)
 
 
