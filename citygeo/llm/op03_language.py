@@ -23,6 +23,7 @@ from citygeo.llm.common import documents, pieces, raw_text, tidy
 BITS = 15
 SIZES = (2, 3, 4)
 STEP = 1 << 20
+PART = 1 << 18  # counts that training looks at together
 PER_LANGUAGE = 600
 NONE = "und"
 # Families of closely related languages, by code. A language that is missing here is a family of its own.
@@ -141,18 +142,25 @@ def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _train(bucket: np.ndarray, share: np.ndarray, size: np.ndarray, sign: np.ndarray, rounds: int = 150, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear SVM (squared hinge, balanced classes) by accelerated gradient steps. Rows are sparse: size
     tells how many of the buckets and shares are each row's."""
-    rows = len(size)
-    owner = np.repeat(np.arange(rows, dtype=np.int32), size)
     importance = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
+    ends = np.cumsum(size)
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(PART, ends[-1], PART), "right"), len(size)])
+    # a part of the rows at a time, so that what stands beside the counts themselves is small
+    parts = [(a, b, slice(ends[a] - size[a], ends[b - 1]), np.repeat(np.arange(b - a, dtype=np.int32), size[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
     w = v = np.zeros(1 << BITS)
     bias = u = 0.0
-    largest = float(np.bincount(owner, share**2, rows).max(initial=1e-9))
+    largest = max(float(np.bincount(owner, share[at] ** 2).max(initial=1e-9)) for _, _, at, owner in parts)
     step = 1 / (2 * (largest + 1e-3) + ridge)
     before = np.inf
     for k in range(rounds):
-        slack = np.maximum(0, 1 - sign * (np.bincount(owner, share * v.astype(np.float32)[bucket], rows) + u))
-        pull = -2 * importance * slack * sign
-        new_w = v - step * (np.bincount(bucket, pull.astype(np.float32)[owner] * share, 1 << BITS) + ridge * v)
+        slack, pull, slope = np.zeros(len(size)), np.zeros(len(size)), ridge * v
+        for a, b, at, owner in parts:
+            here = bucket[at]
+            margin = np.bincount(owner, share[at] * v[here], b - a) + u
+            slack[a:b] = np.maximum(0, 1 - sign[a:b] * margin)
+            pull[a:b] = -2 * importance[a:b] * slack[a:b] * sign[a:b]
+            slope += np.bincount(here, pull[a:b][owner] * share[at], 1 << BITS)
+        new_w = v - step * slope
         new_b = u - 0.2 * pull.sum()
         v, u = new_w + k / (k + 3) * (new_w - w), new_b + k / (k + 3) * (new_b - bias)
         w, bias = new_w, new_b
