@@ -300,14 +300,21 @@ def ecef(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select(k.alias("id"), p.alias("p")).select("id", scaled(F.col("p.x")).alias("x_mm"), scaled(F.col("p.z")).alias("z_mm"))
 
 
-@query("select cast(c_custkey as bigint) as id, true as near from customer")
+@query("""with k as (select cast(c_custkey as bigint) as id, 12.97::double + (c_custkey % 100) / 10000.0::double as lat, 77.602::double + (c_custkey % 97) / 10000.0::double as lon, 910.0::double as h, 12.975::double as lat0, 77.607::double as lon0, 900.0::double as h0 from customer),
+    e as (select *, (1 / 298.257223563::double) * (2 - 1 / 298.257223563::double) as e2, sin(radians(lat0)) as s, cos(radians(lat0)) as c, sin(radians(lon0)) as sl, cos(radians(lon0)) as cl from k),
+    n as (select *, 6378137.0::double / sqrt(1 - e2 * sin(radians(lat)) * sin(radians(lat))) as n, 6378137.0::double / sqrt(1 - e2 * s * s) as n0 from e),
+    d as (select *, (n + h) * cos(radians(lat)) * cos(radians(lon)) - (n0 + h0) * c * cl as dx, (n + h) * cos(radians(lat)) * sin(radians(lon)) - (n0 + h0) * c * sl as dy, (n * (1 - e2) + h) * sin(radians(lat)) - (n0 * (1 - e2) + h0) * s as dz from n)
+    select id, cast(floor(((cl * dy - sl * dx) * 100)::float::double + 0.5) as bigint) as east_cm, cast(floor(((c * dz - s * cl * dx - s * sl * dy) * 100)::float::double + 0.5) as bigint) as north_cm, cast(floor(((c * cl * dx + c * sl * dy + s * dz) * 100)::float::double + 0.5) as bigint) as up_cm,
+    cast(floor(lat * 1e7 + 0.5) as bigint) as lat_e7, cast(floor(lon * 1e7 + 0.5) as bigint) as lon_e7, cast(floor(h * 100 + 0.5) as bigint) as height_cm from d""")
 def enu_round_trip(spark, d):
     k = F.col("c_custkey").cast("long")
     lat0, lon0, h0 = F.lit(12.975), F.lit(77.607), F.lit(900.0)
     lat, lon = F.lit(12.97) + (k % 100) / 10000, F.lit(77.602) + (k % 97) / 10000
     own = spark.read.parquet(f"{d}/customer.parquet").select(k.alias("id"), lat.alias("lat"), lon.alias("lon"))
     own = own.withColumn("e", geo.to_enu_cm(F.col("lat"), F.col("lon"), F.lit(910.0), lat0, lon0, h0)).withColumn("b", geo.from_enu_cm(F.col("e"), lat0, lon0, h0))
-    return own.select("id", ((F.abs(F.col("b.lat") - F.col("lat")) < 1e-8) & (F.abs(F.col("b.lon") - F.col("lon")) < 1e-8)).alias("near"))
+    frame = [scaled(F.col(f"e.{n}").cast("double"), 1).alias(f"{n}_cm") for n in ("east", "north", "up")]
+    back = [scaled(F.col(f"b.{n}"), by).alias(name) for n, by, name in (("lat", 1e7, "lat_e7"), ("lon", 1e7, "lon_e7"), ("height", 100, "height_cm"))]
+    return own.select("id", *frame, *back)
 
 
 @query("select id, cast(g[r + 1][c % 36 + 1] as bigint) as separation from (select cast(c_custkey as bigint) as id, (c_custkey % 18)::int as r, (c_custkey % 36)::int as c, [" + ", ".join(str(row) for row in geo.GEOID_ROWS) + "] as g from customer) x")
