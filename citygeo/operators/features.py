@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citygeo.functions.geo import CLIP_MARGIN, KM_PER_DEGREE
 from citygeo.functions.numbers import clamp
 from citygeo.functions.tags import PARTIAL, building_height, classify, feature_name, has_tag, road_props
+from citygeo.operators.spatial import cell, place_cells, sized_cells
 
 EMPTY_POINTS = "array<struct<lat: double, lon: double>>"
 
@@ -72,20 +73,19 @@ def build_features(way_nodes: DataFrame, nodes: DataFrame, tags: DataFrame) -> D
 def clip_features(features: DataFrame, regions: DataFrame, margin: float = CLIP_MARGIN) -> DataFrame:
     """Features with a point in a region's padded box, their points moved into it, with region_key.
 
-    regions is a list of boxes of at most 25 km² each. A feature meets regions by the cells of its box, so the join is an
-    equi-join; Spark's size check decides on broadcasting.
+    A feature meets regions by the cells of its points, so the join is an equi-join; Spark's size check decides on broadcasting.
     """
-    cell = 0.25
-    of = lambda c: F.floor(c / cell).cast("long")
     box = regions.select("region_key", *[(F.col(c) + s * margin).alias(f"_{c}") for c, s in (("min_lat", -1), ("min_lon", -1), ("max_lat", 1), ("max_lon", 1))])
-    box = box.withColumn("_row", F.explode(F.sequence(of(F.col("_min_lat")), of(F.col("_max_lat"))))).withColumn("_col", F.explode(F.sequence(of(F.col("_min_lon")), of(F.col("_max_lon")))))
-    cells = F.array_distinct(F.transform("points", lambda p: F.struct(of(p["lat"]).alias("row"), of(p["lon"]).alias("col"))))
-    found = features.withColumn("_cell", F.explode(cells)).join(box, (F.col("_cell.row") == F.col("_row")) & (F.col("_cell.col") == F.col("_col")))
+    box = sized_cells(box, *[F.col(c) for c in ("_min_lat", "_min_lon", "_max_lat", "_max_lon")])
+    cells = F.array_distinct(F.flatten(F.transform("points", lambda p: place_cells(p["lat"], p["lon"]))))
+    own = features.withColumn("_at", F.explode(cells)).withColumns({"_size": F.col("_at.size"), "_row": F.col("_at.row"), "_col": F.col("_at.col")}).drop("_at")
+    found = own.join(box, ["_size", "_row", "_col"])
     near = lambda p: p["lat"].between(F.col("_min_lat"), F.col("_max_lat")) & p["lon"].between(F.col("_min_lon"), F.col("_max_lon"))
-    first = F.array_min(F.transform(F.filter("points", near), lambda p: F.struct(of(p["lat"]).alias("row"), of(p["lon"]).alias("col"))))
-    found = found.filter(F.exists("points", near) & (F.col("_cell") == first))  # a feature that meets a region in several cells counts once
+    at = lambda p: F.struct(cell(p["lat"], F.col("_size")).alias("row"), cell(p["lon"], F.col("_size")).alias("col"))
+    first = F.array_min(F.transform(F.filter("points", near), at))
+    found = found.filter(F.exists("points", near) & (F.struct("_row", "_col") == first))  # a feature that meets a region in several cells counts once
     moved = F.transform("points", lambda p: F.struct(clamp(p["lat"], F.col("_min_lat"), F.col("_max_lat")).alias("lat"), clamp(p["lon"], F.col("_min_lon"), F.col("_max_lon")).alias("lon")))
-    return found.withColumn("points", moved).drop("_cell", "_row", "_col", "_min_lat", "_min_lon", "_max_lat", "_max_lon")
+    return found.withColumn("points", moved).drop("_size", "_row", "_col", "_min_lat", "_min_lon", "_max_lat", "_max_lon")
 
 
 def _range(k: str) -> tuple[Column, Column]:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from citygeo.functions.geo import KM_PER_DEGREE, MAX_KM2, MAX_LAT, MIN_KM2, km_per_degree_lon
 from citygeo.functions.numbers import finite
+from citygeo.operators.spatial import COARSE_DEG, FINE_DEG, box_cells, is_wide, place_cells, sized_cells
+from citygeo.operators.spatial import cell as cell_of
 
 BOX = ["min_lat", "min_lon", "max_lat", "max_lon"]
 
@@ -76,29 +78,36 @@ def _inside(lat: str, lon: str) -> Column:
     return F.col(lat).between(F.col("min_lat"), F.col("max_lat")) & F.col(lon).between(F.col("min_lon"), F.col("max_lon"))
 
 
-def points_in_region(points: DataFrame, regions: DataFrame, cell: float = 0.25) -> DataFrame:
-    """Points (lat, lon) with every region that holds them, borders included: an equi-join on cells of ``cell`` degrees.
-
-    Regions are at most 25 km² where they are checked, so each has a few cells; Spark's size check decides on broadcasting.
-    """
-    of = lambda c: F.floor(F.col(c) / cell).cast("long")
-    cells = regions.withColumn("_row", F.explode(F.sequence(of("min_lat"), of("max_lat")))).withColumn("_col", F.explode(F.sequence(of("min_lon"), of("max_lon"))))
-    return points.withColumn("_row", of("lat")).withColumn("_col", of("lon")).join(cells, ["_row", "_col"]).filter(_inside("lat", "lon")).drop("_row", "_col")
+def points_in_region(points: DataFrame, regions: DataFrame, cell: float = FINE_DEG) -> DataFrame:
+    """Points (lat, lon) with every region that holds them, borders included: an equi-join on cells of ``cell`` degrees, or on
+    coarse cells for wide regions. Spark's size check decides on broadcasting."""
+    cells = sized_cells(regions, *[F.col(k) for k in BOX], cell)
+    own = points.withColumn("_at", F.explode(place_cells(F.col("lat"), F.col("lon"), cell)))
+    own = own.withColumns({"_size": F.col("_at.size"), "_row": F.col("_at.row"), "_col": F.col("_at.col")}).drop("_at")
+    return own.join(cells, ["_size", "_row", "_col"]).filter(_inside("lat", "lon")).drop("_size", "_row", "_col")
 
 
-def box_relations(a: DataFrame, b: DataFrame) -> DataFrame:
+def box_relations(a: DataFrame, b: DataFrame, cell: float = FINE_DEG) -> DataFrame:
     """Pairs of boxes (keys a_key and b_key) that touch: intersects (strict), contains (a holds b), covered (share of b in a).
 
-    Few-to-few: both sides are region lists. Their join is on coarse cells, so boxes far apart never meet.
+    Boxes meet on cells of ``cell`` degrees if both are small, and on coarse cells if a is wide (way 1) or only b is (way 2). A pair
+    is counted in the one cell that holds the lower corner of what the two share.
     """
-    cell = 0.25
 
-    def celled(df: DataFrame, p: str) -> DataFrame:
+    def celled(df: DataFrame, p: str, coarse: Column) -> DataFrame:
         own = df.select(F.col("region_key").alias(f"{p}_key"), *[F.col(k).alias(f"{p}_{k}") for k in BOX])
-        of = lambda c: F.floor(F.col(f"{p}_{c}") / cell).cast("long")
-        return own.withColumn("_row", F.explode(F.sequence(of("min_lat"), of("max_lat")))).withColumn("_col", F.explode(F.sequence(of("min_lon"), of("max_lon"))))
-
-    pairs = celled(a, "a").join(celled(b, "b"), ["_row", "_col"]).drop("_row", "_col").dropDuplicates(["a_key", "b_key"])
+        box = [F.col(f"{p}_{k}") for k in BOX]
+        own = own.withColumn("_wide", is_wide(*box, cell)).withColumn("_way", F.explode(coarse)).drop("_wide")
+        size = F.when(F.col("_way") == 0, cell).otherwise(COARSE_DEG)
+        return box_cells(own, *box, size, size)
+
+    ways = lambda *n: F.array(*[F.lit(k) for k in n])
+    of_a = celled(a, "a", F.when(F.col("_wide"), ways(1)).otherwise(ways(0, 2)))
+    of_b = celled(b, "b", F.when(F.col("_wide"), ways(1, 2)).otherwise(ways(0, 1)))
+    own_size = F.when(F.col("_way") == 0, cell).otherwise(COARSE_DEG)
+    met = of_a.join(of_b, ["_way", "_row", "_col"])
+    met = met.filter((F.col("a_min_lat") <= F.col("b_max_lat")) & (F.col("b_min_lat") <= F.col("a_max_lat")) & (F.col("a_min_lon") <= F.col("b_max_lon")) & (F.col("b_min_lon") <= F.col("a_max_lon")))
+    pairs = met.filter((F.col("_row") == cell_of(F.greatest("a_min_lat", "b_min_lat"), own_size)) & (F.col("_col") == cell_of(F.greatest("a_min_lon", "b_min_lon"), own_size)))
     c = F.col
     lat = F.greatest(F.least(c("a_max_lat"), c("b_max_lat")) - F.greatest(c("a_min_lat"), c("b_min_lat")), F.lit(0.0))
     lon = F.greatest(F.least(c("a_max_lon"), c("b_max_lon")) - F.greatest(c("a_min_lon"), c("b_min_lon")), F.lit(0.0))

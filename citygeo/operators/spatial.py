@@ -6,16 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Boxes up to WIDE fine cells a side are met on fine cells (degrees), larger ones on coarse cells: 16,200 cover the world.
+FINE_DEG, WIDE, COARSE_DEG = 0.01, 25, 2.0
+
+
 def cell(value: Column, size: Column | float) -> Column:
     return F.floor(value / size).cast("long")
 
 
-def box_cells(df: DataFrame, min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Column, lat_size: float, lon_size: float) -> DataFrame:
+def box_cells(df: DataFrame, min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Column, lat_size: Column | float, lon_size: Column | float) -> DataFrame:
     """A row for each cell (_row, _col) that a box touches."""
     rows = df.withColumn("_row", F.explode(F.sequence(cell(min_lat, lat_size), cell(max_lat, lat_size))))
     return rows.withColumn("_col", F.explode(F.sequence(cell(min_lon, lon_size), cell(max_lon, lon_size))))
 
 
+def is_wide(min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Column, fine: float = FINE_DEG) -> Column:
+    return F.greatest(max_lat - min_lat, max_lon - min_lon) > WIDE * fine
+
+
+def place_cells(lat: Column, lon: Column, fine: float = FINE_DEG) -> Column:
+    """array of a place's fine and coarse cell: struct(size, row, col)."""
+    return F.array(*[F.struct(F.lit(size).alias("size"), cell(lat, size).alias("row"), cell(lon, size).alias("col")) for size in (fine, COARSE_DEG)])
+
+
+def sized_cells(df: DataFrame, min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Column, fine: float = FINE_DEG) -> DataFrame:
+    """A row for each cell (_size, _row, _col) that a box touches: fine cells, or coarse ones if it is wide."""
+    sized = df.withColumn("_size", F.when(is_wide(min_lat, min_lon, max_lat, max_lon, fine), COARSE_DEG).otherwise(fine))
+    return box_cells(sized, min_lat, min_lon, max_lat, max_lon, F.col("_size"), F.col("_size"))
+
+
 def segment_cells(df: DataFrame, a: Column, b: Column, lat_size: float, lon_size: float) -> DataFrame:
     """A row for each cell that a segment a-b crosses: exact for each row of cells, from the longitudes it has there."""
     low, high = F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"])

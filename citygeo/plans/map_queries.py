@@ -254,23 +254,10 @@ select z.way_id as a_key, h.way_id as b_key, z.a < h.c and h.a < z.c and z.b < h
 from bb z join typed tz on tz.way_id = z.way_id and tz.kind = 8 join bb h on true join typed th on th.way_id = h.way_id and th.kind = 0 where z.a < h.c and h.a < z.c and z.b < h.d and h.b < z.d""")
 def zone_house_boxes(spark, d):
     own = C.feature_bbox(features(spark, d)).withColumn("region_key", F.col("osm_id"))
-    pairs = _near_boxes(own.filter("feature_type = 'Landuse'"), own.filter("tags['building'] is not null"))
+    pairs = R.box_relations(own.filter("feature_type = 'Landuse'"), own.filter("tags['building'] is not null"), cell=0.001)
     return pairs.filter("intersects").select("a_key", "b_key", "intersects", "contains")
 
 
-def _near_boxes(a, b):
-    """box_relations of many small boxes, met on fine cells first."""
-    from citygeo.operators.spatial import box_cells
-
-    cell = 0.001
-    cells = lambda df, p: box_cells(df.select(F.col("region_key").alias(f"{p}_key"), *[F.col(k).alias(f"{p}_{k}") for k in R.BOX]), *[F.col(f"{p}_{k}") for k in R.BOX], cell, cell)
-    c = F.col
-    met = cells(a, "a").join(cells(b, "b"), ["_row", "_col"]).drop("_row", "_col").dropDuplicates(["a_key", "b_key"])
-    inter = (c("a_min_lat") < c("b_max_lat")) & (c("b_min_lat") < c("a_max_lat")) & (c("a_min_lon") < c("b_max_lon")) & (c("b_min_lon") < c("a_max_lon"))
-    holds = (c("a_min_lat") <= c("b_min_lat")) & (c("a_min_lon") <= c("b_min_lon")) & (c("a_max_lat") >= c("b_max_lat")) & (c("a_max_lon") >= c("b_max_lon"))
-    return met.select("a_key", "b_key", inter.alias("intersects"), holds.alias("contains"))
-
-
 # --- quality
 
 

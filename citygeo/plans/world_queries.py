@@ -276,14 +276,6 @@ def facades(spark, d):
     return bays.groupBy("node_id").agg(F.count("*").alias("bays"), F.sum(F.when(F.col("bay") == 0, scaled(F.col("length_m")))).alias("wall_mm"))
 
 
-@query()
-def wall_checks(spark, d):
-    own = cut(flat_rings(spark, d, "Building"))
-    good, _ = M.normalise_footprint(own.select("node_id", "points"))
-    vertices, triangles = (cut(t) for t in M.quad_mesh(M.wall_quads(M.facade_bays(good), own.select("node_id", "height_m"))))
-    return M.mesh_closure(vertices, triangles).join(M.mesh_area(vertices, triangles), "mesh_id").select("mesh_id", "edges", "open_edges", "crowded_edges", scaled(F.col("area_m2"), 100).alias("area_dm2"))
-
-
 @query(BASE + "select way_id as osm_id, node_type as layer, case node_type when 'LanduseZone' then 5 when 'VegetationArea' then 10 when 'LeisureArea' then 15 when 'Amenity' then 20 else 25 end as lift_cm from node where closed and (node_type in ('LanduseZone', 'VegetationArea', 'LeisureArea', 'WaterBody') or (node_type = 'Amenity' and value = 'parking'))")
 def area_layers(spark, d):
     own = nodes(spark, d)

@@ -204,7 +204,7 @@ def test_graph_and_mesh_files(spark, tmp_path):
 def test_cache_decision(spark):
     box = (12.0, 77.0, 12.1, 77.1)
     requests = spark.createDataFrame([(1, *box, "SRTM", 0.001), (2, *box, "COP", 0.001), (3, *box, "SRTM", 0.002), (4, 1.0, 1.0, 2.0, 2.0, "SRTM", 0.001)], "request_id int, min_lat double, min_lon double, max_lat double, max_lon double, dem_type string, padding_deg double")
-    manifests = spark.createDataFrame([(1, "SRTM", 0.001, 10, 20, "x", *box)], store.MANIFEST)
+    manifests = spark.createDataFrame([(1, "SRTM", 0.001, 10, 20, "x", *box)], ", ".join(store.MANIFEST.values()))
     key = requests.filter("request_id = 1").select(store.cache_key().alias("k")).first().k
     files = spark.createDataFrame([(key, 10, 20)], "cache_key string, osm_length long, dem_length long")
     assert {r.request_id: r.reusable for r in store.cache_reusable(requests, manifests, files).collect()} == {1: True, 2: False, 3: False, 4: False}
@@ -226,6 +226,26 @@ def test_regions(spark):
     assert own.select(R.region_key().alias("k")).first().k == "0.0000000,0.0000000,1.0000000,1.0000000"
 
 
+def test_boxes_of_all_sizes_meet_as_in_all_pairs(spark):
+    import random
+
+    deal = random.Random(5)
+    box = lambda k: (lambda a, b, h, w: (f"r{k}", a, b, a + h, b + w))(deal.uniform(-2, 2), deal.uniform(-2, 2), *(deal.choice([0.002, 0.01, 0.2, 3.0]) * deal.random() for _ in "hw"))
+    boxes = [box(k) for k in range(60)] + [("edge", 0.0, 0.0, 0.01, 0.01), ("next", 0.01, 0.0, 0.02, 0.01), ("same", 0.0, 0.0, 0.01, 0.01)]
+    points = [(k, deal.uniform(-2, 2), deal.uniform(-2, 2)) for k in range(200)] + [(-1, 0.01, 0.01)]
+    regions = spark.createDataFrame(boxes, "region_key string, min_lat double, min_lon double, max_lat double, max_lon double")
+    own = spark.createDataFrame(points, "id long, lat double, lon double")
+    got = sorted((r.id, r.region_key) for r in R.points_in_region(own, regions).collect())
+    assert got == sorted((i, k) for i, y, x in points for k, a, b, c, d in boxes if a <= y <= c and b <= x <= d)
+    met = [(r.a_key, r.b_key, r.intersects) for r in R.box_relations(regions, regions).collect()]
+    touch = [(p, q) for p in boxes for q in boxes if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]]
+    assert sorted(met) == sorted((p[0], q[0], p[1] < q[3] and q[1] < p[3] and p[2] < q[4] and q[2] < p[4]) for p, q in touch)
+    line = spark.createDataFrame([(1, [(y, x) for _, y, x in points[:9]]), (2, [(0.005, 0.005), (0.5, 0.5)])], "osm_id long, points array<struct<lat: double, lon: double>>")
+    clipped = sorted((r.osm_id, r.region_key) for r in C.clip_features(line, regions, margin=0.0).collect())
+    lines = [(1, points[:9]), (2, [(0, 0.005, 0.005), (0, 0.5, 0.5)])]
+    assert clipped == sorted((i, k) for i, ps in lines for k, a, b, c, d in boxes if any(a <= y <= c and b <= x <= d for _, y, x in ps))
+
+
 def test_geoid_between_nodes(spark):
     got = spark.range(1).select(geo.geoid_separation(F.lit(85.0), F.lit(-175.0)).alias("a"), geo.geoid_separation(F.lit(-89.0), F.lit(185.0)).alias("b")).first()
     assert got.a == pytest.approx((13 + 13 + 29 + 29) / 4) and got.b == pytest.approx((27 + 30) / 2)
