@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citygeo.llm import op05_mixing
+from citygeo.llm import op05_mixing, op11_merkle
 from citygeo.llm.op01_substring import op1_substring_dedup
 from citygeo.llm.op02_simhash import op2_simhash
 from citygeo.llm.op03_language import op3_language_id
@@ -24,5 +24,6 @@ QUERIES = {
     "op8_string_tiling": op8_string_tiling,
     "op9_license_rules": op9_license_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle.op11_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op5_poisson_mixing": op05_mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_poisson_mixing": op05_mixing.ORACLE, "op11_merkle_manifest": op11_merkle.ORACLE}
