@@ -1,6 +1,7 @@
 """The city graph: nodes, edges, groups, flags and report.
 
-Node ids are stable: a hash of region, type and source id or coordinate, so no numbering over all rows is needed. Frames:
+Node ids are stable: a hash of region, type and source id or coordinate, so no numbering over all rows is needed; features that
+share all three get ids of their own by what else they hold. Frames:
 nodes(region_key, node_id, node_type, subtype, name, osm_id, tags, is_area, points, metrics, flags),
 edges(region_key, edge_type, src, dst, value, tolerance_m), groups(region_key, kind, name, node_type, node_ids).
 """
@@ -18,7 +19,7 @@ from citygeo.functions.numbers import case_of
 from citygeo.functions.tags import PARTIAL, has_tag
 from citygeo.operators.cut import cut
 from citygeo.operators.quality import issue, issues_of
-from citygeo.operators.region import tile_bounds
+from citygeo.operators.region import dem_coverage, tile_bounds
 from citygeo.operators.spatial import around, box_cells, segment_cells
 
 # Node type of each feature type.
@@ -33,6 +34,7 @@ NODE_NAMES = {
 }
 ZONES = ["LanduseZone", "LeisureArea", "VegetationArea"]
 CUTOFF_M, LEAST_CELL_M = 50.0, 10.0
+MOST_TWINS = 1_000_000  # ids that may be broadcast
 
 
 @dataclass
@@ -47,12 +49,42 @@ def node_key(region: Column, node_type: Column, *source: Column) -> Column:
     return F.xxhash64(region, node_type, *source)
 
 
-def graph_nodes(features: DataFrame, mid_lat: Column | float) -> tuple[DataFrame, DataFrame]:
-    """Nodes, and rejections (osm_id, feature_type, subtype, reason). features have region_key; every one is in one of the two."""
-    mid = mid_lat if isinstance(mid_lat, Column) else F.lit(mid_lat)
+def _judged(features: DataFrame) -> DataFrame:
     kind, n = case_of(F.col("feature_type"), NODE_TYPES), F.size("points")
     reason = F.when(kind.isNull(), F.lit("no node type for this classification")).when(n < F.when(F.col("is_area"), 3).otherwise(2), F.lit("no usable geometry"))
-    judged = features.withColumns({"node_type": kind, "reason": reason})
+    return features.withColumns({"node_type": kind, "reason": reason})
+
+
+def graph_rejections(features: DataFrame) -> DataFrame:
+    """Features that become no node, with the reason."""
+    return _judged(features).filter("reason is not null").select("region_key", "osm_id", "feature_type", "subtype", "reason")
+
+
+def _shape() -> Column:
+    """Hash of what a node holds besides region, type and source id."""
+    return F.xxhash64("subtype", "name", "points", F.to_json(F.array_sort(F.map_entries("tags"))))
+
+
+def _told_apart(nodes: DataFrame) -> DataFrame:
+    """nodes with a node_id each. Of nodes with one id the least by shape keeps it; the others get ids by shape, and equal ones by a
+    count. Ids are counted first, and only rows that share one are grouped; up to MOST_TWINS such ids are broadcast."""
+    twins = cut(nodes.groupBy("node_id").agg(F.count("*").alias("n")).filter("n > 1").select("node_id"))
+    n = twins.count()
+    if not n:
+        return nodes
+    meet = F.broadcast(twins) if n <= MOST_TWINS else twins
+    shapes = nodes.join(meet, "node_id", "left_semi").withColumn("_shape", _shape()).groupBy("node_id", "_shape").agg(F.first(F.struct(*nodes.columns)).alias("row"), F.count("*").alias("_n"))
+    first = shapes.groupBy("node_id").agg(F.min("_shape").alias("_first"))
+    own = shapes.join(first, "node_id").select("row.*", "_shape", "_first", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_k"))
+    key = F.when((F.col("_shape") == F.col("_first")) & (F.col("_k") == 1), F.col("node_id")).otherwise(node_key(F.col("region_key"), F.col("node_type"), F.col("osm_id"), F.col("_shape"), F.col("_k")))
+    return cut(nodes.join(meet, "node_id", "left_anti").unionByName(own.withColumn("node_id", key).select(nodes.columns)))
+
+
+def graph_nodes(features: DataFrame, mid_lat: Column | float) -> tuple[DataFrame, DataFrame]:
+    """Nodes, and rejections (osm_id, feature_type, subtype, reason). features have region_key; every one is in one of the two. Nodes
+    are kept in the checkpoint folder. Features of one type and source id are several nodes; a source id of 0 or null is none."""
+    mid = mid_lat if isinstance(mid_lat, Column) else F.lit(mid_lat)
+    judged = _judged(features)
     metrics = F.struct(
         F.when(F.col("is_area"), ring_area_m2(F.col("points"), mid)).otherwise(0.0).alias("area_m2"),
         F.when(F.col("is_area"), ring_length_m(F.col("points"), mid, True)).otherwise(ring_length_m(F.col("points"), mid, False)).alias("length_m"),
@@ -62,23 +94,28 @@ def graph_nodes(features: DataFrame, mid_lat: Column | float) -> tuple[DataFrame
     )
     flags = F.when(has_tag(F.col("tags"), PARTIAL), F.array(F.lit("node.geometry.partial"))).otherwise(F.array().cast("array<string>"))
     nodes = judged.filter("reason is null").select(
-        "region_key", node_key(F.col("region_key"), F.col("node_type"), F.col("osm_id")).alias("node_id"), "node_type", "subtype",
-        F.col("computed.name").alias("name"), "osm_id", "tags", "is_area", "points", metrics.alias("metrics"), flags.alias("flags"),
+        "region_key", "node_type", "subtype", F.coalesce("computed.name", F.lit("")).alias("name"), F.coalesce("osm_id", F.lit(0)).cast("long").alias("osm_id"),
+        "tags", "is_area", "points", metrics.alias("metrics"), flags.alias("flags"),
     )
-    return nodes, judged.filter("reason is not null").select("region_key", "osm_id", "feature_type", "subtype", "reason")
+    source = F.when(F.col("osm_id") == 0, _shape())  # null for others, which then does not change the hash
+    nodes = nodes.withColumn("node_id", node_key(F.col("region_key"), F.col("node_type"), F.col("osm_id"), source))
+    return _told_apart(cut(nodes.select("region_key", "node_id", *nodes.columns[1:-1]))), graph_rejections(features)
 
 
-def terrain_nodes(tiles: DataFrame, stats: DataFrame, region_key: str, mid_lat: float) -> DataFrame:
-    """A node for each raster: its footprint, area and elevation range."""
-    own = tile_bounds(tiles).join(stats.select("tile_id", "min_elev", "max_elev"), "tile_id", "left")
+def terrain_nodes(tiles: DataFrame, stats: DataFrame, regions: DataFrame) -> DataFrame:
+    """A node for each raster in each region that it covers a part of: its footprint, area (at the middle latitude of the region) and
+    elevation range."""
+    met = dem_coverage(tiles, regions).filter("covered > 0").select("tile_id", "region_key")
+    middle = regions.select("region_key", ((F.col("min_lat") + F.col("max_lat")) / 2).alias("mid_lat"))
+    own = tile_bounds(tiles).join(stats.select("tile_id", "min_elev", "max_elev"), "tile_id", "left").join(met, "tile_id").join(middle, "region_key")
     corner = lambda a, b: F.struct(F.col(a).alias("lat"), F.col(b).alias("lon"))
     ring = F.array(corner("min_lat", "min_lon"), corner("max_lat", "min_lon"), corner("max_lat", "max_lon"), corner("min_lat", "max_lon"))
-    metrics = F.struct(ring_area_m2(F.col("points"), F.lit(mid_lat)).alias("area_m2"), ring_length_m(F.col("points"), F.lit(mid_lat), True).alias("length_m"), ring_centroid(F.col("points")).alias("centroid"), F.lit(0.0).alias("height_m"), F.lit(0.0).alias("width_m"), "min_elev", "max_elev")
+    metrics = F.struct(ring_area_m2(F.col("points"), F.col("mid_lat")).alias("area_m2"), ring_length_m(F.col("points"), F.col("mid_lat"), True).alias("length_m"), ring_centroid(F.col("points")).alias("centroid"), F.lit(0.0).alias("height_m"), F.lit(0.0).alias("width_m"), "min_elev", "max_elev")
     tags = F.create_map(F.lit("citygeo:dem_width"), F.col("width").cast("string"), F.lit("citygeo:dem_height"), F.col("height").cast("string"), F.lit("citygeo:dem_arcseconds"), F.round("arc_seconds", 6).cast("string"), F.lit("citygeo:dem_path"), F.col("tile_id"))
     flags = F.when(F.coalesce(F.col("max_elev") - F.col("min_elev"), F.lit(0.0)) <= 0, F.array(F.lit("node.terrain.norelief"))).otherwise(F.array().cast("array<string>"))
     own = own.withColumn("points", ring)
     kind = F.lit("TerrainTile")
-    return own.select(F.lit(region_key).alias("region_key"), node_key(F.lit(region_key), kind, F.col("tile_id")).alias("node_id"), kind.alias("node_type"), F.lit("dem").alias("subtype"), F.col("tile_id").alias("name"), F.lit(0).cast("long").alias("osm_id"), tags.alias("tags"), F.lit(True).alias("is_area"), "points", metrics.alias("metrics"), flags.alias("flags"))
+    return own.select("region_key", node_key(F.col("region_key"), kind, F.col("tile_id")).alias("node_id"), kind.alias("node_type"), F.lit("dem").alias("subtype"), F.col("tile_id").alias("name"), F.lit(0).cast("long").alias("osm_id"), tags.alias("tags"), F.lit(True).alias("is_area"), "points", metrics.alias("metrics"), flags.alias("flags"))
 
 
 def road_points(nodes: DataFrame) -> DataFrame:
@@ -200,25 +237,27 @@ def corridors(nodes: DataFrame) -> DataFrame:
 def validate_nodes(nodes: DataFrame, edges: DataFrame, regions: DataFrame, margin: float = CLIP_MARGIN) -> DataFrame:
     """Nodes with their flags: duplicate source id (all but the least node id), degenerate or empty geometry, outside the region
     (terrain apart), road without junction, building without street."""
-    # the first of each source id is met by its own id: junctions share the source id 0, which is then no key at all
-    first = nodes.filter("osm_id <> 0").groupBy("region_key", "osm_id").agg(F.min("node_id").alias("node_id")).select("region_key", "node_id", F.lit(True).alias("_first"))
-    joined = edges.filter("edge_type = 'SharesNode'").select("region_key", F.col("src").alias("node_id")).distinct().withColumn("_joined", F.lit(True))
-    fronted = edges.filter("edge_type = 'FrontsOnto'").select("region_key", F.col("src").alias("node_id")).distinct().withColumn("_fronted", F.lit(True))
+    marks = ["_first", "_joined", "_fronted"]
+    mark = lambda df, col, name: df.select("region_key", F.col(col).alias("node_id"), *[F.lit(m == name).alias(m) for m in marks])
+    # the first of each source id is met by its own id: nodes without one share the source id 0, which is then no key at all
+    first = nodes.filter("osm_id <> 0").groupBy("region_key", "osm_id").agg(F.min("node_id").alias("node_id"))
+    found = mark(first, "node_id", "_first").unionByName(mark(edges.filter("edge_type = 'SharesNode'"), "src", "_joined")).unionByName(mark(edges.filter("edge_type = 'FrontsOnto'"), "src", "_fronted"))
+    found = found.groupBy("region_key", "node_id").agg(*[F.bool_or(m).alias(m) for m in marks])
     box = regions.select("region_key", *[(F.col(c) + s * margin).alias(f"_{c}") for c, s in (("min_lat", -1), ("min_lon", -1), ("max_lat", 1), ("max_lon", 1))])
-    own = nodes.join(first, ["region_key", "node_id"], "left").join(joined, ["region_key", "node_id"], "left").join(fronted, ["region_key", "node_id"], "left").join(box, "region_key", "left")
+    own = nodes.join(found, ["region_key", "node_id"], "left").join(box, "region_key", "left").fillna(False, marks)
     n, area, length = F.size("points"), F.col("metrics.area_m2"), F.col("metrics.length_m")
     off = F.exists("points", lambda p: (p["lat"] < F.col("_min_lat")) | (p["lat"] > F.col("_max_lat")) | (p["lon"] < F.col("_min_lon")) | (p["lon"] > F.col("_max_lon")))
     shape = ~F.col("node_type").isin("Junction")
     few = shape & (n > 0) & (n < F.when(F.col("is_area"), 3).otherwise(2))
     checks = [
-        ((F.col("osm_id") != 0) & F.col("_first").isNull(), "node.osmid.duplicate"),
+        ((F.col("osm_id") != 0) & ~F.col("_first"), "node.osmid.duplicate"),
         (shape & (n == 0), "node.geometry.missing"),
         (few, "node.geometry.degenerate"),
         (shape & ~few & (n > 0) & F.col("is_area") & (area <= 0), "node.geometry.zeroarea"),
         (shape & ~few & (n > 0) & ~F.col("is_area") & (length <= 0), "node.geometry.zerolength"),
         ((F.col("node_type") != "TerrainTile") & off, "node.geometry.outsideregion"),
-        ((F.col("node_type") == "RoadSegment") & F.col("_joined").isNull(), "node.road.nojunction"),
-        ((F.col("node_type") == "Building") & F.col("_fronted").isNull(), "node.building.nostreet"),
+        ((F.col("node_type") == "RoadSegment") & ~F.col("_joined"), "node.road.nojunction"),
+        ((F.col("node_type") == "Building") & ~F.col("_fronted"), "node.building.nostreet"),
     ]
     found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in checks]))
     return own.withColumn("flags", F.array_distinct(F.concat("flags", found))).select(nodes.columns)
@@ -257,12 +296,11 @@ def graph_fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return total.select("region_key", F.md5(F.concat_ws("|", "n", "s", "x")).alias("fingerprint"))
 
 
-def build_city_graph(features: DataFrame, regions: DataFrame, mid_lat: float, options: GraphOptions | None = None) -> dict[str, DataFrame]:
-    """nodes, edges, members (groups in long form), rejections and issues of clipped features."""
+def build_city_graph(features: DataFrame, regions: DataFrame, mid_lat: float, options: GraphOptions | None = None, terrain: DataFrame | None = None) -> dict[str, DataFrame]:
+    """nodes, edges, members (groups in long form), rejections and issues of clipped features, and of terrain (terrain_nodes)."""
     options = options or GraphOptions()
     features = cut(features)
     nodes, rejected = graph_nodes(features, mid_lat)
-    nodes = cut(nodes)  # read by every stage below
     members = cut(junction_members(road_points(nodes)))
     edges = shares_node_edges(members).unionByName(connects_to_edges(members))
     if options.contains:
@@ -270,7 +308,8 @@ def build_city_graph(features: DataFrame, regions: DataFrame, mid_lat: float, op
     if options.fronts_onto:
         edges = edges.unionByName(fronts_onto_edges(nodes, mid_lat, options.cutoff_m))
     edges = cut(edges)
-    flagged = cut(validate_nodes(nodes.unionByName(junctions(members)), edges, regions))
+    every = nodes.unionByName(junctions(members))
+    flagged = cut(validate_nodes(every if terrain is None else every.unionByName(terrain), edges, regions))
     count = lambda df: df.groupBy("region_key").agg(F.count("*").alias("n"))
     return {"nodes": flagged, "edges": edges, "members": group_members(flagged, options.corridors), "rejections": rejected, "issues": graph_report(flagged, count(features), count(rejected))}
 

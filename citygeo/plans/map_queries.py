@@ -68,14 +68,20 @@ def placed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    return cut(G.graph_nodes(placed(spark, d), MID)[0])
+    return G.graph_nodes(placed(spark, d), MID)[0]
+
+
+def city_edges(own: DataFrame, zoned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members of junctions, and edges of all four kinds. zoned: the same nodes, for zones and what they contain."""
+    members = cut(G.junction_members(G.road_points(own)))
+    contains = G.contains_edges(own if zoned is None else zoned)
+    return members, cut(G.shares_node_edges(members).unionByName(G.connects_to_edges(members)).unionByName(contains).unionByName(G.fronts_onto_edges(own, MID)))
 
 
 def whole_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes (flagged), edges, and group members of everything in the lens."""
     own = nodes(spark, d)
-    members = cut(G.junction_members(G.road_points(own)))
-    edges = cut(G.shares_node_edges(members).unionByName(G.connects_to_edges(members)).unionByName(G.contains_edges(own)).unionByName(G.fronts_onto_edges(own, MID)))
+    members, edges = city_edges(own)
     region = lens.regions(spark).filter("region_key = 'all'")
     flagged = G.validate_nodes(own.unionByName(G.junctions(members)), edges, region)
     return flagged, edges, G.group_members(flagged)
@@ -311,7 +317,7 @@ def graph_nodes(spark, d):
 
 @query(BASE + "select way_id as osm_id, feature_type, value as subtype from feat where feature_type = 'Boundary'")
 def graph_rejections(spark, d):
-    return G.graph_nodes(placed(spark, d), MID)[1].select("osm_id", "feature_type", "subtype")
+    return G.graph_rejections(placed(spark, d)).select("osm_id", "feature_type", "subtype")
 
 
 @query(BASE + "select way_id as osm_id, cast(1 as bigint) as rings, cast(n_pts as bigint) as points, min(lat_u) as min_lat_u, max(lon_u) as max_lon_u from node join pts using (way_id) group by way_id, n_pts")
@@ -342,16 +348,23 @@ def connects_to(spark, d):
     return named.groupBy(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).agg(F.count("*").alias("places"))
 
 
-@query(BASE + """, zone as (select way_id from node where node_type in ('LanduseZone', 'LeisureArea', 'VegetationArea') and closed),
-bz as (select way_id, min(ax) as a, max(ax) as c, min(ay) as b, max(ay) as d from ed join zone using (way_id) group by way_id)
-select z.way_id as zone, h.way_id as building from (select way_id, kind, lat + 1.37e-6::double as lat, lon + 0.73e-6::double as lon from node) h join bz z on h.kind < 2 and h.lat between a and c and h.lon between b and d join ed e on e.way_id = z.way_id
-group by z.way_id, h.way_id having sum(case when (ay > h.lon) <> (by2 > h.lon) and h.lat < (ax - bx) * (h.lon - by2) / nullif(ay - by2, 0) + bx then 1 else 0 end) % 2 = 1""")
+_ZONES = """, zone as (select way_id from node where node_type in ('LanduseZone', 'LeisureArea', 'VegetationArea') and closed),
+bz as (select way_id, min(ax) as a, max(ax) as c, min(ay) as b, max(ay) as d from ed join zone using (way_id) group by way_id),
+held as (select z.way_id as zone, h.way_id as building from (select way_id, kind, lat + 1.37e-6::double as lat, lon + 0.73e-6::double as lon from node) h join bz z on h.kind < 2 and h.lat between a and c and h.lon between b and d join ed e on e.way_id = z.way_id
+group by z.way_id, h.way_id having sum(case when (ay > h.lon) <> (by2 > h.lon) and h.lat < (ax - bx) * (h.lon - by2) / nullif(ay - by2, 0) + bx then 1 else 0 end) % 2 = 1)"""
+
+
+def off_lattice(own: DataFrame) -> DataFrame:
+    """Nodes with centroids moved off the lattice, so that no rounding decides what contains them."""
+    at = lambda k, by: (F.col(f"metrics.centroid.{k}") + by).alias(k)
+    return own.withColumn("metrics", F.col("metrics").withField("centroid", F.struct(at("lat", 1.37e-6), at("lon", 0.73e-6))))
+
+
+@query(BASE + _ZONES + " select zone, building from held")
 def contains(spark, d):
     own = nodes(spark, d)
     ids = own.select("node_id", "osm_id")
-    at = lambda k, by: (F.col(f"metrics.centroid.{k}") + by).alias(k)
-    own = own.withColumn("metrics", F.col("metrics").withField("centroid", F.struct(at("lat", 1.37e-6), at("lon", 0.73e-6))))  # off the lattice, so that no rounding decides
-    return G.contains_edges(own).join(ids.toDF("src", "zone"), "src").join(ids.toDF("dst", "building"), "dst").select("zone", "building")
+    return G.contains_edges(off_lattice(own)).join(ids.toDF("src", "zone"), "src").join(ids.toDF("dst", "building"), "dst").select("zone", "building")
 
 
 _NEAREST = f""", house as materialized (select way_id, lat, lon from node where kind < 2), seg as materialized (select way_id, ax, ay, bx, by2 from ed join node using (way_id) where node.kind = 2 and ed.i < ed.n),
@@ -406,6 +419,22 @@ def graph_report(spark, d):
     return graph["issues"].select("severity", "code")
 
 
+@query(BASE + """, twin as (select way_id, (way_id % 5 = 0)::int + (way_id % 10 = 0)::int + (way_id % 7 = 0)::int as n from node)
+select way_id as osm_id, 1 + n as nodes, n as duplicates from twin where n > 0 and way_id <> 0
+union all select 0, 3 * count(*) + 4 * count(*) filter (where way_id = 0), 0 from node where way_id % 11 = 0""")
+def duplicate_nodes(spark, d):
+    """Ways met again in other extracts: of the same type once or twice, of another type, and three without a source id."""
+    own = placed(spark, d)
+    again = lambda by, kind=None: own.filter(f"feature_type <> 'Boundary' and osm_id % {by} = 0").withColumns({"subtype": F.concat("subtype", F.lit(f" {by}")), **({"feature_type": F.lit(kind)} if kind else {})})
+    nameless = own.filter("feature_type <> 'Boundary' and osm_id % 11 = 0").withColumn("osm_id", F.lit(0).cast("long"))
+    rows = own.unionByName(again(5)).unionByName(again(10)).unionByName(again(7, "Amenity")).unionByName(nameless).unionByName(nameless).unionByName(nameless)
+    every = G.graph_nodes(rows, MID)[0]
+    edges = spark.createDataFrame([], "region_key string, edge_type string, src long, dst long, value double, tolerance_m double")
+    flagged = G.validate_nodes(every, edges, lens.regions(spark))
+    found = flagged.groupBy("osm_id").agg(F.countDistinct("node_id").alias("nodes"), F.count_if(F.array_contains("flags", "node.osmid.duplicate")).alias("duplicates"))
+    return found.filter("nodes > 1")
+
+
 @query()
 def graph_fingerprint(spark, d):
     flagged, edges, _ = whole_graph(spark, d)
@@ -422,18 +451,27 @@ def explorer(spark, d):
     return N.explorer_rollup(nodes(spark, d), "re").select(F.coalesce("node_type", F.lit("")).alias("node_type"), F.coalesce("subtype", F.lit("")).alias("subtype"), F.col("level").cast("long").alias("level"), "nodes", F.col("flagged").cast("long").alias("flagged"))
 
 
-@query(BASE + """, hub as (select way_id from node where kind = 2)
-select h.way_id as osm_id, 'out' as direction, 'SharesNode' as edge_type, count(*) as edges from hub h join mem on mem.road = h.way_id join jun using (place) group by h.way_id
-union all select h.way_id, case when r.road > h.way_id then 'later' else 'earlier' end, 'ConnectsTo', count(*) from hub h join mem m on m.road = h.way_id join mem r on r.place = m.place and r.road <> h.way_id group by 1, 2""")
+@query(BASE + _ZONES + _NEAREST + f""", place as (select place as id, (12968000 + floor(place / 1000) * 50)::bigint * 1000000000 + (77600000 + (place % 1000) * 50)::bigint as key from jun),
+way as (select way_id as id, way_id::bigint as key from node),
+links as (select 'SharesNode' as edge_type, a.key as src, b.key as dst, 0 as mm, 0 as cutoff_m from mem join jun using (place) join way a on a.id = road join place b on b.id = place
+ union all select 'ConnectsTo', least(a.road, b.road), greatest(a.road, b.road), 0, 0 from mem a join mem b on a.place = b.place and a.road < b.road
+ union all select 'Contains', zone, building, 0, 0 from held union all select 'FrontsOnto', way_id, null, {MM('m')}, 50 from near where m <= 50)
+select src as node, case when edge_type = 'ConnectsTo' then 'either' else 'out' end as direction, edge_type, count(*) as edges, sum(mm)::bigint as distance_mm, max(cutoff_m)::bigint as cutoff_m from (
+ select * from links union all select edge_type, dst, src, mm, cutoff_m from links where edge_type = 'ConnectsTo') group by 1, 2, 3
+union all select dst, 'in', edge_type, count(*), sum(mm)::bigint, max(cutoff_m)::bigint from links where edge_type in ('SharesNode', 'Contains') group by dst, edge_type
+union all select null, 'in', 'FrontsOnto', count(*), sum(mm)::bigint, 50 from links where edge_type = 'FrontsOnto'""")
 def neighbours(spark, d):
+    """All nodes over all four kinds of edge. Which road of several equally near ones is fronted is by node id, so these are summed over all roads."""
     own = nodes(spark, d)
-    members = G.junction_members(G.road_points(own))
-    every = own.unionByName(G.junctions(members))
-    edges = G.shares_node_edges(members).unionByName(G.connects_to_edges(members))
-    wanted = own.filter("node_type = 'RoadSegment'").select("node_id")
-    found = N.neighbours(every, edges, wanted).join(every.select("node_id", "osm_id"), "node_id").join(every.select(F.col("node_id").alias("other"), F.col("osm_id").alias("other_osm")), "other")
-    way = F.when(F.col("edge_type") == "SharesNode", F.col("direction")).when(F.col("other_osm") > F.col("osm_id"), "later").otherwise("earlier")
-    return found.groupBy("osm_id", way.alias("direction"), "edge_type").agg(F.count("*").alias("edges"))
+    members, edges = city_edges(own, off_lattice(own))
+    every = cut(own.unionByName(G.junctions(members)))
+    place = lambda k: scaled(F.col("points")[0][k], 1_000_000)
+    names = every.select("node_id", F.when(F.col("node_type") == "Junction", place("lat") * 1_000_000_000 + place("lon")).otherwise(F.col("osm_id")).alias("node"))
+    found = N.neighbours(every, edges, every.select("node_id")).join(names, "node_id")
+    fronted = (F.col("edge_type") == "FrontsOnto") & (F.col("direction") == "in")
+    way = F.when(F.col("edge_type") == "ConnectsTo", "either").otherwise(F.col("direction"))
+    sums = [F.count("*").alias("edges"), F.sum(scaled(F.col("value"))).alias("distance_mm"), F.max("tolerance_m").cast("long").alias("cutoff_m")]
+    return found.groupBy(F.when(~fronted, F.col("node")).alias("node"), way.alias("direction"), "edge_type").agg(*sums)
 
 
 @query(BASE + "select node_type, count(*) as nodes from node where node_type not in ('Building', 'RoadSegment') group by node_type")
@@ -449,15 +487,19 @@ def inspect_zones(spark, d):
     return seen.select("osm_id", scaled(F.col("area_m2"), 100).alias("area_dm2"), scaled(F.col("length_m")).alias("length_mm"), "flags")
 
 
-@query(BASE + """, j as (select count(*) as n from jun), s as (select count(*) as n from mem join jun using (place)), c as (select count(*) as n from mem a join mem b on a.place = b.place and a.road < b.road)
-select 'node' as section, node_type as name, count(*) as count, false as derived from node group by node_type union all select 'node', 'Junction', n, false from j
-union all select 'edge', 'SharesNode', n, false from s union all select 'edge', 'ConnectsTo', n, false from c""")
+@query(BASE + _ZONES + _NEAREST + """, j as (select count(*) as n from jun), edge as (select 'SharesNode' as name, count(*) as n, false as derived from mem join jun using (place) union all select 'ConnectsTo', count(*), false from mem a join mem b on a.place = b.place and a.road < b.road
+ union all select 'Contains', count(*), true from held union all select 'FrontsOnto', count(*), true from near where m <= 50),
+kinds as (select node_type, count(*) as n from node group by node_type union all select 'Junction', n from j)
+select 'node' as section, node_type as name, n as count, false as derived from kinds where n > 0 union all select 'edge', name, n, derived from edge where n > 0
+ union all select 'total', 'nodes', sum(n)::bigint, false from kinds union all select 'total', 'edges', sum(n)::bigint, false from edge
+ union all select 'group', 'Category:' || case node_type when 'RoadSegment' then 'Road Segments' when 'WaterBody' then 'Water Bodies' when 'VegetationArea' then 'Vegetation Areas' when 'LanduseZone' then 'Land Use Zones' when 'LeisureArea' then 'Leisure Areas'
+ when 'Amenity' then 'Amenities' when 'PowerLine' then 'Power Lines' else node_type || 's' end, n, false from kinds where n > 0
+ union all select 'group', 'Corridor:' || name, count(*), false from node where kind = 2 group by name having count(*) > 1""")
 def graph_summary(spark, d):
     own = nodes(spark, d)
-    members = G.junction_members(G.road_points(own))
-    edges = G.shares_node_edges(members).unionByName(G.connects_to_edges(members))
+    members, edges = city_edges(own, off_lattice(own))
     every = own.unionByName(G.junctions(members))
-    return N.graph_summary(every, edges, G.group_members(every)).filter("section in ('node', 'edge')")
+    return N.graph_summary(every, edges, G.group_members(every))
 
 
 # --- assets

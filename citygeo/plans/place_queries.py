@@ -36,7 +36,9 @@ def query(sql: str | None = None):
 # --- rasters
 
 _STEP, _SIDE, _ACROSS = world_queries._STEP, world_queries._SIDE, world_queries._ACROSS
+_wide = lambda spark: spark.createDataFrame([_WIDE], "region_key string, min_lat double, min_lon double, max_lat double, max_lon double")
 _MICRO = lambda x: f"cast(floor({x} * 1e6 + 0.5) as bigint)"
+_WIDE = ("all", 2.975, 77.0, 22.975, 93.0)  # a region that holds the lens and all tiles
 # Tiles with their box, number of lines and range of heights.
 _TILES = f"""with {world_queries._DEM}, tile as (select 't' || tile as tile_id, tile, max(r) + 1 as h, {world_queries._LAT0}::double - {world_queries._SOUTH} as north, {world_queries._LON0}::double + {world_queries._EASTWARD} as west,
  min(elev) filter (where elev > -9000) as low, max(elev) as high from dem group by tile)"""
@@ -70,7 +72,7 @@ select tile_id, {MM('2 * (a + b)')} as length_mm, cast(floor(a * b + 0.5) as big
  case when high > low then '' else 'node.terrain.norelief' end as flags from m""")
 def terrain_nodes(spark, d):
     pixels, tiles = world_queries.dem(spark, d)
-    own = G.terrain_nodes(tiles, dem_stats(pixels, tiles), "all", 12.975)
+    own = G.terrain_nodes(tiles, dem_stats(pixels, tiles), _wide(spark))
     metric = lambda k: F.col(f"metrics.{k}")
     return own.select(
         F.col("name").alias("tile_id"), scaled(metric("length_m")).alias("length_mm"), scaled(metric("area_m2"), 1).alias("area_m2"), scaled(metric("centroid.lat"), 1_000_000).alias("lat_u"), scaled(metric("centroid.lon"), 1_000_000).alias("lon_u"),
@@ -113,10 +115,15 @@ def region_keys(spark, d):
 # --- graph and settings
 
 
-@query(BASE + """select node_type, count(*) as nodes, case node_type when 'Building' then 1 when 'RoadSegment' then 2 when 'WaterBody' then 4 when 'Waterway' then 5 when 'VegetationArea' then 6 when 'LanduseZone' then 7
- when 'LeisureArea' then 8 when 'Railway' then 9 when 'Barrier' then 10 when 'PowerLine' then 11 when 'Amenity' then 12 end::bigint as position from node group by node_type""")
+@query(BASE + f""", {_TILES.removeprefix('with ')}, kinds as (select node_type from node union all select 'Junction' from jun union all select 'TerrainTile' from tile)
+select node_type, count(*) as nodes, case node_type when 'Building' then 1 when 'RoadSegment' then 2 when 'WaterBody' then 4 when 'Waterway' then 5 when 'VegetationArea' then 6 when 'LanduseZone' then 7
+ when 'Junction' then 3 when 'LeisureArea' then 8 when 'Railway' then 9 when 'Barrier' then 10 when 'PowerLine' then 11 when 'Amenity' then 12 when 'TerrainTile' then 13 end::bigint as position from kinds group by node_type""")
 def present_types(spark, d):
-    return N.present_types(map_queries.nodes(spark, d)).select("node_type", "nodes", F.col("position").cast("long").alias("position"))
+    pixels, tiles = world_queries.dem(spark, d)
+    region = _wide(spark)
+    terrain = G.terrain_nodes(tiles, dem_stats(pixels, tiles), region)
+    graph = G.build_city_graph(map_queries.placed(spark, d), region, map_queries.MID, terrain=terrain)
+    return N.present_types(graph["nodes"]).select("node_type", "nodes", F.col("position").cast("long").alias("position"))
 
 
 _PRESET = "preset(category, kelvin) as (values " + ", ".join(f"('{c}', {t}::double)" for c, t in zip(K.CATEGORIES, H.PRESETS["afternoon"])) + ")"
