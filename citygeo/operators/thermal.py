@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from citygeo.functions.numbers import clamp
 from citygeo.operators.materials import CATEGORIES, resolve_materials, with_material_props
@@ -84,17 +89,116 @@ def step_k(temp: Column, net: Column, capacity: Column, seconds: Column) -> Colu
     return clamp(temp + clamp(net / capacity * seconds, -STEP_K, STEP_K), MIN_K, MAX_K)
 
 
-def zone_temperatures(zones: DataFrame, readings: DataFrame) -> DataFrame:
-    """zone_id, temp_k after all readings of the zone in time order. readings: (zone_id, ts, dt_s, irradiance, sun, ambient_k, sky_k,
-    wind). A zone without readings keeps its temperature. Readings of a zone are gathered once, in its own row."""
-    series = readings.groupBy("zone_id").agg(F.array_sort(F.collect_list(F.struct("ts", "dt_s", *READING))).alias("series"))
-    capacity = F.col("density") * F.col("specific_heat") * F.col("thickness_m")
+CONSTANTS = ["emissivity", "absorptivity", "density", "specific_heat", "thickness_m"]
+
+
+def step_all(temp: np.ndarray, constants: dict[str, np.ndarray], facing: np.ndarray, r: dict[str, np.ndarray]) -> np.ndarray:
+    """One step of many zones at once: ``net_flux`` and ``step_k`` over arrays, with the share of the sun that each zone faces."""
+    net = constants["absorptivity"] * r["irradiance"] * facing - constants["emissivity"] * SIGMA * (temp**4 - r["sky_k"] ** 4) - (5.7 + 3.8 * np.maximum(r["wind"], 0.0)) * (temp - r["ambient_k"])
+    change = net / (constants["density"] * constants["specific_heat"] * constants["thickness_m"]) * r["dt_s"]
+    return np.clip(temp + np.clip(change, -STEP_K, STEP_K), MIN_K, MAX_K)
+
+
+def facing_share(normal: np.ndarray, sun: np.ndarray) -> np.ndarray:
+    """Share of the sun's light that falls on surfaces; both arguments have a row of three numbers for each."""
+
+    def unit(v: np.ndarray) -> np.ndarray:
+        length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return np.where(length > 1e-8, v / np.where(length > 1e-8, length, 1.0), 0.0)
+
+    return np.maximum(-(unit(normal) * unit(sun)).sum(axis=1), 0.0)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    """Arrays of three numbers as rows; null and shorter ones are zero."""
+    column = column.cast(pa.large_list(pa.float64()))
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    out = np.zeros((len(column), 3))
+    owner = np.repeat(np.arange(len(column)), size)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False))
+    out[owner[at < 3], at[at < 3]] = flat[at < 3]
+    return out
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by zone, then the zone itself before its readings, these by time. Steps of a batch go over all its zones at once; the
+    last zone of a batch is carried on as its temperature and constants alone."""
+    carried: dict | None = None  # of the last zone: temp, constants, normal, time of the last reading, and its id and category as arrays
+
+    def finished(zone: pa.Array, category: pa.Array, temp: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([zone, category, pa.array(temp)], ["zone_id", "category", "temp_k"])
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        col = {name: batch.column(name) for name in batch.schema.names}
+        zone, reading = col["zone_id"], col["reading"].to_numpy(zero_copy_only=False)
+        new = np.r_[True, pc.not_equal(zone.slice(1), zone.slice(0, n - 1)).to_numpy(zero_copy_only=False)] if n > 1 else np.ones(1, bool)
+        goes_on = carried is not None and zone[0] == carried["zone"][0]
+        if carried is not None and not goes_on:
+            yield finished(carried["zone"], carried["category"], np.array([carried["temp"]]))
+        first = np.flatnonzero(new)
+        seg = np.cumsum(new) - 1
+        known = ~reading[first]
+        number = lambda name: col[name].to_numpy(zero_copy_only=False)
+        temp, normal = number("temp_k")[first], _vectors(col["normal"].take(pa.array(first)))
+        constants = {name: number(name)[first] for name in CONSTANTS}
+        names = col["category"].take(pa.array(first))
+        if goes_on:
+            known[0], temp[0], normal[0] = True, carried["temp"], carried["normal"]
+            for name in CONSTANTS:
+                constants[name][0] = carried["constants"][name]
+        ts = col["ts"].cast(pa.int64()).fill_null(-1).to_numpy()
+        fresh = np.r_[not goes_on or carried["ts"] is None or ts[0] != carried["ts"], new[1:] | (ts[1:] != ts[:-1]) | ~reading[:-1]]
+        rows = np.flatnonzero(reading & fresh & known[seg])
+        own = seg[rows]
+        r = {name: number(name)[rows] for name in ("dt_s", "irradiance", "ambient_k", "sky_k", "wind")}
+        facing = facing_share(normal[own], _vectors(col["sun"].take(pa.array(rows))))
+        begins = np.flatnonzero(np.r_[True, np.diff(own) != 0]) if len(own) else np.zeros(0, np.int64)
+        counts = np.diff(np.r_[begins, len(own)])
+        for k in range(int(counts.max()) if len(counts) else 0):
+            if k:
+                begins, counts = begins[counts > k], counts[counts > k]
+            at = begins + k
+            z = own[at]
+            temp[z] = step_all(temp[z], {name: v[z] for name, v in constants.items()}, facing[at], {name: v[at] for name, v in r.items()})
+        done = np.flatnonzero(known[:-1])
+        if len(done):
+            category = names.take(pa.array(done))
+            if goes_on and done[0] == 0:
+                category = pa.concat_arrays([carried["category"], category.slice(1)])
+            yield finished(zone.take(pa.array(first[done])), category, temp[done])
+        if known[-1]:
+            only = goes_on and len(first) == 1
+            seen = rows[own == len(first) - 1]
+            carried = {
+                "zone": zone.slice(first[-1], 1), "category": carried["category"] if only else names.slice(len(first) - 1, 1), "temp": float(temp[-1]), "normal": normal[-1],
+                "constants": {name: float(v[-1]) for name, v in constants.items()}, "ts": int(ts[seen[-1]]) if len(seen) else carried["ts"] if only else None,
+            }
+        else:
+            carried = None
+    if carried is not None:
+        yield finished(carried["zone"], carried["category"], np.array([carried["temp"]]))
 
-    def step(temp: Column, r: Column) -> Column:
-        return step_k(temp, net_flux(temp, F.col("emissivity"), F.col("absorptivity"), F.col("normal"), r)["net"], capacity, r["dt_s"])
 
-    last = F.when(F.col("series").isNull(), F.col("temp_k")).otherwise(F.aggregate("series", F.col("temp_k"), step))
-    return zones.join(series, "zone_id", "left").select("zone_id", "category", last.alias("temp_k"))
+def zone_temperatures(zones: DataFrame, readings: DataFrame) -> DataFrame:
+    """zone_id, category, temp_k after all readings of the zone in time order. zones: one row a zone with category, temp_k, normal and
+    the constants; readings: (zone_id, ts, dt_s, irradiance, sun, ambient_k, sky_k, wind).
+
+    A reading counts once: of several of a zone at one time, the least by their columns. A zone without readings keeps its temperature;
+    readings of no zone, and rows without zone_id or ts, are left out. Zones and readings are dealt by zone in one exchange and
+    sorted in it, so what a task holds of a zone is its temperature, however many readings there are.
+    """
+    taken = ["dt_s", *READING]
+    nothing = lambda df, names: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
+    state = ["category", "temp_k", "normal", *CONSTANTS]
+    own = zones.select("zone_id", F.lit(False).alias("reading"), *nothing(readings, ["ts", *taken]), *state)
+    met = readings.filter("ts is not null").select("zone_id", F.lit(True).alias("reading"), "ts", *taken, *nothing(zones, state))
+    rows = own.unionByName(met).filter("zone_id is not null").repartition("zone_id").sortWithinPartitions("zone_id", "reading", "ts", *taken)
+    schema = StructType([StructField("zone_id", zones.schema["zone_id"].dataType), zones.schema["category"], StructField("temp_k", DoubleType())])
+    return rows.mapInArrow(_folded, schema)
 
 
 def zones_near(zones: DataFrame, sensors: DataFrame, range_m: float) -> DataFrame:

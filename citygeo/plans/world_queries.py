@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,11 @@ from citygeo.operators import materials as K
 from citygeo.operators import mesh as M
 from citygeo.operators import terrain as E
 from citygeo.operators import thermal as H
-from citygeo.operators.cut import cut
+from citygeo.operators.cut import checkpoint_folder, cut
 from citygeo.operators.quality import dem_stats
 from citygeo.plans.map_queries import BASE, MID, MM, nodes
 from citygeo.sources import lens
+from citygeo.streaming.thermal_stream import zone_temperatures_stream as zone_temperatures_stream_of
 
 QUERIES, ORACLES = {}, {}
 
@@ -115,16 +117,38 @@ def zone_flux(spark, d):
     return own.select("event_id", "category", *[scaled(F.col(f"flux.{k}")).alias(f"{k}_mw") for k in ("solar", "convective", "radiative")])
 
 
-@query(f"""with recursive {_ENV}, {_PROPS}, r as (select *, row_number() over (partition by zone_id order by ts, 600.0, irradiance, event_id) as k from env),
+_LAST_TEMPS = f"""with recursive {_ENV}, {_PROPS}, one as (select * from env qualify row_number() over (partition by zone_id, ts order by event_id % 5) = 1), r as (select *, row_number() over (partition by zone_id order by ts) as k from one),
 t(zone_id, k, temp) as (select u.zone_id, 0::bigint, base_temp_k from (select distinct zone_id from env) u join props p on p.code = zone_id % 15 + 1
  union all select t.zone_id, r.k, least(greatest(temp + least(greatest((absorptivity * irradiance * case when h < 6 or h > 18 then 0 else sin((h - 6) / 12 * pi()) end - emissivity * 5.670374419e-8::double * (temp * temp * temp * temp - power(ambient_k - 10, 4))
  - (5.7::double + 3.8::double * (event_id % 5)) * (temp - ambient_k)) / (density * specific_heat * thickness_m) * 600, -50), 50), 220), 420) from t join r on r.zone_id = t.zone_id and r.k = t.k + 1 join props p on p.code = t.zone_id % 15 + 1)
-select zone_id, cast(floor(arg_max(temp, k) * 100 + 0.5) as bigint) as temp_ck from t group by zone_id""")
+select zone_id, cast(floor(arg_max(temp, k) * 100 + 0.5) as bigint) as temp_ck from t group by zone_id"""
+
+
+@query(_LAST_TEMPS)
 def zone_temperatures(spark, d):
     own = readings(spark, d)
     return H.zone_temperatures(zones(spark, d), own).select("zone_id", scaled(F.col("temp_k"), 100).alias("temp_ck"))
 
 
+@query(_LAST_TEMPS)
+def zone_temperatures_stream(spark, d):
+    """The same over a stream of two batches: all readings, shuffled, and one of a zone of its own much later, which ends the waiting."""
+    folder = f"{checkpoint_folder(spark)}/readings-{uuid.uuid4().hex}"
+    own = readings(spark, d).select("zone_id", "ts", "dt_s", *H.READING)
+    last = own.agg(F.max("ts").alias("ts")).filter("ts is not null")  # one row
+    last = last.select(F.lit(-1).cast(own.schema["zone_id"].dataType).alias("zone_id"), (F.col("ts") + F.expr("interval 100 days")).alias("ts"), *[F.lit(0.0).alias("dt_s") if c == "dt_s" else F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ["dt_s", *H.READING]])
+    own.write.parquet(f"{folder}/in/k=0")
+    last.write.parquet(f"{folder}/in/k=1")
+    every = zones(spark, d)
+    every = every.unionByName(every.limit(1).withColumn("zone_id", F.lit(-1).cast(every.schema["zone_id"].dataType)))
+    stream = spark.readStream.schema(own.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
+    found = zone_temperatures_stream_of(every, stream, "50 days")
+    run = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = spark.read.schema(found.schema).parquet(f"{folder}/out").filter("zone_id >= 0")
+    return out.groupBy("zone_id").agg(F.max_by("temp_k", "ts").alias("temp_k")).select("zone_id", scaled(F.col("temp_k"), 100).alias("temp_ck"))
+
+
 @query(_MATERIAL + f", {_PROPS}, z as (select wall as category from mat where kind < 2 union all select roof from mat where kind < 2 union all select wall from mat where kind >= 2) select p.code::int as code, p.category, count(z.category) as zones, cast(floor(case when count(z.category) > 0 then base_temp_k else 293.15 end * 1000 + 0.5) as bigint) as temp_mk from props p left join z on z.category = p.category group by p.code, p.category, base_temp_k")
 def category_temps(spark, d):
     return H.category_temps(H.thermal_zones(nodes(spark, d))).select("code", "category", "zones", scaled(F.col("temp_k")).alias("temp_mk"))

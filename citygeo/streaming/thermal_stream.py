@@ -1,4 +1,9 @@
-"""Zone temperatures over a stream of readings: the state of a zone is its last temperature and time."""
+"""Zone temperatures over a stream of readings, with state by zone and timers in event time.
+
+Readings may come late, up to the watermark's delay, in any order and more than once. They wait in a map by time until the
+watermark has passed them, then a timer folds them in time order: the state that stays is one temperature, the time of
+the last reading folded, and a count. So a stream ends with the temperatures that ``zone_temperatures`` gives over the same readings.
+"""
 
 from __future__ import annotations
 
@@ -7,39 +12,79 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from citygeo.operators.thermal import MAX_K, MIN_K, SIGMA, STEP_K
+from citygeo.operators.thermal import CONSTANTS, facing_share, step_all
 
 OUT = "zone_id long, ts timestamp, temp_k double, readings long"
-STATE = "temp_k double, ts timestamp, readings long"
+NUMBERS = ["dt_s", "irradiance", "sun_x", "sun_y", "sun_z", "ambient_k", "sky_k", "wind"]
+ZONE = ["temp_k", *CONSTANTS, "normal_x", "normal_y", "normal_z"]
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DUE_US = 60_000_000  # waiting readings are looked at once for each minute of event time
+
+
+class ZoneTemperature(StatefulProcessor):
+    """State of a zone: its last temperature, its constants, and the readings that wait for the watermark."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "temp_k double, ts long, readings long")
+        self.zone = handle.getValueState("zone", ", ".join(f"{c} double" for c in ZONE))
+        self.waiting = handle.getMapState("waiting", "ts long", ", ".join(f"{c} double" for c in NUMBERS))
 
-def advance(temp: float, row, zone) -> float:
-    """One step, as in operators.thermal."""
-    unit = lambda v: v / n if (n := np.linalg.norm(v)) > 1e-8 else v * 0
-    facing = max(0.0, -float(unit(np.asarray(zone.normal, float)) @ unit(np.asarray(row.sun, float))))
-    net = zone.absorptivity * row.irradiance * facing - zone.emissivity * SIGMA * (temp**4 - row.sky_k**4) - (5.7 + 3.8 * max(row.wind, 0.0)) * (temp - row.ambient_k)
-    change = net / (zone.density * zone.specific_heat * zone.thickness_m) * row.dt_s
-    return float(np.clip(temp + np.clip(change, -STEP_K, STEP_K), MIN_K, MAX_K))
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        before = self.last.get()[1] if self.last.exists() else None
+        due = set()
+        for frame in rows:
+            if not self.zone.exists():
+                self.zone.update(tuple(float(v) for v in frame.iloc[0][ZONE]))
+            frame = frame.sort_values(["ts_us", *NUMBERS], kind="stable").drop_duplicates("ts_us")
+            for ts, *numbers in zip(frame["ts_us"].tolist(), *(frame[c].tolist() for c in NUMBERS)):
+                if before is not None and ts <= before:
+                    continue  # told again, or later than the watermark allows
+                at, numbers = (ts,), tuple(numbers)
+                if not self.waiting.containsKey(at) or numbers < tuple(self.waiting.getValue(at)):
+                    self.waiting.updateValue(at, numbers)
+                due.add(-(-ts // DUE_US) * (DUE_US // 1000))
+        for ms in sorted(due):
+            self.handle.registerTimer(ms)
+        return iter([])
 
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        ready = sorted(k[0] for k in self.waiting.keys() if k[0] <= until)
+        if not ready:
+            return
+        zone = dict(zip(ZONE, self.zone.get()))
+        temp, _, n = self.last.get() if self.last.exists() else (zone["temp_k"], None, 0)
+        series = np.array([tuple(self.waiting.getValue((ts,))) for ts in ready], float)
+        normal = np.array([[zone["normal_x"], zone["normal_y"], zone["normal_z"]]])
+        facing = facing_share(np.repeat(normal, len(series), axis=0), series[:, 2:5])
+        constants = {c: np.array([zone[c]]) for c in CONSTANTS}
+        state = np.array([temp])
+        for row, share in zip(series, facing):
+            numbers = dict(zip(NUMBERS, row))
+            state = step_all(state, constants, share, numbers)
+        for ts in ready:
+            self.waiting.removeKey((ts,))
+        self.last.update((float(state[0]), ready[-1], n + len(ready)))
+        yield pd.DataFrame({"zone_id": [key[0]], "ts": [pd.Timestamp(ready[-1], unit="us")], "temp_k": [float(state[0])], "readings": [n + len(ready)]})
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("ts")
-    temp, last, n = state.get if state.exists else (float(rows["temp_k"].iloc[0]), None, 0)
-    for row in rows.itertuples():
-        if last is None or row.ts > last:  # a reading at or before the last one is late
-            temp, last, n = advance(temp, row, row), row.ts, n + 1
-    state.update((temp, last, n))
-    yield pd.DataFrame({"zone_id": [key[0]], "ts": [last], "temp_k": [temp], "readings": [n]})
+    def close(self) -> None:
+        pass
 
 
 def zone_temperatures_stream(zones: DataFrame, readings: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Latest temperature of each zone that got readings, in update mode.
+    """A row for each zone and minute of event time that the watermark has passed: zone_id, ts of the last reading, temp_k, readings so far.
 
     readings is a stream of (zone_id, ts, dt_s, irradiance, sun, ambient_k, sky_k, wind); zones is a static table with temp_k at the
-    start and the constants. Readings older than the watermark are dropped; within a batch they are taken in time order.
+    start and the constants. Readings later than the watermark are dropped; of several of a zone at one time the least counts.
+    Append mode. State lies in RocksDB, so it may outgrow an executor's memory; the session's state store is set to it.
     """
-    constants = zones.select("zone_id", "temp_k", "emissivity", "absorptivity", "density", "specific_heat", "thickness_m", "normal")
-    own = readings.withWatermark("ts", late).join(constants, "zone_id")
-    return own.groupBy("zone_id").applyInPandasWithState(_update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    axis = lambda v: [F.coalesce(F.get(v, F.lit(i)), F.lit(0.0)).alias(f"{v}_{k}") for i, k in enumerate("xyz")]
+    constants = zones.select("zone_id", "temp_k", *CONSTANTS, *axis("normal"))
+    own = readings.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).join(constants, "zone_id")
+    numbers = ["zone_id", "ts", F.unix_micros("ts").alias("ts_us"), "dt_s", "irradiance", *axis("sun"), "ambient_k", "sky_k", "wind", *ZONE]
+    return own.select(*numbers).groupBy("zone_id").transformWithStateInPandas(ZoneTemperature(), OUT, "append", "eventTime")

@@ -17,7 +17,6 @@ from citygeo.operators import region as R
 from citygeo.operators import terrain as E
 from citygeo.operators import thermal as H
 from citygeo.sources import dem, osm_xml, store
-from citygeo.streaming.thermal_stream import zone_temperatures_stream
 
 POINTS = "array<struct<lat: double, lon: double>>"
 
@@ -152,19 +151,6 @@ def test_asphalt_after_three_hours(spark):
     assert 300 < t[1] < 330 and t[1] > t[2] + 5
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    zones = K.with_material_props(spark.createDataFrame([(1, "Asphalt"), (2, "Soil")], "zone_id long, category string")).withColumns({"normal": F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)), "temp_k": F.lit(293.15)})
-    readings = spark.range(40).select((F.col("id") % 2 + 1).alias("zone_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.lit(60.0).alias("dt_s"), (F.lit(500.0) + F.col("id")).alias("irradiance"), F.array(F.lit(0.0), F.lit(0.0), F.lit(-1.0)).alias("sun"), F.lit(300.0).alias("ambient_k"), F.lit(285.0).alias("sky_k"), F.lit(1.0).alias("wind"))
-    for k in range(4):
-        readings.filter(f"unix_timestamp(ts) div 600 = {k}").coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
-    source = spark.readStream.schema(readings.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    query = zone_temperatures_stream(zones, source, "1 day").writeStream.outputMode("update").format("memory").queryName("zone_stream").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    last = {r.zone_id: (r.temp_k, r.readings) for r in spark.table("zone_stream").orderBy("ts").collect()}
-    batch = {r.zone_id: r.temp_k for r in H.zone_temperatures(zones, readings).collect()}
-    assert all(last[z][1] == 20 and abs(last[z][0] - batch[z]) < 1e-6 for z in batch)
-
-
 def test_weights_are_met(spark):
     rules = spark.createDataFrame([(1, 1, "RoadSegment", "", 5, False)], "rule_id int, rule_order int, node_type string, subtype string, seed long, per_corridor boolean")
     choices = spark.createDataFrame([(1, 0, "a", "A", 3.0), (1, 1, "b", "B", 1.0)], "rule_id int, idx int, asset string, label string, weight double")
