@@ -282,20 +282,80 @@ def coordinate_issues(spark, d):
     return V.coord_issues(own).select("code", "message", "element_id")
 
 
-@query(BASE + f""", {_REG}, e as (select (min(lat_u)) / 1e6 as a0, min(lon_u) / 1e6 as b0, max(lat_u) / 1e6 as c0, max(lon_u) / 1e6 as d0 from lens_nodes)
-select region_key as scope, 'osm.bounds.oversized' as code from regs, e where (c0 - a0) * 111.32 * (d0 - b0) * 111.32 * cos(radians((a0 + c0) / 2)) > 3 * (c - a) * 111.32 * (d - b) * 111.32 * cos(radians((a + c) / 2)) and not (c0 < a or a0 > c or d0 < b or b0 > d)""")
+# Two cities in one table, a tenth of a degree apart (the second is the first moved east), each with its region and quarters.
+_TOWN = 100_000
+_TWO = BASE + f""", {_REG}, town as (select lat_u, lon_u + {_TOWN} * k as lon_u, k from lens_nodes, range(2) t(k)),
+e as (select k, min(lat_u) / 1e6 as a0, min(lon_u) / 1e6 as b0, max(lat_u) / 1e6 as c0, max(lon_u) / 1e6 as d0 from town group by k),
+areas as (select region_key || k as scope, k, a, b + k * {_TOWN / 1e6!r}::double as b, c, d + k * {_TOWN / 1e6!r}::double as d from regs, range(2) t(k)),
+over as (select scope from areas join e using (k) where (c0 - a0) * 111.32 * (d0 - b0) * 111.32 * cos(radians((a0 + c0) / 2)) > 3 * (c - a) * 111.32 * (d - b) * 111.32 * cos(radians((a + c) / 2)))"""
+
+
+def two_towns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, references and regions of two cities; ids of the second are negative."""
+    own, refs, regions = lens.osm_nodes(spark, d), lens.way_nodes(spark, d), lens.regions(spark)
+    moved = own.withColumns({"id": -1 - F.col("id"), "lon": F.col("lon") + _TOWN / 1e6})
+    refs = refs.unionByName(refs.select((-1 - F.col("way_id")).alias("way_id"), "seq", (-1 - F.col("node_id")).alias("node_id")))
+    areas = regions.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    areas = areas.select(F.concat("region_key", "k").alias("region_key"), "min_lat", (F.col("min_lon") + F.col("k") * _TOWN / 1e6).alias("min_lon"), "max_lat", (F.col("max_lon") + F.col("k") * _TOWN / 1e6).alias("max_lon"))
+    return own.unionByName(moved), refs, areas
+
+
+@query(_TWO + """ select scope, 'osm.bounds.oversized' as code from over union all select 'sea', 'osm.bounds.disjoint' union all select 'dot', 'osm.region.invalid'""")
 def region_bounds_issues(spark, d):
-    return V.bounds_issues(lens.osm_nodes(spark, d), lens.regions(spark)).select("scope", "code")
+    """Neither city makes the other's regions too small; a region at sea has no data, and a dot is no region."""
+    own, refs, areas = two_towns(spark, d)
+    odd = spark.createDataFrame([("sea", 10.0, 60.0, 10.02, 60.02), ("dot", 12.97, 77.6, 12.97, 77.6)], areas.schema)
+    return V.bounds_issues(own, areas.unionByName(odd), refs).select("scope", "code")
+
+
+@query(BASE + """, n as (select case when node_id % 2 = 0 then 'even' else 'odd' end as source, count(*) as n from lens_nodes group by 1), w as (select case when way_id % 4 = 0 then 'even' else 'only ways' end as source, count(*) as n from lens_way group by 1)
+select coalesce(n.source, w.source) as scope, case when n.n is null then 'osm.nodes.none' else 'osm.ways.none' end as code from n full join w on n.source = w.source where n.n is null or w.n is null union all select 'bare', 'osm.nodes.none'""")
+def source_count_issues(spark, d):
+    """Gates by source: files with nodes alone, with ways alone, and with nothing."""
+    own = lens.osm_nodes(spark, d).withColumn("file", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
+    ways = lens.way_tags(spark, d).withColumn("file", F.when(F.col("way_id") % 4 == 0, "even").otherwise("only ways"))
+    return V.parsed_counts_issues(own, ways, "file", sources=spark.createDataFrame([("bare",), ("odd",)], "source string")).select("scope", "code")
+
 
+# Five regions: a raster without heights lies under the first two, and a whole one under the first and the third; the fourth has no data; the
+# fifth has data, but no raster covers enough of it.
+_IMPORTS = [("west", 12.97, 77.602, 12.98, 77.6055), ("mid", 12.97, 77.6055, 12.98, 77.6065), ("east", 12.97, 77.607, 12.98, 77.611), ("sea", 10.0, 60.0, 10.02, 60.02), ("rim", 12.97, 77.6117, 12.98, 77.6137)]
 
-@query(BASE + f""", {_REG}, e as (select (min(lat_u)) / 1e6 as a0, min(lon_u) / 1e6 as b0, max(lat_u) / 1e6 as c0, max(lon_u) / 1e6 as d0 from lens_nodes)
-select region_key as scope, 'Warning' as severity, 'osm.bounds.oversized' as code, 1 as stage from regs, e where (c0 - a0) * 111.32 * (d0 - b0) * 111.32 * cos(radians((a0 + c0) / 2)) > 3 * (c - a) * 111.32 * (d - b) * 111.32 * cos(radians((a + c) / 2))
-union all select 'all', 'Warning', 'osm.refs.dangling', 1 from (select count(*) as n from st where n_pts < n_refs) x where n > 0 union all select 'all', 'Warning', 'import.dem.absent', 2""")
+
+def import_tiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rasters of half the parts each: void has no heights, whole has."""
+    k = F.col("p_partkey").cast("long")
+    parts = spark.read.parquet(f"{d}/part.parquet").select(F.when(k % 2 == 0, "void").otherwise("whole").alias("tile_id"), F.floor(k / 2).alias("i"))
+    pixels = parts.select("tile_id", F.floor(F.col("i") / 10).cast("int").alias("row"), (F.col("i") % 10).cast("int").alias("col"), F.when(F.col("tile_id") == "void", -9999.0).otherwise(900.0 + F.col("i") % 40).cast("float").alias("elev"))
+    west, wide = F.when(F.col("tile_id") == "void", 77.59).otherwise(77.60), F.when(F.col("tile_id") == "void", 0.0166).otherwise(0.0125)
+    gt = F.array(west, wide / 10, F.lit(0.0), F.lit(12.985), F.lit(0.0), F.lit(-0.02) / F.col("height"))
+    tiles = pixels.groupBy("tile_id").agg((F.max("row") + 1).alias("height")).select("tile_id", F.lit(10).alias("width"), "height", gt.alias("gt"), F.lit(-9999.0).alias("nodata"), F.lit(True).alias("has_nodata"))
+    return cut(tiles), cut(pixels)
+
+
+_IMPORT_SQL = BASE + ", regs(region_key, a, b, c, d) as (values " + ", ".join(f"('{k}', {', '.join(f'{v}::double' for v in box)})" for k, *box in _IMPORTS) + """), e as (select (min(lat_u)) / 1e6 as a0, min(lon_u) / 1e6 as b0, max(lat_u) / 1e6 as c0, max(lon_u) / 1e6 as d0 from lens_nodes)"""
+
+
+@query(_IMPORT_SQL + """ select region_key as scope, 'Warning' as severity, 'osm.bounds.oversized' as code, 3 as stage from regs, e where region_key <> 'sea' and (c0 - a0) * 111.32 * (d0 - b0) * 111.32 * cos(radians((a0 + c0) / 2)) > 3 * (c - a) * 111.32 * (d - b) * 111.32 * cos(radians((a + c) / 2))
+union all select 'sea', 'Fatal', 'osm.bounds.disjoint', 3 union all select 'all', 'Warning', 'osm.refs.dangling', 4 from (select count(*) as n from st where n_pts < n_refs) x where n > 0
+union all select 'void', 'Fatal', 'tif.elevation.allnodata', 5 union all select 'rim', 'Fatal', 'cross.dem.coverage.insufficient', 6""")
 def import_issues(spark, d):
-    issues, _ = V.import_report(lens.osm_nodes(spark, d), lens.way_nodes(spark, d), features(spark, d), lens.regions(spark))
+    """The raster without heights stops the regions that it lies under, whatever else covers them; others go on."""
+    regions = spark.createDataFrame(_IMPORTS, lens.regions(spark).schema)
+    found = C.clip_features(features(spark, d), regions)
+    tiles, pixels = import_tiles(spark, d)
+    issues, _ = V.import_report(lens.osm_nodes(spark, d), lens.way_nodes(spark, d), found, regions, tiles, pixels)
     return issues.select("scope", "severity", "code", "stage")
 
 
+@query(_IMPORT_SQL + """ select region_key, feature_type, count(*) as features from regs join feat on true where exists (select 1 from pts where pts.way_id = feat.way_id
+ and lat_u / 1e6 between a - 0.001::double and c + 0.001::double and lon_u / 1e6 between b - 0.001::double and d + 0.001::double) group by region_key, feature_type""")
+def import_feature_counts(spark, d):
+    regions = spark.createDataFrame(_IMPORTS, lens.regions(spark).schema)
+    found = C.clip_features(features(spark, d), regions)
+    return V.import_report(lens.osm_nodes(spark, d), lens.way_nodes(spark, d), found, regions)[1]
+
+
 @query("""with e as (select user_id % 10 as scope, case event_type when (select min(event_type) from events) then 'Fatal' else 'Warning' end as severity, event_type as code from events)
 select cast(scope as varchar) as scope, count(*) filter (where severity = 'Fatal') as n_fatal, count(*) filter (where severity = 'Warning') as n_warning, count(*) filter (where severity = 'Info') as n_info,
  min(code) filter (where severity = 'Fatal') as first_fatal, min(code) filter (where severity = 'Warning') as first_warning, count(*) filter (where severity = 'Fatal') = 0 as accepted from e group by scope""")

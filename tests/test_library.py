@@ -63,7 +63,7 @@ def test_file_gate(spark, tmp_path):
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
     found = {r.scope.rsplit("/", 1)[-1]: r.code for r in V.osm_file_issues(spark, str(tmp_path)).collect()}
-    assert found == {"empty.osm": "osm.file.empty", "tiny.osm": "osm.file.tiny", "wide.osm": "osm.encoding.utf16", "html.osm": "osm.root.missing", "cut.osm": "osm.file.truncated"}
+    assert found == {"empty.osm": "osm.file.empty", "tiny.osm": "osm.file.truncated", "wide.osm": "osm.encoding.utf16", "html.osm": "osm.root.missing", "cut.osm": "osm.file.truncated"}
 
 
 def tiff(values, width, compression=1, scale=1 / 3600, geo_tags=True, bands=1):
@@ -197,10 +197,17 @@ def test_cache_decision(spark):
 
 
 def test_cross_file_gate(spark):
-    nodes = spark.createDataFrame([(1, 12.97, 77.60), (2, 12.98, 77.61)], "id long, lat double, lon double")
-    tile = lambda lon, w: spark.createDataFrame([("t", w, 100, [lon, 0.001, 0.0, 13.0, 0.0, -0.001], -1.0, True)], "tile_id string, width int, height int, gt array<double>, nodata double, has_nodata boolean")
-    code = lambda *a: [r.code for r in V.cross_file_issues(nodes, tile(*a)).collect()]
-    assert code(77.5, 200) == [] and code(10.0, 10) == ["cross.disjoint"] and code(77.5, 105) == ["cross.coverage.low"]
+    box = "region_key string, min_lat double, min_lon double, max_lat double, max_lon double"
+    regions, seen = (spark.createDataFrame([("r", *b)], box) for b in ((12.97, 77.60, 12.98, 77.61), (12.971, 77.601, 12.979, 77.609)))
+    tile = lambda name, lon, w, lat=13.0, h=100: (name, w, h, [lon, 0.001, 0.0, lat, 0.0, -0.001], -1.0, True)
+    schema = "tile_id string, width int, height int, gt array<double>, nodata double, has_nodata boolean"
+    code = lambda *tiles: sorted((r.scope, r.code) for r in V.cross_file_issues(seen, regions, spark.createDataFrame(list(tiles), schema)).collect())
+    assert code(tile("t", 77.5, 200)) == [] and code(tile("t", 10.0, 10)) == [("r", "cross.files.disjoint")]
+    assert code(tile("t", 77.5, 105)) == [("r", "cross.dem.coverage.insufficient")] and code(tile("t", 77.6005, 200)) == [("r", "cross.dem.coverage.partial")]
+    # several rasters cover a region together, overlaps once
+    assert code(tile("a", 77.5, 105), tile("b", 77.603, 200)) == [] and code(tile("a", 77.5, 104), tile("b", 77.602, 4), tile("c", 77.606, 100)) == []
+    assert code(tile("a", 77.5, 105), tile("b", 77.5, 104)) == [("r", "cross.dem.coverage.insufficient")]
+    assert code(tile("t", 77.5, 200), tile("flat", 77.5, 0)) == [("flat", "cross.dem.bounds.invalid")]
 
 
 def test_regions(spark):
