@@ -12,6 +12,7 @@ from citygeo.functions.numbers import finite
 from citygeo.operators.components import components
 from citygeo.operators.cut import cut
 from citygeo.operators.region import BOX, box_relations, dem_coverage, region_extent, regions_from_bbox, tile_bounds
+from citygeo.sources.dem import read_files
 
 ISSUE = "scope string, severity string, code string, message string, element_id long"
 SEVERITIES = ["Fatal", "Warning", "Info"]
@@ -291,35 +292,19 @@ def import_report(nodes: DataFrame, way_nodes: DataFrame, features: DataFrame, r
     return kept, counts
 
 
-def _without_rows(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
-    """(path, code) of files that the binary source gives no row for: empty ones, and paths that are not there. A listing only."""
-    hadoop, conf, out = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), []
-    for p in paths:
-        path = hadoop.Path(p)
-        fs = path.getFileSystem(conf)
-        found = fs.globStatus(path)
-        if not found:
-            out.append((p, "osm.file.missing"))
-        for status in found or []:
-            files = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-            out += [(f.getPath().toString(), "osm.file.empty") for f in files if f.isFile() and f.getLen() == 0]
-    return out
-
-
 def osm_file_issues(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Structure of map files, one issue at most for each: missing, empty, tiny, UTF-16, no root, truncated.
-
-    Heads and tails are cut from the binary column on the JVM; files are read where they lie, one task for several.
-    """
-    gone = _without_rows(spark, [paths] if isinstance(paths, str) else paths)
-    there = [p for p in ([paths] if isinstance(paths, str) else paths) if (p, "osm.file.missing") not in gone]
-    found = spark.read.format("binaryFile").load(there) if there else spark.createDataFrame([], "path string, length long, content binary")
-    head, tail = F.substring("content", 1, 4096).cast("string"), F.expr("cast(substring(content, greatest(length(content) - 511, 1), 512) as string)")
-    first64 = F.hex(F.substring("content", 1, 64))
-    bom = F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
+    """Structure of map files, one issue at most for each: missing, empty, truncated, UTF-16, no root. Of each file its first 4,096
+    and last 512 bytes are read."""
+    found = read_files(spark, paths, "ends")
+    text = lambda c: F.decode(c, "ISO-8859-1")  # noqa: E731  what is looked for is ASCII
+    first64 = F.hex(F.substring("head", 1, 64))
+    bom = F.hex(F.substring("head", 1, 2)).isin("FFFE", "FEFF")
     zeros = F.size(F.filter(F.regexp_extract_all(first64, F.lit("(..)"), 1), lambda b: b == "00")) >= 16
-    size, path = F.col("length"), F.col("path")
-    codes = [(size < 64, "osm.file.truncated"), (bom | zeros, "osm.encoding.utf16"), (F.instr(head, "<osm") == 0, "osm.root.missing"), (F.instr(tail, "</osm>") == 0, "osm.file.truncated")]
+    size = F.col("length")
+    codes = [
+        (size.isNull(), "osm.file.missing"), (size == 0, "osm.file.empty"), (size < 64, "osm.file.truncated"), (bom | zeros, "osm.encoding.utf16"),
+        (F.instr(text("head"), "<osm") == 0, "osm.root.missing"), (F.instr(text("tail"), "</osm>") == 0, "osm.file.truncated"),
+    ]
     code = F.coalesce(*[F.when(c, F.lit(k)) for c, k in codes])
-    rows = found.select(path.alias("scope"), code.alias("code")).filter("code is not null").unionByName(spark.createDataFrame(gone, "scope string, code string"))
+    rows = found.select(F.col("path").alias("scope"), code.alias("code")).filter("code is not null")
     return rows.select("scope", F.lit("Fatal").alias("severity"), "code", F.lit("file cannot be read as a map").alias("message"), F.lit(None).cast("long").alias("element_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citygeo.plans import map_queries, place_queries, world_queries
+from citygeo.plans import file_queries, map_queries, place_queries, world_queries
 
-QUERIES: dict = map_queries.QUERIES | place_queries.QUERIES | world_queries.QUERIES
-ORACLES: dict = map_queries.ORACLES | place_queries.ORACLES | world_queries.ORACLES
+QUERIES: dict = map_queries.QUERIES | place_queries.QUERIES | world_queries.QUERIES | file_queries.QUERIES
+ORACLES: dict = map_queries.ORACLES | place_queries.ORACLES | world_queries.ORACLES | file_queries.ORACLES

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citygeo.operators.region import points_in_region, region_expand
+
 _TAG = "tag array<struct<_k: string, _v: string>>"
 SCHEMAS = {
     "node": f"_id long, _lat double, _lon double, {_TAG}",
@@ -41,22 +43,37 @@ def read_osm_xml(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame
     return _last(nodes), _last(ways).select("id", "refs", "closed", "tags"), _last(relations)
 
 
+def write_osm_xml(nodes: DataFrame, way_nodes: DataFrame, tags: DataFrame, path: str) -> None:
+    """nodes(id, lat, lon, tags), way_nodes(way_id, seq, node_id) and tags(way_id, tags) as map files under path/nodes and path/ways; each
+    part is a whole file."""
+    listed = lambda c: F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("_k"), e["value"].alias("_v"))).alias("tag")
+    save = lambda df, row, folder: df.write.format("xml").mode("overwrite").option("rootTag", "osm").option("rowTag", row).option("declaration", 'version="1.0" encoding="UTF-8"').save(f"{path}/{folder}")
+    save(nodes.select(F.col("id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), listed("tags")), "node", "nodes")
+    refs = way_nodes.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("seq", "node_id"))).alias("refs"))
+    nd = F.transform("refs", lambda r: F.struct(r["node_id"].alias("_ref"))).alias("nd")
+    save(refs.join(tags, "way_id", "left").select(F.col("way_id").alias("_id"), nd, listed("tags")), "way", "ways")
+
+
 def way_nodes(ways: DataFrame) -> DataFrame:
     """Long form: way_id, seq, node_id."""
     return ways.select(F.col("id").alias("way_id"), F.posexplode("refs").alias("seq", "node_id"))
 
 
-def extract_region(nodes: DataFrame, ways: DataFrame, relations: DataFrame, region: tuple[float, float, float, float], pad: float = 0.001) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What lies in a box: nodes in it; ways with a node in it; multipolygon relations with such a way, and their member ways; and
-    the nodes of all these ways within a padded box. Chains of semi-joins on ids."""
-    a, b, c, d = region
-    box = lambda pad: F.col("lat").between(a - pad, c + pad) & F.col("lon").between(b - pad, d + pad)
-    inside = nodes.filter(box(0.0))
-    refs = way_nodes(ways)
-    touching = refs.join(inside.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("way_id").distinct()
+def extract_region(nodes: DataFrame, ways: DataFrame, relations: DataFrame, regions: DataFrame, pad: float = 0.001) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What lies in each region, with region_key: nodes in it; ways with a node in it; multipolygon relations with such a way, and their
+    member ways; and the nodes of all these ways within a padded box. What lies in several regions has a row for each.
+
+    Regions are met on cells and once for all; from there on joins are on ids and region keys, and only ids are joined.
+    """
+    at = ["region_key", "id"]
+    places = nodes.select("id", "lat", "lon")
+    inside = points_in_region(places, regions).select(*at)
+    padded = points_in_region(places, region_expand(regions, pad)).select(*at)
+    refs = way_nodes(ways).select("way_id", F.col("node_id").alias("id"))
+    touching = refs.join(inside, "id").select("region_key", "way_id").distinct()
     members = relations.filter(F.coalesce(F.col("tags")["type"] == "multipolygon", F.lit(False))).select("id", F.explode("members").alias("m")).filter("m.type = 'way'").select("id", F.col("m.ref").alias("way_id"))
-    rel_ids = members.join(touching, "way_id", "left_semi").select("id").distinct()
-    all_ways = touching.unionByName(members.join(rel_ids, "id", "left_semi").select("way_id")).distinct()
-    kept_ways = ways.join(all_ways.select(F.col("way_id").alias("id")), "id", "left_semi")
-    near = nodes.filter(box(pad)).join(refs.join(all_ways, "way_id", "left_semi").select(F.col("node_id").alias("id")).distinct(), "id", "left_semi")
-    return inside.unionByName(near).dropDuplicates(["id"]), kept_ways, relations.join(rel_ids, "id", "left_semi")
+    rel_ids = members.join(touching, "way_id").select(*at).distinct()
+    all_ways = touching.unionByName(members.join(rel_ids, "id").select("region_key", "way_id")).distinct()
+    near = padded.join(refs.join(all_ways, "way_id").select(*at).distinct(), at, "left_semi")
+    own_nodes = inside.unionByName(near).distinct()
+    return nodes.join(own_nodes, "id"), ways.join(all_ways.withColumnRenamed("way_id", "id"), "id"), relations.join(rel_ids, "id")

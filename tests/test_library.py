@@ -52,10 +52,11 @@ def test_import_from_xml(spark, osm):
     assert (lost.ways_affected, lost.refs_missing) == (1, 1)
 
 
-def test_extract_follows_relations(osm):
-    nodes, ways, relations = osm_xml.extract_region(*osm, (12.97, 77.602, 12.98, 77.612))
-    assert {r.id for r in ways.collect()} == {10, 11, 12} and {r.id for r in relations.collect()} == {20}
-    assert {r.id for r in nodes.collect()} == {1, 2, 3, 5}
+def test_extract_follows_relations(spark, osm):
+    regions = spark.createDataFrame([("r", 12.97, 77.602, 12.98, 77.612), ("far", 13.4, 77.5, 13.6, 77.7), ("sea", 0.0, 0.0, 0.1, 0.1)], "region_key string, min_lat double, min_lon double, max_lat double, max_lon double")
+    ids = [{k: {r.id for r in df.collect() if r.region_key == k} for k in ("r", "far", "sea")} for df in osm_xml.extract_region(*osm, regions)]
+    assert ids[0] == {"r": {1, 2, 3, 5}, "far": {4}, "sea": set()}
+    assert ids[1] == {"r": {10, 11, 12}, "far": {10, 12}, "sea": set()} and ids[2] == {"r": {20}, "far": {20}, "sea": set()}
 
 
 def test_file_gate(spark, tmp_path):
