@@ -84,8 +84,10 @@ def clip_features(features: DataFrame, regions: DataFrame, margin: float = CLIP_
     at = lambda p: F.struct(cell(p["lat"], F.col("_size")).alias("row"), cell(p["lon"], F.col("_size")).alias("col"))
     first = F.array_min(F.transform(F.filter("points", near), at))
     found = found.filter(F.exists("points", near) & (F.struct("_row", "_col") == first))  # a feature that meets a region in several cells counts once
-    moved = F.transform("points", lambda p: F.struct(clamp(p["lat"], F.col("_min_lat"), F.col("_max_lat")).alias("lat"), clamp(p["lon"], F.col("_min_lon"), F.col("_max_lon")).alias("lon")))
-    return found.withColumn("points", moved).drop("_size", "_row", "_col", "_min_lat", "_min_lon", "_max_lat", "_max_lon")
+    into = lambda p: F.struct(clamp(p["lat"], F.col("_min_lat"), F.col("_max_lat")).alias("lat"), clamp(p["lon"], F.col("_min_lon"), F.col("_max_lon")).alias("lon"))
+    if "holes" in features.columns:
+        found = found.withColumn("holes", F.transform("holes", lambda ring: F.transform(ring, into)))
+    return found.withColumn("points", F.transform("points", into)).drop("_size", "_row", "_col", "_min_lat", "_min_lon", "_max_lat", "_max_lon")
 
 
 def _range(k: str) -> tuple[Column, Column]:

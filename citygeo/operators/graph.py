@@ -2,8 +2,9 @@
 
 Node ids are stable: a hash of region, type and source id or coordinate, so no numbering over all rows is needed; features that
 share all three get ids of their own by what else they hold. Frames:
-nodes(region_key, node_id, node_type, subtype, name, osm_id, tags, is_area, points, metrics, flags),
-edges(region_key, edge_type, src, dst, value, tolerance_m), groups(region_key, kind, name, node_type, node_ids).
+nodes(region_key, node_id, node_type, subtype, name, osm_id, tags, is_area, points, holes, metrics, flags): points are a line or the outer
+ring, holes the inner rings; edges(region_key, edge_type, src, dst, value, tolerance_m); groups in long form(region_key, kind, name,
+node_type, node_id) or in chunks.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citygeo.functions.geo import CLIP_MARGIN, M_PER_DEGREE, point_in_ring, point_segment_m, ring_area_m2, ring_centroid, ring_length_m, vertex_mean
@@ -35,6 +36,9 @@ NODE_NAMES = {
 ZONES = ["LanduseZone", "LeisureArea", "VegetationArea"]
 CUTOFF_M, LEAST_CELL_M = 50.0, 10.0
 MOST_TWINS = 1_000_000  # ids that may be broadcast
+MOST_IDS = 10_000  # members in a chunk of a group
+HUB_ROADS = 256  # roads of a junction that one task pairs with all of them
+RINGS = "array<array<struct<lat:double,lon:double>>>"
 
 
 @dataclass
@@ -62,7 +66,7 @@ def graph_rejections(features: DataFrame) -> DataFrame:
 
 def _shape() -> Column:
     """Hash of what a node holds besides region, type and source id."""
-    return F.xxhash64("subtype", "name", "points", F.to_json(F.array_sort(F.map_entries("tags"))))
+    return F.xxhash64("subtype", "name", "points", "holes", F.to_json(F.array_sort(F.map_entries("tags"))))
 
 
 def _told_apart(nodes: DataFrame) -> DataFrame:
@@ -82,9 +86,14 @@ def _told_apart(nodes: DataFrame) -> DataFrame:
 
 def graph_nodes(features: DataFrame, mid_lat: Column | float) -> tuple[DataFrame, DataFrame]:
     """Nodes, and rejections (osm_id, feature_type, subtype, reason). features have region_key; every one is in one of the two. Nodes
-    are kept in the checkpoint folder. Features of one type and source id are several nodes; a source id of 0 or null is none."""
+    are kept in the checkpoint folder. Features of one type and source id are several nodes; a source id of 0 or null is none.
+
+    Features may have holes (inner rings). Area, length and centroid are those of the outer ring.
+    """
     mid = mid_lat if isinstance(mid_lat, Column) else F.lit(mid_lat)
     judged = _judged(features)
+    if "holes" not in features.columns:
+        judged = judged.withColumn("holes", F.array().cast(RINGS))
     metrics = F.struct(
         F.when(F.col("is_area"), ring_area_m2(F.col("points"), mid)).otherwise(0.0).alias("area_m2"),
         F.when(F.col("is_area"), ring_length_m(F.col("points"), mid, True)).otherwise(ring_length_m(F.col("points"), mid, False)).alias("length_m"),
@@ -95,7 +104,7 @@ def graph_nodes(features: DataFrame, mid_lat: Column | float) -> tuple[DataFrame
     flags = F.when(has_tag(F.col("tags"), PARTIAL), F.array(F.lit("node.geometry.partial"))).otherwise(F.array().cast("array<string>"))
     nodes = judged.filter("reason is null").select(
         "region_key", "node_type", "subtype", F.coalesce("computed.name", F.lit("")).alias("name"), F.coalesce("osm_id", F.lit(0)).cast("long").alias("osm_id"),
-        "tags", "is_area", "points", metrics.alias("metrics"), flags.alias("flags"),
+        "tags", "is_area", "points", F.coalesce("holes", F.array().cast(RINGS)).alias("holes"), metrics.alias("metrics"), flags.alias("flags"),
     )
     source = F.when(F.col("osm_id") == 0, _shape())  # null for others, which then does not change the hash
     nodes = nodes.withColumn("node_id", node_key(F.col("region_key"), F.col("node_type"), F.col("osm_id"), source))
@@ -115,7 +124,7 @@ def terrain_nodes(tiles: DataFrame, stats: DataFrame, regions: DataFrame) -> Dat
     flags = F.when(F.coalesce(F.col("max_elev") - F.col("min_elev"), F.lit(0.0)) <= 0, F.array(F.lit("node.terrain.norelief"))).otherwise(F.array().cast("array<string>"))
     own = own.withColumn("points", ring)
     kind = F.lit("TerrainTile")
-    return own.select("region_key", node_key(F.col("region_key"), kind, F.col("tile_id")).alias("node_id"), kind.alias("node_type"), F.lit("dem").alias("subtype"), F.col("tile_id").alias("name"), F.lit(0).cast("long").alias("osm_id"), tags.alias("tags"), F.lit(True).alias("is_area"), "points", metrics.alias("metrics"), flags.alias("flags"))
+    return own.select("region_key", node_key(F.col("region_key"), kind, F.col("tile_id")).alias("node_id"), kind.alias("node_type"), F.lit("dem").alias("subtype"), F.col("tile_id").alias("name"), F.lit(0).cast("long").alias("osm_id"), tags.alias("tags"), F.lit(True).alias("is_area"), "points", F.array().cast(RINGS).alias("holes"), metrics.alias("metrics"), flags.alias("flags"))
 
 
 def road_points(nodes: DataFrame) -> DataFrame:
@@ -138,7 +147,7 @@ def junctions(members: DataFrame) -> DataFrame:
     places = members.select("region_key", "junction_id", "qlat", "qlon").distinct()
     point = F.struct((F.col("qlat") / 1e7).alias("lat"), (F.col("qlon") / 1e7).alias("lon"))
     metrics = F.struct(F.lit(0.0).alias("area_m2"), F.lit(0.0).alias("length_m"), point.alias("centroid"), F.lit(0.0).alias("height_m"), F.lit(0.0).alias("width_m"), F.lit(None).cast("double").alias("min_elev"), F.lit(None).cast("double").alias("max_elev"))
-    return places.select("region_key", F.col("junction_id").alias("node_id"), F.lit("Junction").alias("node_type"), F.lit("junction").alias("subtype"), F.lit("").alias("name"), F.lit(0).cast("long").alias("osm_id"), F.create_map().cast("map<string,string>").alias("tags"), F.lit(False).alias("is_area"), F.array(point).alias("points"), metrics.alias("metrics"), F.array().cast("array<string>").alias("flags"))
+    return places.select("region_key", F.col("junction_id").alias("node_id"), F.lit("Junction").alias("node_type"), F.lit("junction").alias("subtype"), F.lit("").alias("name"), F.lit(0).cast("long").alias("osm_id"), F.create_map().cast("map<string,string>").alias("tags"), F.lit(False).alias("is_area"), F.array(point).alias("points"), F.array().cast(RINGS).alias("holes"), metrics.alias("metrics"), F.array().cast("array<string>").alias("flags"))
 
 
 def _edge(kind: str, src: Column, dst: Column, value: Column | None = None, tolerance: float = 0.0) -> list[Column]:
@@ -149,22 +158,31 @@ def shares_node_edges(members: DataFrame) -> DataFrame:
     return members.select(*_edge("SharesNode", F.col("road"), F.col("junction_id")))
 
 
-def connects_to_edges(members: DataFrame) -> DataFrame:
-    """An edge for each unordered pair of roads at each junction. The result itself has one row a pair, by definition."""
-    own = members.select("region_key", "junction_id", "road")
-    pairs = own.alias("a").join(own.alias("b"), ["region_key", "junction_id"]).filter("a.road < b.road")
+def junction_classes(members: DataFrame) -> DataFrame:
+    """region_key, junction_id, n_roads and n_pairs (ConnectsTo edges): one row a junction, however many roads meet there."""
+    return members.groupBy("region_key", "junction_id").agg(F.count("*").alias("n_roads")).withColumn("n_pairs", F.expr("n_roads * (n_roads - 1) div 2"))
+
+
+def connects_to_edges(members: DataFrame, most: int = HUB_ROADS) -> DataFrame:
+    """An edge for each unordered pair of roads at each junction: the result itself has one row a pair, by definition. At a hub the first
+    roads of the pairs are dealt into shares of about ``most``, and each share meets all roads, so a hub's pairs are made in many tasks."""
+    own = members.select("region_key", "junction_id", "road", F.ceil(F.col("n_roads") / most).cast("int").alias("_shares"))
+    first = own.withColumn("_share", F.pmod(F.xxhash64("road"), F.col("_shares")).cast("int"))
+    second = own.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+    pairs = first.alias("a").join(second.alias("b"), ["region_key", "junction_id", "_share"]).filter("a.road < b.road")
     return pairs.select(*_edge("ConnectsTo", F.col("a.road"), F.col("b.road")))
 
 
 def contains_edges(nodes: DataFrame, cell_deg: float = 0.002) -> DataFrame:
-    """Zone → building whose centroid lies in the zone: equi-join on cells of the zone's box, then the box, then the even-odd test."""
+    """Zone → building whose centroid lies in the zone and in none of its holes: equi-join on cells of the zone's box, then the box, then
+    the even-odd test."""
     low = lambda k: F.array_min(F.transform("points", lambda p: p[k]))
     high = lambda k: F.array_max(F.transform("points", lambda p: p[k]))
-    zones = nodes.filter(F.col("node_type").isin(ZONES) & F.col("is_area")).select("region_key", F.col("node_id").alias("zone"), "points", *[f(k).alias(f"_{n}_{k}") for n, f in (("low", low), ("high", high)) for k in ("lat", "lon")])
+    zones = nodes.filter(F.col("node_type").isin(ZONES) & F.col("is_area")).select("region_key", F.col("node_id").alias("zone"), "points", "holes", *[f(k).alias(f"_{n}_{k}") for n, f in (("low", low), ("high", high)) for k in ("lat", "lon")])
     zones = box_cells(zones, *[F.col(c) for c in ("_low_lat", "_low_lon", "_high_lat", "_high_lon")], cell_deg, cell_deg)
     own = nodes.filter("node_type = 'Building'").select("region_key", F.col("node_id").alias("building"), F.col("metrics.centroid.lat").alias("lat"), F.col("metrics.centroid.lon").alias("lon"))
     own = own.withColumns({"_row": F.floor(F.col("lat") / cell_deg).cast("long"), "_col": F.floor(F.col("lon") / cell_deg).cast("long")})
-    met = own.join(zones, ["region_key", "_row", "_col"]).filter("lat between _low_lat and _high_lat and lon between _low_lon and _high_lon").filter(point_in_ring(F.col("lat"), F.col("lon"), F.col("points")))
+    met = own.join(zones, ["region_key", "_row", "_col"]).filter("lat between _low_lat and _high_lat and lon between _low_lon and _high_lon").filter(in_area(F.col("lat"), F.col("lon"), F.concat(F.array("points"), "holes")))
     return met.select(*_edge("Contains", F.col("zone"), F.col("building")))
 
 
@@ -221,9 +239,20 @@ def group_members(nodes: DataFrame, corridors: bool = True) -> DataFrame:
     return by_type.unionByName(own)
 
 
-def graph_groups(members: DataFrame) -> DataFrame:
-    """Groups with their size and sorted member ids (of one region each, so bounded by the region's size)."""
-    return members.groupBy("region_key", "kind", "name", "node_type").agg(F.sort_array(F.collect_list("node_id")).alias("node_ids")).withColumn("size", F.size("node_ids"))
+def graph_groups(members: DataFrame, most: int = MOST_IDS) -> DataFrame:
+    """Groups as chunks: region_key, kind, name, node_type, size (of the group), first (members before the chunk) and node_ids (sorted, at
+    most ``most``); chunks in the order of first make up the group. A group is cut by ranges of ids before it is gathered, so a
+    task holds about half a chunk of it, if ids are spread as hashes are."""
+    keys = ["region_key", "kind", "name", "node_type"]
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("size"), F.min("node_id").cast("double").alias("_low"), F.max("node_id").cast("double").alias("_high"))
+    ranges = F.ceil(F.col("size") * 2 / most)
+    share = F.try_divide(F.col("node_id").cast("double") - F.col("_low"), F.col("_high") - F.col("_low"))
+    dealt = members.join(sizes, keys).withColumn("_range", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * ranges), ranges - 1))
+    parts = dealt.groupBy(*keys, "size", "_range").agg(F.sort_array(F.collect_list("node_id")).alias("_ids"))
+    before = F.sum(F.size("_ids")).over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    chunks = F.transform(F.sequence(F.lit(0), F.size("_ids") - 1, F.lit(most)), lambda i: F.struct(i.alias("at"), F.slice("_ids", i + 1, most).alias("ids")))
+    parts = parts.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("c", F.explode(chunks))
+    return parts.select(*keys, "size", (F.col("_before") + F.col("c.at")).alias("first"), F.col("c.ids").alias("node_ids"))
 
 
 def category_groups(nodes: DataFrame) -> DataFrame:
@@ -290,7 +319,7 @@ _REPORT = [
 def graph_fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One digest for each region, equal for equal graphs in any order: counts, sums and xors of row hashes."""
     shape = F.transform("points", lambda p: F.format_string("%.9f,%.9f", p["lat"], p["lon"]))
-    rows = nodes.select("region_key", F.xxhash64(F.lit("node"), "node_id", "node_type", "subtype", "name", "osm_id", F.concat_ws(";", shape), F.concat_ws(";", F.array_sort("flags")), F.to_json(F.array_sort(F.map_entries("tags")))).alias("h"))
+    rows = nodes.select("region_key", F.xxhash64(F.lit("node"), "node_id", "node_type", "subtype", "name", "osm_id", F.concat_ws(";", shape), F.to_json("holes"), F.concat_ws(";", F.array_sort("flags")), F.to_json(F.array_sort(F.map_entries("tags")))).alias("h"))
     rows = rows.unionByName(edges.select("region_key", F.xxhash64(F.lit("edge"), "edge_type", "src", "dst", F.format_string("%.6f", "value")).alias("h")))
     total = rows.groupBy("region_key").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x"))
     return total.select("region_key", F.md5(F.concat_ws("|", "n", "s", "x")).alias("fingerprint"))
@@ -315,8 +344,15 @@ def build_city_graph(features: DataFrame, regions: DataFrame, mid_lat: float, op
 
 
 def geom_points(nodes: DataFrame) -> DataFrame:
-    """Long form of geometry: region_key, node_id, ring_no, seq, lat, lon."""
-    return nodes.select("region_key", "node_id", F.lit(0).alias("ring_no"), F.posexplode("points").alias("seq", "p")).select("region_key", "node_id", "ring_no", "seq", "p.lat", "p.lon")
+    """Long form of geometry: region_key, node_id, ring_no (0 for a line or the outer ring), seq, lat, lon."""
+    rings = nodes.select("region_key", "node_id", F.posexplode(F.concat(F.array("points"), "holes")).alias("ring_no", "ring"))
+    return rings.select("region_key", "node_id", "ring_no", F.posexplode("ring").alias("seq", "p")).select("region_key", "node_id", "ring_no", "seq", "p.lat", "p.lon")
+
+
+def geom_ring(nodes: DataFrame, ring_no: int) -> DataFrame:
+    """region_key, node_id and one ring of each node that has so many."""
+    ring = F.try_element_at(F.concat(F.array("points"), "holes"), F.lit(ring_no + 1))
+    return nodes.select("region_key", "node_id", ring.alias("ring")).filter("ring is not null")
 
 
 def geom_bounds(points: DataFrame) -> DataFrame:

@@ -380,9 +380,9 @@ def graph_rejections(spark, d):
     return G.graph_rejections(placed(spark, d)).select("osm_id", "feature_type", "subtype")
 
 
-@query(BASE + "select way_id as osm_id, cast(1 as bigint) as rings, cast(n_pts as bigint) as points, min(lat_u) as min_lat_u, max(lon_u) as max_lon_u from node join pts using (way_id) group by way_id, n_pts")
+@query(BASE + "select way_id as osm_id, case when closed and node_type in ('LanduseZone', 'LeisureArea', 'VegetationArea') then 2 else 1 end::bigint as rings, cast(n_pts * case when closed and node_type in ('LanduseZone', 'LeisureArea', 'VegetationArea') then 2 else 1 end as bigint) as points, min(lat_u) as min_lat_u, max(lon_u) as max_lon_u from node join pts using (way_id) group by way_id, n_pts, closed, node_type")
 def geometry_store(spark, d):
-    own = nodes(spark, d)
+    own = with_courtyards(nodes(spark, d))
     return G.geom_bounds(G.geom_points(own)).join(own.select("node_id", "osm_id"), "node_id").select("osm_id", "rings", "points", scaled(F.col("min_lat"), 1_000_000).alias("min_lat_u"), scaled(F.col("max_lon"), 1_000_000).alias("max_lon_u"))
 
 
@@ -427,6 +427,28 @@ def contains(spark, d):
     return G.contains_edges(off_lattice(own)).join(ids.toDF("src", "zone"), "src").join(ids.toDF("dst", "building"), "dst").select("zone", "building")
 
 
+# Zones with a courtyard: their ring, half as large about the middle of their box.
+_COURTS = """, mid as (select way_id, (min(lat_u) + max(lat_u)) / 2e6 as mx, (min(lon_u) + max(lon_u)) / 2e6 as my from pts group by way_id),
+yard as (select way_id, (ax + mx) / 2 as ax, (ay + my) / 2 as ay, (bx + mx) / 2 as bx, (by2 + my) / 2 as by2 from ed join mid using (way_id)),
+out as (select zone, building from held join (select way_id as building, lat + 1.37e-6::double as lat, lon + 0.73e-6::double as lon from node) h using (building) join yard e on e.way_id = zone
+ group by zone, building having sum(case when (ay > h.lon) <> (by2 > h.lon) and h.lat < (ax - bx) * (h.lon - by2) / nullif(ay - by2, 0) + bx then 1 else 0 end) % 2 = 0)"""
+
+
+def with_courtyards(own: DataFrame) -> DataFrame:
+    box = lambda k: (F.array_min(F.transform("points", lambda p: p[k])) + F.array_max(F.transform("points", lambda p: p[k]))) / 2
+    own = own.withColumns({"_x": box("lat"), "_y": box("lon")})
+    ring = F.transform("points", lambda p: F.struct(((p["lat"] + F.col("_x")) / 2).alias("lat"), ((p["lon"] + F.col("_y")) / 2).alias("lon")))
+    return own.withColumn("holes", F.when(F.col("is_area") & F.col("node_type").isin(G.ZONES), F.array(ring)).otherwise(F.col("holes"))).drop("_x", "_y")
+
+
+@query(BASE + _ZONES + _COURTS + " select zone, building from out")
+def contains_with_courtyards(spark, d):
+    """Buildings in a zone, but not those that stand in its courtyard."""
+    own = with_courtyards(nodes(spark, d))
+    ids = own.select("node_id", "osm_id")
+    return G.contains_edges(off_lattice(own)).join(ids.toDF("src", "zone"), "src").join(ids.toDF("dst", "building"), "dst").select("zone", "building")
+
+
 _NEAREST = f""", house as materialized (select way_id, lat, lon from node where kind < 2), seg as materialized (select way_id, ax, ay, bx, by2 from ed join node using (way_id) where node.kind = 2 and ed.i < ed.n),
 near as (select h.way_id, min(sqrt(power((h.lat - ax) * 111320 - t * (bx - ax) * 111320, 2) + power((h.lon - ay) * {_K} - t * (by2 - ay) * {_K}, 2))) as m from (
  select h.way_id, h.lat, h.lon, ax, ay, bx, by2, least(greatest(coalesce(((h.lat - ax) * 111320 * (bx - ax) * 111320 + (h.lon - ay) * {_K} * (by2 - ay) * {_K}) / nullif(power((bx - ax) * 111320, 2) + power((by2 - ay) * {_K}, 2), 0), 0), 0), 1) as t
@@ -446,15 +468,33 @@ def no_street(spark, d):
     return G.no_street(own, G.fronts_onto_edges(own, MID, cutoff_m=6.0)).join(own.select("node_id", "osm_id"), "node_id").select("osm_id")
 
 
-@query(BASE + """select case node_type when 'RoadSegment' then 'Road Segments' when 'WaterBody' then 'Water Bodies' when 'VegetationArea' then 'Vegetation Areas' when 'LanduseZone' then 'Land Use Zones' when 'LeisureArea' then 'Leisure Areas'
- when 'Amenity' then 'Amenities' when 'PowerLine' then 'Power Lines' else node_type || 's' end as name, count(*)::int as size from node group by node_type""")
+_PLURAL = """case node_type when 'RoadSegment' then 'Road Segments' when 'WaterBody' then 'Water Bodies' when 'VegetationArea' then 'Vegetation Areas' when 'LanduseZone' then 'Land Use Zones' when 'LeisureArea' then 'Leisure Areas'
+ when 'Amenity' then 'Amenities' when 'PowerLine' then 'Power Lines' else node_type || 's' end"""
+
+
+def joined_chunks(groups: DataFrame) -> DataFrame:
+    """name, size and md5 of all members in order, of groups in chunks of at most 40."""
+    ids = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "node_ids"))), lambda c: c["node_ids"])).cast("array<string>"), ",")
+    found = groups.groupBy("name").agg(F.max("size").alias("size"), F.md5(ids).alias("members"), F.max(F.size("node_ids")).alias("most"))
+    return found.select("name", "size", "members", (F.col("most") <= 40).alias("bounded"))
+
+
+@query(BASE + f"select {_PLURAL} as name, count(*) as size, md5(string_agg(way_id, ',' order by way_id)) as members, true as bounded from node group by node_type")
 def category_groups(spark, d):
-    return G.category_groups(nodes(spark, d)).select("name", "size")
+    own = nodes(spark, d).withColumn("node_id", F.col("osm_id"))
+    return joined_chunks(G.graph_groups(G.group_members(own, corridors=False), most=40))
 
 
-@query(BASE + "select name, count(*)::int as size from node where kind = 2 group by name having count(*) > 1")
+@query(BASE + "select name, count(*) as size, md5(string_agg(way_id, ',' order by way_id)) as members, true as bounded from node where kind = 2 group by name having count(*) > 1")
 def corridors(spark, d):
-    return G.corridors(nodes(spark, d)).select("name", "size")
+    own = nodes(spark, d).withColumn("node_id", F.col("osm_id"))
+    return joined_chunks(G.graph_groups(G.group_members(own).filter("kind = 'Corridor'"), most=40))
+
+
+@query(BASE + "select roads as n_roads, count(*) as junctions, sum(roads * (roads - 1) // 2)::bigint as pairs from jun group by roads")
+def junction_classes(spark, d):
+    own = G.junction_classes(G.junction_members(G.road_points(nodes(spark, d))))
+    return own.groupBy("n_roads").agg(F.count("*").alias("junctions"), F.sum("n_pairs").alias("pairs"))
 
 
 _FLAGS = BASE + _NEAREST + """, off as (select distinct way_id from pts where not (lat_u / 1e6 between 12.97::double - 0.001::double and 12.98::double + 0.001::double and lon_u / 1e6 between 77.602::double - 0.001::double and 77.612::double + 0.001::double)),

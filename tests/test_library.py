@@ -163,8 +163,8 @@ def test_weights_are_met(spark):
 
 
 def test_fingerprint_follows_content(spark):
-    row = lambda i, lat: ("r", i, "Building", "house", "", i, {}, True, [(lat, 1.0), (lat, 2.0), (3.0, 3.0)], [])
-    schema = f"region_key string, node_id long, node_type string, subtype string, name string, osm_id long, tags map<string,string>, is_area boolean, points {POINTS}, flags array<string>"
+    row = lambda i, lat: ("r", i, "Building", "house", "", i, {}, True, [(lat, 1.0), (lat, 2.0), (3.0, 3.0)], [], [])
+    schema = f"region_key string, node_id long, node_type string, subtype string, name string, osm_id long, tags map<string,string>, is_area boolean, points {POINTS}, holes array<{POINTS}>, flags array<string>"
     edges = spark.createDataFrame([], "region_key string, edge_type string, src long, dst long, value double, tolerance_m double")
     print_of = lambda rows: G.graph_fingerprint(spark.createDataFrame(rows, schema), edges).first().fingerprint
     assert print_of([row(1, 1.0), row(2, 2.0)]) == print_of([row(2, 2.0), row(1, 1.0)]) != print_of([row(1, 1.0), row(2, 2.1)])
