@@ -14,12 +14,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 GAP = np.zeros(256, bool)
 GAP[[0x20, *range(0x09, 0x0E)]] = True
+MOST_PARTS = 100_000  # rows of partitions and groups that may be broadcast
 PIECE_BYTES = 1 << 20  # numbers of 64 bits that stand for each byte for a while make this about 100 MB of a worker
 _ODD = 0x9E3779B97F4A7C15
 _LIBC = ctypes.CDLL(None)
@@ -144,3 +145,23 @@ def chosen(n: int, k: int) -> list[tuple[int, ...]]:
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes of all texts; sets how many groups an operator deals documents into."""
     return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows (grp, ...) with rank (from 0) and n (rows) within grp, ordered by the columns of order, nulls first; equal rows anyhow.
+
+    Rows are range-partitioned by all of these and by their place, so equal rows and rows of one group are spread too. A rank is the place
+    in the partition and the rows of the group in the partitions before: no window holds a group.
+    """
+    by = [F.col(c).asc_nulls_first() for c in ["grp", *order, "place"]]
+    rows = checkpoint(rows.withColumn("place", F.monotonically_increasing_id()))
+    rows = checkpoint(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33).alias("part")
+    parts = rows.groupBy(F.col("grp").alias("of"), part).agg(F.count("*").alias("own"), F.min("place").alias("first"))
+    whole = Window.partitionBy("of")
+    before = F.sum("own").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = checkpoint(parts.select("of", F.col("part").alias("there"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("own").over(whole).alias("n")))
+    if parts.count() <= MOST_PARTS:
+        parts = F.broadcast(parts)
+    met = rows.join(parts, (part == F.col("there")) & F.col("grp").eqNullSafe(F.col("of")))
+    return met.withColumn("rank", F.col("place") + F.col("shift")).drop("place", "of", "there", "shift")

@@ -13,7 +13,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,29 +107,45 @@ def _lower(text: str) -> str:
 
 
 class Tape:
-    """text, and for each of its signs the source range and whether it was rewritten."""
+    """text, and for each of its signs the source range and whether it was rewritten, as arrays."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end, self.new = text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text)
+        self.text, self.start = text, np.arange(len(text), dtype=np.int32)
+        self.end, self.new = self.start + np.int32(1), np.zeros(len(text), bool)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace ranges (ascending, apart); each sign of a replacement stands for the whole range. A range replaced by nothing
         marks its neighbours as rewritten."""
-        parts, start, end, new, at = [], [], [], [], 0
+        if not edits:
+            return
+        n, parts, at = len(self.text), [], 0
         for a, b, text in edits:
-            if not text:
-                self.new[max(a - 1, 0) : a] = [True] * min(a, 1)
-                self.new[b : b + 1] = [True] * len(self.new[b : b + 1])
             parts += [self.text[at:a], text]
-            start += self.start[at:a] + [self.start[a]] * len(text)
-            end += self.end[at:a] + [self.end[b - 1]] * len(text)
-            new += self.new[at:a] + [True] * len(text)
             at = b
+        begin, end = (np.array([e[k] for e in edits], np.int64) for k in (0, 1))
+        size = np.array([len(e[2]) for e in edits], np.int64)
+        beside = np.r_[begin[size == 0] - 1, end[size == 0]]
+        self.new[beside[(beside >= 0) & (beside < n)]] = True
+        gone = np.zeros(n + 1, np.int64)
+        gone[begin] += 1
+        gone[end] -= 1
+        kept = np.flatnonzero(np.cumsum(gone[:n]) == 0)
+        more = np.r_[0, np.cumsum(size)]
+        place = np.arange(len(kept)) + more[np.searchsorted(end, kept, "right")]
+        edit = np.repeat(np.arange(len(edits)), size)
+        put = begin[edit] - np.r_[0, np.cumsum(end - begin)][edit] + np.arange(len(edit))  # kept signs before it, and signs put before it
+        total = len(kept) + int(more[-1])
+
+        def moved(own: np.ndarray, own_put: np.ndarray | bool) -> np.ndarray:
+            out = np.empty(total, own.dtype)
+            out[place], out[put] = own[kept], own_put
+            return out
+
         self.text = "".join([*parts, self.text[at:]])
-        self.start, self.end, self.new = start + self.start[at:], end + self.end[at:], new + self.new[at:]
+        self.start, self.end, self.new = moved(self.start, self.start[begin[edit]]), moved(self.end, self.end[end[edit] - 1]), moved(self.new, True)
 
     def source(self, span: Span) -> Span:
-        return self.start[span[0]], self.end[span[1] - 1]
+        return int(self.start[span[0]]), int(self.end[span[1] - 1])
 
 
 def _plain(sign: str) -> str:
@@ -161,8 +179,8 @@ def spelled_digits(tape: Tape) -> None:
     tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(_lower(tape.text))])
 
 
-def _address(low: str, at: re.Match) -> list[tuple[int, int, str]]:
-    """Edits that undo the disguise of an address around an at, or none if it is not one."""
+def _address(low: str, at: re.Match, dots_by_end: Callable[[], dict[int, re.Match]]) -> list[tuple[int, int, str]]:
+    """Edits that undo the disguise of an address around an at, or none if it is not one. dots_by_end: all dots of the text by where they end."""
     edits, disguised = [], False
     place = at.end()
     label = _LABEL.match(low, place)
@@ -183,20 +201,21 @@ def _address(low: str, at: re.Match) -> list[tuple[int, int, str]]:
     while True:  # dots of the local part
         while begin and _PART.match(low[begin - 1]):
             begin -= 1
-        back = [m for m in _DOT.finditer(low, max(0, begin - 16), begin) if m.end() == begin and m.start() and _PART.match(low[m.start() - 1])]
-        if not back:
+        back = dots_by_end().get(begin)
+        if not back or not back.start() or not _PART.match(low[back.start() - 1]):
             return edits
-        if back[0].group() != ".":
-            edits.insert(0, (back[0].start(), back[0].end(), "."))
-        begin = back[0].start()
+        if back.group() != ".":
+            edits.insert(0, (back.start(), back.end(), "."))
+        begin = back.start()
 
 
 def disguised_signs(tape: Tape) -> None:
     """Dots between digits, and at and dot in what is an address."""
     tape.rewrite([(m.start(), m.end(), ".") for m in _POINT.finditer(_lower(tape.text))])
     low, edits, done = _lower(tape.text), [], 0
+    dots_by_end = cache(lambda: {m.end(): m for m in _DOT.finditer(low)})
     for at in _AT.finditer(low):
-        found = [e for e in _address(low, at) if e[0] >= done]
+        found = [e for e in _address(low, at, dots_by_end) if e[0] >= done]
         edits += found
         done = max([done, *(e[1] for e in found)])
     tape.rewrite(edits)
@@ -222,7 +241,7 @@ def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]
         return base, base
     every = {k: set(v) for k, v in base.items()}
     for kind, spans in detect(tape.text).items():
-        every[kind] |= {tape.source(s) for s in spans if True in tape.new[s[0] : s[1]]}
+        every[kind] |= {tape.source(s) for s in spans if tape.new[s[0] : s[1]].any()}
     return base, {k: sorted(v) for k, v in every.items()}
 
 

@@ -7,10 +7,12 @@ documents goes down all trees a level at a time. A constraint of -1 on a feature
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +26,19 @@ SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_digits", "n_calls", "n_stops"]
 # name and constraint of each feature
 FEATURES = [("symbol_rate", -1), ("dup_line_share", -1), ("repeat_share", -1), ("upper_share", -1), ("call_rate", -1), ("digit_share", 0), ("letter_share", 0), ("word_length", 0), ("stop_rate", 0)]
-_KNOWN = 0x3000
 _OTHER, _LETTER, _UPPER, _DIGIT, _GAP, _SYMBOL, _CALL, _STOP = range(8)
 
 
-def _classes() -> np.ndarray:
+@cache
+def classes() -> np.ndarray:
+    """Class of every code point."""
     kind = {"Lu": _UPPER, "Lt": _UPPER, "Nd": _DIGIT}
-    out = np.array([kind.get(c := unicodedata.category(chr(i)), _LETTER if c[0] == "L" else _OTHER) for i in range(_KNOWN)] + [_OTHER], np.uint8)
+    out = np.array([kind.get(c := unicodedata.category(chr(i)), _LETTER if c[0] == "L" else _OTHER) for i in range(sys.maxunicode + 1)], np.uint8)
     for chars, k in ((" \t\n\v\f\r", _GAP), (SYMBOLS, _SYMBOL), ("!?", _CALL), (".,;:", _STOP)):
         out[[ord(c) for c in chars]] = k
     return out
 
 
-CLASS = _classes()
-
-
 def _repeats(words: list[bytes]) -> int:
     """Words inside 3-word windows that occur twice or more."""
     windows = list(zip(words, words[1:], words[2:]))
@@ -60,7 +60,7 @@ def statistics_of(text: str | None) -> list[int]:
     n = np.zeros(8, np.int64)
     for at in range(0, len(text), 1 << 20):
         codes = np.frombuffer(text[at : at + (1 << 20)].encode("utf-32-le", "surrogatepass"), np.uint32)
-        n += np.bincount(CLASS[np.minimum(codes, _KNOWN)], minlength=8)
+        n += np.bincount(classes()[codes], minlength=8)
     lines = [line for line in raw.split(b"\n") if line.strip()]
     return [len(words), len(text) - n[_GAP], n[_SYMBOL], len(lines) - len(set(lines)), _repeats(words), len(lines), n[_LETTER] + n[_UPPER], n[_UPPER], n[_DIGIT], n[_CALL], n[_STOP]]
 
@@ -144,11 +144,13 @@ def grow(x: np.ndarray, y: np.ndarray, constraints: list[int], trees: int = 40,
 
 def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text") -> Trees:
     """Trees from labels (id, quality 0/1): at most about bound of them, by a hash of the id. A document with several labels
-    counts as its least; null labels and labels without document are left out."""
+    counts as its least; null labels and labels without document are left out. Rows with one id are one document, that with the
+    least hash of its text, so what comes to the driver is bound by the ids."""
     own = labels.filter(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
     share = min(1.0, bound / max(1, own.count()))
     picked = F.broadcast(own.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share * (1 << 20)))  # about bound rows at most
-    rows = docs.select(id_col, F.col(text_col).alias("_text")).join(picked, id_col).select("quality", "_text")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked.withColumnRenamed(id_col, "_id"), "_id")
+    rows = rows.groupBy("_id", "quality").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text")).select("quality", "_text")
     found = rows.mapInArrow(_count_rows("quality"), out_schema(rows, "quality", ", ".join(f"{c} long" for c in COUNTS))).toArrow()
     counts = np.column_stack([found.column(c).to_numpy() for c in COUNTS]) if found.num_rows else np.zeros((0, len(COUNTS)))
     return grow(features(counts), found.column("quality").to_numpy().astype(float), [c for _, c in FEATURES])

@@ -6,8 +6,9 @@ shard has room. The capacities are the total dealt evenly (the first shards one
 only the surplus of a shard moves.
 
 All keys of a cell meet the same nodes, so the walk needs only the count of each cell: at most CELLS numbers, on the driver.
-It returns, for each cell, runs of ranks with their shard and first slot, and every row is matched with its run. The one
-exchange carries ids, sizes and checksums, not texts.
+It returns, for each cell, runs of ranks with their shard and first slot, and every row is matched with its run. The
+exchanges carry ids, sizes and checksums, not texts. Ranks within a cell are told over a range-partitioned table, so a cell, or rows
+equal in all that is known of them, may be of any size.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from __future__ import annotations
 from bisect import bisect_left
 from hashlib import md5
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from citygeo.llm.common import documents
+from citygeo.llm.common import documents, ranked
 
 CELLS = 1 << 16
 
@@ -67,16 +68,14 @@ def shard_bounded(docs: DataFrame, shards: int = 8, vnodes: int = 256, id_col: s
     size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
     place = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), size, crc), F.lit(1 << 40))
     cell = F.shiftright(place, 24).cast("int")
-    counts = {r.cell: r["count"] for r in docs.groupBy(cell.alias("cell")).count().collect()}  # CELLS rows at most
     fields = [StructField("cell", IntegerType()), *[StructField(n, LongType()) for n in ("first", "beyond")], StructField("shard", IntegerType()), StructField("first_slot", LongType()), StructField("home_shard", IntegerType())]
-    runs = spark.createDataFrame(walk(counts, shards, vnodes), StructType(fields))
-    rows = docs.select(F.col(id_col), size.alias("size"), crc.alias("text_crc32"), place.alias("place"), cell.alias("own_cell"))
-    by_place = Window.partitionBy("own_cell").orderBy("place", F.col(id_col), "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(by_place) - 1)
-    runs = F.broadcast(runs)  # CELLS + shards * shards * vnodes rows at most
-    dealt = ranked.join(runs, (F.col("own_cell") == F.col("cell")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("beyond")))
+    rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("text_crc32"), place.alias("spot"), cell.alias("grp"))
+    rows = ranked(rows, ["spot", "id", "text_crc32", "size"])
+    counts = {r.grp: r.n for r in rows.groupBy("grp").agg(F.first("n").alias("n")).collect()}  # CELLS rows at most
+    runs = F.broadcast(spark.createDataFrame(walk(counts, shards, vnodes), StructType(fields)))  # CELLS + shards * shards * vnodes rows at most
+    dealt = rows.join(runs, (F.col("grp") == F.col("cell")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("beyond")))
     slot = (F.col("first_slot") + F.col("rank") - F.col("first")).alias("slot")
-    return dealt.select(id_col, "size", "text_crc32", "shard", slot, "home_shard")
+    return dealt.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", slot, "home_shard")
 
 
 def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

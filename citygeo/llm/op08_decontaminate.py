@@ -11,7 +11,6 @@ one pass over the documents. Documents are not shuffled.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from citygeo.llm.common import Words, checkpoint, documents, out_schema, pieces, raw_text, span_hashes, word_hashes
 
 BLOCK_WORDS = 2_000_000
+MEETINGS = 1 << 22  # of seeds of documents with places in items, at a time; a single document may have more
 SEED_WORDS, COVERAGE = 4, 0.5
 
 _PLAIN = np.full(256, 0x20, np.uint8)
@@ -50,24 +50,35 @@ def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[in
     place in doc, then in item."""
     free_d, free_i, tiles = np.ones(len(doc), bool), np.ones(len(item), bool), []
     length = 1 << max(least, len(item)).bit_length() - 1
+
+    def reach(i: int, j: int) -> int:
+        """Words from i and j on that are alike and free in both."""
+        n, step = 0, 64
+        while m := min(step, len(doc) - i - n, len(item) - j - n):
+            alike = (doc[i + n : i + n + m] == item[j + n : j + n + m]) & free_d[i + n : i + n + m] & free_i[j + n : j + n + m]
+            if not alike.all():
+                return n + int(alike.argmin())
+            n, step = n + m, 4 * step
+        return n
+
     while True:
         length = max(length, least)
-        at = defaultdict(list)
-        for j, h in enumerate(_grams(item, length).tolist()):
-            if free_i[j : j + length].all():
-                at[h].append(j)
-        found = []
-        hashes = _grams(doc, length)
-        for i in np.flatnonzero(np.isin(hashes, np.fromiter(at, np.uint64, len(at)))).tolist():
-            if free_d[i : i + length].all():
-                for j in at[int(hashes[i])]:
-                    if i and j and free_d[i - 1] and free_i[j - 1] and doc[i - 1] == item[j - 1]:
-                        continue  # part of a match that begins earlier
-                    n = 0
-                    while i + n < len(doc) and j + n < len(item) and free_d[i + n] and free_i[j + n] and doc[i + n] == item[j + n]:
-                        n += 1
-                    if n >= length:
-                        found.append((-n, i, j))
+        grams = _grams(item, length)
+        order = np.argsort(grams, kind="stable")
+        free = np.r_[0, np.cumsum(~free_i)]
+        order = order[free[order + length] == free[order]] if len(order) else order
+        known = grams[order]
+        hashes, found = _grams(doc, length), []
+        taken = np.r_[0, np.cumsum(~free_d)]
+        where = np.flatnonzero(np.isin(hashes, known))
+        for i in where[taken[where + length] == taken[where]].tolist():
+            places = order[np.searchsorted(known, hashes[i], "left") : np.searchsorted(known, hashes[i], "right")]
+            if i and free_d[i - 1]:  # what begins earlier is left to its beginning
+                places = places[(places == 0) | ~free_i[places - 1] | (item[places - 1] != doc[i - 1])]
+            for j in places.tolist():
+                n = reach(i, j)
+                if n >= length:
+                    found.append((-n, i, j))
         heapify(found)
         while found:
             n, i, j = heappop(found)
@@ -91,12 +102,34 @@ def _tile_rows(items: list, words: np.ndarray, doc: np.ndarray, seed: int, cover
     grams, whole = _grams(words, seed), np.flatnonzero(np.diff(doc) > 0)
     start = np.arange(len(grams))
     inside = owner[start] == owner[start + seed - 1] if len(grams) else np.zeros(0, bool)
-    seeds, of_seed = grams[inside], owner[:len(grams)][inside]
+    seeds = grams[inside]
     short = [k for k in whole.tolist() if doc[k + 1] - doc[k] < seed]  # these match only as a whole
     order = np.argsort(seeds, kind="stable")
-    seeds, of_seed = seeds[order], of_seed[order]
+    seeds, place = seeds[order], start[inside][order]
     kinds = np.unique(seeds)
-    item_grams = [grams[doc[k] : max(doc[k], doc[k + 1] - seed + 1)] for k in range(len(items))]
+    need = coverage * np.diff(doc)
+
+    def candidates(hashes: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) whose shared seeds cover the item enough, from distinct pairs of seed and text (sorted by text); some texts at a time."""
+        low, high = np.searchsorted(seeds, hashes, "left"), np.searchsorted(seeds, hashes, "right")
+        total = np.r_[0, np.cumsum(high - low)]
+        at = 0
+        while at < len(hashes):
+            to = max(int(np.searchsorted(total, total[at] + MEETINGS, "right")) - 1, at + 1)
+            to = int(np.searchsorted(text, text[to - 1], "right"))  # whole texts
+            size = (high - low)[at:to]
+            index = np.repeat(low[at:to] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            where, own = place[index], np.repeat(text[at:to], size)
+            order = np.lexsort((where, own))
+            where, own = where[order], own[order]
+            item = owner[where]
+            new = np.flatnonzero(np.r_[True, (np.diff(own) != 0) | (np.diff(item) != 0)]) if len(own) else np.zeros(0, np.int64)
+            step = np.full(len(where), seed)
+            step[:-1] = np.where((np.diff(own) == 0) & (np.diff(item) == 0), np.minimum(np.diff(where), seed), seed)
+            covered = np.add.reduceat(step, new) if len(new) else step
+            enough = covered >= need[item[new]]
+            yield from zip(own[new][enough].tolist(), item[new][enough].tolist())
+            at = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -106,23 +139,20 @@ def _tile_rows(items: list, words: np.ndarray, doc: np.ndarray, seed: int, cover
             text = np.searchsorted(bounds, where, "right") - 1
             where = where[where + seed <= bounds[text + 1]] if len(where) else where
             text = np.searchsorted(bounds, where, "right") - 1
-            shared = defaultdict(set)
-            for h, t in {*zip(hashes[where].tolist(), text.tolist())}:
-                for k in set(of_seed[np.searchsorted(seeds, np.uint64(h), "left") : np.searchsorted(seeds, np.uint64(h), "right")].tolist()):
-                    shared[t, k].add(h)
+            own_seed = hashes[where]
+            order = np.lexsort((own_seed, text))
+            own_seed, text = own_seed[order], text[order]
+            once = np.flatnonzero(np.r_[True, (np.diff(own_seed) != 0) | (np.diff(text) != 0)]) if len(text) else order
+            pairs = set(candidates(own_seed[once], text[once]))  # tiles lie within shared seeds
             for k in short:
                 n = int(doc[k + 1] - doc[k])
                 for i in np.flatnonzero(np.isin(_grams(own, n), _grams(words[doc[k] : doc[k + 1]], n))).tolist():
                     t = int(np.searchsorted(bounds, i, "right") - 1)
                     if i + n <= bounds[t + 1]:
-                        shared[t, k] = set()
+                        pairs.add((t, k))
             rows = []
-            for (t, k), common in sorted(shared.items()):
+            for t, k in sorted(pairs):
                 item = words[doc[k] : doc[k + 1]]
-                if common:  # tiles lie within shared seeds
-                    begins = np.flatnonzero(np.isin(item_grams[k], np.fromiter(common, np.uint64, len(common))))
-                    if len(np.unique(begins[:, None] + np.arange(seed))) < coverage * len(item):
-                        continue
                 tiles = greedy_tiles(own[bounds[t] : bounds[t + 1]], item, min(seed, len(item)))
                 got = sum(n for _, _, n in tiles)
                 if got >= coverage * len(item):

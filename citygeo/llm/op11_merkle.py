@@ -12,13 +12,12 @@ of an upper block their place as blocks below. There a block and its path meet i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citygeo.llm.common import checkpoint, documents
+from citygeo.llm.common import checkpoint, documents, ranked
 
 FANOUT, LEVELS = 3, 6  # a block has FANOUT ** LEVELS leaves at most, of some 200 bytes
-MOST = 100_000  # rows of partitions and groups that may be broadcast
 PATH = "array<struct<before:string,after:string>>"
 
 
@@ -42,22 +41,6 @@ def fold(leaf: Column, path: Column) -> Column:
     return F.aggregate(path, leaf, lambda at, s: digest(s["before"], at, s["after"]))
 
 
-def _ranked(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows (grp, ...) with rank (from 0) and n (rows) within grp, ordered by the columns of order. Equal rows are ranked anyhow."""
-    by = [F.col(c).asc_nulls_first() for c in ["grp", *order, "place"]]  # place: equal rows are split too
-    rows = checkpoint(rows.withColumn("place", F.monotonically_increasing_id()))
-    rows = checkpoint(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id()))
-    part = F.shiftright("place", 33).alias("part")
-    parts = rows.groupBy(F.col("grp").alias("of"), part).agg(F.count("*").alias("own"), F.min("place").alias("first"))
-    whole = Window.partitionBy("of")
-    before = F.sum("own").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = checkpoint(parts.select("of", F.col("part").alias("there"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("own").over(whole).alias("n")))
-    if parts.count() <= MOST:
-        parts = F.broadcast(parts)
-    met = rows.join(parts, (part == F.col("there")) & F.col("grp").eqNullSafe(F.col("of")))
-    return met.withColumn("rank", F.col("place") + F.col("shift")).drop("place", "of", "there", "shift")
-
-
 def _blocks(rows: DataFrame, fanout: int, levels: int) -> DataFrame:
     """grp, block, n (nodes of the group at the level of rows) and node (the block's tree) of rows (grp, rank, n, node with its hash)."""
     digits = [F.expr(f"cast(rank div {fanout**k} % {fanout} as int)").alias(f"d{k}") for k in range(levels)]
@@ -131,11 +114,11 @@ def merkle_manifest(
     """
     carry = carry or {}
     own = [F.col(id_col).alias("id"), leaf_digest(*[F.col(c) for c in columns]).alias("leaf"), *[c.alias(f"with_{k}") for k, c in enumerate(carry.values())]]
-    ranked = _ranked(docs.select(F.col(group_col).alias("grp"), *own), ["id", "leaf"])
+    ranked = ranked(docs.select(F.col(group_col).alias("grp"), *own), ["id", "leaf"])
     kept = [f"with_{k}" for k in range(len(carry))]
     tables = _trees(ranked.select("grp", "rank", "n", F.struct(F.col("leaf").alias("hash"), "id", *kept).alias("node")), fanout, levels)
     groups = tables[-1].select(F.struct("grp").alias("whose"), F.lit(0).alias("grp"), F.col("node.hash").alias("hash"))
-    ranked = _ranked(groups, ["whose"]).select("grp", "rank", "n", F.struct("hash", "whose").alias("node"))
+    ranked = ranked(groups, ["whose"]).select("grp", "rank", "n", F.struct("hash", "whose").alias("node"))
     upper = _trees(ranked, fanout, levels)
     root = upper[-1].select("grp", F.array().cast(PATH).alias("path"), F.col("node.hash").alias("root"))
     tops = _leaves_of(upper, root, fanout, levels).select(F.col("leaf.whose.grp").alias("grp"), "path", "root")
