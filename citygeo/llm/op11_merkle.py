@@ -114,12 +114,12 @@ def merkle_manifest(
     """
     carry = carry or {}
     own = [F.col(id_col).alias("id"), leaf_digest(*[F.col(c) for c in columns]).alias("leaf"), *[c.alias(f"with_{k}") for k, c in enumerate(carry.values())]]
-    ranked = ranked(docs.select(F.col(group_col).alias("grp"), *own), ["id", "leaf"])
+    own_ranks = ranked(docs.select(F.col(group_col).alias("grp"), *own), ["id", "leaf"])
     kept = [f"with_{k}" for k in range(len(carry))]
-    tables = _trees(ranked.select("grp", "rank", "n", F.struct(F.col("leaf").alias("hash"), "id", *kept).alias("node")), fanout, levels)
+    tables = _trees(own_ranks.select("grp", "rank", "n", F.struct(F.col("leaf").alias("hash"), "id", *kept).alias("node")), fanout, levels)
     groups = tables[-1].select(F.struct("grp").alias("whose"), F.lit(0).alias("grp"), F.col("node.hash").alias("hash"))
-    ranked = ranked(groups, ["whose"]).select("grp", "rank", "n", F.struct("hash", "whose").alias("node"))
-    upper = _trees(ranked, fanout, levels)
+    group_ranks = ranked(groups, ["whose"]).select("grp", "rank", "n", F.struct("hash", "whose").alias("node"))
+    upper = _trees(group_ranks, fanout, levels)
     root = upper[-1].select("grp", F.array().cast(PATH).alias("path"), F.col("node.hash").alias("root"))
     tops = _leaves_of(upper, root, fanout, levels).select(F.col("leaf.whose.grp").alias("grp"), "path", "root")
     found = _leaves_of(tables, tops, fanout, levels)
