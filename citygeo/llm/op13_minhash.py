@@ -53,7 +53,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 def packed(least: np.ndarray) -> np.ndarray:
     """The low BITS bits of the (spread) minima, FIELDS of them to a number."""
-    low = (mix(least) & np.uint64((1 << BITS) - 1)).reshape(len(least), -1, FIELDS)
+    low = (mix(least) & np.uint64((1 << BITS) - 1)).reshape(len(least), len(SIG), FIELDS)
     return np.bitwise_or.reduce(low << (np.arange(FIELDS, dtype=np.uint64) * np.uint64(BITS)), axis=2)
 
 
