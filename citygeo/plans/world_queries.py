@@ -248,7 +248,66 @@ def flat_points(spark: SparkSession, d: str, tiles: DataFrame) -> DataFrame:
     return own.select((F.col("tile") * 1_000_000 + F.col("id")).alias("point_id"), _tile_id(F.col("tile")).alias("region_key"), p["x_north"].alias("x_m"), p["y_east"].alias("y_m"))
 
 
-@query()
+# --- the same in SQL: frames on tiles, grids sampled from pixels, heights on triangles, crossings of lines with triangles
+
+_ORIGIN = (lens.REGION[0], lens.REGION[1])
+_EAST_M = f"(111320.0::double * cos(radians({_ORIGIN[0]}::double)))"
+_NORTH_LEN, _EAST_LEN = f"({lens.REGION[2]}::double - {lens.REGION[0]}::double) * 111320", f"({lens.REGION[3]}::double - {lens.REGION[1]}::double) * 111320 * cos(radians({lens.REGION[0]}::double))"
+_FRAMES = f"""{_DEM}, high as (select tile, max(r) as h, min(elev) filter (where elev > -9000) as base from dem group by tile), n_tiles as (select coalesce(max(tile) + 1, 1) as n from dem),
+boxes as (select tile, h, base, {_ORIGIN[0]}::double - {_SOUTH} as lat0, {_ORIGIN[1]}::double + {_EASTWARD} as lon0, {_LAT0}::double - {_SOUTH} as top, {_LON0}::double + {_EASTWARD} as left_lon from high)"""
+_FIXED = f"bound as (select tile, 0.0::double as min_x, 0.0::double as min_y, {_NORTH_LEN} as max_x, {_EAST_LEN} as max_y from boxes)"
+
+
+def _grid_sql(quad: float = 50.0) -> str:
+    """fr and grid over boxes and bound: the header of each tile's grid, and its nodes with their heights."""
+    div = lambda k: f"least(greatest(floor((max_{k} - min_{k}) / {quad} + 0.5), 16), 512)::int"
+    return f"""fr as (select *, (max_x - min_x) / div_x as step_x, (max_y - min_y) / div_y as step_y from (select *, {div('x')} as div_x, {div('y')} as div_y from boxes join bound using (tile)) b),
+gn as (select *, min_x + ix * step_x as x, min_y + iy * step_y as y from fr, range(513) a(ix), range(513) b(iy) where ix <= div_x and iy <= div_y),
+gp as (select *, least(greatest(lat0 + x / 111320, top - (h + 1) * {_STEP}::double), top) as lat, least(greatest(lon0 + y / (111320.0::double * cos(radians(lat0))), left_lon), left_lon + 50 * {_STEP}::double) as lon from gn),
+gq as (select *, floor(pr)::int as r0, floor(pc)::int as c0, pr - floor(pr) as tr, pc - floor(pc) as tc from (select *, (lat - top) / -{_STEP}::double - 0.5 as pr, (lon - left_lon) / {_STEP}::double - 0.5 as pc from gp) g where pr between 0 and h and pc between 0 and 49),
+gc as (select tile, ix, iy, least(r0 + dr, h) as r, least(c0 + dc, 49) as c, case when dr = 1 then tr else 1 - tr end * case when dc = 1 then tc else 1 - tc end as w from gq, (values (0, 0), (0, 1), (1, 0), (1, 1)) v(dr, dc)),
+gv as (select tile, ix, iy, coalesce(sum(w * v), 0) + coalesce(sum(case when v is null then w end), 0) * avg(v) as elev from (select gc.*, case when elev > -9000 then elev end as v from gc left join dem using (tile, r, c)) g group by tile, ix, iy),
+grid as (select gn.tile, gn.ix, gn.iy, gn.x, gn.y, coalesce((gv.elev - gn.base) * 100, 0) as height from gn left join gv on gv.tile = gn.tile and gv.ix = gn.ix and gv.iy = gn.iy)"""
+
+
+def _height_sql(points: str) -> str:
+    """at: points (key, tile, x, y) with their height in cm."""
+    local = lambda k: f"least(greatest(({k} - min_{k}) / step_{k}, 0), div_{k})"
+    return f"""hp as (select key, tile, lx, ly, least(floor(lx)::int, div_x - 1) as cx, least(floor(ly)::int, div_y - 1) as cy from (select p.key, p.tile, div_x, div_y, {local('x')} as lx, {local('y')} as ly from {points} p join fr on fr.tile = p.tile) q),
+hw as (select key, tile, cx + dx as ix, cy + dy as iy, case when fy >= fx then case when dx = 0 and dy = 0 then 1 - fy when dx = 0 then fy - fx when dy = 1 then fx else 0 end else case when dx = 0 and dy = 0 then 1 - fx when dx = 0 then 0 when dy = 1 then fy else fx - fy end end as w
+  from (select *, lx - cx as fx, ly - cy as fy from hp) h, (values (0, 0), (0, 1), (1, 0), (1, 1)) v(dx, dy)),
+lifted as (select key, sum(w * height) as height from hw join grid on grid.tile = hw.tile and grid.ix = hw.ix and grid.iy = hw.iy group by key)"""
+
+
+def _crossings_sql(u: str, v: str, low: str, high: str) -> str:
+    """Shares of a way from u to v at which it passes whole numbers within low and high."""
+    whole = f"range(greatest(floor(least({u}, {v})) + 1, {low})::bigint, least(ceil(greatest({u}, {v})) - 1, {high})::bigint + 1)"
+    return f"list_filter(list_transform({whole}, lambda k: (k - {u}) / nullif({v} - {u}, 0)), lambda t: t is not null and t > 0 and t < 1)"
+
+
+# Sides of the ways of a kind in metres, on their tile, with the shares at which they cross grid lines and diagonals.
+_SIDES = f"""sides as (select e.way_id, e.i, e.n, way_id // 101 % (select n from n_tiles) as tile, (ax - {_ORIGIN[0]}::double) * 111320 as x1, (ay - {_ORIGIN[1]}::double) * {_EAST_M} as y1, (bx - {_ORIGIN[0]}::double) * 111320 as x2, (by2 - {_ORIGIN[1]}::double) * {_EAST_M} as y2
+  from ed e join node using (way_id) where node_type = KIND),
+grids as (select s.*, (x1 - min_x) / step_x as u1, (x2 - min_x) / step_x as u2, (y1 - min_y) / step_y as v1, (y2 - min_y) / step_y as v2, div_x, div_y from sides s join fr using (tile)),
+crossed as (select *, list_sort(list_concat(list_concat({_crossings_sql('u1', 'u2', '0', 'div_x')}, {_crossings_sql('v1', 'v2', '0', 'div_y')}), {_crossings_sql('(v1 - u1)', '(v2 - u2)', '-div_x', 'div_y')})) as ts from grids)"""
+# Points of split lines in order: crossings nearer than a millimetre to the one before, or to the end, are merged.
+_SPLIT = """gaps as (select *, case when sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) > 1e-8 then 0.001 / sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) else 1.0 end as gap from crossed where i < n),
+kept as (select *, list_reduce(list_prepend([0.0::double], list_transform(ts, lambda t: [t])), lambda a, b: case when b[1] - a[len(a)] > gap and 1 - b[1] > gap then list_concat(a, b) else a end) as ks from gaps),
+split as (select way_id, tile, i, k, x1 + (x2 - x1) * t as x, y1 + (y2 - y1) * t as y from (select *, unnest(ks) as t, unnest(range(len(ks))) as k from kept) u
+  union all select way_id, tile, i + 1, 0, x2, y2 from crossed where i = n - 1)"""
+# Points at which the ground under buildings may be highest or lowest: corners, crossings, and grid nodes inside.
+_UNDER = f"""corners as (select way_id, tile, x1 + (x2 - x1) * t as x, y1 + (y2 - y1) * t as y from (select *, unnest(list_prepend(0.0::double, ts)) as t from crossed) c),
+spans as (select way_id, tile, min(x1) as xa, max(x1) as xb, min(y1) as ya, max(y1) as yb from sides group by way_id, tile),
+inner_nodes as (select s.way_id, s.tile, g.x, g.y from spans s join grid g on g.tile = s.tile and g.x between xa and xb and g.y between ya and yb join sides e on e.way_id = s.way_id
+  group by s.way_id, s.tile, g.ix, g.iy, g.x, g.y having sum(case when (e.y1 > g.y) <> (e.y2 > g.y) and g.x < (e.x2 - e.x1) * (g.y - e.y1) / nullif(e.y2 - e.y1, 0) + e.x1 then 1 else 0 end) % 2 = 1),
+places as (select way_id, row_number() over () as key, tile, x, y from (select way_id, tile, x, y from corners union all select way_id, tile, x, y from inner_nodes) p), {_height_sql('places')},
+ground as (select way_id, min(coalesce(height, 0)) as low, max(coalesce(height, 0)) as high from places left join lifted using (key) group by way_id)"""
+_UM = lambda x: f"cast(floor(({x}) * 1000 + 0.5) as bigint)"
+
+
+@query(BASE + f", {_FRAMES}, {_FIXED}, {_grid_sql()}, used as (select distinct way_id // 101 % (select n from n_tiles) as tile, node_id from lens_way_nodes)," + f"""
+place as (select tile * 1000000 + node_id as key, tile, (lat_u / 1e6 - {_ORIGIN[0]}::double) * 111320 as x, (lon_u / 1e6 - {_ORIGIN[1]}::double) * {_EAST_M} as y from used join lens_nodes using (node_id)), {_height_sql('place')}
+select place.key as point_id, {_UM('coalesce(height, 0)')} as height_um from place left join lifted using (key)""")
 def terrain_heights(spark, d):
     pixels, tiles = dem(spark, d)
     own = frame(tiles)
@@ -267,7 +326,7 @@ def tile_rings(spark: SparkSession, d: str, kind: str, tiles: DataFrame) -> Data
     return on_tiles(flat_rings(spark, d, kind), tiles, "line_id").withColumn("region_key", _tile_id(F.col("tile"))).drop("tile")
 
 
-@query()
+@query(BASE + f", {_FRAMES}, {_FIXED}, {_grid_sql()}, " + _SIDES.replace("KIND", "'Building'") + f", {_UNDER} select way_id as line_id, {_UM('low')} as min_um, {_UM('high')} as max_um from ground")
 def ground_ranges(spark, d):
     pixels, tiles = dem(spark, d)
     own = frame(tiles)
@@ -275,7 +334,61 @@ def ground_ranges(spark, d):
     return E.ground_range(cut(tile_rings(spark, d, "Building", tiles).select("line_id", "region_key", "points")), own, grid).select("line_id", scaled(F.col("min_cm")).alias("min_um"), scaled(F.col("max_cm")).alias("max_um"))
 
 
-@query()
+@query(BASE + f", {_FRAMES}, {_FIXED}, {_grid_sql()}, " + _SIDES.replace("KIND", "'RoadSegment'") + f", {_SPLIT} select way_id as line_id, count(*) as points, sum(cast(floor(x * 1000 + 0.5) as bigint))::bigint as x_mm, sum(cast(floor(y * 1000 + 0.5) as bigint))::bigint as y_mm from split group by way_id")
+def split_roads(spark, d):
+    """Roads cut where they cross the terrain's triangles."""
+    pixels, tiles = dem(spark, d)
+    lines = cut(tile_rings(spark, d, "RoadSegment", tiles).filter(F.size("points") > 1).withColumn("closed", F.lit(False)))
+    own = E.split_at_triangles(lines, frame(tiles))
+    return own.groupBy("line_id").agg(F.count("*").alias("points"), F.sum(scaled(F.col("x_m"))).alias("x_mm"), F.sum(scaled(F.col("y_m"))).alias("y_mm"))
+
+
+def grown_frame(spark: SparkSession, d: str, tiles: DataFrame, rings: DataFrame) -> DataFrame:
+    """A terrain on each tile under its region and all buildings on it, 20 m wider than both."""
+    points = rings.select("region_key", F.explode("points").alias("p")).select("region_key", F.col("p.x").alias("x_m"), F.col("p.y").alias("y_m"))
+    a, b, c, e = lens.REGION
+    box = [F.lit(v).alias(k) for k, v in (("min_x", 0.0), ("min_y", 0.0), ("max_x", (c - a) * geo.M_PER_DEGREE), ("max_y", (e - b) * geo.M_PER_DEGREE * math.cos(math.radians(a))))]
+    corner = [(F.lit(a) - _south(F.col("tile"))).alias("lat0"), (F.lit(b) + _east(F.col("tile"))).alias("lon0")]
+    return E.terrain_frame(E.ground_bounds(points, tiles.select(F.col("tile_id").alias("region_key"), "tile_id", *corner, *box)), 50.0)
+
+
+_GROWN = f"""reach as (select tile, min(x1) as xa, max(x1) as xb, min(y1) as ya, max(y1) as yb from (select way_id // 101 % (select n from n_tiles) as tile, (ax - {_ORIGIN[0]}::double) * 111320 as x1, (ay - {_ORIGIN[1]}::double) * {_EAST_M} as y1 from ed join node using (way_id) where node_type = 'Building') e group by tile),
+bound as (select tile, least(0.0::double, xa) - 20 as min_x, least(0.0::double, ya) - 20 as min_y, greatest({_NORTH_LEN}, xb) + 20 as max_x, greatest({_EAST_LEN}, yb) + 20 as max_y from boxes left join reach using (tile))"""
+
+
+@query(BASE + f", {_FRAMES}, {_GROWN} select 't' || tile as region_key, {MM('min_x')} as min_x_mm, {MM('min_y')} as min_y_mm, {MM('max_x')} as max_x_mm, {MM('max_y')} as max_y_mm from bound")
+def ground_boxes(spark, d):
+    _, tiles = dem(spark, d)
+    own = grown_frame(spark, d, tiles, tile_rings(spark, d, "Building", tiles))
+    return own.select("region_key", *[scaled(F.col(c)).alias(f"{c}_mm") for c in ("min_x", "min_y", "max_x", "max_y")])
+
+
+_HOUSE_HEIGHT = """case when t > 0 then t when l > 0 then l * 3 else case when value in ('house','detached') then 8 when value = 'apartments' then 18
+ when value = 'office' then 30 when value = 'commercial' then 15 when value in ('garage','shed') then 3.5 else 9 end end"""
+
+
+@query(BASE + f", {_FRAMES}, {_GROWN}, {_grid_sql()}, " + _SIDES.replace("KIND", "'Building'") + f""", {_UNDER},
+tall as (select way_id, value, case height when '12.5 m' then 12.5 else 0 end as t, case levels when '4' then 4 when '6 floors' then 6 else 0 end as l from node where node_type = 'Building')
+select way_id as node_id, {_UM('low - 50')} as base_um, {_UM(f"{_HOUSE_HEIGHT} + (high - low + 50) / 100")} as height_mm from ground join tall using (way_id)""")
+def seated_buildings(spark, d):
+    """Buildings on the ground of grids that follow from region and buildings: bounds, frame, grid, ranges and seats in one plan."""
+    pixels, tiles = dem(spark, d)
+    rings = cut(tile_rings(spark, d, "Building", tiles))
+    own = cut(grown_frame(spark, d, tiles, rings))
+    grid = cut(E.terrain_grid(own, pixels, tiles))
+    ranges = E.ground_range(rings.select("line_id", "region_key", "points"), own, grid).withColumnRenamed("line_id", "node_id")
+    seated = M.seat_buildings(rings.select("node_id", "height_m"), ranges)
+    return seated.select("node_id", scaled(F.col("base_cm")).alias("base_um"), scaled(F.col("height_m")).alias("height_mm"))
+
+
+@query(BASE + f", {_FRAMES}, {_FIXED}, {_grid_sql()}, " + _SIDES.replace("KIND", "'RoadSegment'") + f""", {_SPLIT},
+width as (select way_id, case when width is not null then 7.5 else case value when 'motorway' then 14 when 'trunk' then 12 when 'primary' then 10 when 'secondary' then 8 when 'tertiary' then 7 when 'service' then 4 when 'footway' then 2 when 'path' then 2 else 6 end end / 2.0 as half from node where kind = 2),
+step as (select *, row_number() over w - 1 as nr, coalesce(x - lag(x) over w, 0) as px, coalesce(y - lag(y) over w, 0) as py, coalesce(lead(x) over w - x, 0) as nx, coalesce(lead(y) over w - y, 0) as ny from split window w as (partition by way_id order by i, k)),
+norm as (select *, sqrt(px * px + py * py) as pl, sqrt(nx * nx + ny * ny) as nl from step),
+way as (select *, case when pl > 1e-8 then px / pl else 0 end + case when nl > 1e-8 then nx / nl else 0 end as sx, case when pl > 1e-8 then py / pl else 0 end + case when nl > 1e-8 then ny / nl else 0 end as sy from norm),
+dir as (select *, case when sqrt(sx * sx + sy * sy) > 1e-8 then sx / sqrt(sx * sx + sy * sy) else 0 end as dx, case when sqrt(sx * sx + sy * sy) > 1e-8 then sy / sqrt(sx * sx + sy * sy) else 0 end as dy from way),
+edge as (select way_id, nr, tile, side, row_number() over () as key, x - s * dy * half as x, y + s * dx * half as y from dir join width using (way_id), (values ('left', 1), ('right', -1)) v(side, s)), {_height_sql('edge')}
+select way_id as line_id, nr::int as n, side, cast(floor(x * 1000 + 0.5) as bigint) as x_mm, cast(floor(y * 1000 + 0.5) as bigint) as y_mm, {_UM('coalesce(height, 0) + 35')} as z_um from edge left join lifted using (key)""")
 def road_ribbons(spark, d):
     pixels, tiles = dem(spark, d)
     own = frame(tiles)
@@ -284,6 +397,14 @@ def road_ribbons(spark, d):
     return out.select("line_id", "n", "side", scaled(F.col("x_m")).alias("x_mm"), scaled(F.col("y_m")).alias("y_mm"), scaled(F.col("z_cm")).alias("z_um"))
 
 
+@query(f"with {_DEM} select 't' || tile as tile_id, true as aligned from dem where elev > -9000 group by tile")
+def dem_alignment(spark, d):
+    """Pixel centres that come back from the local frame to within a ten-thousandth of a second of arc."""
+    pixels, tiles = dem(spark, d)
+    own = E.dem_alignment_error(pixels.filter("elev > -9000"), tiles, MID, 77.607, 900.0)
+    return own.select("tile_id", (F.col("arc_seconds") < 1e-4).alias("aligned"))
+
+
 # --- footprints and walls
 
 @query(BASE + f""", area as (select way_id, area_m2 * cos(radians(12.97)) / cos(radians({MID})) as a from node where kind < 2) select way_id as node_id, cast(floor(a * 100 + 0.5) as bigint) as area_dm2 from area where a >= 0.5""")
