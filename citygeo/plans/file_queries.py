@@ -168,3 +168,34 @@ def stored_graph(spark, d):
     for part in (0, 1):
         store.write_graph({"nodes": own.filter(F.col("osm_id") % 2 == part).withColumn("region_key", F.lit(f"half {part}"))}, folder)
     return store.read_graph(spark, folder, ["nodes"])["nodes"].groupBy("node_type").agg(F.count("*").alias("nodes"), F.sum(F.size("points")).alias("points"))
+
+
+@query(BASE + "select node_type as kind, count(*) as meshes, sum(n_pts * 2)::bigint as numbers, sum(u)::bigint as total_u from node join (select way_id, sum(lat_u + lon_u) as u from pts group by way_id) using (way_id) group by node_type")
+def mesh_dump(spark, d):
+    """Outlines of all nodes by way of a mesh dump."""
+    folder = new_folder(spark, "dump")
+    own = map_queries.nodes(spark, d)
+    flat = F.flatten(F.transform("points", lambda p: F.array(F.floor(p["lat"] * 1e6 + 0.5).cast("double"), F.floor(p["lon"] * 1e6 + 0.5).cast("double"))))
+    store.write_mesh_dump(own.select(F.col("node_type").alias("kind"), F.col("name").alias("label"), F.array(*[F.lit(0.0)] * 3).alias("loc"), flat.alias("v"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("t")), folder)
+    total = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    return store.read_mesh_dump(spark, folder).groupBy("kind").agg(F.count("*").alias("meshes"), F.sum(F.size("v")).alias("numbers"), F.sum(total).alias("total_u"))
+
+
+@query("""select c_custkey::bigint as request_id, c_custkey % 6 <> 0 and c_custkey % 4 <> 1 and c_custkey % 5 <> 2 and c_custkey % 7 <> 3 and c_custkey % 9 <> 4 as reusable from customer""")
+def cache_decisions(spark, d):
+    """A fetch for each customer against manifests written before: some are missing, of another version, raster or padding, or with a file cut short."""
+    folder = new_folder(spark, "manifests")
+    k = F.col("c_custkey").cast("long")
+    own = spark.read.parquet(f"{d}/customer.parquet").select(k.alias("request_id"))
+    i = F.col("request_id")
+    box = [(F.lit(10.0) + i / 1000).alias("min_lat"), F.lit(20.0).alias("min_lon"), (F.lit(10.01) + i / 1000).alias("max_lat"), F.lit(20.01).alias("max_lon")]
+    requests = own.select("request_id", *box, F.lit("SRTM").alias("dem_type"), F.lit(0.001).alias("padding_deg"))
+    written = requests.filter(i % 6 != 0).select(
+        F.when(i % 4 == 1, 2).otherwise(1).alias("version"), F.when(i % 5 == 2, "COP").otherwise("SRTM").alias("demType"), F.when(i % 7 == 3, 0.002).otherwise(0.001).alias("demPaddingDegrees"), F.lit(100.0).alias("osmFileSize"), F.lit(200.0).alias("demFileSize"),
+        F.col("min_lat").alias("minLat"), F.col("min_lon").alias("minLon"), F.col("max_lat").alias("maxLat"), F.col("max_lon").alias("maxLon"),
+    )
+    written.select(F.to_json(F.struct("*")).alias("value")).write.text(folder)
+    manifests = spark.read.schema(", ".join(f"{n} {'string' if kind.endswith('string') else 'double'}" for n, kind in store.MANIFEST.items())).json(folder)
+    manifests = manifests.select(*[F.col(n).cast(kind.split()[1]).alias(kind.split()[0]) for n, kind in store.MANIFEST.items()])
+    files = requests.select(store.cache_key().alias("cache_key"), F.lit(100).cast("long").alias("osm_length"), F.when(i % 9 == 4, 150).otherwise(200).cast("long").alias("dem_length"))
+    return store.cache_reusable(requests, manifests, files)

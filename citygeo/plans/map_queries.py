@@ -644,6 +644,31 @@ def select_assets(spark, d):
     return selections(spark, d).select("osm_id", "idx", F.coalesce("corridor", F.lit("")).alias("corridor"), outcome.alias("outcome"))
 
 
+@query(_SELECT + """, o as (select *, case when rule_id is null then 'FallbackNoRule' when idx is null then 'FallbackNoAsset' else 'Chosen' end as outcome from sel), heads as (select count(distinct corridor) as n from o where outcome = 'Chosen' and corridor is not null)
+select outcome, count(*) as nodes from o where outcome <> 'Chosen' group by outcome union all select 'Selected', count(*) filter (where corridor is null) + (select n from heads) from o where outcome = 'Chosen'
+union all select 'InheritedFromCorridor', count(*) filter (where corridor is not null) - (select n from heads) from o where outcome = 'Chosen'""")
+def select_outcomes(spark, d):
+    """Of each corridor one road is selected, and the rest inherit."""
+    return selections(spark, d).groupBy("outcome").agg(F.count("*").alias("nodes"))
+
+
+@query("with p as (select p_partkey % 4 as t, p_partkey % 7 as s, max(p_partkey) as seed from part group by 1, 2), c as (select p_partkey % 4 as t, p_partkey % 5 as s, min(p_partkey) as seed from part where p_partkey % 3 = 0 group by 1, 2) select 'type ' || t as node_type, 'sub ' || s as subtype, seed from c union all select 'type ' || p.t, 'sub ' || p.s, p.seed from p left join c on c.t = p.t and c.s = p.s where c.t is null")
+def upsert_rules(spark, d):
+    """Rules by part, of which some are changed and some added."""
+    k = F.col("p_partkey").cast("long")
+    named = lambda df, s, seed: df.groupBy(F.concat(F.lit("type "), k % 4).alias("node_type"), F.concat(F.lit("sub "), k % s).alias("subtype")).agg(seed(k).alias("seed"), F.count("*").cast("int").alias("rule_id"), F.count("*").cast("int").alias("rule_order"))
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    own = named(parts, 7, F.max).withColumn("per_corridor", F.lit(False))
+    return A.upsert_rules(own, named(parts.filter(k % 3 == 0), 5, F.min)).select("node_type", "subtype", "seed")
+
+
+@query(BASE + "select way_id as osm_id, feature_type from feat where way_id in (select o_orderkey from orders order by o_orderkey limit 50)")
+def feature_by_id(spark, d):
+    """The features of fifty ids that are asked for."""
+    ids = [r.o_orderkey for r in spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey").orderBy("o_orderkey").limit(50).collect()]
+    return C.feature_by_id(features(spark, d), ids).select("osm_id", "feature_type")
+
+
 @query(_SELECT + " select node_type, count(*) as nodes, count(idx) as selected, count(*) - count(idx) as fallbacks from sel group by node_type")
 def dry_run(spark, d):
     return A.dry_run(selections(spark, d)).select("node_type", "nodes", "selected", "fallbacks")

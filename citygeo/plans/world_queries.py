@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citygeo.functions import geo
-from citygeo.functions.numbers import scaled
+from citygeo.functions.numbers import leading_integer, leading_number, scaled
 from citygeo.operators import graph as G
 from citygeo.operators import materials as K
 from citygeo.operators import mesh as M
@@ -405,6 +405,40 @@ def dem_alignment(spark, d):
     return own.select("tile_id", (F.col("arc_seconds") < 1e-4).alias("aligned"))
 
 
+_TRIANGLES = """cell as (select a.tile, 100 * fr.step_x as sx, 100 * fr.step_y as sy, a.height as ha, b.height as hb, c.height as hc, d.height as hd from grid a join fr on fr.tile = a.tile
+  join grid b on b.tile = a.tile and b.ix = a.ix and b.iy = a.iy + 1 join grid c on c.tile = a.tile and c.ix = a.ix + 1 and c.iy = a.iy + 1 join grid d on d.tile = a.tile and d.ix = a.ix + 1 and d.iy = a.iy),
+tri as (select tile, -sx * sy as nz, sx * (hb - ha) as p, sy * (hc - hb) as q from cell union all select tile, -sx * sy, sx * (hc - hd), sy * (hd - ha) from cell)"""
+
+
+@query(f"with {_FRAMES}, {_FIXED}, {_grid_sql()}, {_TRIANGLES}, v as (select tile, count(*) as vertices from grid group by tile) select 't' || tile as mesh_id, any_value(vertices) as vertices, count(*) as triangles, 0::bigint as up, count(*) filter (where nz / sqrt(nz * nz + p * p + q * q) < -0.7) as down, cast(floor(sum(sqrt(nz * nz + p * p + q * q)) / 2 / 10000 + 0.5) as bigint) as area_m2 from tri join v using (tile) group by tile")
+def terrain_sheets(spark, d):
+    """The terrain of each tile as a mesh: its size, which way its triangles face, and its surface."""
+    pixels, tiles = dem(spark, d)
+    own = frame(tiles)
+    vertices, triangles = (cut(t.withColumnRenamed("region_key", "mesh_id")) for t in E.terrain_mesh(own, cut(E.terrain_grid(own, pixels, tiles))))
+    count = lambda t, name: t.groupBy("mesh_id").agg(F.count("*").alias(name))
+    found = count(vertices, "vertices").join(count(triangles, "triangles"), "mesh_id").join(M.mesh_normals(vertices, triangles), "mesh_id").join(M.mesh_area(vertices, triangles), "mesh_id")
+    return found.select("mesh_id", "vertices", "triangles", "up", "down", scaled(F.col("area_m2"), 1).alias("area_m2"))
+
+
+@query(BASE + f"""select way_id as osm_id, {MM("(case when t > 0 then t when l > 0 then greatest(l * 3.2, 3.2) else 9.6 end)")} as height_mm from (
+ select way_id, case height when '12.5 m' then 12.5 else 0 end as t, case levels when '4' then 4 when '6 floors' then 6 else 0 end as l from typed where kind < 2) x""")
+def archetype_heights(spark, d):
+    own = lens.way_tags(spark, d).filter("tags['building'] is not null or tags['building:part'] is not null")
+    h = leading_number(F.coalesce(F.col("tags")["height"], F.lit("")))
+    levels = leading_integer(F.coalesce(F.col("tags")["building:levels"], F.lit("")))
+    return own.select(F.col("way_id").alias("osm_id"), scaled(M.archetype_height(h, levels, F.col("way_id"))).alias("height_mm"))
+
+
+@query(f"with {_PROPS}, w as (select distinct user_id as node_id, event_id % 3 as section from events), z as (select distinct user_id as node_id, s.section, user_id % 15 + 1 as code from events, (values (0), (1)) s(section)) select w.node_id, w.section, cast(floor(coalesce(base_temp_k, 293.15) * 100 + 0.5) as bigint) as temp_ck from w left join z on z.node_id = w.node_id and z.section = w.section left join props p on p.code = z.code")
+def zone_temp(spark, d):
+    """The temperature of each section that events ask for; every third has none."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    own = zones(spark, d).withColumnRenamed("zone_id", "node_id").withColumn("section", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    wanted = events.select(F.col("user_id").alias("node_id"), (F.col("event_id") % 3).cast("long").alias("section")).distinct()
+    return H.zone_temp(own, wanted).select("node_id", "section", scaled(F.col("temp_k"), 100).alias("temp_ck"))
+
+
 # --- footprints and walls
 
 @query(BASE + f""", area as (select way_id, area_m2 * cos(radians(12.97)) / cos(radians({MID})) as a from node where kind < 2) select way_id as node_id, cast(floor(a * 100 + 0.5) as bigint) as area_dm2 from area where a >= 0.5""")
@@ -430,11 +464,11 @@ def area_layers(spark, d):
 # --- coordinates
 
 
-@query("select c_custkey as id, cast(floor(n * cos(phi) * cos(lam) * 1000 + 0.5) as bigint) as x_mm, cast(floor(n * (1 - e2) * sin(phi) * 1000 + 0.5) as bigint) as z_mm from (select *, 6378137.0::double / sqrt(1 - e2 * sin(phi) * sin(phi)) as n from (select c_custkey, radians((c_custkey * 37 % 17000) / 100.0::double - 85) as phi, radians((c_custkey * 53 % 35000) / 100.0::double - 175) as lam, (1 / 298.257223563::double) * (2 - 1 / 298.257223563::double) as e2 from customer) a) b")
+@query("select c_custkey as id, cast(floor(n * cos(phi) * cos(lam) * 1000 + 0.5) as bigint) as x_mm, cast(floor(n * cos(phi) * sin(lam) * 1000 + 0.5) as bigint) as y_mm, cast(floor(n * (1 - e2) * sin(phi) * 1000 + 0.5) as bigint) as z_mm from (select *, 6378137.0::double / sqrt(1 - e2 * sin(phi) * sin(phi)) as n from (select c_custkey, radians((c_custkey * 37 % 17000) / 100.0::double - 85) as phi, radians((c_custkey * 53 % 35000) / 100.0::double - 175) as lam, (1 / 298.257223563::double) * (2 - 1 / 298.257223563::double) as e2 from customer) a) b")
 def ecef(spark, d):
     k = F.col("c_custkey").cast("long")
     p = geo.to_ecef((k * 37 % 17000) / 100 - 85, (k * 53 % 35000) / 100 - 175, F.lit(0.0))
-    return spark.read.parquet(f"{d}/customer.parquet").select(k.alias("id"), p.alias("p")).select("id", scaled(F.col("p.x")).alias("x_mm"), scaled(F.col("p.z")).alias("z_mm"))
+    return spark.read.parquet(f"{d}/customer.parquet").select(k.alias("id"), p.alias("p")).select("id", scaled(F.col("p.x")).alias("x_mm"), scaled(F.col("p.y")).alias("y_mm"), scaled(F.col("p.z")).alias("z_mm"))
 
 
 @query("""with k as (select cast(c_custkey as bigint) as id, 12.97::double + (c_custkey % 100) / 10000.0::double as lat, 77.602::double + (c_custkey % 97) / 10000.0::double as lon, 910.0::double as h, 12.975::double as lat0, 77.607::double as lon0, 900.0::double as h0 from customer),
