@@ -26,10 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citygeo.llm.common import Words, documents, mix, out_schema, pieces, raw_text, span_hashes, text_bytes, word_hashes
+from citygeo.llm.common import Words, checkpoint, documents, mix, out_schema, pieces, raw_text, span_hashes, text_bytes, word_hashes
 
 PHRASE = 8
 SHARD_BYTES, SHARDS_PER_TASK, HELD_BYTES = 8 << 20, 16, 16 << 20
+MOST_REPEATED = 1_000_000  # hashes of repeated rows that may be broadcast
 ALIKE, DIFFERING, WINDOW = range(3)  # seeds whose stretches are equal, others, and confirmed windows
 _SECOND = 0xD6E8FEB86659FD93
 
@@ -235,16 +236,32 @@ def _mark(window: int):
     return run
 
 
+def told_once(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, copy and times: rows of docs, but of rows equal in both only two, copy 0 that stands for all of them (times) and copy 1
+    (times 0): with two of them every window of theirs recurs, as with all. Equal rows are counted by a hash first; only they are grouped."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    repeated = checkpoint(rows.groupBy("row").agg(F.count("*").alias("times")).filter("times > 1"))
+    n = repeated.count()
+    single = lambda df: df.select("id", "text", F.lit(0).alias("copy"), F.lit(1).cast("long").alias("times"))
+    if not n:
+        return single(rows)
+    meet = F.broadcast(repeated) if n <= MOST_REPEATED else repeated
+    several = rows.join(meet, "row").groupBy("row", "id", "times").agg(F.first("text").alias("text"))
+    both = several.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).select("id", "text", "copy", F.when(F.col("copy") == 0, F.col("times")).otherwise(0).alias("times"))
+    return single(rows.join(meet, "row", "left_anti")).unionByName(both)
+
+
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Per row of docs: id, n_words, n_removed, kept_text (kept words joined by a space) and removed (word spans).
 
     A word goes if a window of ``window`` words that covers it also starts anywhere else, in the same document or another.
     Null and empty texts have no words and give an empty kept text. Ids may be null or repeat: every row is a document of
-    its own, so equal rows repeat each other. Other columns of docs are not read. An empty table gives an empty result.
+    its own, so equal rows repeat each other; however many they are, two of them are looked at, in shards of their own. Other
+    columns of docs are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     shards = shards or max(1, -(-text_bytes(docs, text_col) // SHARD_BYTES))
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards)).cast("int").alias("shard"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    rows = told_once(docs, id_col, text_col).select(F.pmod(F.xxhash64("id", "text", "copy"), F.lit(shards)).cast("int").alias("shard"), "text", F.struct("id", "times").alias("id"))
     stretches = rows.select("shard", "text").mapInArrow(_seed_rows(window), "seed long, shard int, n long, low long, high long")
     seeds = stretches.groupBy("seed").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     seeds = seeds.filter("n > 1").select("seed", (F.col("low") != F.col("high")).alias("differs"))
@@ -258,7 +275,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     windows = counted.withColumn("total", total).filter("total > 1").select("shard", F.lit(WINDOW).alias("kind"), "key")
     keys = known.select("shard", F.when(F.col("differs"), DIFFERING).otherwise(ALIKE).alias("kind"), F.col("seed").alias("key")).unionByName(windows)
     schema = out_schema(rows, "id", "n_words long, n_removed long, kept_text string, removed array<struct<start: long, end: long>>")
-    return dealt.cogroup(keys.groupBy("shard")).applyInArrow(_mark(window), schema).withColumnRenamed("id", id_col)
+    marked = dealt.cogroup(keys.groupBy("shard")).applyInArrow(_mark(window), schema).filter("id.times > 0")
+    every = marked.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "id.times")))
+    return every.select(F.col("id.id").alias(id_col), "n_words", "n_removed", "kept_text", "removed")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

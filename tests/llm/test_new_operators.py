@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from citygeo.llm import op01_substring as op1
 from citygeo.llm import op06_quality as op6
 from citygeo.llm import op07_sharding as op7
 from citygeo.llm import op11_merkle as op11
@@ -266,6 +267,16 @@ def test_estimates_follow_similarity():
         assert op13.estimated(agree) >= 0.55 > op13.estimated(agree - 1)
 
 
+def test_equal_rows_are_looked_at_twice_and_returned_as_given(spark):
+    w = words(60, 31)
+    rows = [(1, " ".join(w))] * 700 + [(None, "short text")] * 300 + [(2, " ".join(words(50, 32) + w[10:50])), (3, " ".join(words(80, 33))), (1, "another")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    once = op1.told_once(docs, "doc_id", "text").collect()
+    assert len(once) == 2 + 2 + 3 and sum(r.times for r in once) == len(rows)
+    found = Counter((r.doc_id, r.n_words, r.n_removed) for r in op1.remove_repeats(docs, shards=3).collect())
+    assert found == {(1, 60, 60): 700, (None, 2, 0): 300, (2, 90, 40): 1, (3, 80, 0): 1, (1, 1, 0): 1}
+
+
 # --- the registered queries against their SQL, and what was mended in others
 
 
