@@ -12,8 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from citygeo.llm import op01_substring as op1
+from citygeo.llm import op04_pii as op4
 from citygeo.llm import op06_quality as op6
 from citygeo.llm import op07_sharding as op7
+from citygeo.llm import op08_decontaminate as op8
 from citygeo.llm import op11_merkle as op11
 from citygeo.llm import op12_codes as op12
 from citygeo.llm import op13_minhash as op13
@@ -294,6 +296,57 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(tuple(r[c] for c in columns) for r in own.collect()) == sorted(tuple(r[i] for i in at) for r in there.fetchall())
 
 
+def test_seeds_that_many_items_share_are_no_pairs_in_python():
+    import time
+
+    import pyarrow as pa
+
+    items = [" ".join(["the big red dog"] + [f"w{k}x{j}" for j in range(20)]) for k in range(20_000)]
+    docs = [" ".join(["the big red dog"] + [f"d{k}x{j}" for j in range(100)]) for k in range(39)] + [items[77] + " and more"]
+    hashes, doc = op8.plain_words(pa.array(items))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(docs), pa.array(range(40))], ["doc_id", "_text", "_key"])
+    began = time.time()
+    found = [r for b in op8._tile_rows(list(range(len(items))), hashes, doc, 4, 0.5, "doc_id")(iter([batch])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in found] == [(39, 77, 1.0)] and time.time() - began < 20
+    again = [r for b in op8._tile_rows([1, 2], *op8.plain_words(pa.array([items[77]] * 2)), 4, 0.5, "doc_id")(iter([batch])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["item_id"]) for r in again] == [(39, 1), (39, 2)]  # equal items each count
+
+
+def test_dots_at_any_distance_belong_to_an_address():
+    for blanks in (1, 16, 17, 400):
+        text = "write to john" + " " * blanks + "dot doe at example dot com"
+        assert op4.find(text)[1]["email"] == [(9, len(text))]
+    assert op4.find("call one two three four five six seven, eight nine zero now")[0]["phone"] == []
+
+
+def test_tape_maps_signs_back_as_lists_do():
+    r = random.Random(2)
+    for _ in range(300):
+        text = "".join(r.choice("abc ") for _ in range(r.randrange(1, 30)))
+        tape, start, end, new = op4.Tape(text), list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text)
+        for _ in range(3):
+            cuts = sorted(r.sample(range(len(tape.text) + 1), min(len(tape.text) + 1, 2 * r.randrange(4))))
+            edits = [(a, b, "x" * r.randrange(3)) for a, b in zip(cuts[::2], cuts[1::2])]
+            out = [[], [], [], []]
+            at = 0
+            for a, b, put in edits:
+                if not put:
+                    for i in (a - 1, b):
+                        if 0 <= i < len(new):
+                            new[i] = True
+            for a, b, put in [*edits, (len(new), len(new), "")]:
+                for o, own in zip(out, (tape.text, start, end, new)):
+                    o += own[at:a]
+                out[0] += put
+                out[1] += [start[a] for _ in put]
+                out[2] += [end[b - 1] for _ in put]
+                out[3] += [True for _ in put]
+                at = b
+            tape.rewrite(edits)
+            start, end, new = out[1:]
+            assert (tape.text, tape.start.tolist(), tape.end.tolist(), tape.new.tolist()) == ("".join(out[0]), start, end, new)
+
+
 def test_letters_of_all_scripts_count():
     at = op6.COUNTS.index("n_letters")
     assert op6.statistics_of("한국어 中文 ｆｕｌｌ")[at] == 9 and op6.statistics_of("\U0001d400 \U00020000 \U0001f600")[at] == 2
