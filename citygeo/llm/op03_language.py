@@ -2,7 +2,8 @@
 
 Features are hashed n-grams of 2, 3 and 4 bytes of the text with letters lowered and runs of anything else as one space; a
 text's value for a model is its mean weight over all its n-grams. Models are trained with a squared hinge loss on the driver
-from sparse counts of at most ``per_language`` different labelled texts of each language, those with the least hashes.
+from sparse counts of at most ``per_language`` different labelled texts of each language, those with the least hashes. How many
+languages and models there are is bounded, so junk labels cost nothing.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from citygeo.llm.common import documents, pieces, raw_text, tidy
+from citygeo.llm.common import checkpoint, documents, pieces, raw_text, tidy
 
 BITS = 15
 SIZES = (2, 3, 4)
 STEP = 1 << 20
 PART = 1 << 18  # counts that training looks at together
 PER_LANGUAGE = 600
+MOST_LANGUAGES, MOST_MODELS = 200, 400
 NONE = "und"
 # Families of closely related languages, by code. A language that is missing here is a family of its own.
 FAMILIES = {
@@ -172,18 +174,38 @@ def _train(bucket: np.ndarray, share: np.ndarray, size: np.ndarray, sign: np.nda
     return w, bias
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Hierarchy:
-    """A model of all non-null languages of labelled. Repeated texts count once; of a language's different texts the per_language
-    with the least hashes are learned from, all of them where there are fewer, so each language has one at least. The driver
-    gets per_language sparse rows for each language."""
+def learnable(often: list[str], most_models: int = MOST_MODELS) -> list[str]:
+    """Of languages in this order, those whose models (one for each family, one for each pair of a family) are most_models at most in
+    all; one that would exceed this is passed over."""
+    own: dict[str, int] = {}
+    models, out = 0, []
+    for language in often:
+        family = family_of(language)
+        more = own.get(family, 0) if family in own else 1
+        if models + more <= most_models:
+            models, own[family] = models + more, own.get(family, 0) + 1
+            out.append(language)
+    return out
+
+
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, most_models: int = MOST_MODELS) -> Hierarchy:
+    """A model of the non-null languages of labelled. Repeated texts count once; of a language's different texts the per_language
+    with the least hashes are learned from, all of them where there are fewer, so each language has one at least.
+
+    Languages are learned in order of their numbers of different texts (ties: by name), most_languages at most, as long as their models
+    are most_models at most (128 KB each); rarer labels beyond that are not learned and never predicted. So the driver gets
+    most_languages * per_language sparse rows at most, and what goes to tasks does not grow with the number of labels."""
+    spark = labelled.sparkSession
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text"))
-    kinds = rows.select("lang", "key").distinct()
+    kinds = checkpoint(rows.select("lang", "key").distinct())
+    often = kinds.groupBy("lang").agg(F.count("*").alias("texts")).orderBy(F.desc("texts"), "lang").limit(most_languages).collect()
+    texts = {r.lang: r.texts for r in often}
     # a first cut by hash leaves twice the texts wanted, on average, to be ranked
-    share = F.broadcast(kinds.groupBy("lang").agg((2.0 * per_language / F.count("*")).alias("share")))  # one row for each language
+    share = F.broadcast(spark.createDataFrame([(x, 2.0 * per_language / texts[x]) for x in learnable([*texts], most_models)], "lang string, share double"))
     near = kinds.join(share, "lang").filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < F.col("share") * (1 << 40))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")))
-    picked = F.broadcast(ranked.filter(F.col("rank") <= per_language).select("lang", "key"))  # per_language rows for each language
+    picked = F.broadcast(ranked.filter(F.col("rank") <= per_language).select("lang", "key"))  # most_languages * per_language rows at most
     chosen = rows.join(picked, ["lang", "key"]).dropDuplicates(["lang", "key"]).select("lang", "text")
     found = chosen.mapInArrow(_sparse_rows, "lang string, bucket array<int>, share array<float>").toArrow()
     lang = found.column("lang").to_pylist()
