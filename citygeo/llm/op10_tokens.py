@@ -5,6 +5,10 @@ them in a tree whose leaves are the pre-tokens. An edit is cut again from CONTEX
 boundary behind it at which old and new text agree; as the pre-token pattern looks ahead only, all that follows is as it was.
 The new count goes to the first leaf of the region, the others of it become zero, and the sums above are updated. A leaf's start
 is always the start of a pre-token of the text as it is, so a tree takes one round of edits after the other.
+
+Trees outlive a run: ``tree_table`` gives them as rows (id, text, lengths and counts of pre-tokens). A later run that is given such a
+table counts only where a text differs from the one in it, and whatever edits touch. Any tree of a document will do, as it is
+compared with the text first; a document without one is counted in full.
 """
 
 from __future__ import annotations
@@ -57,17 +61,24 @@ class Counter:
 
 
 class Tree:
-    """Pre-token starts and a segment tree of their token counts: node i has children 2i and 2i + 1, leaves come last."""
+    """Pre-token starts and a segment tree of their token counts: node i has children 2i and 2i + 1, leaves come last.
+
+    ``known`` are lengths and counts of the text's pre-tokens, if they are; nothing is encoded then.
+    """
 
-    def __init__(self, text: str, count: Counter):
-        parts = _PIECE.findall(text)
-        self.text, self.count, self.touched, self.n_parts = text, count, 0, len(parts)
-        self.starts = np.r_[0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))].tolist()
-        if not parts:
+    def __init__(self, text: str, count: Counter, known: tuple[np.ndarray, np.ndarray] | None = None):
+        if known is None:
+            parts = _PIECE.findall(text)
+            known = np.fromiter(map(len, parts), np.int64, len(parts)), np.array(count(parts), np.int64)
+        lengths, counts = known
+        self.text, self.count, self.touched, self.n_parts = text, count, 0, len(lengths)
+        self.fine: dict[int, list[tuple[int, int]]] = {}  # pre-tokens (length, count) of leaves that edits changed
+        self.starts = np.r_[0, np.cumsum(lengths)].tolist()
+        if not len(lengths):
             self.starts.append(0)  # one empty leaf
-        self.width = max(1, 1 << (max(1, len(parts)) - 1).bit_length())
+        self.width = max(1, 1 << (max(1, len(lengths)) - 1).bit_length())
         levels = [np.zeros(self.width, np.int64)]
-        levels[0][: len(parts)] = count(parts)
+        levels[0][: len(lengths)] = counts
         while len(levels[-1]) > 1:
             levels.append(levels[-1].reshape(-1, 2).sum(axis=1))
         self.sums = np.concatenate([np.zeros(1, np.int64), *levels[::-1]])
@@ -76,6 +87,26 @@ class Tree:
     def total(self) -> int:
         return int(self.sums[1])
 
+    def parts(self, leaf: int) -> list[tuple[int, int]]:
+        """Length and count of each pre-token of a leaf."""
+        if leaf in self.fine:
+            return self.fine[leaf]
+        length = self.starts[leaf + 1] - self.starts[leaf]
+        return [(length, int(self.sums[leaf + self.width]))] if length else []
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and counts of all pre-tokens of the text as it is."""
+        lengths = np.diff(np.array(self.starts, np.int64))
+        counts = self.sums[self.width : self.width + len(lengths)]
+        out, at = [], 0
+        for leaf in [*sorted(self.fine), len(lengths)]:
+            kept = at + np.flatnonzero(lengths[at:leaf])
+            out.append(np.stack([lengths[kept], counts[kept]], axis=1))
+            if leaf < len(lengths):
+                out.append(np.array(self.fine[leaf], np.int64).reshape(-1, 2))
+            at = leaf + 1
+        return tuple(np.concatenate(out).T)
+
     def set(self, leaf: int, value: int) -> None:
         i = leaf + self.width
         change = value - self.sums[i]
@@ -138,7 +169,13 @@ class Tree:
                     end, moved = clean[k][1], moved + len(clean[k][2]) - (clean[k][1] - clean[k][0])
                     k += 1
             self.touched += len(parts)
-            counts = sum(self.count(parts))
+            found = self.count(parts)
+            counts, new = sum(found), list(zip(map(len, parts), found))
+            self.n_parts += len(new) - sum(len(self.parts(i)) for i in range(first, leaf))
+            if leaf > first or new:
+                self.fine[first] = new if leaf > first else new + self.parts(first)
+            for i in range(first + 1, leaf):
+                self.fine.pop(i, None)
             if leaf > first or counts:
                 self.set(first, counts + (int(self.sums[first + self.width]) if leaf <= first else 0))
             for i in range(first + 1, leaf):
@@ -156,6 +193,19 @@ class Tree:
         return changed
 
 
+def difference(old: str, new: str) -> list[Edit]:
+    """The edit that makes new of old, from where they first differ to where they last do; none if they are equal."""
+    if old == new:
+        return []
+    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (old, new))
+    n = min(len(a), len(b))
+    unlike = a[:n] != b[:n]
+    front = int(unlike.argmax()) if unlike.any() else n
+    unlike = a[len(a) - n + front :][::-1] != b[len(b) - n + front :][::-1]
+    back = int(unlike.argmax()) if unlike.any() else n - front
+    return [(front, len(a) - back, new[front : len(b) - back])]
+
+
 def repeated_lines(text: str) -> list[Edit]:
     """Deletes each line that has a word and equals an earlier line, with the newline after it."""
     edits, seen, at = [], set(), 0
@@ -179,33 +229,60 @@ def long_numbers(text: str) -> list[Edit]:
 CLEANING = (repeated_lines, long_numbers)
 
 
-def count_tokens(docs: DataFrame, edits: str | Sequence[Callable[[str], list[Edit]]] = CLEANING, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, n_chars, n_pretokens, n_tokens, n_edits, n_reencoded (pre-tokens cut again), n_tokens_after, text_after.
+def count_tokens(docs: DataFrame, edits: str | Sequence[Callable[[str], list[Edit]]] = CLEANING, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", trees: DataFrame | None = None, keep: bool = False) -> DataFrame:
+    """Per row of docs: id, n_chars, n_pretokens, n_tokens, n_edits, n_reencoded (pre-tokens cut again), n_tokens_after, text_after;
+    with keep also lengths and counts of the pre-tokens of text_after, from which ``tree_table`` makes a table of trees.
 
     edits are functions of the text, applied one after the other to what the last left, or the name of a column of docs, array<struct<start: int, end: int, replacement: string>>
     in code points. Null counts as no edits, and in an edit as 0 or the empty string. Null and empty texts have no tokens, and
     edits may still insert into them. Ids may be null or repeat; other columns are not read.
+
+    trees is such a table of an earlier run with the same vocabulary: where it has a document's id, only what lies between the first and
+    the last difference of its text and the tree's is counted (n_reencoded tells how much). Results are the same with any table, empty,
+    stale or with repeated ids, of which one tree is taken. Null ids are counted in full.
     """
-    columns = [id_col, F.col(text_col).alias("_text"), *([F.col(edits).alias("_edits")] if isinstance(edits, str) else [])]
+    given, stored = isinstance(edits, str), trees is not None
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *([F.col(edits).alias("_edits")] if given else []))
+    if stored:
+        old = trees.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_of"), F.struct("text", "lengths", "counts").alias("_tree"))
+        rows = rows.join(old.dropDuplicates(["_of"]), F.col("_id") == F.col("_of"), "left").drop("_of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(vocabulary)
         for piece in pieces(batches):
-            given = piece.column(2).to_pylist() if isinstance(edits, str) else None
-            rows = []
+            own = piece.column("_edits").to_pylist() if given else None
+            saved = piece.column("_tree") if stored else None
+            out, kept = [], []
             for i, text in enumerate(piece.column(1).to_pylist()):
                 text = text or ""
-                tree = Tree(text, count)
-                before, n_edits = tree.total, 0
-                for find in edits if given is None else [lambda _, own=given[i]: [(e["start"] or 0, e["end"] or 0, e["replacement"] or "") for e in own or [] if e]]:
-                    if own := find(tree.text):
-                        tree.apply(own)
-                        n_edits += len(own)
-                rows.append((len(text), tree.n_parts, before, n_edits, tree.touched, tree.total, tree.text))
-            yield pa.RecordBatch.from_arrays([piece.column(0), *[pa.array(c, pa.int64()) for c in list(zip(*rows))[:6]], pa.array([r[6] for r in rows], pa.string())], [id_col, "n_chars", "n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_tokens_after", "text_after"])
-
-    fields = "n_chars long, n_pretokens long, n_tokens long, n_edits long, n_reencoded long, n_tokens_after long, text_after string"
-    return docs.select(*columns).mapInArrow(run, out_schema(docs, id_col, fields))
+                before = saved[i] if saved is not None and saved[i].is_valid else None
+                if before is None:
+                    tree = Tree(text, count)
+                else:
+                    tree = Tree(before["text"].as_py() or "", count, tuple(before[c].values.to_numpy().astype(np.int64) for c in ("lengths", "counts")))
+                    if changes := difference(tree.text, text):
+                        tree.apply(changes)
+                n_pretokens, n_tokens, n_edits = tree.n_parts, tree.total, 0
+                for find in [lambda _, own=own[i]: [(e["start"] or 0, e["end"] or 0, e["replacement"] or "") for e in own or [] if e]] if given else edits:
+                    if now := find(tree.text):
+                        tree.apply(now)
+                        n_edits += len(now)
+                out.append((len(text), n_pretokens, n_tokens, n_edits, tree.touched, tree.total, tree.text))
+                if keep:
+                    kept.append(tree.flat())
+            columns = [*[pa.array(c, pa.int64()) for c in list(zip(*out))[:6]], pa.array([r[6] for r in out], pa.string())]
+            columns += [pa.array(c, pa.list_(pa.int32())) for c in zip(*kept)]
+            yield pa.RecordBatch.from_arrays([piece.column(0), *columns], names)
+
+    fields = "n_chars long, n_pretokens long, n_tokens long, n_edits long, n_reencoded long, n_tokens_after long, text_after string" + (", lengths array<int>, counts array<int>" if keep else "")
+    schema = out_schema(docs, id_col, fields)
+    names = schema.fieldNames()
+    return rows.mapInArrow(run, schema)
+
+
+def tree_table(counted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, text, lengths and counts: the trees of count_tokens with keep, to be written and given to a later run."""
+    return counted.select(id_col, F.col("text_after").alias("text"), "lengths", "counts")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
