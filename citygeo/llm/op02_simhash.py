@@ -7,7 +7,8 @@ hashes, repeats included; equal fingerprints are one node from then on, so copie
 Blocks: with ``blocks="parts"`` the 64 bits are cut into radius + 1 + extra parts, and nodes that agree in extra + 1 of them
 meet (by the pigeonhole rule all links within the radius do; extra grows with the number of nodes, so blocks stay small).
 With ``blocks="shingles"``, for radii that parts cannot serve, those meet that share ROWS least shingle hashes in one of BANDS
-bands; blocks with equal members are one. A large block is dealt into tiles, and each pair of tiles becomes a block of its own.
+bands; blocks with equal members are one. A large block is dealt into tiles, and each pair of tiles becomes a block of its own; with
+``blocks="shingles"`` stars join most nodes before, and tiles hold what they left (near.py).
 
 Comparison: bit planes of the nodes of all blocks of a task stand vertically, one lane a node. For shift s, lane i is
 compared with lane i + s by XOR of planes; a carry-save adder takes three planes at a time into bitwise counters that
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from citygeo.llm.common import Words, checkpoint, chosen, documents, mix, out_schema, pieces, raw_text, span_hashes, word_hashes
+from citygeo.llm.near import open_blocks, star_links, tiles, with_texts
 
 SEED = 42
 TILE, TILE_SHINGLES = 2048, 1 << 18  # members of a tile, and their shingles; a longer text is a tile with few others
@@ -200,12 +202,12 @@ def _within(planes: np.ndarray, q: int, r: int, active: np.ndarray, radius: int)
     return active & ~over
 
 
-def spanning(fps: np.ndarray, group: np.ndarray, radius: int, confirm: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def spanning(fps: np.ndarray, group: np.ndarray, radius: int, confirm: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of links within the radius between fingerprints (a row each) of one group (sorted by group) that span all of
     them. With confirm, only pairs that it takes are links; all pairs within the radius are put to it, some shifts at a time,
-    but for those that links found before join already."""
+    but for those that are joined already, by links found before or by label (for each place the first one of its part)."""
     a, b = [], []
-    label = np.arange(len(fps))
+    label = np.arange(len(fps)) if label is None else label.copy()
 
     def root(i: int) -> int:
         while label[i] != i:
@@ -335,12 +337,38 @@ def _by_bits(distinct: np.ndarray, bounds: np.ndarray, least: float) -> Callable
     return alike
 
 
+def _first_of_root(group: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """For each place the first one with the same group and root."""
+    _, first, back = np.unique(np.column_stack([group, root]), axis=0, return_index=True, return_inverse=True)
+    return first[back.ravel()]
+
+
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in ("s0", "s1")], axis=1).view(np.uint64)
+
+
+def _near_rows(radius: int):
+    """block, tile and node of the nodes that have one of another root within the radius in their tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole_blocks(batches):
+            near = np.zeros(len(group), bool)
+
+            def mark(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                near[x] = near[y] = True
+                return np.zeros(len(x), bool)
+
+            spanning(_sketches(table), group, radius, mark, _first_of_root(group, table.column("root").to_numpy()))
+            yield from table.select(["block", "tile", "node"]).filter(pa.array(near)).combine_chunks().to_batches()
+
+    return run
+
+
 def _exact_link_rows(width: int, radius: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in _whole_blocks(batches, text_at=5):
-            node = table.column(2).to_numpy()
-            sketch = np.stack([table.column(k).to_numpy() for k in (3, 4)], axis=1).view(np.uint64)
-            sets = [shingle_table(piece.column(0), width) for piece in pieces(iter(table.select([5]).to_batches()), 0)]
+        for table, group in _whole_blocks(batches, text_at=6):
+            node = table.column("node").to_numpy()
+            sets = [shingle_table(piece.column(0), width) for piece in pieces(iter(table.select(["text"]).to_batches()), 0)]
             distinct, bounds = np.concatenate([d for d, _ in sets]), np.r_[0, np.cumsum(np.concatenate([np.diff(b) for _, b in sets]))]
             edge = np.r_[np.flatnonzero(np.r_[True, np.diff(group) != 0]), len(group)]
             few = _one_by_one(distinct, bounds, least)
@@ -357,7 +385,7 @@ def _exact_link_rows(width: int, radius: int, least: float):
                     out[mine] = many[k](x[mine] - lo, y[mine] - lo)
                 return out
 
-            a, b = spanning(sketch, group, radius, alike)
+            a, b = spanning(_sketches(table), group, radius, alike, _first_of_root(group, table.column("root").to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     return run
@@ -378,24 +406,33 @@ def links(keyed: DataFrame, radius: int) -> DataFrame:
 
 def exact_links(docs: DataFrame, base: DataFrame, shingle: int, radius: int, least: float, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """Links (a, b) between nodes of base (shingle_sets of docs) that share a block, have sketches within the radius, and have
-    a similarity of ``least`` or more; they join all nodes that such pairs join. One text of each node is shuffled to its
-    blocks and tiles. Up to ``most`` such texts (counted) are picked by a broadcast of their ids; beyond that docs are shuffled."""
+    a similarity of ``least`` or more; they join all nodes that such pairs join.
+
+    First each node is held against the least node of all its blocks, in stars. Blocks that this joins are done. The others are dealt
+    into tiles, near by far and far by far; a pass over sketches picks the nodes with a partner in another component, and only
+    these nodes' texts, one of each, are shuffled to their tiles. Up to ``most`` rows of such nodes (counted) are broadcast to pick
+    the texts; beyond that docs are shuffled."""
     keyed = base.select("node", "bands").dropDuplicates(["node"]).select(F.explode("bands").alias("block"), "node")
-    keyed = checkpoint(keyed.join(keyed.groupBy("block").agg(F.count("*").alias("size")).filter("size > 1"), "block"))
+    sizes = keyed.groupBy("block").agg(F.count("*").alias("size"), F.min("node").alias("head")).filter("size > 1")
+    keyed = checkpoint(keyed.join(sizes, "block").select("block", "node", "head"))
     one = base.join(keyed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("size", "id", "key", "s0", "s1", "n_shingles")).alias("one"))
-    one = checkpoint(one.select("node", *[F.col(f"one.{c}").alias(c) for c in ("s0", "s1", "n_shingles")], F.col("one.id").alias("one_id"), F.col("one.key").alias("one_key")))
-    met = keyed.drop("size").join(one, "node")
-    members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).cast("int")
-    blocks = met.groupBy("block").agg(F.count("*").alias("size"), tiles.alias("n"), *members)
-    blocks = blocks.groupBy("size", "x1", "x2").agg(F.min(F.struct("block", "n")).alias("b")).select("b.*")
-    wanted = _tiled(met.join(blocks, "block"), "node").select("block", "tiles", "node", "s0", "s1", "one_id", "one_key")
-    same = (F.col("key") == F.col("one_key")) & F.col("id").eqNullSafe(F.col("one_id"))
-    texts = _keyed_texts(docs, id_col, text_col)
-    if one.count() <= most:
-        texts = texts.join(F.broadcast(one.select("one_id", "one_key")), same, "left_semi")
-    rows = texts.dropDuplicates(["key", "id"]).join(wanted, same).select("block", "tiles", "node", "s0", "s1", "text").repartition("block", "tiles")
-    return rows.sortWithinPartitions("block", "tiles").mapInArrow(_exact_link_rows(shingle, radius, least), "a long, b long")
+    one = checkpoint(one.select("node", "one.s0", "one.s1", F.col("one.n_shingles").alias("n"), F.col("one.id").alias("one_id"), F.col("one.key").alias("one_key")))
+
+    pairs = keyed.groupBy("node").agg(F.min("head").alias("head")).filter("head < node").join(one.select("node", "s0", "s1", "n"), "node")
+    pairs = pairs.join(one.select(F.col("node").alias("head"), F.col("s0").alias("h0"), F.col("s1").alias("h1"), F.col("n").alias("h")), "head")
+    unlike = F.bit_count(F.col("s0").bitwiseXOR(F.col("h0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("h1")))
+    pairs = checkpoint(pairs.filter((unlike <= radius) & (F.least("n", "h") >= least * F.greatest("n", "h"))).select("head", "node", "n"))
+    first = checkpoint(star_links(docs, pairs, one, partial(shingle_table, width=shingle), 100 * least, id_col, text_col, TILE, TILE_SHINGLES, most))
+
+    joined = components(first).toDF("linked", "to")
+    own = checkpoint(one.join(joined, F.col("node") == F.col("linked"), "left").select("node", "s0", "s1", "n", F.coalesce("to", "node").alias("root")))
+    met = keyed.select("block", "node").join(own, "node")
+    dealt = checkpoint(tiles(met.join(open_blocks(met), "block"), TILE, TILE_SHINGLES).select("block", "tile", "node", "s0", "s1", "root"))
+    dealt = dealt.repartition("block", "tile").sortWithinPartitions("block", "tile")
+    wanted = checkpoint(dealt.mapInArrow(_near_rows(radius), "block long, tile long, node long"))
+    rows = with_texts(docs, wanted.join(own.drop("n"), "node"), one, id_col, text_col, most).select("block", "tile", "node", "s0", "s1", "root", "text")
+    rows = rows.repartition("block", "tile").sortWithinPartitions("block", "tile")
+    return first.unionByName(rows.mapInArrow(_exact_link_rows(shingle, radius, least), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ component by estimate; a second one moves the texts of these nodes, confirms, an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citygeo.llm.common import checkpoint, documents, mix, out_schema, pieces
+from citygeo.llm.near import open_blocks, similar, star_links, tiles, with_texts
 from citygeo.llm.op02_simhash import components, set_hashes, shingle_table
 
 HASHES, BITS, BANDS, ROWS, MARGIN = 128, 2, 20, 3, 0.25
@@ -141,14 +143,6 @@ def _sets_of(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([d for d, _ in found]), np.r_[0, np.cumsum(np.concatenate([np.diff(b) for _, b in found]))]
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 times the intersection of two sorted sets is ``percent`` times their union, or more."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
-
-
 def _partners(i: int, sigs: np.ndarray, n: np.ndarray, label: np.ndarray, percent: int, agree: int) -> np.ndarray:
     """Places beyond i with another label that may be similar to i, by size and by estimate."""
     j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])))
@@ -199,69 +193,15 @@ def _link_rows(width: int, percent: int, agree: int):
     return run
 
 
-def _star_rows(width: int, percent: int):
-    """Links (a, b) between the first node of each group, its head, and the others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, head, own = None, np.zeros(0, np.uint64), 0
-        for piece in pieces(batches, 4):
-            distinct, bounds = shingle_table(piece.column(4), width)
-            block, tile, member, node = (piece.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            a, b = [], []
-            for i in range(piece.num_rows):
-                mine = distinct[bounds[i] : bounds[i + 1]]
-                if not member[i]:
-                    last, head, own = (block[i], tile[i]), mine, node[i]
-                elif last == (block[i], tile[i]) and similar(head, mine, percent):
-                    a.append(own)
-                    b.append(node[i])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
-
-def _with_texts(docs: DataFrame, wanted: DataFrame, one: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """wanted (node, ...) with the text of one document of each node. Up to MOST rows of wanted (counted) are broadcast, so that only
-    texts of wanted nodes are shuffled; beyond that documents are."""
-    wanted = checkpoint(wanted.join(one.select("node", "one_id", "one_key"), "node"))
-    few = wanted.count() <= MOST
-    meet = (lambda part: F.broadcast(part)) if few else (lambda part: part)
-    same = (F.col("key") == F.col("one_key")) & F.col("id").eqNullSafe(F.col("one_id"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    texts = texts.join(meet(wanted.select("one_id", "one_key").distinct()), same, "left_semi").dropDuplicates(["key", "id"])
-    return texts.join(meet(wanted), same).drop("id", "key", "one_id", "one_key")
-
-
 def _stars(docs: DataFrame, met: DataFrame, one: DataFrame, shingle: int, percent: int, agree: int, id_col: str, text_col: str) -> DataFrame:
     """Links between nodes and the least node of all their blocks."""
     pairs = met.groupBy("node").agg(F.min("head").alias("head")).filter("head < node")
     both = pairs.join(one.select("node", F.struct(*SIG).alias("x"), F.col("n").alias("n_x")), "node")
     both = both.join(one.select(F.col("node").alias("head"), F.struct(*SIG).alias("y"), F.col("n").alias("n_y")), "head")
     fits = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (_agreeing("x", "y") >= agree)
-    pairs = checkpoint(both.filter(fits).select("head", "node", "n_x"))
-    chunks = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n_x") / TILE_SHINGLES)).cast("long")
-    heads = pairs.groupBy("head").agg(chunks.alias("chunks"))
-    members = pairs.join(heads, "head").select(F.col("head").alias("block"), F.pmod(F.xxhash64("node"), "chunks").alias("tile"), F.lit(True).alias("member"), "node")
-    heads = heads.select(F.col("head").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("tile"), F.lit(False).alias("member"), F.col("head").alias("node"))
-    rows = _with_texts(docs, members.unionByName(heads), one, id_col, text_col).select("block", "tile", "member", "node", "text")
-    return rows.repartition("block", "tile").sortWithinPartitions("block", "tile", "member").mapInArrow(_star_rows(shingle, percent), "a long, b long")
-
-
-def _tiles(met: DataFrame) -> DataFrame:
-    """met (block, node, root, n, ...) of blocks with several roots, with tile: a number for each tile of its block that a node is in."""
-    roots = met.groupBy("block", "root").agg(F.count("*").alias("own"), F.sum("n").alias("shingles"))
-    parts = lambda own, shingles: F.greatest(F.ceil(own / TILE), F.ceil(shingles / TILE_SHINGLES), F.lit(1)).cast("long")
-    blocks = roots.groupBy("block").agg(F.max(F.struct("own", "root", "shingles")).alias("near"), F.sum("own").alias("all"), F.sum("shingles").alias("all_shingles"))
-    blocks = blocks.select("block", F.col("near.root").alias("near"), parts(F.col("near.own"), F.col("near.shingles")).alias("n_near"), parts(F.col("all") - F.col("near.own"), F.col("all_shingles") - F.col("near.shingles")).alias("n_far"))
-    dealt = met.join(blocks, "block")
-    part = F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("near"), F.col("n_near")).otherwise(F.col("n_far")))
-    across = F.when(F.col("root") == F.col("near"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_far") - 1), lambda j: F.col("part") * F.col("n_far") + j)).otherwise(
-        F.concat(
-            F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_near") - 1), lambda i: i * F.col("n_far") + F.col("part")),
-            F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_far") - 1), lambda j: (F.col("n_near") + F.least(j, F.col("part"))) * F.col("n_far") + F.greatest(j, F.col("part"))), lambda _: F.col("n_far") > 1),
-        )
-    )  # with one far part, its own pairs are in the first tile
-    return dealt.withColumn("part", part).withColumn("tile", F.explode(across)).drop("part", "near", "n_near", "n_far")
+    pairs = checkpoint(both.filter(fits).select("head", "node", F.col("n_x").alias("n")))
+    sets = partial(shingle_table, width=shingle)
+    return star_links(docs, pairs, one, sets, percent, id_col, text_col, TILE, TILE_SHINGLES, MOST)
 
 
 def near_components(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,13 +229,9 @@ def near_components(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     own = checkpoint(one.select("node", "n", *SIG).join(first, F.col("node") == F.col("linked"), "left").select("node", "n", *SIG, F.coalesce("to", "node").alias("root")))
 
     met = met.select("block", "node").join(own, "node")
-    members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    open_blocks = met.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), *members).filter("low < high")
-    open_blocks = open_blocks.groupBy("members", "x1", "x2").agg(F.min("block").alias("block")).select("block")  # one of those with equal members
-    tiles = checkpoint(_tiles(met.join(open_blocks, "block")))
-    dealt = tiles.repartition("block", "tile").sortWithinPartitions("block", "tile")
+    dealt = checkpoint(tiles(met.join(open_blocks(met), "block"), TILE, TILE_SHINGLES)).repartition("block", "tile").sortWithinPartitions("block", "tile")
     wanted = checkpoint(dealt.select("block", "tile", "node", "root", "n", *SIG).mapInArrow(_wanted_rows(percent, agree), "block long, tile long, node long"))
-    rows = _with_texts(docs, wanted.join(own, "node"), one, id_col, text_col).select("block", "tile", "node", "root", "n", *SIG, "text")
+    rows = with_texts(docs, wanted.join(own, "node"), one, id_col, text_col, MOST).select("block", "tile", "node", "root", "n", *SIG, "text")
     links = rows.repartition("block", "tile").sortWithinPartitions("block", "tile").mapInArrow(_link_rows(shingle, percent, agree), "a long, b long")
     roots = own.select("node", "root")
     links = links.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
