@@ -196,9 +196,9 @@ def ground_bounds(points: DataFrame, regions: DataFrame, margin_m: float = 20.0)
 
 
 def dem_pixel_world(pixels: DataFrame, tiles: DataFrame, lat0: float, lon0: float, h0: float = 0.0) -> DataFrame:
-    """Adds enu (cm) of each pixel's centre about an origin."""
+    """Adds enu (cm, as doubles: rasters may lie far from the origin) of each pixel's centre about an origin."""
     own = pixels.join(tiles.select("tile_id", "gt"), "tile_id").withColumn("_ll", pixel_to_latlon(F.col("col"), F.col("row"), F.col("gt")))
-    return own.withColumn("enu", to_enu_cm(F.col("_ll.lat"), F.col("_ll.lon"), F.col("elev").cast("double"), F.lit(lat0), F.lit(lon0), F.lit(h0))).drop("gt", "_ll")
+    return own.withColumn("enu", to_enu_cm(F.col("_ll.lat"), F.col("_ll.lon"), F.col("elev").cast("double"), F.lit(lat0), F.lit(lon0), F.lit(h0), "double")).drop("gt", "_ll")
 
 
 def dem_alignment_error(pixels: DataFrame, tiles: DataFrame, lat0: float, lon0: float, h0: float = 0.0) -> DataFrame:
