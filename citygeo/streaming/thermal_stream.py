@@ -1,8 +1,8 @@
 """Zone temperatures over a stream of readings, with state by zone and timers in event time.
 
-Readings may come late, up to the watermark's delay, in any order and more than once. They wait in a map by time until the
-watermark has passed them, then a timer folds them in time order: the state that stays is one temperature, the time of
-the last reading folded, and a count. So a stream ends with the temperatures that ``zone_temperatures`` gives over the same readings.
+Readings may come late, up to the watermark's delay, in any order and more than once. They wait in a list until the watermark
+has passed them; a zone has one timer, for the first of them, and when it is due all that the watermark has passed are folded in time
+order: the state that stays is one temperature, the time of the last reading folded, and a count. So a stream ends with the temperatures that ``zone_temperatures`` gives over the same readings.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ OUT = "zone_id long, ts timestamp, temp_k double, readings long"
 NUMBERS = ["dt_s", "irradiance", "sun_x", "sun_y", "sun_z", "ambient_k", "sky_k", "wind"]
 ZONE = ["temp_k", *CONSTANTS, "normal_x", "normal_y", "normal_z"]
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-DUE_US = 60_000_000  # waiting readings are looked at once for each minute of event time
+DUE_US = 60_000_000  # timers are set to whole minutes of event time
 
 
 class ZoneTemperature(StatefulProcessor):
@@ -31,34 +31,53 @@ class ZoneTemperature(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "temp_k double, ts long, readings long")
         self.zone = handle.getValueState("zone", ", ".join(f"{c} double" for c in ZONE))
-        self.waiting = handle.getMapState("waiting", "ts long", ", ".join(f"{c} double" for c in NUMBERS))
+        self.waiting = handle.getListState("waiting", "ts long, " + ", ".join(f"{c} double" for c in NUMBERS))
+
+    def _wake(self, ts: int) -> None:
+        """Sets the zone's timer to the minute of ts, unless it is set to an earlier one."""
+        due = -(-ts // DUE_US) * (DUE_US // 1000)
+        for set_to in list(self.handle.listTimers()):
+            if set_to <= due:
+                return
+            self.handle.deleteTimer(set_to)
+        self.handle.registerTimer(due)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         before = self.last.get()[1] if self.last.exists() else None
-        due = set()
+        known, least = self.zone.exists(), None
         for frame in rows:
-            if not self.zone.exists():
+            if not known:
                 self.zone.update(tuple(float(v) for v in frame.iloc[0][ZONE]))
+                known = True
+            frame = frame if before is None else frame[frame["ts_us"] > before]  # others were told, or are later than the watermark allows
             frame = frame.sort_values(["ts_us", *NUMBERS], kind="stable").drop_duplicates("ts_us")
-            for ts, *numbers in zip(frame["ts_us"].tolist(), *(frame[c].tolist() for c in NUMBERS)):
-                if before is not None and ts <= before:
-                    continue  # told again, or later than the watermark allows
-                at, numbers = (ts,), tuple(numbers)
-                if not self.waiting.containsKey(at) or numbers < tuple(self.waiting.getValue(at)):
-                    self.waiting.updateValue(at, numbers)
-                due.add(-(-ts // DUE_US) * (DUE_US // 1000))
-        for ms in sorted(due):
-            self.handle.registerTimer(ms)
+            if len(frame):
+                self.waiting.appendList(list(zip(frame["ts_us"].tolist(), *(frame[c].astype(float).tolist() for c in NUMBERS))))
+                first = int(frame["ts_us"].iloc[0])
+                least = first if least is None else min(least, first)
+        if least is not None:
+            self._wake(least)
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        ready = sorted(k[0] for k in self.waiting.keys() if k[0] <= until)
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        waiting = {}
+        for ts, *numbers in self.waiting.get():  # of several at one time the least counts
+            numbers = tuple(numbers)
+            if ts not in waiting or numbers < waiting[ts]:
+                waiting[ts] = numbers
+        ready = sorted(ts for ts in waiting if ts <= until)
+        rest = [(ts, *numbers) for ts, numbers in waiting.items() if ts > until]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(-(-min(rest)[0] // DUE_US) * (DUE_US // 1000))
+        else:
+            self.waiting.clear()
         if not ready:
             return
         zone = dict(zip(ZONE, self.zone.get()))
         temp, _, n = self.last.get() if self.last.exists() else (zone["temp_k"], None, 0)
-        series = np.array([tuple(self.waiting.getValue((ts,))) for ts in ready], float)
+        series = np.array([waiting[ts] for ts in ready], float)
         normal = np.array([[zone["normal_x"], zone["normal_y"], zone["normal_z"]]])
         facing = facing_share(np.repeat(normal, len(series), axis=0), series[:, 2:5])
         constants = {c: np.array([zone[c]]) for c in CONSTANTS}
@@ -66,8 +85,6 @@ class ZoneTemperature(StatefulProcessor):
         for row, share in zip(series, facing):
             numbers = dict(zip(NUMBERS, row))
             state = step_all(state, constants, share, numbers)
-        for ts in ready:
-            self.waiting.removeKey((ts,))
         self.last.update((float(state[0]), ready[-1], n + len(ready)))
         yield pd.DataFrame({"zone_id": [key[0]], "ts": [pd.Timestamp(ready[-1], unit="us")], "temp_k": [float(state[0])], "readings": [n + len(ready)]})
 
@@ -76,7 +93,7 @@ class ZoneTemperature(StatefulProcessor):
 
 
 def zone_temperatures_stream(zones: DataFrame, readings: DataFrame, late: str = "1 hour") -> DataFrame:
-    """A row for each zone and minute of event time that the watermark has passed: zone_id, ts of the last reading, temp_k, readings so far.
+    """A row for each zone whenever the watermark has passed readings of it: zone_id, ts of the last reading, temp_k, readings so far.
 
     readings is a stream of (zone_id, ts, dt_s, irradiance, sun, ambient_k, sky_k, wind); zones is a static table with temp_k at the
     start and the constants. Readings later than the watermark are dropped; of several of a zone at one time the least counts.
