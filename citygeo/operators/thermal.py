@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from citygeo.functions.numbers import clamp
 from citygeo.operators.materials import CATEGORIES, resolve_materials, with_material_props
+from citygeo.operators.spatial import gathered, spread
 
 SIGMA, DEFAULT_K, PEAK, SWING_K = 5.670374419e-8, 293.15, 1000.0, 15.0
 STEP_K, MIN_K, MAX_K = 50.0, 220.0, 420.0
@@ -202,16 +203,19 @@ def zone_temperatures(zones: DataFrame, readings: DataFrame) -> DataFrame:
 
 
 def zones_near(zones: DataFrame, sensors: DataFrame, range_m: float) -> DataFrame:
-    """Pairs (zone_id, sensor_id) within a 3-D distance, border included; x, y, z in metres. Equi-join on cells of the range."""
+    """Pairs (zone_id, sensor_id) within a 3-D distance, border included; x, y, z in metres. Zones of one place are taken together, and
+    so are sensors; places meet in an equi-join on cells of the range, and the pairs of ids are made in shares over all tasks."""
     size = max(range_m, 1e-6)
     near = F.sequence(F.lit(-1), F.lit(1))
-    own = zones.withColumns({f"_{k}": F.floor(F.col(k) / size).cast("long") for k in "xyz"})
-    far = sensors.select("sensor_id", *[F.col(k).alias(f"s{k}") for k in "xyz"])
+    own = gathered(zones.select("zone_id", *"xyz"), [*"xyz"], "zone_id").withColumnRenamed("ids", "zones")
+    own = own.withColumns({f"_{k}": F.floor(F.col(k) / size).cast("long") for k in "xyz"})
+    far = gathered(sensors.select("sensor_id", *[F.col(k).alias(f"s{k}") for k in "xyz"]), ["sx", "sy", "sz"], "sensor_id").withColumnRenamed("ids", "sensors")
     about = lambda k: F.transform(near, lambda d: F.floor(F.col(f"s{k}") / size).cast("long") + d)
     for k in "xyz":
         far = far.withColumn(f"_{k}", F.explode(about(k)))
     d2 = sum(((F.col(k) - F.col(f"s{k}")) * (F.col(k) - F.col(f"s{k}")) for k in "xyz"), F.lit(0.0))
-    return own.join(far, ["_x", "_y", "_z"]).filter(d2 <= range_m * range_m).select("zone_id", "sensor_id")
+    met = spread(own.join(far, ["_x", "_y", "_z"]).filter(d2 <= range_m * range_m).select("zones", "sensors"), "zones", "sensors")
+    return met.select("sensors", F.explode("zones").alias("zone_id")).select("zone_id", F.explode("sensors").alias("sensor_id"))
 
 
 def categories(spark: SparkSession) -> DataFrame:
