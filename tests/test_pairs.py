@@ -59,7 +59,7 @@ def test_copies_of_zones_and_buildings_lose_no_pair(spark):
     pairs = G.contains_pairs(nodes).collect()
     assert sum(len(r.zones) * len(r.buildings) for r in pairs) == len(want) and len(pairs) < len(want) / 4
     fronts = {r.src: r for r in G.fronts_onto_edges(nodes, 0.0).collect()}
-    assert set(fronts) == {100, 103, 106} and {r.dst for r in fronts.values()} == {300}
+    assert set(fronts) == {100, 103, 106} and {r.dst for r in fronts.values()} == {400}
     assert len({r.value for r in fronts.values()}) == 1
 
 
