@@ -83,8 +83,8 @@ def data_groups(nodes: DataFrame, way_nodes: DataFrame | None = None, by: str |
     edges = touch.join(cells.select(F.col("cell").alias("b")), "b", "left_semi").select("a", "b")
     if way_nodes is not None:
         met = _by(way_nodes, by).select("source", "way_id", F.col("node_id").alias("id")).join(own.select("source", "id", "cell"), ["source", "id"])
-        spans = met.groupBy("source", "way_id").agg(F.min("cell").alias("a"), F.max("cell").alias("z"), F.collect_set("cell").alias("cells")).filter("a <> z")
-        edges = edges.unionByName(spans.select("a", F.explode("cells").alias("b")))
+        spans = met.groupBy("source", "way_id").agg(F.min("cell").alias("a"), F.max("cell").alias("z")).filter("a <> z").select("source", "way_id", "a")
+        edges = edges.unionByName(met.join(spans, ["source", "way_id"]).select("a", F.col("cell").alias("b")).distinct())
     groups = cells.join(components(cells.select(F.col("cell").alias("node")), edges).toDF("cell", "group_id"), "cell").groupBy("source", "group_id")
     return groups.agg(F.sum("n").alias("n_nodes"), *[f(c).alias(c) for f, c in ((F.min, "min_lat"), (F.min, "min_lon"), (F.max, "max_lat"), (F.max, "max_lon"))])
 
@@ -277,7 +277,8 @@ def import_report(nodes: DataFrame, way_nodes: DataFrame, features: DataFrame, r
         depends = depends.unionByName(on(dem_coverage(tiles, good).filter("covered > 0"), "raster", "tile_id"))
     else:
         staged.append(("raster", "region", issues_of(regions, issue(F.lit(True), F.col("region_key"), "Warning", "import.dem.absent", "no elevation raster"))))
-    empty = regions.join(features.select("region_key").distinct(), "region_key", "left_anti")
+    counts = cut(features.groupBy("region_key", "feature_type").agg(F.count("*").alias("features")))  # all that is read of features
+    empty = regions.join(counts.select("region_key").distinct(), "region_key", "left_anti")
     staged.append(("features", "region", issues_of(empty, issue(F.lit(True), F.col("region_key"), "Fatal", "import.features.none", "no features in the region"))))
     issues = cut(reduce(DataFrame.unionByName, [f.withColumns({"stage": F.lit(stage[name]), "kind": F.lit(kind)}) for name, kind, f in staged]))
 
@@ -288,7 +289,6 @@ def import_report(nodes: DataFrame, way_nodes: DataFrame, features: DataFrame, r
     served = depends.join(until, "region_key").groupBy(*what).agg(F.max("until").alias("until"))  # of a region, this is its own
     ends = issues.join(served, what, "left").join(stops, what, "left").withColumn("end", F.least(F.coalesce("until", last), F.coalesce("stop", last)))
     kept = ends.filter("stage <= end").select(*[c for c in issues.columns if c != "kind"])
-    counts = features.groupBy("region_key", "feature_type").agg(F.count("*").alias("features"))
     return kept, counts
 
 
