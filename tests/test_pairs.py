@@ -112,3 +112,32 @@ def test_shape_metrics_are_those_of_single_functions(spark, closed):
     middle = F.when(F.size(p) >= 3, geo.ring_centroid(F.when(F.size(p) >= 3, p))).otherwise(geo.vertex_mean(p)) if closed else geo.vertex_mean(p)
     for r in df.filter(F.size(p) > 0).select(one.alias("m"), geo.ring_length_m(p, mid, closed).alias("length"), (geo.ring_area_m2(p, mid) if closed else F.lit(0.0)).alias("area"), middle.alias("at")).collect():
         assert r.m.area_m2 == r.area and r.m.length_m == r.length and math.isclose(r.m.centroid.lat, r.at.lat) and math.isclose(r.m.centroid.lon, r.at.lon)
+
+
+def test_fingerprint_makes_no_pairs(spark):
+    """Zones and buildings tell the digest what contains what, however they are dealt into rows, and each other pair is another digest."""
+    nodes = spark.createDataFrame([("r", 1, "Building", "yes", "", 5, {}, [(1.0, 2.0)], [], [])], "region_key string, node_id long, node_type string, subtype string, name string, osm_id long, tags map<string,string>, points array<struct<lat: double, lon: double>>, holes array<array<double>>, flags array<string>")
+    edges = spark.createDataFrame([], "region_key string, edge_type string, src long, dst long, value double")
+    held = lambda *rows: spark.createDataFrame([("r", list(z), list(b)) for z, b in rows], "region_key string, zones array<long>, buildings array<long>")
+    digest = lambda pairs: G.graph_fingerprint(nodes, edges, held=pairs).first().fingerprint
+    whole = digest(held(([1, 2], [7, 8, 9])))
+    assert whole == digest(held(([1], [9, 7]), ([2], [7, 8, 9]), ([1], [8]))) == digest(held(([2, 1], [9]), ([1, 2], [8, 7])))
+    others = [digest(held(*rows)) for rows in ([([1, 2], [7, 8])], [([1, 2], [7, 8]), ([1], [9])], [([1], [7]), ([2], [8])], [([1], [8]), ([2], [7])], [([7, 8, 9], [1, 2])])]
+    assert len({whole, *others}) == 6
+
+
+def test_readers_of_flags_and_ids_make_no_metrics_and_move_no_shapes(spark):
+    regions = spark.createDataFrame([("r", -1.0, -1.0, 1.0, 1.0)], REGION)
+    nodes = G.graph_nodes(spark.createDataFrame(towns(), FEATURE), 0.0)[0]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan(nodes.select("metrics.area_m2")) and "aggregate(" not in plan(nodes.select("node_id", "points", "metrics.width_m"))
+    links = spark.createDataFrame([], "region_key string, edge_type string, src long, dst long, value double, tolerance_m double")
+    flagged = G.validate_nodes(nodes, links, regions).select("node_id", "flags")._jdf.queryExecution().optimizedPlan()
+
+    def joined(node):
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        own = [below[0].output().mkString(" ")] if node.nodeName() == "Join" else []
+        return own + [x for b in below for x in joined(b)]
+
+    moved = next(x for x in joined(flagged) if "_shaped" in x)
+    assert "points" not in moved and "tags" not in moved and "metrics" not in moved
