@@ -141,3 +141,13 @@ def test_readers_of_flags_and_ids_make_no_metrics_and_move_no_shapes(spark):
 
     moved = next(x for x in joined(flagged) if "_shaped" in x)
     assert "points" not in moved and "tags" not in moved and "metrics" not in moved
+
+
+def test_centroids_of_buildings_are_kept(spark, monkeypatch):
+    """A join on a centroid reads it several times: it is made before, once."""
+    kept = []
+    nodes = G.graph_nodes(spark.createDataFrame(towns(), FEATURE), 0.0)[0]
+    monkeypatch.setattr(G, "cut", lambda df: kept.append(df.columns) or df.localCheckpoint())
+    G.fronts_onto_edges(nodes, 0.0)
+    G.contains_pairs(nodes)
+    assert [c for c in kept if {"lat", "lon"} < set(c) and {"building", "node_id"} & set(c)] == [["region_key", "building", "lat", "lon"], ["region_key", "node_id", "lat", "lon"]]
