@@ -37,8 +37,9 @@ def normalise_footprint(footprints: DataFrame) -> tuple[DataFrame, DataFrame]:
     (node_id, reason): under 3 points, or under 0.5 m²."""
     first, last, n = F.col("points")[0], F.element_at("points", -1), F.size("points")
     repeats = (n > 3) & (F.sqrt(F.pow(first["x"] - last["x"], 2) + F.pow(first["y"] - last["y"], 2)) < REPEAT_M)
-    own = footprints.withColumn("points", F.when(n < 1, F.col("points")).when(repeats, F.slice("points", 1, n - 1)).otherwise(F.col("points")))
-    own = own.withColumn("area_m2", F.when(F.size("points") >= 3, signed_area(F.col("points"))).otherwise(0.0))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  made once, not in each expression that reads it
+    own = footprints.withColumn("points", once(F.when(n < 1, F.col("points")).when(repeats, F.slice("points", 1, n - 1)).otherwise(F.col("points"))))
+    own = own.withColumn("area_m2", once(F.when(F.size("points") >= 3, signed_area(F.col("points"))).otherwise(0.0)))
     reason = F.when(F.size("points") < 3, F.lit("footprint has under 3 points")).when(F.abs("area_m2") < LEAST_AREA_M2, F.lit("footprint is a sliver"))
     own = own.withColumn("reason", reason)
     good = own.filter("reason is null").drop("reason").withColumn("points", F.when(F.col("area_m2") < 0, F.reverse("points")).otherwise(F.col("points")))
@@ -108,16 +109,16 @@ def linear_ribbons(lines: DataFrame, frame: DataFrame, grid: DataFrame) -> DataF
     own = own.join(kinds.select("line_id", "node_type", ribbon_half_width(F.col("node_type"), F.col("subtype"), F.col("width_m")).alias("_half")), "line_id")
     side = lambda s: F.struct(F.lit("left" if s > 0 else "right").alias("side"), (F.col("x_m") - s * F.col("_dy") * F.col("_half")).alias("x_m"), (F.col("y_m") + s * F.col("_dx") * F.col("_half")).alias("y_m"))
     both = own.select("line_id", "region_key", "node_type", "n", "length_m", F.explode(F.array(side(1), side(-1))).alias("_e")).select("line_id", "region_key", "node_type", "n", "length_m", "_e.*")
-    both = both.withColumn("point_id", F.concat_ws("/", "line_id", "n", "side"))
     high = terrain_height(both, frame, grid)
     return high.select("line_id", "n", "side", "x_m", "y_m", (F.col("height_cm") + case_of(F.col("node_type"), {k: lift for k, (lift, _) in RIBBONS.items()})).alias("z_cm"), "length_m")
 
 
 def area_layers(nodes: DataFrame) -> DataFrame:
-    """node_id, layer, lift_cm of areas that are drawn: amenities only if they are paved."""
+    """node_id, layer, lift_cm (and osm_id, if nodes have it) of areas that are drawn: amenities only if they are paved."""
     kind = F.col("node_type")
     shown = F.col("is_area") & kind.isin(list(LAYERS)) & ((kind != "Amenity") | F.col("subtype").isin(PAVED))
-    return nodes.filter(shown).select("node_id", kind.alias("layer"), case_of(kind, LAYERS).alias("lift_cm"))
+    source = ["osm_id"] if "osm_id" in nodes.columns else []
+    return nodes.filter(shown).select("node_id", kind.alias("layer"), case_of(kind, LAYERS).alias("lift_cm"), *source)
 
 
 def _corners(vertices: DataFrame, triangles: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from citygeo.functions.geo import from_local_m, latlon_to_pixel, pixel_to_latlon, to_enu_cm, from_enu_cm
 from citygeo.functions.numbers import clamp, nearest
+from citygeo.operators.cut import cut
 from citygeo.operators.region import tile_bounds
+from citygeo.operators.spatial import few
 
 MIN_DIV, MAX_DIV, LEAST_GAP_M = 16, 512, 0.001
 HEADER = ["lat0", "lon0", "min_x", "min_y", "step_x", "step_y", "div_x", "div_y"]
@@ -62,24 +64,31 @@ def terrain_grid(frame: DataFrame, pixels: DataFrame | None = None, tiles: DataF
     return high.select("region_key", "ix", "iy", "x_m", "y_m", F.coalesce((F.col("elev") - F.col("base")) * 100, F.lit(0.0)).alias("height_cm"))
 
 
-def terrain_height(points: DataFrame, frame: DataFrame, grid: DataFrame, key: str = "point_id") -> DataFrame:
-    """Adds height_cm to points (key, region_key, x_m, y_m): on the triangle of the cell cut from its low to its high corner,
-    points beyond the grid moved to its edge. Four rows a point in one equi-join."""
-    own = points.join(frame.select("region_key", *HEADER[2:]), "region_key")
-    local = lambda a: clamp((F.col(f"{a}_m") - F.col(f"min_{a}")) / F.col(f"step_{a}"), F.lit(0.0), F.col(f"div_{a}").cast("double"))
+def terrain_height(points: DataFrame, frame: DataFrame, grid: DataFrame) -> DataFrame:
+    """Adds height_cm to points (region_key, x_m, y_m): on the triangle of the cell cut from its low to its high corner, points beyond
+    the grid moved to its edge. A point meets the four heights of its cell in one row, so points are neither multiplied nor grouped."""
+    own = points.join(few(frame.select("region_key", *[F.col(c).alias(f"_{c}") for c in HEADER[2:]])), "region_key", "left")
+    local = lambda a: clamp((F.col(f"{a}_m") - F.col(f"_min_{a}")) / F.col(f"_step_{a}"), F.lit(0.0), F.col(f"_div_{a}").cast("double"))
     own = own.withColumns({"_lx": local("x"), "_ly": local("y")})
-    own = own.withColumns({"_cx": F.least(F.floor("_lx").cast("int"), F.col("div_x") - 1), "_cy": F.least(F.floor("_ly").cast("int"), F.col("div_y") - 1)})
+    own = own.withColumns({"_cx": F.least(F.floor("_lx").cast("int"), F.col("_div_x") - 1), "_cy": F.least(F.floor("_ly").cast("int"), F.col("_div_y") - 1)})
     own = own.withColumns({"_fx": F.col("_lx") - F.col("_cx"), "_fy": F.col("_ly") - F.col("_cy")})
     fx, fy = F.col("_fx"), F.col("_fy")
     upper = fy >= fx
-    corner = lambda dx, dy, w: F.struct((F.col("_cx") + dx).alias("ix"), (F.col("_cy") + dy).alias("iy"), w.alias("w"))
-    weights = F.array(
-        corner(0, 0, F.when(upper, 1 - fy).otherwise(1 - fx)), corner(0, 1, F.when(upper, fy - fx).otherwise(0.0)),
-        corner(1, 1, F.when(upper, fx).otherwise(fy)), corner(1, 0, F.when(upper, 0.0).otherwise(fx - fy)),
-    )
-    four = own.select(key, "region_key", F.explode(weights).alias("_c")).select(key, "region_key", "_c.ix", "_c.iy", "_c.w")
-    found = four.join(grid.select("region_key", "ix", "iy", "height_cm"), ["region_key", "ix", "iy"]).groupBy(key).agg(F.sum(F.col("w") * F.col("height_cm")).alias("height_cm"))
-    return points.join(found, key, "left").withColumn("height_cm", F.coalesce("height_cm", F.lit(0.0)))
+    weights = {
+        "_h00": F.when(upper, 1 - fy).otherwise(1 - fx), "_h01": F.when(upper, fy - fx).otherwise(0.0),
+        "_h11": F.when(upper, fx).otherwise(fy), "_h10": F.when(upper, 0.0).otherwise(fx - fy),
+    }
+    height = sum((w * F.coalesce(F.col(h), F.lit(0.0)) for h, w in weights.items()), F.lit(0.0))  # a corner that the grid lacks adds nothing
+    met = own.join(few(cut(_cells(grid))), ["region_key", "_cx", "_cy"], "left")
+    return met.select(*[F.col(c) for c in points.columns], F.coalesce(height, F.lit(0.0)).alias("height_cm"))
+
+
+def _cells(grid: DataFrame) -> DataFrame:
+    """region_key, _cx, _cy (a cell's low corner), and the heights of its corners: _h00, _h01 (iy + 1), _h11, _h10 (ix + 1)."""
+    corners = [(0, 0), (0, 1), (1, 1), (1, 0)]
+    of = F.explode(F.array(*[F.struct((F.col("ix") - x).alias("_cx"), (F.col("iy") - y).alias("_cy"), F.lit(f"_h{x}{y}").alias("k")) for x, y in corners]))
+    rows = grid.select("region_key", "height_cm", of.alias("_c"))
+    return rows.groupBy("region_key", "_c._cx", "_c._cy").agg(*[F.sum(F.when(F.col("_c.k") == f"_h{x}{y}", F.col("height_cm"))).alias(f"_h{x}{y}") for x, y in corners])
 
 
 def _crossings(start: Column, end: Column, low: Column, high: Column) -> Column:
@@ -99,7 +108,7 @@ def segments(lines: DataFrame, key: str = "line_id") -> DataFrame:
 
 
 def _with_crossings(parts: DataFrame, frame: DataFrame) -> DataFrame:
-    own = parts.join(frame.select("region_key", *HEADER[2:]), "region_key")
+    own = parts.join(few(frame.select("region_key", *HEADER[2:])), "region_key")
     u = lambda p: (F.col(f"{p}.x") - F.col("min_x")) / F.col("step_x")
     v = lambda p: (F.col(f"{p}.y") - F.col("min_y")) / F.col("step_y")
     wide, high, none = F.col("div_x").cast("long"), F.col("div_y").cast("long"), F.lit(0).cast("long")
@@ -146,7 +155,7 @@ def _inside(x: Column, y: Column, ring: Column) -> Column:
 
 def grid_nodes_in_polygon(polygons: DataFrame, frame: DataFrame, key: str = "line_id") -> DataFrame:
     """key, region_key, ix, iy, x_m, y_m of grid nodes inside polygons (points as in segments)."""
-    own = polygons.filter(F.size("points") >= 3).join(frame.select("region_key", *HEADER[2:]), "region_key")
+    own = polygons.filter(F.size("points") >= 3).join(few(frame.select("region_key", *HEADER[2:])), "region_key")
     low = lambda a: F.array_min(F.transform("points", lambda p: p[a]))
     high = lambda a: F.array_max(F.transform("points", lambda p: p[a]))
     first = lambda a: clamp(F.ceil((low(a) - F.col(f"min_{a}")) / F.col(f"step_{a}")), F.lit(0), F.col(f"div_{a}")).cast("int")
@@ -162,7 +171,6 @@ def ground_range(polygons: DataFrame, frame: DataFrame, grid: DataFrame, key: st
     edges = _with_crossings(segments(closed, key), frame).select(key, "region_key", "a", "b", F.explode(F.concat(F.array(F.lit(0.0)), "_t")).alias("t"))
     x, y = _at(F.col("t"))
     points = edges.select(key, "region_key", x.alias("x_m"), y.alias("y_m")).unionByName(grid_nodes_in_polygon(polygons, frame, key).select(key, "region_key", "x_m", "y_m"))
-    points = points.withColumn("point_id", F.xxhash64(F.col(key), "x_m", "y_m")).dropDuplicates(["point_id"])
     return terrain_height(points, frame, grid).groupBy(key).agg(F.min("height_cm").alias("min_cm"), F.max("height_cm").alias("max_cm"))
 
 

@@ -17,7 +17,7 @@ from citygeo.operators import terrain as E
 from citygeo.operators import thermal as H
 from citygeo.operators.cut import checkpoint_folder, cut
 from citygeo.operators.quality import dem_stats
-from citygeo.plans.map_queries import BASE, MID, MM, nodes
+from citygeo.plans.map_queries import BASE, MID, MM, listed, nodes
 from citygeo.sources import lens
 from citygeo.streaming.thermal_stream import zone_temperatures_stream as zone_temperatures_stream_of
 
@@ -317,9 +317,9 @@ def terrain_heights(spark, d):
 
 def flat_rings(spark: SparkSession, d: str, kind: str) -> DataFrame:
     p = lambda q: geo.to_local_m(q["lat"], q["lon"], F.lit(lens.REGION[0]), F.lit(lens.REGION[1]))
-    own = nodes(spark, d).filter(F.col("node_type") == kind)
+    own = nodes(spark, d, [kind]).filter(F.col("node_type") == kind)
     flat = F.transform("points", lambda q: F.struct(p(q)["x_north"].alias("x"), p(q)["y_east"].alias("y")))
-    return own.select(F.col("osm_id").alias("line_id"), F.col("osm_id").alias("node_id"), "region_key", "node_type", "subtype", F.col("metrics.width_m").alias("width_m"), F.col("metrics.height_m").alias("height_m"), "tags", flat.alias("points"))
+    return own.select(F.col("osm_id").alias("line_id"), F.col("osm_id").alias("node_id"), "region_key", "node_type", "subtype", F.col("metrics.width_m").alias("width_m"), F.col("metrics.height_m").alias("height_m"), "tags", F.explode(F.array(flat)).alias("points"))  # exploded from an array of one, so that it is made once
 
 
 def tile_rings(spark: SparkSession, d: str, kind: str, tiles: DataFrame) -> DataFrame:
@@ -338,7 +338,7 @@ def ground_ranges(spark, d):
 def split_roads(spark, d):
     """Roads cut where they cross the terrain's triangles."""
     pixels, tiles = dem(spark, d)
-    lines = cut(tile_rings(spark, d, "RoadSegment", tiles).filter(F.size("points") > 1).withColumn("closed", F.lit(False)))
+    lines = cut(tile_rings(spark, d, "RoadSegment", tiles).filter(F.size("points") > 1).select("line_id", "region_key", "points", F.lit(False).alias("closed")))
     own = E.split_at_triangles(lines, frame(tiles))
     return own.groupBy("line_id").agg(F.count("*").alias("points"), F.sum(scaled(F.col("x_m"))).alias("x_mm"), F.sum(scaled(F.col("y_m"))).alias("y_mm"))
 
@@ -393,7 +393,7 @@ def road_ribbons(spark, d):
     pixels, tiles = dem(spark, d)
     own = frame(tiles)
     grid = cut(E.terrain_grid(own, pixels, tiles))
-    out = M.linear_ribbons(cut(tile_rings(spark, d, "RoadSegment", tiles)), own, grid)
+    out = M.linear_ribbons(cut(tile_rings(spark, d, "RoadSegment", tiles).drop("tags")), own, grid)
     return out.select("line_id", "n", "side", scaled(F.col("x_m")).alias("x_mm"), scaled(F.col("y_m")).alias("y_mm"), scaled(F.col("z_cm")).alias("z_um"))
 
 
@@ -457,8 +457,7 @@ def facades(spark, d):
 
 @query(BASE + "select way_id as osm_id, node_type as layer, case node_type when 'LanduseZone' then 5 when 'VegetationArea' then 10 when 'LeisureArea' then 15 when 'Amenity' then 20 else 25 end as lift_cm from node where closed and (node_type in ('LanduseZone', 'VegetationArea', 'LeisureArea', 'WaterBody') or (node_type = 'Amenity' and value = 'parking'))")
 def area_layers(spark, d):
-    own = nodes(spark, d)
-    return M.area_layers(own).join(own.select("node_id", "osm_id"), "node_id").select("osm_id", "layer", F.col("lift_cm").cast("int").alias("lift_cm"))
+    return M.area_layers(listed(spark, d, list(M.LAYERS))).select("osm_id", "layer", F.col("lift_cm").cast("int").alias("lift_cm"))
 
 
 # --- coordinates
