@@ -153,11 +153,16 @@ _WALLS = BASE + f""", house as (select *, {_HIGH} as high, area_m2 * cos(radians
 side as (select e.*, h.high, case when 360 < h.high * 100 - 1 then 2 else 1 end as bands, sqrt(power((bx - ax) * 111320, 2) + power((by2 - ay) * 111320.0 * cos(radians(12.97)), 2)) as len from ed e join house h using (way_id) where h.good)"""
 
 
-def walls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices and triangles of the walls of all buildings."""
+def wall_quads(spark: SparkSession, d: str) -> DataFrame:
+    """The walls of all buildings."""
     own = cut(world_queries.flat_rings(spark, d, "Building").select("node_id", "points", "height_m"))
     good, _ = M.normalise_footprint(own.select("node_id", "points"))
-    return tuple(cut(t) for t in M.quad_mesh(M.wall_quads(M.facade_bays(good), own.select("node_id", "height_m"))))
+    return M.wall_quads(M.facade_bays(good), own.select("node_id", "height_m"))
+
+
+def walls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices and triangles of the walls, kept for those who read them several times."""
+    return tuple(cut(t) for t in M.quad_mesh(wall_quads(spark, d)))
 
 
 @query(_WALLS + f""", b as (select way_id, any_value(bands) as m, sum(greatest(floor(len / 3 + 0.5), 1)) as n, sum(len) * any_value(high) as area from side where len >= 0.05 group by way_id)
@@ -171,13 +176,13 @@ def wall_checks(spark, d):
 
 @query(_WALLS + f" select way_id as mesh_id, 0::bigint as min_z, max({MM('high / 10')}) as max_z_cm, min({MM('(ax - 12.97) * 111320')}) as min_x_mm, max({MM('(ay - 77.602) * 111320.0 * cos(radians(12.97))')}) as max_y_mm from side where len >= 0.05 group by way_id")
 def wall_bounds(spark, d):
-    box = M.mesh_bounds(walls(spark, d)[0])
+    box = M.mesh_bounds(M.quad_mesh(wall_quads(spark, d))[0])  # read once: no vertex is numbered or kept
     return box.select("mesh_id", scaled(F.col("min_z"), 1).alias("min_z"), scaled(F.col("max_z"), 1).alias("max_z_cm"), scaled(F.col("min_x"), 10).alias("min_x_mm"), scaled(F.col("max_y"), 10).alias("max_y_mm"))
 
 
 @query(_WALLS + " select way_id as mesh_id, 2 * sum(greatest(floor(len / 3 + 0.5), 1))::bigint as triangles from side where len >= 0.05 and bands = 2 group by way_id")
 def upper_walls(spark, d):
-    _, triangles = walls(spark, d)
+    _, triangles = M.quad_mesh(wall_quads(spark, d))
     return M.mesh_section(triangles, "Wall").groupBy("mesh_id").agg(F.count("*").alias("triangles"))
 
 
