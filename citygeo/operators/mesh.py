@@ -14,6 +14,7 @@ from citygeo.operators.terrain import split_at_triangles, terrain_height
 
 FLOOR_M, DEFAULT_HEIGHT_M, PLINTH_M, BAY_M = 3.2, 9.6, 0.4, 3.0
 LEAST_AREA_M2, REPEAT_M, LEAST_EDGE_M, SKIRT_M = 0.5, 0.01, 0.05, 0.5
+MOST_MESHES = 5_000  # buildings whose edges are told apart in one part
 # Lift (cm) and default width (m) of ribbons, lift of area layers, amenities that are paved.
 RIBBONS = {"Waterway": (25.0, 6.0), "Railway": (30.0, 4.0), "RoadSegment": (35.0, None)}
 LAYERS = {"LanduseZone": 5.0, "VegetationArea": 10.0, "LeisureArea": 15.0, "Amenity": 20.0, "WaterBody": 25.0}
@@ -51,20 +52,23 @@ def bay_count(length_m: Column, bay_m: float = BAY_M) -> Column:
 
 
 def facade_bays(footprints: DataFrame, bay_m: float = BAY_M) -> DataFrame:
-    """node_id, edge, bay, bays, length_m, ax, ay, bx, by, nx, ny: edges of 5 cm or more cut into even bays, with outward normals."""
+    """node_id, edge, bay, bays, length_m, ax, ay, bx, by, nx, ny (and height_m, if footprints have it): edges of 5 cm or more cut into even
+    bays, with outward normals."""
+    kept = ["node_id", "height_m"] if "height_m" in footprints.columns else ["node_id"]
     follow = F.concat(F.slice("points", 2, F.greatest(F.size("points") - 1, F.lit(0))), F.slice("points", 1, 1))
-    edges = footprints.select("node_id", F.posexplode(F.zip_with("points", follow, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("edge", "e"))
+    edges = footprints.select(*kept, F.posexplode(F.zip_with("points", follow, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("edge", "e"))
     dx, dy = F.col("e.b.x") - F.col("e.a.x"), F.col("e.b.y") - F.col("e.a.y")
     edges = edges.withColumns({"dx": dx, "dy": dy, "length_m": F.sqrt(dx * dx + dy * dy)}).filter(F.col("length_m") >= LEAST_EDGE_M)
     bays = edges.withColumn("bays", bay_count(F.col("length_m"), bay_m)).withColumn("bay", F.explode(F.sequence(F.lit(0), F.col("bays") - 1)))
     at = lambda k, t: F.col(f"e.a.{k}") + F.col(f"d{k}") * t
     t0, t1 = F.col("bay") / F.col("bays"), (F.col("bay") + 1) / F.col("bays")
-    return bays.select("node_id", "edge", "bay", "bays", "length_m", at("x", t0).alias("ax"), at("y", t0).alias("ay"), at("x", t1).alias("bx"), at("y", t1).alias("by"), (F.col("dy") / F.col("length_m")).alias("nx"), (-F.col("dx") / F.col("length_m")).alias("ny"))
+    return bays.select(*kept, "edge", "bay", "bays", "length_m", at("x", t0).alias("ax"), at("y", t0).alias("ay"), at("x", t1).alias("bx"), at("y", t1).alias("by"), (F.col("dy") / F.col("length_m")).alias("nx"), (-F.col("dx") / F.col("length_m")).alias("ny"))
 
 
-def wall_quads(bays: DataFrame, heights: DataFrame, floor_m: float = FLOOR_M, plinth_m: float = PLINTH_M) -> DataFrame:
-    """node_id, edge, bay, section (GroundFloor or Wall), corners (cm), normal, u and v ranges (m). heights: (node_id, height_m)."""
-    own = bays.join(heights, "node_id").withColumn("_h", F.greatest(F.col("height_m"), F.lit(0.5)) * 100)
+def wall_quads(bays: DataFrame, heights: DataFrame | None = None, floor_m: float = FLOOR_M, plinth_m: float = PLINTH_M) -> DataFrame:
+    """node_id, edge, bay, section (GroundFloor or Wall), corners (cm), normal, u and v ranges (m). heights: (node_id, height_m), if bays
+    have none of their own."""
+    own = (bays if heights is None else bays.join(heights, "node_id")).withColumn("_h", F.greatest(F.col("height_m"), F.lit(0.5)) * 100)
     top = F.least(F.lit((plinth_m + max(2.0, floor_m)) * 100), F.col("_h"))
     band = lambda name, low, high: F.struct(F.lit(name).alias("section"), low.alias("low"), high.alias("high"))
     zero = F.lit(0.0)
@@ -125,9 +129,13 @@ def _corners(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     out = triangles
     for k in "abc":
         out = out.join(vertices.select("mesh_id", F.col("vertex").alias(k), F.struct("x", "y", "z").alias(f"p{k}")), ["mesh_id", k])
+    return _with_normals(out)
+
+
+def _with_normals(faces: DataFrame) -> DataFrame:
     e = lambda p, q, k: F.col(f"{q}.{k}") - F.col(f"{p}.{k}")
     u, v = [e("pa", "pb", k) for k in "xyz"], [e("pa", "pc", k) for k in "xyz"]
-    return out.withColumns({"_nx": u[1] * v[2] - u[2] * v[1], "_ny": u[2] * v[0] - u[0] * v[2], "_nz": u[0] * v[1] - u[1] * v[0]})
+    return faces.withColumns({"_nx": u[1] * v[2] - u[2] * v[1], "_ny": u[2] * v[0] - u[0] * v[2], "_nz": u[0] * v[1] - u[1] * v[0]})
 
 
 def mesh_area(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
@@ -144,9 +152,13 @@ def mesh_bounds(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("mesh_id").agg(*[f(k).alias(f"{n}_{k}") for k in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))])
 
 
+def _welded(p: Column) -> Column:
+    return F.struct(*[nearest(p[k] * 10).cast("long").alias(k) for k in "xyz"])
+
+
 def mesh_closure(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """mesh_id, edges, open_edges (in one triangle), crowded_edges (in over two), after welding vertices to 0.1 cm."""
-    place = F.struct(*[nearest(F.col(k) * 10).cast("long").alias(k) for k in "xyz"])
+    place = _welded(F.struct("x", "y", "z"))
     out = triangles
     for k in "abc":
         out = out.join(vertices.select("mesh_id", F.col("vertex").alias(k), place.alias(f"p{k}")), ["mesh_id", k])
@@ -155,6 +167,27 @@ def mesh_closure(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     return edges.groupBy("mesh_id", "e").count().groupBy("mesh_id").agg(F.count("*").alias("edges"), F.count_if(F.col("count") == 1).alias("open_edges"), F.count_if(F.col("count") > 2).alias("crowded_edges"))
 
 
+def quad_faces(quads: DataFrame) -> DataFrame:
+    """mesh_id, pa, pb, pc: the triangles of quad_mesh with their corners (cm), for those who need no vertices: none is numbered or looked up."""
+    p = lambda k: F.col("corners")[k]
+    two = F.array(*[F.struct(p(a).alias("pa"), p(b).alias("pb"), p(c).alias("pc")) for a, b, c in ((0, 2, 1), (0, 3, 2))])
+    return quads.select(F.col("node_id").alias("mesh_id"), F.explode(two).alias("t")).select("mesh_id", "t.*")
+
+
+def face_checks(faces: DataFrame) -> DataFrame:
+    """faces (mesh_id, pa, pb, pc) → mesh_id, edges, open_edges, crowded_edges, area_m2: mesh_closure and mesh_area in one pass. The area of
+    a triangle goes with the first of its sides. Both groupings are within a mesh, so where faces lie by mesh_id nothing is moved."""
+    own = _with_normals(faces).withColumns({f"w{k}": _welded(F.col(f"p{k}")) for k in "abc"})
+    half = F.sqrt(F.col("_nx") * F.col("_nx") + F.col("_ny") * F.col("_ny") + F.col("_nz") * F.col("_nz")) / 2
+    side = lambda p, q, area: F.struct(F.least(F.col(p), F.col(q)).alias("low"), F.greatest(F.col(p), F.col(q)).alias("high"), area.alias("area"))
+    zero = F.lit(0.0)
+    sides = own.select("mesh_id", F.explode(F.array(side("wa", "wb", half), side("wb", "wc", zero), side("wc", "wa", zero))).alias("e")).select("mesh_id", "e.*")
+    met = sides.groupBy("mesh_id", "low", "high").agg(F.count("*").alias("n"), F.sum("area").alias("area"))
+    long = F.col("low") != F.col("high")
+    counts = [F.count_if(long).alias("edges"), F.count_if(long & (F.col("n") == 1)).alias("open_edges"), F.count_if(long & (F.col("n") > 2)).alias("crowded_edges")]
+    return met.groupBy("mesh_id").agg(*counts, (F.sum("area") / 10_000).alias("area_m2"))
+
+
 def mesh_normals(vertices: DataFrame, triangles: DataFrame, level: float = 0.7) -> DataFrame:
     """mesh_id, up, down: triangles that are near horizontal, by the sign of their normal."""
     n = F.sqrt(F.col("_nx") * F.col("_nx") + F.col("_ny") * F.col("_ny") + F.col("_nz") * F.col("_nz"))

@@ -14,8 +14,8 @@ from citygeo.operators import mesh as M
 from citygeo.operators import region as R
 from citygeo.operators import terrain as E
 from citygeo.operators import thermal as H
-from citygeo.operators.cut import cut
 from citygeo.operators.quality import dem_stats
+from citygeo.operators.spatial import dealt
 from citygeo.plans import map_queries, world_queries
 from citygeo.plans.map_queries import BASE, MM
 from citygeo.sources import lens
@@ -153,16 +153,13 @@ _WALLS = BASE + f""", house as (select *, {_HIGH} as high, area_m2 * cos(radians
 side as (select e.*, h.high, case when 360 < h.high * 100 - 1 then 2 else 1 end as bands, sqrt(power((bx - ax) * 111320, 2) + power((by2 - ay) * 111320.0 * cos(radians(12.97)), 2)) as len from ed e join house h using (way_id) where h.good)"""
 
 
-def wall_quads(spark: SparkSession, d: str) -> DataFrame:
-    """The walls of all buildings."""
-    own = cut(world_queries.flat_rings(spark, d, "Building").select("node_id", "points", "height_m"))
-    good, _ = M.normalise_footprint(own.select("node_id", "points"))
-    return M.wall_quads(M.facade_bays(good), own.select("node_id", "height_m"))
+def rings(spark: SparkSession, d: str) -> DataFrame:
+    return world_queries.flat_rings(spark, d, "Building").select("node_id", "points", "height_m")
 
 
-def walls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices and triangles of the walls, kept for those who read them several times."""
-    return tuple(cut(t) for t in M.quad_mesh(wall_quads(spark, d)))
+def wall_quads(rings: DataFrame) -> DataFrame:
+    """The walls of buildings, whose heights go along with their rings."""
+    return M.wall_quads(M.facade_bays(M.normalise_footprint(rings)[0]))
 
 
 @query(_WALLS + f""", b as (select way_id, any_value(bands) as m, sum(greatest(floor(len / 3 + 0.5), 1)) as n, sum(len) * any_value(high) as area from side where len >= 0.05 group by way_id)
@@ -170,19 +167,19 @@ select way_id as mesh_id, cast(n * (3 * m + 1) as bigint) as edges, cast(2 * n a
 def wall_checks(spark, d):
     """Walls about a ring of n bays in m bands have n uprights, n diagonals a band, n level edges at each height; the first and last
     of these are open."""
-    vertices, triangles = walls(spark, d)
-    return M.mesh_closure(vertices, triangles).join(M.mesh_area(vertices, triangles), "mesh_id").select("mesh_id", "edges", "open_edges", "crowded_edges", scaled(F.col("area_m2"), 100).alias("area_dm2"))
+    together = dealt(rings(spark, d), M.MOST_MESHES, "node_id")
+    return M.face_checks(M.quad_faces(wall_quads(together))).select("mesh_id", "edges", "open_edges", "crowded_edges", scaled(F.col("area_m2"), 100).alias("area_dm2"))
 
 
 @query(_WALLS + f" select way_id as mesh_id, 0::bigint as min_z, max({MM('high / 10')}) as max_z_cm, min({MM('(ax - 12.97) * 111320')}) as min_x_mm, max({MM('(ay - 77.602) * 111320.0 * cos(radians(12.97))')}) as max_y_mm from side where len >= 0.05 group by way_id")
 def wall_bounds(spark, d):
-    box = M.mesh_bounds(M.quad_mesh(wall_quads(spark, d))[0])  # read once: no vertex is numbered or kept
+    box = M.mesh_bounds(M.quad_mesh(wall_quads(rings(spark, d)))[0])  # read once: no vertex is numbered or kept
     return box.select("mesh_id", scaled(F.col("min_z"), 1).alias("min_z"), scaled(F.col("max_z"), 1).alias("max_z_cm"), scaled(F.col("min_x"), 10).alias("min_x_mm"), scaled(F.col("max_y"), 10).alias("max_y_mm"))
 
 
 @query(_WALLS + " select way_id as mesh_id, 2 * sum(greatest(floor(len / 3 + 0.5), 1))::bigint as triangles from side where len >= 0.05 and bands = 2 group by way_id")
 def upper_walls(spark, d):
-    _, triangles = M.quad_mesh(wall_quads(spark, d))
+    _, triangles = M.quad_mesh(wall_quads(rings(spark, d)))
     return M.mesh_section(triangles, "Wall").groupBy("mesh_id").agg(F.count("*").alias("triangles"))
 
 
