@@ -6,6 +6,7 @@ from citygeo.operators import assets as A
 from citygeo.operators import graph as G
 from citygeo.plans import map_queries
 from citygeo.plans.registry import QUERIES
+from citygeo.sources import lens
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -52,3 +53,10 @@ def test_flagged_nodes_of_a_small_graph(spark):
     nodes = G.build_city_graph(features, region, 12.005)["nodes"]
     told = A.dry_run(A.select_assets(G.with_corridors(nodes), map_queries.rules(spark), map_queries.choices(spark)))
     assert {r.node_type: (r.nodes, r.selected, r.fallbacks, r.flagged) for r in told.collect()} == {"RoadSegment": (3, 3, 0, 1), "Building": (2, 2, 0, 1), "Barrier": (1, 0, 1, 1)}
+
+
+def test_a_region_does_not_gather_its_nodes(spark):
+    nodes = map_queries.nodes(spark, FOLDER)
+    none = spark.createDataFrame([], "region_key string, edge_type string, src long, dst long, value double, tolerance_m double")
+    plan = G.validate_nodes(nodes, none, lens.regions(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
